@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from corpusweave.params import IGNORE_LABEL
 
@@ -56,5 +57,5 @@ def l1_norm(vector: Column) -> Column:
     return F.aggregate(vector, F.lit(0.0), lambda acc, z: acc + F.abs(z.cast("double")))
 
 
-def zeros_like(vector: Column) -> Column:
-    return F.transform(vector, lambda z: z * 0)
+def zeros_like(vector: Column, element: DataType) -> Column:
+    return F.array_repeat(F.lit(0).cast(element), F.size(vector))

@@ -18,8 +18,8 @@ from corpusweave.functions.sequences import append_id, ones, prepend_id
 from corpusweave.functions.words import BLANKS, required, words
 from corpusweave.params import Specials
 
-# About 40 bytes per token: 160 MB per executor process at this size.
-MAX_BROADCAST_TOKENS = 4_000_000
+# About 40 bytes per token: 40 MB per Python worker at this size.
+MAX_BROADCAST_TOKENS = 1_000_000
 JOIN_SALTS = 64
 
 

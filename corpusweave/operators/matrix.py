@@ -16,7 +16,8 @@ def _flagged(matrix: DataFrame, ids: DataFrame) -> DataFrame:
 def zero_rows(matrix: DataFrame, ids: DataFrame) -> DataFrame:
     """The matrix with the rows of the given ids set to zero."""
     vector = F.col("embedding")
-    kept = F.when(F.col("hit"), zeros_like(vector)).otherwise(vector)
+    element = matrix.schema["embedding"].dataType.elementType
+    kept = F.when(F.col("hit"), zeros_like(vector, element)).otherwise(vector)
     return _flagged(matrix, ids).withColumn("embedding", kept).select(*matrix.columns)
 
 

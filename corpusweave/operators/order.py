@@ -13,25 +13,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# A natural-order run covers this many ids, hence never holds more rows.
-NATURAL_RUN_BITS = 20
-# Shuffle keys are 60 random bits; the top 16 make 65,536 equal runs.
+from corpusweave.functions.words import required
+
+# A natural-order run covers 2^14 ids, hence never holds more rows than that.
+NATURAL_RUN_BITS = 14
+# Natural-order ids lie below 2^40; dense ids of 50 billion rows make 3 million runs.
+MAX_NATURAL_ID = 1 << 40
+# Shuffle keys are 60 random bits; their top 20 make 2^20 runs of like size.
 SHUFFLE_KEY_BITS = 60
-SHUFFLE_RUN_BITS = 44
-# Natural-order ids lie below 2^43, so that there are at most 2^23 runs.
-MAX_NATURAL_ID = 1 << 43
+SHUFFLE_RUN_BITS = 40
 
 
 def shuffle_key(doc_id: Column, seed: int) -> Column:
     """Seeded random order key: the first 60 bits of ``md5('<seed>:<doc_id>')``."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), doc_id.cast("string")))
-    return F.conv(F.substring(digest, 1, SHUFFLE_KEY_BITS // 4), 16, 10).cast("long")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), required(doc_id, "id").cast("string")))
+    number = F.conv(F.substring(digest, 1, SHUFFLE_KEY_BITS // 4), 16, 10).cast("long")
+    return F.coalesce(number, F.lit(0))  # never null, which spares Spark a null filter
 
 
 def natural_order(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Corpus order: ascending ids."""
     key = F.col(id_column).cast("long")
-    checked = F.when((key < 0) | (key >= MAX_NATURAL_ID), F.raise_error(F.lit("id outside 0 .. 2^43"))).otherwise(key)
+    checked = F.when((key >= 0) & (key < MAX_NATURAL_ID), key).otherwise(F.raise_error(F.lit("id outside 0 .. 2^40")))
     return rows.withColumn("order_key", checked).withColumn(
         "order_bucket", F.shiftright(F.col("order_key"), NATURAL_RUN_BITS)
     )
@@ -52,6 +55,7 @@ def positions(rows: DataFrame, split: str = "split", id_column: str = "doc_id",
     on the same key and so needs no second move.
     """
     weights = [] if weight is None else [weight]
+    rows = rows.withColumn(split, required(F.col(split), split))
     run = [split, "order_bucket"]
     totals = rows.groupBy(*run).agg(
         F.count("*").alias("run_rows"), *[F.sum(w).alias("run_weight") for w in weights]
@@ -79,33 +83,39 @@ def positions(rows: DataFrame, split: str = "split", id_column: str = "doc_id",
     )
 
 
-def cutoffs(rows: DataFrame, ranks: list[int], id_column: str = "doc_id") -> dict[int, tuple[int, int]]:
-    """The ``(order_key, id)`` of the rows at the given ranks, for any rank.
+def cutoffs(rows: DataFrame, ranks: list[int], id_column: str = "doc_id") -> tuple[int, dict[int, tuple[int, int]]]:
+    """Row count, and the ``(order_key, id)`` of the rows at the given ranks.
 
-    Run sizes tell which runs hold the ranks; only those runs are then numbered. At
-    most one row per rank reaches the driver. Ranks beyond the table are left out.
+    Negative ranks count from the end; ranks beyond the table are left out. Run sizes tell
+    which runs hold the ranks, and only those runs are then numbered: any rank costs two
+    narrow passes, and at most one row per rank reaches the driver.
     """
-    if not ranks:
-        return {}
     sizes = rows.groupBy("order_bucket").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.orderBy("order_bucket"))
-    spans = sizes.select("order_bucket", (upto - F.col("n")).alias("first"), upto.alias("next"))
-    asked = F.array(*[F.lit(r).cast("long") for r in ranks])
-    held = F.filter(asked, lambda r: (r >= F.col("first")) & (r < F.col("next")))
-    hits = spans.select("order_bucket", "first", F.explode(held).alias("rank")).collect()
+    upto, overall = F.sum("n").over(W.orderBy("order_bucket")), F.sum("n").over(W.partitionBy())
+    spans = sizes.select("order_bucket", (upto - F.col("n")).alias("first"), upto.alias("next"), overall.alias("size"))
+    wanted = F.col("next") == F.col("size")  # the last run, for the size alone
+    for rank in ranks:
+        row = F.lit(rank) if rank >= 0 else F.col("size") + rank
+        wanted = wanted | ((row >= F.col("first")) & (row < F.col("next")))
+    runs = spans.where(wanted).collect()
+    size = runs[0].size if runs else 0
+    hits = {}
+    for rank in ranks:
+        row = rank if rank >= 0 else size + rank
+        hits.update({rank: (run.order_bucket, row - run.first) for run in runs if run.first <= row < run.next})
     if not hits:
-        return {}
-    in_hit_run = rows.where(F.col("order_bucket").isin([h.order_bucket for h in hits]))
-    inside = W.partitionBy("order_bucket").orderBy("order_key", id_column)
+        return size, {}
     is_cut = F.lit(False)
-    for hit in hits:
-        is_cut = is_cut | ((F.col("order_bucket") == hit.order_bucket) & (F.col("run_row") == hit.rank - hit.first))
+    for bucket, row in hits.values():
+        is_cut = is_cut | ((F.col("order_bucket") == bucket) & (F.col("run_row") == row))
+    inside = W.partitionBy("order_bucket").orderBy("order_key", id_column)
+    in_hit_run = rows.where(F.col("order_bucket").isin([bucket for bucket, _ in hits.values()]))
     found = in_hit_run.withColumn("run_row", F.row_number().over(inside) - 1).where(is_cut).collect()
     by_place = {(f.order_bucket, f.run_row): (f.order_key, f[id_column]) for f in found}
-    return {hit.rank: by_place[(hit.order_bucket, hit.rank - hit.first)] for hit in hits}
+    return size, {rank: by_place[place] for rank, place in hits.items()}
 
 
-def before(cut: tuple[int, int], id_column: str = "doc_id") -> Column:
+def comes_before(cut: tuple[int, int], id_column: str = "doc_id") -> Column:
     """Rows that come before a cut-off row in the order."""
     key, row_id = cut
     return (F.col("order_key") < key) | ((F.col("order_key") == key) & (F.col(id_column) < row_id))

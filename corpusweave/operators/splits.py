@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.operators.order import before, cutoffs, natural_order, seeded_order
+from corpusweave.functions.words import required
+from corpusweave.operators.order import comes_before, cutoffs, natural_order, seeded_order
 from corpusweave.params import PrepareParams
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
@@ -24,7 +25,7 @@ def assign_splits(corpus: DataFrame, params: PrepareParams) -> DataFrame:
     Splits of other names stay. Any ``pos`` and ``split_rows`` of the input go, as
     they no longer hold.
     """
-    rows = corpus.drop("pos", "split_rows")
+    rows = corpus.drop("pos", "split_rows").withColumn("split", required(F.col("split"), "split"))
     held = holdout(rows, params.n_val or 0, params.n_test or 0, params.seed)
     return limit_splits(held, params.n_train, params.n_val, params.n_test)
 
@@ -34,19 +35,16 @@ def holdout(rows: DataFrame, n_val: int, n_test: int, seed: int) -> DataFrame:
     if n_val + n_test == 0:
         return ordered
     train = seeded_order(rows.where(F.col("split") == TRAIN), seed)
-    size = train.count()
+    keys = train.select("doc_id", "order_key", "order_bucket")
+    size, cuts = cutoffs(keys, sorted({-n for n in (n_val, n_val + n_test) if n}))
     if size == 0:
         return ordered
     if size <= n_val + n_test:
         raise ValueError(f"holding out {n_val} + {n_test} of {size} rows leaves no train split")
-    keys = train.select("doc_id", "order_key", "order_bucket")
-    first_val, first_test = size - n_val, size - n_val - n_test
-    cuts = cutoffs(keys, sorted({r for r in (first_val, first_test) if r < size}))
-    part = F.lit(VALIDATION) if n_val else F.lit(TEST)
-    if n_val:
-        part = F.when(before(cuts[first_val]), TEST).otherwise(part)
-    if first_test < size:
-        part = F.when(before(cuts[first_test]), TRAIN).otherwise(part)
+    last = F.lit(VALIDATION)
+    if n_test:
+        last = F.when(comes_before(cuts[-n_val]), TEST).otherwise(last) if n_val else F.lit(TEST)
+    part = F.when(comes_before(cuts[-(n_val + n_test)]), TRAIN).otherwise(last)
     replaced = [TRAIN] + [name for name, n in ((VALIDATION, n_val), (TEST, n_test)) if n]
     kept = ordered.where(~F.col("split").isin(replaced))
     return train.withColumn("split", part).unionByName(kept)
@@ -62,8 +60,8 @@ def limit_splits(
     for name, limit in ((TRAIN, n_train), (VALIDATION, n_val), (TEST, n_test)):
         if limit:
             keys = rows.where(F.col("split") == name).select("doc_id", "order_key", "order_bucket")
-            for cut in cutoffs(keys, [limit]).values():
-                keep = keep & ((F.col("split") != name) | before(cut))
+            for cut in cutoffs(keys, [limit])[1].values():
+                keep = keep & ((F.col("split") != name) | comes_before(cut))
     return rows.where(keep)
 
 

@@ -1,0 +1,105 @@
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from corpusweave.operators import encode as E
+from corpusweave.params import Specials
+
+SPECIALS = Specials(pad=0, eos=1, bos=2, unk=3)
+VOCAB = [("<pad>", 0), ("<eos>", 1), ("<bos>", 2), ("<unk>", 3), ("a", 10), ("b", 11), ("ї", 12), ("<|x|>", 13)]
+TEXTS = ["a b zz  ї", "", " \t\n\r ", "\na\n\nb\t", "b" * 5000, "a " * 3000, "<|x|> a\x0bb  ", "ї\rb"]
+
+
+@pytest.fixture(scope="module")
+def vocab(spark):
+    return spark.createDataFrame(VOCAB, "token STRING, id INT")
+
+
+def docs(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(3)
+
+
+def by_hand(text):
+    table = dict(VOCAB)
+    return [table.get(w, 3) for w in text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if w]
+
+
+def collected(rows, column="input_ids"):
+    return {r.doc_id: r[column] for r in rows.collect()}
+
+
+def test_lookup_and_join_forms_agree_with_a_loop(spark, vocab):
+    want = {i: by_hand(t) for i, t in enumerate(TEXTS)}
+    rows = docs(spark, TEXTS)
+    table = E.small_vocabulary(vocab)
+    assert collected(E.word_ids_by_lookup(rows, table, SPECIALS, ["doc_id"])) == want
+    assert collected(E.word_ids_by_join(rows, vocab, SPECIALS, ["doc_id"])) == want
+    assert collected(E.word_ids_by_join(rows, vocab, SPECIALS, ["doc_id"], salts=1)) == want
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="ab ї\t\n\r\x0b z", max_size=30), min_size=1, max_size=40))
+def test_lookup_on_random_texts(spark, vocab, texts):
+    got = collected(E.encode(docs(spark, texts), vocab, SPECIALS, ["doc_id"]))
+    assert got == {i: by_hand(t) + [1] for i, t in enumerate(texts)}
+
+
+def test_many_small_arrow_batches(spark, vocab):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = collected(E.encode(docs(spark, TEXTS * 4), vocab, SPECIALS, ["doc_id"]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: by_hand(t) + [1] for i, t in enumerate(TEXTS * 4)}
+
+
+def test_eos_closes_and_the_mask_fits(spark, vocab):
+    got = E.encode(docs(spark, TEXTS), vocab, SPECIALS, ["doc_id"]).collect()
+    for r in got:
+        assert r.input_ids == by_hand(TEXTS[r.doc_id]) + [1]
+        assert r.attention_mask == [1] * len(r.input_ids)
+
+
+def test_token_count_needs_no_lookup(spark, vocab):
+    rows = docs(spark, TEXTS).withColumn("n", E.token_count(F.col("text")))
+    got = E.encode(rows, vocab, SPECIALS, ["doc_id", "n"]).collect()
+    assert all(r.n == len(r.input_ids) for r in got)
+
+
+def test_prompts_open_with_bos(spark, vocab):
+    assert collected(E.encode_prompts(docs(spark, ["a zz", ""]), vocab, SPECIALS, ["doc_id"])) == {0: [2, 10, 3], 1: [2]}
+
+
+def test_a_vocabulary_over_the_bound_is_not_broadcast(spark, vocab, monkeypatch):
+    assert E.small_vocabulary(vocab, limit=len(VOCAB) - 1) is None
+    assert E.small_vocabulary(vocab, limit=len(VOCAB)) is not None
+    whole = E.small_vocabulary
+    monkeypatch.setattr(E, "small_vocabulary", lambda v: whole(v, limit=3))
+    ids = E.encode(docs(spark, TEXTS), vocab, SPECIALS, ["doc_id"])
+    assert "ArrowEvalPython" not in ids._jdf.queryExecution().executedPlan().toString()
+    assert collected(ids) == {i: by_hand(t) + [1] for i, t in enumerate(TEXTS)}
+    assert collected(E.decode(ids, vocab, SPECIALS, ["doc_id"]), "text")[0] == "a b ї"
+
+
+def test_decode_drops_specials_and_keeps_empty_rows(spark, vocab):
+    ids = spark.createDataFrame(
+        [(0, [2, 10, 11, 1]), (1, [1, 0, 0]), (2, []), (3, [12, 3, 99, 10])], "doc_id LONG, input_ids ARRAY<INT>"
+    )
+    want = {0: "a b", 1: "", 2: "", 3: "ї a"}
+    assert collected(E.decode(ids, vocab, SPECIALS, ["doc_id"]), "text") == want
+    assert collected(E.decode_by_join(ids, vocab, SPECIALS, ["doc_id"]), "text") == want
+
+
+def test_null_text_fails_or_goes(spark, vocab):
+    rows = docs(spark, ["a", None])
+    with pytest.raises(Exception, match="null value in column text"):
+        E.encode(E.texts(rows), vocab, SPECIALS, ["doc_id"]).collect()
+    assert collected(E.encode(E.texts(rows, on_null="drop"), vocab, SPECIALS, ["doc_id"])) == {0: [10, 1]}
+
+
+def test_required_specials():
+    with pytest.raises(ValueError, match="BOS"):
+        Specials(eos=1, bos=None)
+    with pytest.raises(ValueError, match="EOS"):
+        Specials(eos=None, bos=2)

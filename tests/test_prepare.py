@@ -1,0 +1,84 @@
+import pytest
+from pyspark.sql import functions as F
+
+from corpusweave import SMOKE, PrepareParams, Specials, corpus_accounts, prepare_corpus, read_corpus, split_views
+from corpusweave.operators.vocab import frequency_vocabulary
+
+SPECIALS = Specials(pad=0, eos=1, bos=2, unk=3)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.lit("train").alias("split"))
+
+
+@pytest.fixture(scope="module")
+def vocab(corpus):
+    return frequency_vocabulary(corpus, 500).checkpoint()
+
+
+def accounts(rows):
+    return {r.split: (r.blocks, r.tokens_in, r.tokens_dropped) for r in rows.collect()}
+
+
+@pytest.mark.parametrize("grouping", ["batches", "global"])
+def test_accounts_match_the_blocks(corpus, vocab, grouping):
+    params = PrepareParams(max_seq_length=64, n_val=20, n_test=30, shards=3, batch_rows=25, grouping=grouping)
+    blocks = prepare_corpus(corpus, vocab, SPECIALS, params)
+    counted = {r.split: r.n for r in blocks.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    told = accounts(corpus_accounts(corpus, params))
+    assert {k: v[0] for k, v in told.items()} == counted
+    for n_blocks, tokens_in, dropped in told.values():
+        assert tokens_in == n_blocks * 63 + dropped
+    shapes = blocks.select(F.size("input_ids"), F.col("input_ids")[0], F.size("attention_mask")).distinct().collect()
+    assert [tuple(s) for s in shapes] == [(64, 2, 64)]
+
+
+def test_global_packing_wastes_less(corpus, vocab):
+    by_batch = accounts(corpus_accounts(corpus, PrepareParams(max_seq_length=64, batch_rows=10)))["train"]
+    as_one = accounts(corpus_accounts(corpus, PrepareParams(max_seq_length=64, grouping="global")))["train"]
+    assert as_one[2] < 63 <= by_batch[2]
+
+
+def test_smoke_preset(corpus, vocab):
+    params = PrepareParams(**{**SMOKE.__dict__, "use_packing": False})
+    rows = prepare_corpus(corpus, vocab, SPECIALS, params)
+    assert {k: v.count() for k, v in split_views(rows, ["train", "validation", "test"]).items()} == {
+        "train": 2, "validation": 2, "test": 2,
+    }
+    assert prepare_corpus(corpus, vocab, SPECIALS, SMOKE).count() >= 0
+
+
+def test_file_positions_and_id_positions_agree(spark, sf_dir, corpus, vocab):
+    params = PrepareParams(max_seq_length=32, n_train=90, shards=4, batch_rows=7)
+    from_files = prepare_corpus(read_corpus(spark, f"{sf_dir}/documents.parquet"), vocab, SPECIALS, params)
+    from_ids = prepare_corpus(corpus, vocab, SPECIALS, params)
+    keys = ["split", "shard", "batch", "block"]
+    assert from_files.orderBy(*keys).collect() == from_ids.orderBy(*keys).collect()
+
+
+def test_result_does_not_depend_on_partitions(spark, corpus, vocab):
+    params = PrepareParams(max_seq_length=64, n_val=20, shards=3, batch_rows=25)
+    seen = []
+    for n in (1, 8, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            rows = prepare_corpus(corpus.repartition(n), vocab, SPECIALS, params)
+            seen.append(rows.orderBy("split", "shard", "batch", "block").collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_dropped_null_texts_leave_no_gap(spark, vocab):
+    rows = spark.createDataFrame([(0, "a"), (1, None), (2, "b")], "doc_id LONG, body STRING").withColumn("split", F.lit("train"))
+    params = PrepareParams(text_column="body", on_null="drop", use_packing=False)
+    got = prepare_corpus(rows, vocab, SPECIALS, params).orderBy("pos").collect()
+    assert [(r.pos, r.doc_id) for r in got] == [(0, 0), (1, 2)]
+
+
+def test_bad_parameters():
+    for bad in ({"grouping": "none"}, {"on_null": "skip"}, {"max_seq_length": 1}):
+        with pytest.raises(ValueError):
+            PrepareParams(**bad)
+    PrepareParams(max_seq_length=1, use_packing=False)

@@ -1,0 +1,107 @@
+import pytest
+
+from corpusweave.operators.order import positions, seeded_order
+from corpusweave.operators.splits import assign_splits, limit_positions, split_sizes
+from corpusweave.params import PrepareParams
+
+
+def corpus(spark, n=10, split="train", first=0):
+    return spark.createDataFrame([(i, split) for i in range(first, first + n)], "doc_id LONG, split STRING")
+
+
+def shuffled_ids(spark, n=10, seed=42):
+    got = positions(seeded_order(corpus(spark, n), seed)).orderBy("pos").collect()
+    return [r.doc_id for r in got]
+
+
+def parts(rows):
+    found = {}
+    for r in positions(rows).orderBy("pos").collect():
+        found.setdefault(r.split, []).append(r.doc_id)
+    return found
+
+
+@pytest.mark.parametrize(
+    "n_train, n_val, n_test, want",
+    [
+        (None, 2, 3, {"train": range(5), "validation": [8, 9], "test": [5, 6, 7]}),
+        (3, 2, 3, {"train": range(3), "validation": [8, 9], "test": [5, 6, 7]}),
+        (None, None, 2, {"train": range(8), "test": [8, 9]}),
+        (None, 3, None, {"train": range(7), "validation": [7, 8, 9]}),
+        (99, 2, 3, {"train": range(5), "validation": [8, 9], "test": [5, 6, 7]}),
+    ],
+)
+def test_golden_holdouts(spark, n_train, n_val, n_test, want):
+    order = shuffled_ids(spark)
+    got = parts(assign_splits(corpus(spark), PrepareParams(n_train=n_train, n_val=n_val, n_test=n_test)))
+    assert got == {name: [order[i] for i in ranks] for name, ranks in want.items()}
+
+
+@pytest.mark.parametrize("n_train, want", [(4, range(4)), (None, range(10)), (0, range(10)), (-1, range(10))])
+def test_no_holdout_keeps_file_order(spark, n_train, want):
+    got = parts(assign_splits(corpus(spark), PrepareParams(n_train=n_train, n_val=0)))
+    assert got == {"train": list(want)}
+
+
+@pytest.mark.parametrize("n_val, n_test", [(10, None), (5, 5), (None, 11)])
+def test_a_holdout_of_everything_is_refused(spark, n_val, n_test):
+    with pytest.raises(ValueError, match="leaves no train"):
+        assign_splits(corpus(spark), PrepareParams(n_val=n_val, n_test=n_test))
+
+
+@pytest.mark.parametrize("sizes", [{"n_val": -5, "n_test": 5}, {"n_test": -1}])
+def test_negative_sizes_are_refused(sizes):
+    with pytest.raises(ValueError, match="negative"):
+        PrepareParams(**sizes)
+
+
+def test_delivered_splits(spark):
+    delivered = (
+        corpus(spark, 20)
+        .unionByName(corpus(spark, 4, "validation", 100))
+        .unionByName(corpus(spark, 4, "test", 200))
+        .unionByName(corpus(spark, 4, "extra", 300))
+    )
+    got = parts(assign_splits(delivered, PrepareParams(n_train=6, n_val=3)))
+    order = shuffled_ids(spark, 20)
+    assert got["train"] == order[:6]
+    assert got["validation"] == order[17:]
+    assert got["test"] == [200, 201, 202, 203]
+    assert got["extra"] == [300, 301, 302, 303]
+
+
+def test_without_a_train_split_the_corpus_stays_but_limits_apply(spark):
+    delivered = corpus(spark, 6, "validation").unionByName(corpus(spark, 6, "extra", 50))
+    assert parts(assign_splits(delivered, PrepareParams(n_val=2))) == {
+        "validation": [0, 1, 2, 3, 4, 5],
+        "extra": [50, 51, 52, 53, 54, 55],
+    }
+    limited = parts(assign_splits(delivered, PrepareParams(n_train=1, n_val=2)))
+    assert limited == {"validation": [0, 1], "extra": [50, 51, 52, 53, 54, 55]}
+
+
+def test_limits_by_known_positions(spark):
+    placed = spark.createDataFrame(
+        [("train", p, 5) for p in range(5)] + [("test", p, 3) for p in range(3)] + [("extra", p, 2) for p in range(2)],
+        "split STRING, pos LONG, split_rows LONG",
+    )
+    got = limit_positions(placed, 2, None, 9).collect()
+    assert sorted((r.split, r.pos, r.split_rows) for r in got) == [
+        ("extra", 0, 2), ("extra", 1, 2), ("test", 0, 3), ("test", 1, 3), ("test", 2, 3), ("train", 0, 2), ("train", 1, 2),
+    ]
+    assert limit_positions(placed, None, 1, 1).count() == 10
+
+
+def test_split_sizes(spark):
+    full = assign_splits(corpus(spark), PrepareParams(n_val=2))
+    asked = PrepareParams(n_train=20, n_val=2)
+    got = split_sizes(full, assign_splits(corpus(spark), asked), asked).collect()
+    assert sorted(map(tuple, got)) == [("train", 8, 8, True), ("validation", 2, 2, False)]
+
+
+def test_splits_are_disjoint_and_complete(spark):
+    got = parts(assign_splits(corpus(spark, 300), PrepareParams(n_val=40, n_test=70)))
+    assert {k: len(v) for k, v in got.items()} == {"train": 190, "validation": 40, "test": 70}
+    assert sorted(sum(got.values(), [])) == list(range(300))
+    other = parts(assign_splits(corpus(spark, 300), PrepareParams(n_val=40, n_test=70, seed=7)))
+    assert other["validation"] != got["validation"]

@@ -1,0 +1,96 @@
+from corpusweave.operators import vocab as V
+from corpusweave.operators.matrix import l1_totals, zero_input_and_output, zero_rows
+from corpusweave.params import Specials
+
+
+def table(spark, entries):
+    return spark.createDataFrame(list(entries.items()), "token STRING, id INT")
+
+
+def pair(spark):
+    return table(spark, {"a": 0, "b": 1, "c": 2, "d": 3}), table(spark, {"a": 0, "c": 1, "b": 2, "e": 3, "f": 4})
+
+
+def matrix(spark, rows):
+    return spark.createDataFrame(list(rows.items()), "vec_id LONG, embedding ARRAY<FLOAT>")
+
+
+def test_overlap_summary(spark):
+    got = V.overlap_summary(*pair(spark)).first().asDict()
+    assert got == {
+        "vocab_size_1": 4,
+        "vocab_size_2": 5,
+        "shared_token_count": 3,
+        "same_token_same_id": 1,
+        "same_token_diff_id": 2,
+        "same_id_count": 4,
+        "same_id_same_token": 1,
+        "same_id_diff_token": 3,
+        "only_in_1": 1,
+        "only_in_2": 2,
+    }
+
+
+def test_overlap_with_an_empty_vocabulary(spark):
+    got = V.overlap_summary(pair(spark)[0], pair(spark)[1].limit(0)).first()
+    assert (got.vocab_size_1, got.vocab_size_2, got.only_in_1, got.same_id_count) == (4, 0, 4, 0)
+
+
+def test_membership(spark):
+    got = {r.token: r.membership for r in V.token_membership(*pair(spark)).collect()}
+    assert got == {"a": "both", "b": "both", "c": "both", "d": "only_first", "e": "only_second", "f": "only_second"}
+
+
+def test_shared_and_frozen_ids(spark):
+    a, b = pair(spark)
+    assert [r.id for r in V.shared_ids(a, b).collect()] == [0]
+    ids = spark.createDataFrame([(0,), (3,), (7,)], "id INT")
+    five = matrix(spark, {i: [1.0] for i in range(5)})
+    assert sorted(map(tuple, V.flag_ids(ids, five).collect())) == [(0, True), (3, True), (7, False)]
+    both = table(spark, {"a": 0, "x": 3, "y": 7})
+    assert [r.id for r in V.freeze_ids(both, both, five).collect()] == [0, 3]
+    assert sorted(map(tuple, V.freeze_counts(both, both, five).collect())) == [(False, 1), (True, 2)]
+
+
+def test_an_id_with_two_tokens_keeps_the_greatest(spark):
+    assert sorted(map(tuple, V.invert(table(spark, {"a": 0, "z": 0, "m": 1})).collect())) == [(0, "z"), (1, "m")]
+
+
+def test_lookup_of_missing_ids_is_null(spark):
+    ids = spark.createDataFrame([(0,), (4,), (9,)], "id INT")
+    got = V.lookup_ids(ids, *pair(spark)).collect()
+    assert {tuple(r) for r in got} == {(0, "a", "a"), (4, None, "f"), (9, None, None)}
+
+
+def test_turn_end_ids(spark):
+    chat = table(spark, {"</s>": 1, "<end_of_turn>": 106, "x": 5, "<EOT>": 3})
+    assert {r.id for r in V.turn_end_ids(spark, chat, Specials(eos=1, bos=2, unk=3)).collect()} == {1, 106}
+    own = Specials(eos=1, bos=2, unk=3, eot=77)
+    assert {r.id for r in V.turn_end_ids(spark, chat, own).collect()} == {1, 77, 106}
+    assert {r.id for r in V.turn_end_ids(spark, chat.limit(0), Specials(eos=9, bos=2)).collect()} == {9}
+
+
+def test_zeroed_rows_have_no_norm(spark):
+    rows = matrix(spark, {0: [1.0, -2.0], 1: [3.0, 4.0]})
+    ids = spark.createDataFrame([(1,), (1,)], "id INT")
+    assert tuple(l1_totals(rows, ids).first()) == (10.0, 7.0)
+    zeroed = zero_rows(rows, ids)
+    assert {r.vec_id: r.embedding for r in zeroed.collect()} == {0: [1.0, -2.0], 1: [0.0, 0.0]}
+    assert tuple(l1_totals(zeroed, ids).first()) == (3.0, 0.0)
+    assert zeroed.schema["embedding"].dataType == rows.schema["embedding"].dataType
+
+
+def test_a_row_that_is_not_finite_is_zeroed_too(spark):
+    rows = matrix(spark, {0: [float("nan"), float("inf")]})
+    ids = spark.createDataFrame([(0,)], "id INT")
+    assert zero_rows(rows, ids).first().embedding == [0.0, 0.0]
+
+
+def test_output_matrix_by_flag(spark):
+    rows = matrix(spark, {0: [1.0], 1: [3.0]})
+    ids = spark.createDataFrame([(1,)], "id INT")
+    inputs, outputs = zero_input_and_output(rows, rows, ids, include_output=False)
+    assert l1_totals(inputs, ids).first().total_l1 == 1.0
+    assert l1_totals(outputs, ids).first().total_l1 == 4.0
+    assert l1_totals(zero_input_and_output(rows, rows, ids)[1], ids).first().total_l1 == 1.0
+    assert zero_input_and_output(rows, None, ids)[1] is None
