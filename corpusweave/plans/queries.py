@@ -30,7 +30,7 @@ from corpusweave.operators.splits import assign_splits, split_sizes
 from corpusweave.params import IGNORE_LABEL, PrepareParams, Specials
 from corpusweave.plans.prepare import corpus_accounts, freeze_matrix, prepare_corpus
 from corpusweave.session import shared_folder
-from corpusweave.sources.parquet import read_corpus, read_ids, rows_of_shard, write_ids, write_splits
+from corpusweave.sources.parquet import read_corpus, read_ids, rows_of_shard, spread, write_ids, write_splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,14 +52,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+def full_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work on their texts: spread, as each test table is one row group."""
+    return spread(documents(spark, sf_dir), "doc_id")
+
+
+def by_language(docs: DataFrame) -> DataFrame:
     """Documents with the language in the place of the split, in id order."""
-    docs = documents(spark, sf_dir).select("doc_id", "text", F.col("lang").alias("split"))
-    return natural_order(docs)
+    return natural_order(docs.withColumnRenamed("lang", "split").drop("source"))
 
 
-def train_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", "text", F.lit("train").alias("split"))
+def train_only(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.lit("train").alias("split"))
 
 
 def delivered_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,15 +75,15 @@ def delivered_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.frequency_vocabulary(documents(spark, sf_dir), VOCAB_SIZE)
+    return V.frequency_vocabulary(full_texts(spark, sf_dir), VOCAB_SIZE)
 
 
 def vocab_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.frequency_vocabulary(documents(spark, sf_dir).where("lang <> 'de'"), VOCAB_SIZE)
+    return V.frequency_vocabulary(full_texts(spark, sf_dir).where("lang <> 'de'"), VOCAB_SIZE)
 
 
 def encoded_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = by_language(spark, sf_dir).withColumn("n_tokens", token_count(F.col("text")).cast("long"))
+    docs = by_language(full_texts(spark, sf_dir)).withColumn("n_tokens", token_count(F.col("text")).cast("long"))
     keep = ["doc_id", "split", "order_key", "order_bucket", "n_tokens"]
     return encode(texts(docs), vocab_a(spark, sf_dir), SPECIALS, keep)
 
@@ -138,19 +142,19 @@ def shard_sample(spark, sf_dir):
 
 
 def row_positions(spark, sf_dir):
-    return positions(by_language(spark, sf_dir).drop("text")).select("doc_id", "split", "pos", "split_rows")
+    return positions(by_language(documents(spark, sf_dir))).select("doc_id", "split", "pos", "split_rows")
 
 
 def seeded_shuffle(spark, sf_dir):
-    return positions(seeded_order(train_only(spark, sf_dir).drop("text"), 42)).select("doc_id", "pos")
+    return positions(seeded_order(train_only(documents(spark, sf_dir)), 42)).select("doc_id", "pos")
 
 
 def split_holdout(spark, sf_dir):
-    return assign_splits(train_only(spark, sf_dir), HOLDOUT).select("doc_id", "split")
+    return assign_splits(train_only(documents(spark, sf_dir)), HOLDOUT).select("doc_id", "split")
 
 
 def split_limit(spark, sf_dir):
-    return assign_splits(train_only(spark, sf_dir), LIMITED).select("doc_id", "split")
+    return assign_splits(train_only(documents(spark, sf_dir)), LIMITED).select("doc_id", "split")
 
 
 def split_delivered(spark, sf_dir):
@@ -159,18 +163,18 @@ def split_delivered(spark, sf_dir):
 
 def split_file_order(spark, sf_dir):
     only_limits = PrepareParams(n_train=100)
-    return assign_splits(train_only(spark, sf_dir), only_limits).select("doc_id", "split")
+    return assign_splits(train_only(documents(spark, sf_dir)), only_limits).select("doc_id", "split")
 
 
 def split_size_report(spark, sf_dir):
-    corpus = train_only(spark, sf_dir)
+    corpus = train_only(documents(spark, sf_dir))
     full = PrepareParams(n_val=LIMITED.n_val, n_test=LIMITED.n_test)
     return split_sizes(assign_splits(corpus, full), assign_splits(corpus, LIMITED), LIMITED)
 
 
 def splits_round_trip(spark, sf_dir):
     path = shared_folder(spark, "splits")
-    write_splits(assign_splits(train_only(spark, sf_dir), HOLDOUT).select("doc_id", "text", "split"), path)
+    write_splits(assign_splits(train_only(documents(spark, sf_dir)), HOLDOUT).select("doc_id", "text", "split"), path)
     back = read_corpus(spark, path)
     return back.groupBy("split", "split_rows").agg(
         F.count("*").alias("docs"),
@@ -188,17 +192,17 @@ def vocab_frequency(spark, sf_dir):
 
 
 def encode_corpus(spark, sf_dir):
-    docs = texts(documents(spark, sf_dir))
+    docs = texts(full_texts(spark, sf_dir))
     return shown(encode(docs, vocab_a(spark, sf_dir), SPECIALS, ["doc_id"]).drop("attention_mask"), "input_ids")
 
 
 def encode_corpus_join(spark, sf_dir):
-    docs = texts(documents(spark, sf_dir))
+    docs = texts(full_texts(spark, sf_dir))
     return shown(word_ids_by_join(docs, vocab_a(spark, sf_dir), SPECIALS, ["doc_id"]), "input_ids")
 
 
 def attention_mask(spark, sf_dir):
-    docs = texts(documents(spark, sf_dir))
+    docs = texts(full_texts(spark, sf_dir))
     return shown(
         encode(docs, vocab_a(spark, sf_dir), SPECIALS, ["doc_id"]).select("doc_id", "attention_mask"), "attention_mask"
     )
@@ -210,8 +214,8 @@ def encode_prompt_ids(spark, sf_dir):
 
 
 def decode_tokens(spark, sf_dir):
-    vocab = vocab_a(spark, sf_dir)
-    ids = encode(texts(documents(spark, sf_dir)), vocab, SPECIALS, ["doc_id"])
+    vocab = vocab_a(spark, sf_dir).checkpoint()  # looked up twice, counted once
+    ids = encode(texts(full_texts(spark, sf_dir)), vocab, SPECIALS, ["doc_id"])
     return decode(ids, vocab, SPECIALS, ["doc_id"])
 
 
@@ -219,7 +223,7 @@ def decode_tokens(spark, sf_dir):
 
 
 def pack_group_ids(spark, sf_dir):
-    placed = positions(by_language(spark, sf_dir).drop("text"))
+    placed = positions(by_language(documents(spark, sf_dir)))
     return packing_groups(placed, 12, 30).select("doc_id", "split", "pos", "shard", "batch")
 
 
@@ -239,7 +243,7 @@ def pack_one_stream(spark, sf_dir):
 
 
 def pack_stats(spark, sf_dir):
-    corpus = documents(spark, sf_dir).select("doc_id", "text", F.col("lang").alias("split"))
+    corpus = by_language(full_texts(spark, sf_dir)).drop("order_key", "order_bucket")
     return corpus_accounts(corpus, PrepareParams(max_seq_length=LENGTH, shards=1, batch_rows=BATCH_ROWS))
 
 
@@ -432,7 +436,7 @@ def preview_rows(spark, sf_dir):
 
 def prepare_blocks(spark, sf_dir):
     """The flagship: hold out, encode, pack."""
-    blocks = prepare_corpus(train_only(spark, sf_dir), vocab_a(spark, sf_dir), SPECIALS, HOLDOUT)
+    blocks = prepare_corpus(train_only(full_texts(spark, sf_dir)), vocab_a(spark, sf_dir), SPECIALS, HOLDOUT)
     return shown(blocks.drop("attention_mask"), "input_ids")
 
 
@@ -445,7 +449,7 @@ def prepare_file_order(spark, sf_dir):
 
 def prepare_truncated(spark, sf_dir):
     params = PrepareParams(max_seq_length=LENGTH, n_val=30, n_test=50, use_packing=False)
-    rows = prepare_corpus(train_only(spark, sf_dir), vocab_a(spark, sf_dir), SPECIALS, params)
+    rows = prepare_corpus(train_only(full_texts(spark, sf_dir)), vocab_a(spark, sf_dir), SPECIALS, params)
     return shown(rows.drop("attention_mask"), "input_ids")
 
 

@@ -6,6 +6,7 @@ from corpusweave.sources.parquet import (
     read_ids,
     read_shard,
     rows_of_shard,
+    spread,
     write_ids,
     write_splits,
 )
@@ -16,6 +17,7 @@ __all__ = [
     "read_ids",
     "read_shard",
     "rows_of_shard",
+    "spread",
     "write_ids",
     "write_splits",
 ]

@@ -40,10 +40,23 @@ def read_corpus(spark: SparkSession, path: str, text_column: str = "text") -> Da
         F.col("_metadata.row_index").alias("row_index"),
     )
     few = len(raw.inputFiles()) <= MAX_BROADCAST_FILES
-    return file_positions(texts, broadcast_files=few)
+    return file_positions(texts, broadcast_files=few, spread_rows=True)
 
 
-def file_positions(rows: DataFrame, broadcast_files: bool) -> DataFrame:
+def spread(scanned: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a small table, spread over all task slots before heavy work on them.
+
+    Spark reads a row group in one task, so a table of few row groups would keep most
+    slots idle. A scan that already fills half the slots, as any large table does, is
+    left as it is.
+    """
+    slots = scanned.sparkSession.sparkContext.defaultParallelism
+    if 2 * scanned.rdd.getNumPartitions() > slots:
+        return scanned
+    return scanned.repartition(slots, *keys)
+
+
+def file_positions(rows: DataFrame, broadcast_files: bool, spread_rows: bool = False) -> DataFrame:
     """Number the rows of files read whole: ``doc_id`` overall, ``pos`` per split.
 
     Takes ``split``, ``file`` and ``row_index``. Each file's first position is a
@@ -62,6 +75,8 @@ def file_positions(rows: DataFrame, broadcast_files: bool) -> DataFrame:
     if broadcast_files:
         starts = F.broadcast(starts)
     kept = [c for c in rows.columns if c not in ("file", "row_index")]
+    if spread_rows:
+        rows = spread(rows, "file", "row_index")
     return rows.join(starts, "file").select(
         (F.col("first_doc") + F.col("row_index")).alias("doc_id"),
         *kept,
