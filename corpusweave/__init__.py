@@ -1,7 +1,7 @@
 """Corpus preparation for language models as Spark DataFrame operators."""
 
 from corpusweave.params import DEFAULT, SMOKE, PrepareParams, Specials
-from corpusweave.plans.prepare import corpus_accounts, freeze_matrix, prepare_corpus, split_views
+from corpusweave.plans.prepare import corpus_accounts, freeze_matrix, prepare_corpus, prepare_path, split_views
 from corpusweave.sources.parquet import read_corpus
 
 __all__ = [
@@ -12,6 +12,7 @@ __all__ = [
     "corpus_accounts",
     "freeze_matrix",
     "prepare_corpus",
+    "prepare_path",
     "read_corpus",
     "split_views",
 ]

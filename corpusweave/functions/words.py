@@ -10,7 +10,7 @@ BLANKS = "[ \t\n\r]+"
 
 def words(text: Column) -> Column:
     """Words of a text in order; an empty text has none."""
-    return F.filter(F.split(text, BLANKS), lambda w: w != F.lit(""))
+    return F.array_remove(F.split(text, BLANKS), "")
 
 
 def required(column: Column, name: str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.functions.sequences import append_id, ones, prepend_id
-from corpusweave.functions.words import BLANKS, required, words
+from corpusweave.functions.words import required, words
 from corpusweave.params import Specials
 
 # About 40 bytes per token: 40 MB per Python worker at this size.
@@ -85,7 +85,9 @@ def word_ids_by_lookup(docs: DataFrame, table: pa.Table, specials: Specials, kee
     @F.arrow_udf("array<int>")
     def lookup(batch: pa.Array) -> pa.Array:
         tokens, ids = shared.value
-        pieces = pc.split_pattern_regex(batch, BLANKS)
+        for blank in "\t\n\r":
+            batch = pc.replace_substring(batch, blank, " ")
+        pieces = pc.split_pattern(batch, " ")
         flat = pieces.flatten()
         is_word = pc.not_equal(flat, "")
         words_before = np.concatenate([[0], np.cumsum(is_word.to_numpy(zero_copy_only=False))])

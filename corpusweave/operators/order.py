@@ -47,40 +47,40 @@ def seeded_order(rows: DataFrame, seed: int, id_column: str = "doc_id") -> DataF
     )
 
 
-def positions(rows: DataFrame, split: str = "split", id_column: str = "doc_id", weight: str | None = None) -> DataFrame:
+def positions(
+    rows: DataFrame,
+    split: str = "split",
+    id_column: str = "doc_id",
+    weight: str | None = None,
+    counted: DataFrame | None = None,
+) -> DataFrame:
     """Add ``pos`` (0, 1, … in each split) and ``split_rows``.
 
     With ``weight`` also ``start``, the sum of the weights of all earlier rows of the
     split, and ``split_weight``. Rows move once, by run; the table of run totals joins
-    on the same key and so needs no second move.
+    on the same key and so needs no second move. ``counted`` may give the same rows from
+    a cheaper plan, for the totals alone.
     """
-    weights = [] if weight is None else [weight]
     rows = rows.withColumn(split, required(F.col(split), split))
     run = [split, "order_bucket"]
-    totals = rows.groupBy(*run).agg(
-        F.count("*").alias("run_rows"), *[F.sum(w).alias("run_weight") for w in weights]
-    )
-    before = W.partitionBy(split).orderBy("order_bucket")
+    sums = [F.count("*").alias("run_rows")] + ([F.sum(weight).alias("run_weight")] if weight else [])
+    totals = (rows if counted is None else counted).groupBy(*run).agg(*sums)
+    earlier = W.partitionBy(split).orderBy("order_bucket")
     whole = W.partitionBy(split)
-    starts = totals.select(
-        *run,
-        (F.sum("run_rows").over(before) - F.col("run_rows")).alias("run_pos"),
-        F.sum("run_rows").over(whole).alias("split_rows"),
-        *[(F.sum("run_weight").over(before) - F.col("run_weight")).alias("run_start") for _ in weights],
-        *[F.sum("run_weight").over(whole).alias("split_weight") for _ in weights],
-    )
     inside = W.partitionBy(*run).orderBy("order_key", id_column)
+    starts = totals.withColumn("run_pos", F.sum("run_rows").over(earlier) - F.col("run_rows")).withColumn(
+        "split_rows", F.sum("run_rows").over(whole)
+    )
     numbered = rows.withColumn("run_row", F.row_number().over(inside) - 1)
-    for w in weights:
+    added = [(F.col("run_pos") + F.col("run_row")).alias("pos"), F.col("split_rows")]
+    if weight:
+        starts = starts.withColumn("run_start", F.sum("run_weight").over(earlier) - F.col("run_weight")).withColumn(
+            "split_weight", F.sum("run_weight").over(whole)
+        )
         upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-        numbered = numbered.withColumn("run_offset", F.sum(w).over(upto) - F.col(w))
-    return numbered.join(starts, run).select(
-        *rows.columns,
-        (F.col("run_pos") + F.col("run_row")).alias("pos"),
-        "split_rows",
-        *[(F.col("run_start") + F.col("run_offset")).alias("start") for _ in weights],
-        *["split_weight" for _ in weights],
-    )
+        numbered = numbered.withColumn("run_offset", F.sum(weight).over(upto) - F.col(weight))
+        added += [(F.col("run_start") + F.col("run_offset")).alias("start"), F.col("split_weight")]
+    return numbered.join(starts, run).select(*rows.columns, *added)
 
 
 def cutoffs(rows: DataFrame, ranks: list[int], id_column: str = "doc_id") -> tuple[int, dict[int, tuple[int, int]]]:

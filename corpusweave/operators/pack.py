@@ -76,16 +76,17 @@ def pack_batches(docs: DataFrame, specials: Specials, length: int, shards: int =
     return cut_blocks(placed, GROUP, length, specials.bos)
 
 
-def pack_global(docs: DataFrame, specials: Specials, length: int) -> DataFrame:
+def pack_global(docs: DataFrame, specials: Specials, length: int, counted: DataFrame | None = None) -> DataFrame:
     """Pack each split as one stream, so that less than one block of it is lost.
 
-    Takes ``split, doc_id, order_key, order_bucket, input_ids, n_tokens``; ``n_tokens``
-    must not depend on ``input_ids``, as run totals are summed in a pass of their own
-    that should not encode again.
+    Takes ``split, doc_id, order_key, order_bucket, input_ids``. ``counted`` may give
+    ``split, order_bucket, n_tokens`` of the same documents from their texts, so that the
+    pass that sums runs does not encode.
     """
     check_block_length(length)
-    rows = docs.select("split", "doc_id", "order_key", "order_bucket", "input_ids", F.col("n_tokens").cast("long"))
-    placed = positions(rows, weight="n_tokens").withColumnRenamed("split_weight", "total")
+    size = F.size("input_ids").cast("long").alias("n_tokens")
+    rows = docs.select("split", "doc_id", "order_key", "order_bucket", "input_ids", size)
+    placed = positions(rows, weight="n_tokens", counted=counted).withColumnRenamed("split_weight", "total")
     return cut_blocks(placed, ["split"], length, specials.bos)
 
 

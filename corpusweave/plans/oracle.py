@@ -293,7 +293,7 @@ UNION SELECT 1""",
 {steps(PARTLY_IGNORED)}
 SELECT target, round(avg(loss), 6) AS eval_loss, round(exp(avg(loss)), 6) AS perplexity FROM losses GROUP BY target""",
     "perplexity_empty": f"""
-{steps('-100')}
+{steps().replace('vec_id // 8', 'vec_id').replace('vec_id % 8', '0')}
 SELECT coalesce(avg(loss), CAST('inf' AS DOUBLE)) AS eval_loss,
   coalesce(exp(avg(loss)), CAST('inf' AS DOUBLE)) AS perplexity FROM losses""",
     "matrix_zero_rows": """

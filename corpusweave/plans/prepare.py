@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.operators.encode import encode, texts, token_count
@@ -18,13 +20,14 @@ from corpusweave.operators.pack import (
 from corpusweave.operators.splits import assign_splits, limit_positions
 from corpusweave.operators.vocab import freeze_ids
 from corpusweave.params import PrepareParams, Specials
+from corpusweave.sources.parquet import read_corpus
 
 ORDER = ["order_key", "order_bucket"]
 PLACE = ["pos", "split_rows"]
 
 
 def kept_documents(corpus: DataFrame, params: PrepareParams) -> DataFrame:
-    """The documents that a run keeps, each with its split, order and token count.
+    """The documents that a run keeps, each with its split and order.
 
     Splitting and limiting come before encoding, so that only kept texts are encoded.
     Rows that were read with their file positions keep them where nothing is held
@@ -33,10 +36,14 @@ def kept_documents(corpus: DataFrame, params: PrepareParams) -> DataFrame:
     rows = texts(corpus, params.text_column, params.on_null)
     held_out = bool(params.n_val or params.n_test)
     if not held_out and params.on_null == "fail" and set(PLACE) <= set(corpus.columns):
-        kept = natural_order(limit_positions(rows, params.n_train, params.n_val, params.n_test))
-    else:
-        kept = assign_splits(rows, params)
-    return kept.withColumn("n_tokens", token_count(F.col("text")).cast("long"))
+        return natural_order(limit_positions(rows, params.n_train, params.n_val, params.n_test))
+    return assign_splits(rows, params)
+
+
+def token_counts(kept: DataFrame) -> DataFrame:
+    """Sizes of the documents, counted from their texts alone."""
+    known = [c for c in PLACE if c in kept.columns]
+    return kept.select("doc_id", "split", *ORDER, *known, token_count(F.col("text")).cast("long").alias("n_tokens"))
 
 
 def with_positions(docs: DataFrame) -> DataFrame:
@@ -51,20 +58,26 @@ def prepare_corpus(corpus: DataFrame, vocab: DataFrame, specials: Specials, para
     """
     kept = kept_documents(corpus, params)
     known = [c for c in PLACE if c in kept.columns]
-    docs = encode(kept, vocab, specials, ["doc_id", "split", *ORDER, *known, "n_tokens"])
+    docs = encode(kept, vocab, specials, ["doc_id", "split", *ORDER, *known])
     if not params.use_packing:
-        cut = truncate_documents(docs.drop("n_tokens"), params.max_seq_length)
+        cut = truncate_documents(docs, params.max_seq_length)
         return with_positions(cut).select("split", "pos", "doc_id", "input_ids", "attention_mask")
     if params.grouping == "global":
-        return pack_global(docs, specials, params.max_seq_length)
+        return pack_global(docs, specials, params.max_seq_length, counted=token_counts(kept))
     return pack_batches(with_positions(docs), specials, params.max_seq_length, params.shards, params.batch_rows)
 
 
+def prepare_path(
+    spark: SparkSession, path: str, vocab: DataFrame, specials: Specials, params: PrepareParams
+) -> DataFrame:
+    """``prepare_corpus`` of a parquet file or of a directory of splits."""
+    corpus = read_corpus(spark, path, params.text_column)
+    return prepare_corpus(corpus, vocab, specials, replace(params, text_column="text"))
+
+
 def corpus_accounts(corpus: DataFrame, params: PrepareParams) -> DataFrame:
     """Blocks, tokens in and tokens dropped per split, found without encoding."""
-    kept = kept_documents(corpus, params)
-    known = [c for c in PLACE if c in kept.columns]
-    sizes = kept.select("doc_id", "split", *ORDER, *known, "n_tokens")
+    sizes = token_counts(kept_documents(corpus, params))
     if params.grouping == "global":
         groups = sizes.withColumn("shard", F.lit(0)).withColumn("batch", F.lit(0))
     else:

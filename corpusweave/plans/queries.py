@@ -20,7 +20,7 @@ from corpusweave.functions.integers import int_div
 from corpusweave.operators import vocab as V
 from corpusweave.operators.batched import map_batches, map_groups
 from corpusweave.operators.collate import collate
-from corpusweave.operators.encode import decode, encode, encode_prompts, texts, token_count, word_ids_by_join
+from corpusweave.operators.encode import decode, encode, encode_prompts, texts, word_ids_by_join
 from corpusweave.operators.matrix import l1_totals, zero_rows
 from corpusweave.operators.metrics import perplexity, sequence_losses, token_losses
 from corpusweave.operators.order import head_tail, natural_order, positions, seeded_order, unique_sorted
@@ -28,8 +28,8 @@ from corpusweave.operators.pack import pack_batches, pack_global, packing_groups
 from corpusweave.operators.preview import preview
 from corpusweave.operators.splits import assign_splits, split_sizes
 from corpusweave.params import IGNORE_LABEL, PrepareParams, Specials
-from corpusweave.plans.prepare import corpus_accounts, freeze_matrix, prepare_corpus
-from corpusweave.session import shared_folder
+from corpusweave.plans.prepare import corpus_accounts, freeze_matrix, prepare_corpus, prepare_path, token_counts
+from corpusweave.session import settled, shared_folder
 from corpusweave.sources.parquet import read_corpus, read_ids, rows_of_shard, spread, write_ids, write_splits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,9 +83,8 @@ def vocab_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = by_language(full_texts(spark, sf_dir)).withColumn("n_tokens", token_count(F.col("text")).cast("long"))
-    keep = ["doc_id", "split", "order_key", "order_bucket", "n_tokens"]
-    return encode(texts(docs), vocab_a(spark, sf_dir), SPECIALS, keep)
+    docs = texts(by_language(full_texts(spark, sf_dir)))
+    return encode(docs, vocab_a(spark, sf_dir), SPECIALS, ["doc_id", "split", "order_key", "order_bucket"])
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +213,7 @@ def encode_prompt_ids(spark, sf_dir):
 
 
 def decode_tokens(spark, sf_dir):
-    vocab = vocab_a(spark, sf_dir).checkpoint()  # looked up twice, counted once
+    vocab = settled(vocab_a(spark, sf_dir))  # looked up twice, counted once
     ids = encode(texts(full_texts(spark, sf_dir)), vocab, SPECIALS, ["doc_id"])
     return decode(ids, vocab, SPECIALS, ["doc_id"])
 
@@ -238,7 +237,8 @@ def pack_sharded(spark, sf_dir):
 
 
 def pack_one_stream(spark, sf_dir):
-    blocks = pack_global(encoded_by_language(spark, sf_dir), SPECIALS, LENGTH)
+    counted = token_counts(by_language(full_texts(spark, sf_dir)))
+    blocks = pack_global(encoded_by_language(spark, sf_dir), SPECIALS, LENGTH, counted)
     return shown(blocks.drop("attention_mask"), "input_ids")
 
 
@@ -248,8 +248,7 @@ def pack_stats(spark, sf_dir):
 
 
 def truncated(spark, sf_dir, length=LENGTH):
-    ids = encoded_by_language(spark, sf_dir).drop("n_tokens")
-    return positions(truncate_documents(ids, length))
+    return positions(truncate_documents(encoded_by_language(spark, sf_dir), length))
 
 
 def truncate_sequences(spark, sf_dir):
@@ -350,7 +349,9 @@ def perplexity_by_group(spark, sf_dir):
 
 
 def perplexity_empty(spark, sf_dir):
-    return perplexity(token_losses(steps(spark, sf_dir, F.lit(IGNORE_LABEL))))
+    """Sequences of one step each have no next token to predict."""
+    single = steps(spark, sf_dir).withColumn("seq_id", F.col("seq_id") * 8 + F.col("pos")).withColumn("pos", F.lit(0))
+    return perplexity(token_losses(single))
 
 
 def label_row_ids(spark, sf_dir):
@@ -442,8 +443,7 @@ def prepare_blocks(spark, sf_dir):
 
 def prepare_file_order(spark, sf_dir):
     """No holdout: positions come from the files, and only the packing moves rows."""
-    corpus = read_corpus(spark, f"{sf_dir}/documents.parquet")
-    blocks = prepare_corpus(corpus, vocab_a(spark, sf_dir), SPECIALS, FILE_ORDER)
+    blocks = prepare_path(spark, f"{sf_dir}/documents.parquet", vocab_a(spark, sf_dir), SPECIALS, FILE_ORDER)
     return shown(blocks.drop("attention_mask"), "input_ids")
 
 

@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusweave import SMOKE, PrepareParams, Specials, corpus_accounts, prepare_corpus, read_corpus, split_views
+from corpusweave import SMOKE, PrepareParams, Specials, corpus_accounts, prepare_corpus, prepare_path, read_corpus, split_views
 from corpusweave.operators.vocab import frequency_vocabulary
+from corpusweave.session import settled
 
 SPECIALS = Specials(pad=0, eos=1, bos=2, unk=3)
 
@@ -14,7 +15,7 @@ def corpus(spark, sf_dir):
 
 @pytest.fixture(scope="module")
 def vocab(corpus):
-    return frequency_vocabulary(corpus, 500).checkpoint()
+    return settled(frequency_vocabulary(corpus, 500))
 
 
 def accounts(rows):
@@ -77,6 +78,14 @@ def test_dropped_null_texts_leave_no_gap(spark, vocab):
     assert [(r.pos, r.doc_id) for r in got] == [(0, 0), (1, 2)]
 
 
+def test_a_path_with_its_own_text_column(spark, vocab, tmp_path):
+    path = str(tmp_path / "c.parquet")
+    spark.createDataFrame([("q1 q2",), ("q3",)], "body STRING").coalesce(1).write.parquet(path)
+    params = PrepareParams(max_seq_length=3, text_column="body", shards=1)
+    got = prepare_path(spark, path, vocab, SPECIALS, params).orderBy("block").collect()
+    assert [r.input_ids for r in got] == [[2, 3, 3], [2, 1, 3]]
+
+
 def test_bad_parameters():
     for bad in ({"grouping": "none"}, {"on_null": "skip"}, {"max_seq_length": 1}):
         with pytest.raises(ValueError):

@@ -9,6 +9,7 @@ from corpusweave.sources.parquet import (
     read_ids,
     read_shard,
     rows_of_shard,
+    spread,
     write_ids,
     write_splits,
 )
@@ -45,6 +46,13 @@ def test_many_files_take_the_plain_join(spark, shards):
     assert sorted((r.pos, r.text) for r in got) == [(i, f"w{i}") for i in range(1000)]
 
 
+def test_only_a_scan_of_few_tasks_is_spread(spark, shards):
+    whole = spark.read.parquet(shards)
+    assert spread(whole.coalesce(1), "other").rdd.getNumPartitions() == 4
+    assert whole.rdd.getNumPartitions() == 4
+    assert spread(whole, "other") is whole
+
+
 def test_only_the_text_is_read(spark, shards):
     plan = read_corpus(spark, shards, "body")._jdf.queryExecution().executedPlan().toString()
     assert "body" in plan and "other" not in plan
