@@ -31,19 +31,30 @@ def shuffle_key(doc_id: Column, seed: int) -> Column:
     return F.coalesce(number, F.lit(0))  # never null, which spares Spark a null filter
 
 
+def natural_key(doc_id: Column) -> Column:
+    """The id itself, checked to lie in the range that run sizes are made for."""
+    key = doc_id.cast("long")
+    return F.when((key >= 0) & (key < MAX_NATURAL_ID), key).otherwise(F.raise_error(F.lit("id outside 0 .. 2^40")))
+
+
 def natural_order(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Corpus order: ascending ids."""
-    key = F.col(id_column).cast("long")
-    checked = F.when((key >= 0) & (key < MAX_NATURAL_ID), key).otherwise(F.raise_error(F.lit("id outside 0 .. 2^40")))
-    return rows.withColumn("order_key", checked).withColumn(
-        "order_bucket", F.shiftright(F.col("order_key"), NATURAL_RUN_BITS)
+    return rows.withColumn("order_key", natural_key(F.col(id_column))).withColumn(
+        "order_bucket", F.shiftright("order_key", NATURAL_RUN_BITS)
     )
 
 
-def seeded_order(rows: DataFrame, seed: int, id_column: str = "doc_id") -> DataFrame:
-    """Seeded shuffle: the same seed gives the same permutation of the same ids."""
-    return rows.withColumn("order_key", shuffle_key(F.col(id_column), seed)).withColumn(
-        "order_bucket", F.shiftright(F.col("order_key"), SHUFFLE_RUN_BITS)
+def seeded_order(rows: DataFrame, seed: int, where: Column | None = None, id_column: str = "doc_id") -> DataFrame:
+    """Seeded shuffle: the same seed gives the same permutation of the same ids.
+
+    Rows outside ``where`` keep their natural order.
+    """
+    key, bits = shuffle_key(F.col(id_column), seed), F.lit(SHUFFLE_RUN_BITS)
+    if where is not None:
+        key = F.when(where, key).otherwise(natural_key(F.col(id_column)))
+        bits = F.when(where, SHUFFLE_RUN_BITS).otherwise(NATURAL_RUN_BITS)
+    return rows.withColumn("order_key", key).withColumn(
+        "order_bucket", F.call_function("shiftright", F.col("order_key"), bits)
     )
 
 

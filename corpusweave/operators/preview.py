@@ -11,7 +11,7 @@ def preview(rows: DataFrame, order_by: str, max_rows: int = 20, max_width: int |
     cells = []
     for name in rows.columns:
         cell = F.coalesce(F.col(name).cast("string"), F.lit(""))
-        if max_width:
+        if max_width is not None and max_width > 0:
             cells.append(F.substring(cell, 1, max_width).alias(name[:max_width]))
         else:
             cells.append(cell.alias(name))

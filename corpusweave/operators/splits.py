@@ -31,23 +31,22 @@ def assign_splits(corpus: DataFrame, params: PrepareParams) -> DataFrame:
 
 
 def holdout(rows: DataFrame, n_val: int, n_test: int, seed: int) -> DataFrame:
-    ordered = natural_order(rows)
     if n_val + n_test == 0:
-        return ordered
-    train = seeded_order(rows.where(F.col("split") == TRAIN), seed)
-    keys = train.select("doc_id", "order_key", "order_bucket")
+        return natural_order(rows)
+    is_train = F.col("split") == TRAIN
+    keys = seeded_order(rows.where(is_train).select("doc_id"), seed)
     size, cuts = cutoffs(keys, sorted({-n for n in (n_val, n_val + n_test) if n}))
     if size == 0:
-        return ordered
+        return natural_order(rows)
     if size <= n_val + n_test:
         raise ValueError(f"holding out {n_val} + {n_test} of {size} rows leaves no train split")
-    last = F.lit(VALIDATION)
-    if n_test:
-        last = F.when(comes_before(cuts[-n_val]), TEST).otherwise(last) if n_val else F.lit(TEST)
-    part = F.when(comes_before(cuts[-(n_val + n_test)]), TRAIN).otherwise(last)
-    replaced = [TRAIN] + [name for name, n in ((VALIDATION, n_val), (TEST, n_test)) if n]
-    kept = ordered.where(~F.col("split").isin(replaced))
-    return train.withColumn("split", part).unionByName(kept)
+    part = F.lit(VALIDATION if n_val else TEST)
+    if n_val and n_test:
+        part = F.when(comes_before(cuts[-n_val]), TEST).otherwise(part)
+    part = F.when(comes_before(cuts[-(n_val + n_test)]), TRAIN).otherwise(part)
+    replaced = [name for name, n in ((VALIDATION, n_val), (TEST, n_test)) if n]
+    kept = seeded_order(rows.where(~F.col("split").isin(replaced)), seed, where=is_train)
+    return kept.withColumn("split", F.when(is_train, part).otherwise(F.col("split")))
 
 
 def limit_splits(

@@ -72,6 +72,11 @@ def test_splitting_moves_no_text(spark, corpus, plain_plans):
     assert moves(plan(assign_splits(corpus, PrepareParams(n_val=5, n_test=5))), "text") == 0
 
 
+def test_a_holdout_from_delivered_splits_reads_texts_once(spark, sf_dir, plain_plans):
+    text = plan(entry.queries()["split_delivered"](spark, sf_dir))
+    assert text.count("FileScan") == 1
+
+
 def test_encoding_moves_nothing(spark, corpus, vocab, plain_plans):
     text = plan(encode(texts(corpus), vocab, SPECIALS, ["doc_id"]))
     assert "Exchange" not in text and "split" not in re.findall(r"ReadSchema: .*", text)[0]
