@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions.sequences import append_id, ones, prepend_id
 from corpusweave.functions.words import required, words
+from corpusweave.operators.vocab import invert
 from corpusweave.params import Specials
 
 # About 40 bytes per token: 40 MB per Python worker at this size.
@@ -120,6 +121,7 @@ def decode(rows: DataFrame, vocab: DataFrame, specials: Specials, keep: list[str
     Lossy by nature: white space is not restored and unknown words are gone. A row of
     special ids alone gives an empty text.
     """
+    vocab = invert(vocab)
     table = small_vocabulary(vocab)
     if table is None:
         return decode_by_join(rows, vocab, specials, keep)

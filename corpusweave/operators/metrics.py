@@ -31,12 +31,15 @@ def token_losses(steps: DataFrame) -> DataFrame:
 def sequence_losses(sequences: DataFrame) -> DataFrame:
     """The same from one row per sequence: ``seq_id, logits ARRAY<ARRAY>, labels ARRAY``.
 
-    Nothing moves: logits and labels of a sequence are in one row.
+    Nothing moves: each step is paired with its next label inside the row.
     """
-    steps = sequences.select("seq_id", "labels", F.posexplode("logits").alias("pos", "logits"))
-    target = F.get("labels", F.col("pos") + 1)
+    pairs = F.greatest(F.size("labels") - 1, F.lit(0))
+    shifted = sequences.select(
+        "seq_id", F.slice("logits", F.lit(1), pairs).alias("logits"), F.slice("labels", F.lit(2), pairs).alias("target")
+    )
+    steps = shifted.select("seq_id", F.posexplode(F.arrays_zip("logits", "target")).alias("pos", "step"))
     return (
-        steps.select("seq_id", "pos", target.alias("target"), "logits")
+        steps.select("seq_id", "pos", "step.target", "step.logits")
         .where(F.col("target") != IGNORE_LABEL)
         .select("seq_id", "pos", "target", cross_entropy(F.col("logits"), F.col("target")).alias("loss"))
     )

@@ -1,4 +1,8 @@
-"""Vocabularies as tables ``(token STRING, id INT)``, and their comparison."""
+"""Vocabularies as tables ``(token STRING, id INT)``, and their comparison.
+
+A token occurs once in a vocabulary. An id may occur with several tokens; wherever tokens
+are looked up by id, the greatest one counts.
+"""
 
 from __future__ import annotations
 
@@ -48,11 +52,6 @@ def invert(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("id").agg(F.max("token").alias("token"))
 
 
-def shared_ids(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Ids that stand for the same token in both vocabularies."""
-    return invert(first).join(invert(second), ["id", "token"]).select("id")
-
-
 def token_membership(first: DataFrame, second: DataFrame) -> DataFrame:
     """Every token with the vocabularies that hold it: both, only_first, only_second."""
     a = first.select("token", F.lit(True).alias("in_first")).distinct()
@@ -69,6 +68,11 @@ def common_ids(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.select("id", F.col("token").alias("token_1")).join(b.select("id", F.col("token").alias("token_2")), "id")
 
 
+def shared_ids(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Ids that stand for the same token in both vocabularies."""
+    return common_ids(first, second).where(F.col("token_1") == F.col("token_2")).select("id")
+
+
 def overlap_summary(first: DataFrame, second: DataFrame) -> DataFrame:
     """One row of ten counts that compare two vocabularies by token and by id."""
     a = first.select("token", F.col("id").alias("id_1"))

@@ -91,6 +91,12 @@ def test_decode_drops_specials_and_keeps_empty_rows(spark, vocab):
     assert collected(E.decode_by_join(ids, vocab, SPECIALS, ["doc_id"]), "text") == want
 
 
+def test_decode_of_an_id_with_two_tokens(spark):
+    vocab = spark.createDataFrame([("a", 10), ("z", 10), ("m", 10)], "token STRING, id INT")
+    ids = spark.createDataFrame([(0, [10, 10])], "doc_id LONG, input_ids ARRAY<INT>")
+    assert collected(E.decode(ids, vocab, SPECIALS, ["doc_id"]), "text") == {0: "z z"}
+
+
 def test_null_text_fails_or_goes(spark, vocab):
     rows = docs(spark, ["a", None])
     with pytest.raises(Exception, match="null value in column text"):
