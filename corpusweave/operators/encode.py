@@ -107,7 +107,8 @@ def word_ids_by_join(
     placed = docs.select("doc_id", salt.alias("salt"), F.posexplode(words(F.col("text"))).alias("place", "token"))
     salted = vocab.select("token", "id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     ids = F.coalesce(F.col("id"), F.lit(_unknown_id(specials))).cast("int")
-    found = placed.join(salted, ["token", "salt"], "left").select("doc_id", F.struct("place", ids.alias("id")).alias("at"))
+    at = F.struct("place", ids.alias("id")).alias("at")
+    found = placed.join(salted, ["token", "salt"], "left").select("doc_id", at)
     rows = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("at")).alias("placed"))
     encoded = rows.select("doc_id", F.transform("placed", lambda p: p["id"]).alias("input_ids"))
     none = F.array().cast("array<int>")

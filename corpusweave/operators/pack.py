@@ -3,7 +3,8 @@
 A block is BOS and ``length - 1`` tokens of the concatenated documents; what a packing
 group has left over is dropped. Offsets come from windows over documents, and a document
 is cut once into the pieces that each block takes: rows move as whole pieces, never
-as single tokens, and no task holds more than one block of a group at a time.
+as single tokens. A group is bounded by its rows, a block by its length; a split may be of
+any size.
 """
 
 from __future__ import annotations
@@ -64,7 +65,9 @@ def cut_blocks(placed: DataFrame, group: list[str], length: int, bos: int) -> Da
     return blocks.withColumn("attention_mask", ones(F.col("input_ids")))
 
 
-def pack_batches(docs: DataFrame, specials: Specials, length: int, shards: int = 1, batch_rows: int = 1000) -> DataFrame:
+def pack_batches(
+    docs: DataFrame, specials: Specials, length: int, shards: int = 1, batch_rows: int = 1000
+) -> DataFrame:
     """Pack every batch of rows alone; blocks carry ``split, shard, batch, block``.
 
     Takes ``split, pos, split_rows, input_ids``. The documents move once, to their

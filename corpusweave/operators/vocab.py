@@ -56,10 +56,8 @@ def token_membership(first: DataFrame, second: DataFrame) -> DataFrame:
     """Every token with the vocabularies that hold it: both, only_first, only_second."""
     a = first.select("token", F.lit(True).alias("in_first")).distinct()
     b = second.select("token", F.lit(True).alias("in_second")).distinct()
-    where = (
-        F.when(F.col("in_second").isNull(), "only_first").when(F.col("in_first").isNull(), "only_second").otherwise("both")
-    )
-    return a.join(b, "token", "full_outer").select("token", where.alias("membership"))
+    where = F.when(F.col("in_second").isNull(), "only_first").when(F.col("in_first").isNull(), "only_second")
+    return a.join(b, "token", "full_outer").select("token", where.otherwise("both").alias("membership"))
 
 
 def common_ids(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -94,7 +94,8 @@ sized AS (
   FROM rows_cut JOIN docs USING (doc_id)),
 padded AS (
   SELECT split, batch, pos, list_concat(list_transform(range(width - n), lambda x: {pad}), input_ids) AS input_ids,
-    list_concat(list_transform(range(width - n), lambda x: 0), list_transform(input_ids, lambda x: 1)) AS attention_mask
+    list_concat(list_transform(range(width - n), lambda x: 0), list_transform(input_ids, lambda x: 1))
+      AS attention_mask
   FROM sized)"""
 
 
@@ -118,7 +119,8 @@ shifted AS (
   SELECT *, lead(label) OVER (PARTITION BY seq_id ORDER BY pos) AS target FROM steps),
 losses AS (
   SELECT seq_id, pos, target,
-    ln(list_sum(list_transform(embedding, lambda z: exp(CAST(z AS DOUBLE))))) - CAST(embedding[target + 1] AS DOUBLE) AS loss
+    ln(list_sum(list_transform(embedding, lambda z: exp(CAST(z AS DOUBLE)))))
+      - CAST(embedding[target + 1] AS DOUBLE) AS loss
   FROM shifted WHERE target <> -100)"""
 
 
@@ -175,7 +177,8 @@ UNION ALL SELECT doc_id, split FROM corpus WHERE split = 'extra'""",
     "split_file_order": "SELECT doc_id, 'train' AS split FROM documents ORDER BY doc_id LIMIT 100",
     "split_sizes": f"""
 WITH {TRAIN}, {held_out('corpus')}, sizes AS (
-  SELECT split, count(*) AS rows_before, CASE split WHEN 'train' THEN 100 WHEN 'validation' THEN 30 ELSE 50 END AS asked
+  SELECT split, count(*) AS rows_before,
+    CASE split WHEN 'train' THEN 100 WHEN 'validation' THEN 30 ELSE 50 END AS asked
   FROM parts GROUP BY split)
 SELECT split, rows_before, CAST(least(rows_before, asked) AS BIGINT) AS rows_after, rows_before < asked AS short
 FROM sizes""",
@@ -291,7 +294,8 @@ UNION SELECT 1""",
 {steps()} SELECT round(avg(loss), 6) AS eval_loss, round(exp(avg(loss)), 6) AS perplexity FROM losses""",
     "perplexity_by_group": f"""
 {steps(PARTLY_IGNORED)}
-SELECT target, round(avg(loss), 6) AS eval_loss, round(exp(avg(loss)), 6) AS perplexity FROM losses GROUP BY target""",
+SELECT target, round(avg(loss), 6) AS eval_loss, round(exp(avg(loss)), 6) AS perplexity
+FROM losses GROUP BY target""",
     "perplexity_empty": f"""
 {steps().replace('vec_id // 8', 'vec_id').replace('vec_id % 8', '0')}
 SELECT coalesce(avg(loss), CAST('inf' AS DOUBLE)) AS eval_loss,
@@ -304,7 +308,8 @@ FROM (SELECT vec_id, embedding, vec_id IN (SELECT label FROM embeddings) AS hit
 WITH norms AS (
   SELECT list_sum(list_transform(embedding, lambda z: abs(CAST(z AS DOUBLE)))) AS l1,
     vec_id IN (SELECT label FROM embeddings) AS hit FROM embeddings)
-SELECT 'before' AS state, round(sum(l1), 6) AS total_l1, round(coalesce(sum(l1) FILTER (hit), 0), 6) AS frozen_l1 FROM norms
+SELECT 'before' AS state, round(sum(l1), 6) AS total_l1, round(coalesce(sum(l1) FILTER (hit), 0), 6) AS frozen_l1
+FROM norms
 UNION ALL
 SELECT 'after', round(coalesce(sum(l1) FILTER (NOT hit), 0), 6), CAST(0 AS DOUBLE) FROM norms""",
     "frozen_matrix": f"""
@@ -333,7 +338,8 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, substring(lang, 1, 20) AS lang, substr
 WITH {vocab()}, {TRAIN}, {held_out('corpus')}, {encoded('documents')}, {packed('parts', 'split, shard, batch', 4, 100)}
 SELECT split, shard, batch, block, input_ids FROM blocks""",
     "prepare_file_order": f"""
-WITH {vocab()}, docs AS (SELECT doc_id, 'train' AS split, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
+WITH {vocab()}, docs AS (
+  SELECT doc_id, 'train' AS split, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
 {encoded('documents')}, {packed('docs', 'split, shard, batch', 12, 30)}
 SELECT split, shard, batch, block, input_ids FROM blocks""",
     "prepare_truncated": f"""

@@ -252,7 +252,8 @@ def truncated(spark, sf_dir, length=LENGTH):
 
 
 def truncate_sequences(spark, sf_dir):
-    return shown(truncated(spark, sf_dir).select("doc_id", "split", "input_ids", "attention_mask"), "input_ids", "attention_mask")
+    rows = truncated(spark, sf_dir).select("doc_id", "split", "input_ids", "attention_mask")
+    return shown(rows, "input_ids", "attention_mask")
 
 
 def collate_left_pad(spark, sf_dir):
@@ -321,7 +322,8 @@ def label_ids_sorted(spark, sf_dir):
 
 
 def eot_ids(spark, sf_dir):
-    chat_tokens = spark.createDataFrame([("</s>", VOCAB_SIZE), ("<end_of_turn>", VOCAB_SIZE + 1)], "token STRING, id INT")
+    chat = [("</s>", VOCAB_SIZE), ("<end_of_turn>", VOCAB_SIZE + 1)]
+    chat_tokens = spark.createDataFrame(chat, "token STRING, id INT")
     return V.turn_end_ids(spark, vocab_a(spark, sf_dir).unionByName(chat_tokens), SPECIALS)
 
 
@@ -383,7 +385,8 @@ def frozen_matrix(spark, sf_dir):
 
 
 def strip_markers(spark, sf_dir):
-    marked = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("text"))
+    line = F.concat("role", F.lit(": "), "text").alias("text")
+    marked = table(spark, sf_dir, "conversations").select("conv_id", "turn", line)
     return marked.withColumn("text", strip_role_markers(F.col("text")))
 
 
@@ -410,7 +413,8 @@ def batched_map(spark, sf_dir):
         columns = [batch.column("doc_id").take(owner), pa.array(line_no, pa.int64()), pieces.flatten()]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "line"])
 
-    return map_batches(documents(spark, sf_dir).select("doc_id", "text"), lines, "doc_id LONG, line_no LONG, line STRING")
+    rows = documents(spark, sf_dir).select("doc_id", "text")
+    return map_batches(rows, lines, "doc_id LONG, line_no LONG, line STRING")
 
 
 def batched_groups(spark, sf_dir):

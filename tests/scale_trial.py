@@ -36,7 +36,8 @@ def write_corpus(spark, path: str, copies: int) -> None:
         F.when(hot, "hot").otherwise(F.concat(F.lit("part"), F.col("copy") % 5)).alias("split"),
     )
     long_text = F.repeat(F.lit("the and of "), 1_000_000)
-    giant = spark.range(1).select(F.lit(copies * 10_000).cast("long").alias("doc_id"), long_text.alias("text"), F.lit("hot").alias("split"))
+    last_id = F.lit(copies * 10_000).cast("long").alias("doc_id")
+    giant = spark.range(1).select(last_id, long_text.alias("text"), F.lit("hot").alias("split"))
     rows.unionByName(giant).repartitionByRange(64, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
 
 
@@ -55,7 +56,8 @@ def main() -> None:
     def timed(name, rows):
         start = time.time()
         got = rows.groupBy("split").agg(F.count("*").alias("rows"), F.sum(F.size("input_ids")).alias("ids")).collect()
-        print(f"{name}: {time.time() - start:.1f} s, {sum(r.rows for r in got)} rows, {sum(r.ids for r in got)} ids", flush=True)
+        n_rows, n_ids = sum(r.rows for r in got), sum(r.ids for r in got)
+        print(f"{name}: {time.time() - start:.1f} s, {n_rows} rows, {n_ids} ids", flush=True)
         return {r.split: r.rows for r in got}
 
     def checked(name, corpus, params):

@@ -22,6 +22,7 @@ def test_freeze_job(spark, tmp_path):
     vocab = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "token STRING, id INT")
     vocab.write.parquet(str(tmp_path / "a"))
     vocab.where("id <> 1").write.parquet(str(tmp_path / "b"))
-    spark.range(2).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding")).write.parquet(str(tmp_path / "m"))
+    matrix = spark.range(2).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"))
+    matrix.write.parquet(str(tmp_path / "m"))
     main(["freeze-ids", *[str(tmp_path / n) for n in ("a", "b", "m", "ids")]])
     assert [r.id for r in spark.read.parquet(str(tmp_path / "ids")).collect()] == [0]

@@ -61,7 +61,8 @@ def test_sequences_do_not_reach_into_each_other(spark):
 
 @pytest.mark.parametrize("label", [2, -1, -7])
 def test_a_label_outside_the_logits_fails(spark, label):
-    for losses in (token_losses(steps(spark, [[(EVEN, 0), (EVEN, label)]])), sequence_losses(nested(spark, [[(EVEN, 0), (EVEN, label)]]))):
+    bad = [[(EVEN, 0), (EVEN, label)]]
+    for losses in (token_losses(steps(spark, bad)), sequence_losses(nested(spark, bad))):
         with pytest.raises(Exception, match="label outside"):
             losses.collect()
 

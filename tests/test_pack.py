@@ -69,17 +69,20 @@ def test_a_block_needs_room_for_a_token(spark, pack):
         pack(docs(spark, GOLDEN), SPECIALS, 1)
 
 
+def bare_rows(spark, n):
+    split, size = F.lit("train").alias("split"), F.lit(n).cast("long").alias("split_rows")
+    return spark.range(n).select(split, F.col("id").alias("pos"), size)
+
+
 def test_golden_groups(spark):
-    rows = spark.range(10).select(F.lit("train").alias("split"), F.col("id").alias("pos"), F.lit(10).cast("long").alias("split_rows"))
-    got = packing_groups(rows, 3, 2).orderBy("pos").collect()
+    got = packing_groups(bare_rows(spark, 10), 3, 2).orderBy("pos").collect()
     assert [(r.shard, r.batch) for r in got] == [
         (0, 0), (0, 0), (0, 1), (0, 1), (1, 0), (1, 0), (1, 1), (2, 0), (2, 0), (2, 1),
     ]
 
 
 def test_fewer_rows_than_shards(spark):
-    rows = spark.range(2).select(F.lit("train").alias("split"), F.col("id").alias("pos"), F.lit(2).cast("long").alias("split_rows"))
-    assert [r.shard for r in packing_groups(rows, 12, 1000).orderBy("pos").collect()] == [0, 1]
+    assert [r.shard for r in packing_groups(bare_rows(spark, 2), 12, 1000).orderBy("pos").collect()] == [0, 1]
 
 
 def random_lists(seed, n, longest):
@@ -93,7 +96,8 @@ def test_random_batches_equal_a_loop(spark, length, shards, batch_rows, partitio
     lists = random_lists(length, 120, 200)
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
-        got = blocks(pack_batches(docs(spark, lists), SPECIALS, length, shards, batch_rows), ["shard", "batch", "block"])
+        packed = pack_batches(docs(spark, lists), SPECIALS, length, shards, batch_rows)
+        got = blocks(packed, ["shard", "batch", "block"])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == by_hand(lists, length, shards, batch_rows)

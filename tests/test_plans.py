@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusweave import PrepareParams, Specials, prepare_corpus, read_corpus
 from corpusweave.operators.encode import encode, texts
-from corpusweave.operators.metrics import token_losses
 from corpusweave.operators.order import natural_order
 from corpusweave.operators.splits import assign_splits
 

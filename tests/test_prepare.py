@@ -1,7 +1,16 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusweave import SMOKE, PrepareParams, Specials, corpus_accounts, prepare_corpus, prepare_path, read_corpus, split_views
+from corpusweave import (
+    SMOKE,
+    PrepareParams,
+    Specials,
+    corpus_accounts,
+    prepare_corpus,
+    prepare_path,
+    read_corpus,
+    split_views,
+)
 from corpusweave.operators.vocab import frequency_vocabulary
 from corpusweave.session import settled
 
@@ -72,7 +81,9 @@ def test_result_does_not_depend_on_partitions(spark, corpus, vocab):
 
 
 def test_dropped_null_texts_leave_no_gap(spark, vocab):
-    rows = spark.createDataFrame([(0, "a"), (1, None), (2, "b")], "doc_id LONG, body STRING").withColumn("split", F.lit("train"))
+    rows = spark.createDataFrame(
+        [(0, "a", "train"), (1, None, "train"), (2, "b", "train")], "doc_id LONG, body STRING, split STRING"
+    )
     params = PrepareParams(text_column="body", on_null="drop", use_packing=False)
     got = prepare_corpus(rows, vocab, SPECIALS, params).orderBy("pos").collect()
     assert [(r.pos, r.doc_id) for r in got] == [(0, 0), (1, 2)]

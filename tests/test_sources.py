@@ -19,7 +19,8 @@ from corpusweave.sources.parquet import (
 def shards(spark, tmp_path_factory):
     """A corpus directory of four part files, whose row order is the word number."""
     path = str(tmp_path_factory.mktemp("corpus") / "whole.parquet")
-    rows = spark.range(0, 1000, 1, 4).select(F.concat(F.lit("w"), F.col("id")).alias("body"), (F.col("id") * 2).alias("other"))
+    body, other = F.concat(F.lit("w"), F.col("id")).alias("body"), (F.col("id") * 2).alias("other")
+    rows = spark.range(0, 1000, 1, 4).select(body, other)
     rows.write.option("parquet.block.size", 2048).parquet(path)
     return path
 
@@ -109,7 +110,9 @@ def test_shared_folder_follows_the_session(spark):
 
 
 def test_preview(spark):
-    rows = spark.createDataFrame([(2, None, "x" * 50), (1, 1.5, "short"), (3, 0.0, "")], "n INT, a_long_column_name_here DOUBLE, t STRING")
+    rows = spark.createDataFrame(
+        [(2, None, "x" * 50), (1, 1.5, "short"), (3, 0.0, "")], "n INT, a_long_column_name_here DOUBLE, t STRING"
+    )
     got = preview(rows, "n", max_rows=2, max_width=10)
     assert got.columns == ["n", "a_long_col", "t"]
     assert [tuple(r) for r in got.collect()] == [("1", "1.5", "short"), ("2", "", "x" * 10)]

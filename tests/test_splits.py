@@ -82,12 +82,12 @@ def test_without_a_train_split_the_corpus_stays_but_limits_apply(spark):
 
 def test_limits_by_known_positions(spark):
     placed = spark.createDataFrame(
-        [("train", p, 5) for p in range(5)] + [("test", p, 3) for p in range(3)] + [("extra", p, 2) for p in range(2)],
+        [(split, p, n) for split, n in (("train", 5), ("test", 3), ("extra", 2)) for p in range(n)],
         "split STRING, pos LONG, split_rows LONG",
     )
     got = limit_positions(placed, 2, None, 9).collect()
     assert sorted((r.split, r.pos, r.split_rows) for r in got) == [
-        ("extra", 0, 2), ("extra", 1, 2), ("test", 0, 3), ("test", 1, 3), ("test", 2, 3), ("train", 0, 2), ("train", 1, 2),
+        (split, p, n) for split, n in (("extra", 2), ("test", 3), ("train", 2)) for p in range(n)
     ]
     assert limit_positions(placed, None, 1, 1).count() == 10
 
