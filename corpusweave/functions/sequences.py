@@ -40,17 +40,32 @@ def labels_of(ids: Column, pad: int) -> Column:
     return F.transform(ids, lambda i: F.when(i == pad, IGNORE_LABEL).otherwise(i))
 
 
+def log_sum_exp(values: Column) -> Column:
+    """``ln(sum(exp(values)))`` in double, stable for large values.
+
+    The maximum rides in the accumulator: named inside the lambda, it would be worked out
+    again for every element.
+    """
+    start = F.struct(F.array_max(values).cast("double").alias("top"), F.lit(0.0).alias("total"))
+    return F.aggregate(
+        values,
+        start,
+        lambda acc, z: F.struct(
+            acc["top"].alias("top"), (acc["total"] + F.exp(z.cast("double") - acc["top"])).alias("total")
+        ),
+        lambda acc: acc["top"] + F.log(acc["total"]),
+    )
+
+
 def cross_entropy(logits: Column, label: Column) -> Column:
-    """``-log softmax(logits)[label]`` in double, stable for large logits.
+    """``-log softmax(logits)[label]`` in double.
 
     A label outside the logits fails the job, as it is a data error.
     """
-    top = F.array_max(logits).cast("double")
-    spread = F.aggregate(logits, F.lit(0.0), lambda acc, z: acc + F.exp(z.cast("double") - top))
     chosen = F.when(
         (label < 0) | (label >= F.size(logits)), F.raise_error(F.lit("label outside the vocabulary"))
     ).otherwise(F.element_at(logits, label + 1).cast("double"))
-    return top + F.log(spread) - chosen
+    return log_sum_exp(logits) - chosen
 
 
 def l1_norm(vector: Column) -> Column:

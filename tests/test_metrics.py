@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 
 from corpusweave.operators.metrics import perplexity, sequence_losses, token_losses
@@ -53,6 +54,17 @@ def test_large_logits_do_not_overflow(spark):
     assert loss == pytest.approx(1000)
 
 
+def test_wide_logits_cost_their_width(spark):
+    """Work that grew with the square of the width would not end here."""
+    width = 100_000
+    logits = np.random.default_rng(5).normal(size=(40, width)).astype(np.float32)
+    rows = [(s, 0, logits[s].tolist(), 0) for s in range(40)] + [(s, 1, [0.0], s * 7) for s in range(40)]
+    got = {r.seq_id: r.loss for r in token_losses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    wide = logits.astype(np.float64)
+    want = np.log(np.exp(wide).sum(axis=1)) - wide[np.arange(40), np.arange(40) * 7]
+    assert got == {s: pytest.approx(want[s]) for s in range(40)}
+
+
 def test_sequences_do_not_reach_into_each_other(spark):
     sharp = [9.0, 0.0]
     loss, _ = both(spark, [[(sharp, 1), (EVEN, 0)], [(EVEN, 1), (EVEN, 1)]])
