@@ -1,8 +1,4 @@
-"""Cleaning of role markers in generated or logged chat text.
-
-Everything is one projection of built-in string functions, so it runs the same on
-a batch table and on a stream.
-"""
+"""Parts of chat text cleaning; ``operators.chat`` puts them together."""
 
 from __future__ import annotations
 
@@ -32,27 +28,21 @@ MIN_TAIL_CHARS = 10
 MAX_TAIL_SHARE = 0.9
 
 
-def _last_offset(text: Column, word: str) -> Column:
+def last_offset(text: Column, word: str) -> Column:
     """Characters before the last occurrence of ``word``; -1 where there is none."""
     behind = F.length(F.substring_index(text, word, -1))
     return F.when(F.instr(text, word) > 0, F.length(text) - behind - len(word)).otherwise(-1)
 
 
-def echo_tail(text: Column) -> Column:
-    """Text behind the last model turn of an echoed dialogue, else null.
+def occurs_before(text: Column, word: str, offset: Column) -> Column:
+    """Whether ``word`` occurs wholly in the first ``offset`` characters."""
+    return F.instr(F.substring(text, F.lit(1), offset), word) > 0
+
 
-    Null unless "user" occurs wholly before that turn and the tail is neither a
-    fragment nor nearly the whole text.
-    """
-    folded = F.lower(text)
-    model, assistant = _last_offset(folded, "model"), _last_offset(folded, "assistant")
-    at = F.greatest(model, assistant)
-    role_chars = F.when(model > assistant, len("model")).otherwise(len("assistant"))
-    asked = F.instr(F.substring(folded, F.lit(1), at), "user") > 0
-    behind = F.substring(text, at + role_chars + 1, F.length(text))
-    tail = F.btrim(F.ltrim(behind, F.lit(ROLE_SEPARATORS)), F.lit(SPACE_CHARS))
-    fits = (F.length(tail) >= MIN_TAIL_CHARS) & (F.length(tail) < F.length(text) * F.lit(MAX_TAIL_SHARE))
-    return F.when((at >= 0) & asked & fits, tail)
+def text_behind(text: Column, offset: Column) -> Column:
+    """What follows a role word that ends at ``offset``, without separators and blanks."""
+    behind = F.substring(text, offset + 1, F.length(text))
+    return F.btrim(F.ltrim(behind, F.lit(ROLE_SEPARATORS)), F.lit(SPACE_CHARS))
 
 
 def drop_first_role(text: Column) -> Column:
@@ -64,9 +54,3 @@ def drop_first_role(text: Column) -> Column:
 def drop_continuation_marks(text: Column) -> Column:
     """Stripped text without its leading list and quotation marks."""
     return F.ltrim(text, F.lit(CONTINUATION_MARKS + SPACE_CHARS))
-
-
-def strip_role_markers(text: Column) -> Column:
-    """Chat text reduced to what was said; null and empty text stay as they are."""
-    plain = drop_continuation_marks(drop_first_role(text))
-    return F.when(text.isNull() | (text == ""), text).otherwise(F.coalesce(echo_tail(text), plain))

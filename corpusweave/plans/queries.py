@@ -15,10 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.functions.chat import strip_role_markers
 from corpusweave.functions.integers import int_div
 from corpusweave.operators import vocab as V
 from corpusweave.operators.batched import map_batches, map_groups
+from corpusweave.operators.chat import strip_role_markers
 from corpusweave.operators.collate import collate
 from corpusweave.operators.encode import decode, encode, encode_prompts, texts, word_ids_by_join
 from corpusweave.operators.matrix import l1_totals, zero_rows
@@ -387,7 +387,7 @@ def frozen_matrix(spark, sf_dir):
 def strip_markers(spark, sf_dir):
     line = F.concat("role", F.lit(": "), "text").alias("text")
     marked = table(spark, sf_dir, "conversations").select("conv_id", "turn", line)
-    return marked.withColumn("text", strip_role_markers(F.col("text")))
+    return strip_role_markers(marked)
 
 
 def strip_echoed_dialogue(spark, sf_dir):
@@ -399,7 +399,7 @@ def strip_echoed_dialogue(spark, sf_dir):
     echoed = said.join(answers, ["conv_id", "turn"]).select(
         "conv_id", "turn", F.concat("line", F.lit("\n"), "answer").alias("text")
     )
-    return echoed.withColumn("text", strip_role_markers(F.col("text")))
+    return strip_role_markers(echoed)
 
 
 def batched_map(spark, sf_dir):

@@ -7,10 +7,9 @@ state. Splits, positions and packing need the whole corpus and stay batch work.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusweave.functions.chat import strip_role_markers
+from corpusweave.operators.chat import strip_role_markers
 from corpusweave.operators.encode import encode, texts
 from corpusweave.operators.pack import truncate_documents
 from corpusweave.params import Specials
@@ -22,7 +21,7 @@ def truncated_arrivals(arriving: DataFrame, vocab: DataFrame, specials: Specials
 
 
 def clean_chat(arriving: DataFrame, text_column: str = "text") -> DataFrame:
-    return arriving.withColumn(text_column, strip_role_markers(F.col(text_column)))
+    return strip_role_markers(arriving, text_column)
 
 
 def append_rows(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

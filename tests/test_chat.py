@@ -1,7 +1,6 @@
 import pytest
-from pyspark.sql import functions as F
 
-from corpusweave.functions.chat import strip_role_markers
+from corpusweave.operators.chat import strip_role_markers
 
 CASES = [
     ("Assistant: hello", "hello"),
@@ -40,5 +39,5 @@ CASES = [
 
 @pytest.mark.parametrize("text, want", CASES)
 def test_stripping(spark, text, want):
-    rows = spark.createDataFrame([(text,)], "text STRING")
-    assert rows.select(strip_role_markers(F.col("text"))).first()[0] == want
+    rows = spark.createDataFrame([(1, text)], "turn INT, said STRING")
+    assert tuple(strip_role_markers(rows, "said").first()) == (1, want)
