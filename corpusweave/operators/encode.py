@@ -8,6 +8,8 @@ taken from the document, so that a frequent word is spread over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +21,8 @@ from corpusweave.functions.words import required, words
 from corpusweave.operators.vocab import invert
 from corpusweave.params import Specials
 
+Codec = Callable[[Column], Column]
+
 # About 40 bytes per token: 40 MB per Python worker at this size.
 MAX_BROADCAST_TOKENS = 1_000_000
 JOIN_SALTS = 64
@@ -37,13 +41,20 @@ def token_count(text: Column) -> Column:
     return F.size(words(text)) + 1
 
 
-def encode(docs: DataFrame, vocab: DataFrame, specials: Specials, keep: list[str]) -> DataFrame:
+def encode(
+    docs: DataFrame, vocab: DataFrame | None, specials: Specials, keep: list[str], codec: Codec | None = None
+) -> DataFrame:
     """Ids of each document's words, closed by EOS, with a mask of ones.
 
     ``docs`` has ``doc_id`` and ``text``; of its other columns those in ``keep`` stay.
-    No special token is added in front and nothing is cut.
+    No special token is added in front and nothing is cut. A ``codec`` takes the place
+    of the vocabulary: a function from the text column to its ids, such as an Arrow UDF around
+    a pretrained tokenizer.
     """
-    ids = word_ids(docs, vocab, specials, keep)
+    if codec is not None:
+        ids = docs.select(*keep, codec(F.col("text")).alias("input_ids"))
+    else:
+        ids = word_ids(docs, vocab, specials, keep)
     closed = ids.withColumn("input_ids", append_id(F.col("input_ids"), specials.eos))
     return closed.withColumn("attention_mask", ones(F.col("input_ids")))
 

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.operators.encode import encode, texts, token_count
+from corpusweave.operators.encode import Codec, encode, texts, token_count
 from corpusweave.operators.matrix import zero_rows
 from corpusweave.operators.order import natural_order, positions
 from corpusweave.operators.pack import (
@@ -20,6 +20,7 @@ from corpusweave.operators.pack import (
 from corpusweave.operators.splits import assign_splits, limit_positions
 from corpusweave.operators.vocab import freeze_ids
 from corpusweave.params import PrepareParams, Specials
+from corpusweave.session import settled
 from corpusweave.sources.parquet import read_corpus
 
 ORDER = ["order_key", "order_bucket"]
@@ -50,33 +51,50 @@ def with_positions(docs: DataFrame) -> DataFrame:
     return docs if set(PLACE) <= set(docs.columns) else positions(docs)
 
 
-def prepare_corpus(corpus: DataFrame, vocab: DataFrame, specials: Specials, params: PrepareParams) -> DataFrame:
+def prepare_corpus(
+    corpus: DataFrame,
+    vocab: DataFrame | None,
+    specials: Specials,
+    params: PrepareParams,
+    codec: Codec | None = None,
+) -> DataFrame:
     """Split, limit, encode, then pack into blocks or truncate.
 
     ``corpus`` has ``doc_id``, ``split`` and the text column. The result has ``split``,
-    the place of the row in its split, ``input_ids`` and ``attention_mask``.
+    the place of the row in its split, ``input_ids`` and ``attention_mask``. Texts are
+    encoded by the vocabulary, or by a codec of the caller's.
     """
     kept = kept_documents(corpus, params)
     known = [c for c in PLACE if c in kept.columns]
-    docs = encode(kept, vocab, specials, ["doc_id", "split", *ORDER, *known])
+    docs = encode(kept, vocab, specials, ["doc_id", "split", *ORDER, *known], codec)
     if not params.use_packing:
         cut = truncate_documents(docs, params.max_seq_length)
         return with_positions(cut).select("split", "pos", "doc_id", "input_ids", "attention_mask")
     if params.grouping == "global":
+        if codec is not None:  # its ids are needed twice, for run totals and for blocks
+            return pack_global(settled(docs), specials, params.max_seq_length)
         return pack_global(docs, specials, params.max_seq_length, counted=token_counts(kept))
     return pack_batches(with_positions(docs), specials, params.max_seq_length, params.shards, params.batch_rows)
 
 
 def prepare_path(
-    spark: SparkSession, path: str, vocab: DataFrame, specials: Specials, params: PrepareParams
+    spark: SparkSession,
+    path: str,
+    vocab: DataFrame | None,
+    specials: Specials,
+    params: PrepareParams,
+    codec: Codec | None = None,
 ) -> DataFrame:
     """``prepare_corpus`` of a parquet file or of a directory of splits."""
     corpus = read_corpus(spark, path, params.text_column)
-    return prepare_corpus(corpus, vocab, specials, replace(params, text_column="text"))
+    return prepare_corpus(corpus, vocab, specials, replace(params, text_column="text"), codec)
 
 
 def corpus_accounts(corpus: DataFrame, params: PrepareParams) -> DataFrame:
-    """Blocks, tokens in and tokens dropped per split, found without encoding."""
+    """Blocks, tokens in and tokens dropped per split, found without encoding.
+
+    Counts words, so it speaks for runs against a vocabulary, not for those of a codec.
+    """
     sizes = token_counts(kept_documents(corpus, params))
     if params.grouping == "global":
         groups = sizes.withColumn("shard", F.lit(0)).withColumn("batch", F.lit(0))

@@ -1,5 +1,7 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from corpusweave import (
     SMOKE,
@@ -97,6 +99,26 @@ def test_a_path_with_its_own_text_column(spark, vocab, tmp_path):
     assert [r.input_ids for r in got] == [[2, 3, 3], [2, 1, 3]]
 
 
+@pytest.mark.parametrize("grouping", ["batches", "global"])
+def test_a_codec_takes_the_place_of_the_vocabulary(spark, grouping):
+    tokenizer = Tokenizer(models.WordLevel({"[UNK]": 3, "a": 10, "b": 11, ".": 12}, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    known = tokenizer.to_str()
+
+    @F.arrow_udf("array<int>")
+    def pretrained(texts: pa.Array) -> pa.Array:
+        encoder = Tokenizer.from_str(known)
+        encoded = encoder.encode_batch(texts.to_pylist(), add_special_tokens=False)
+        return pa.array([e.ids for e in encoded], pa.list_(pa.int32()))
+
+    rows = spark.createDataFrame(
+        [(0, "a b.", "train"), (1, "zz", "train"), (2, "b.b", "train")], "doc_id LONG, text STRING, split STRING"
+    )
+    params = PrepareParams(max_seq_length=4, shards=1, grouping=grouping)
+    got = prepare_corpus(rows, None, SPECIALS, params, codec=pretrained).orderBy("block").collect()
+    assert [r.input_ids for r in got] == [[2, 10, 11, 12], [2, 1, 3, 1], [2, 11, 12, 11]]
+
+
 def test_bad_parameters():
     for bad in ({"grouping": "none"}, {"on_null": "skip"}, {"max_seq_length": 1}):
         with pytest.raises(ValueError):
