@@ -236,6 +236,13 @@ FROM rows_cut JOIN docs USING (doc_id)""",
 {ENCODED_BY_LANGUAGE}, {TRUNCATED}, {collated(2, 0)}
 SELECT split, batch, pos, array_to_string(input_ids, ',') AS input_ids,
   array_to_string(attention_mask, ',') AS attention_mask FROM padded""",
+    "collate_right_pad": f"""
+{ENCODED_BY_LANGUAGE}, {TRUNCATED}, {collated(4, 0)}, turned AS (
+  SELECT split, batch, pos, list_sort(list_transform(input_ids, lambda x, i: [CASE WHEN x = 0 THEN 1 ELSE 0 END, i, x]))
+    AS places, attention_mask FROM padded),
+righted AS (SELECT *, list_transform(places, lambda p: p[3]) AS input_ids FROM turned)
+SELECT split, batch, pos, array_to_string(input_ids, ',') AS input_ids,
+  array_to_string(list_reverse_sort(attention_mask), ',') AS attention_mask, {labels(0)} AS labels FROM righted""",
     "collate_labels": f"""
 {ENCODED_BY_LANGUAGE}, {TRUNCATED}, {collated(8, 0)}
 SELECT split, batch, pos, {labels(0)} AS labels FROM padded""",

@@ -261,6 +261,11 @@ def collate_left_pad(spark, sf_dir):
     return shown(rows.drop("labels"), "input_ids", "attention_mask")
 
 
+def collate_right_pad(spark, sf_dir):
+    rows = collate(truncated(spark, sf_dir), SPECIALS, batch_size=4, side="right")
+    return shown(rows, "input_ids", "attention_mask", "labels")
+
+
 def collate_labels(spark, sf_dir):
     rows = collate(truncated(spark, sf_dir), SPECIALS, batch_size=8)
     return shown(rows.select("split", "batch", "pos", "labels"), "labels")
@@ -482,6 +487,7 @@ QUERIES: dict[str, Query] = {
     "pack_stats": pack_stats,
     "truncate_sequences": truncate_sequences,
     "collate_left_pad": collate_left_pad,
+    "collate_right_pad": collate_right_pad,
     "collate_labels": collate_labels,
     "collate_pad_is_eos": collate_pad_is_eos,
     "vocab_invert": vocab_invert,

@@ -92,6 +92,7 @@ def test_one_shard(spark, shards):
         want = {f"w{n}" for n in range(250 * i, 250 * i + 250)}
         assert {r.body for r in rows_of_shard(whole, name).collect()} == want
         assert {r.body for r in read_shard(spark, shards, name).collect()} == want
+        assert rows_of_shard(whole, name).rdd.getNumPartitions() == 1 < whole.rdd.getNumPartitions()
 
 
 def test_id_lists(spark, tmp_path):
