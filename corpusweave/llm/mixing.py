@@ -114,6 +114,17 @@ def mix_sources(
     A null text counts as empty and takes nothing; a null source is a source; repeated rows
     queue each for themselves; a table without words gives rows that take nothing.
     """
+    return in_mix_order(served_passes(docs, keep, weights, passes, seed)).drop("start", "pass_start")
+
+
+def served_passes(
+    docs: DataFrame,
+    keep: tuple[str, ...] = (),
+    weights: tuple[int, ...] = WEIGHTS,
+    passes: int = MAX_PASSES,
+    seed: int = SEED,
+) -> DataFrame:
+    """The passes of the mix without their place in it."""
     others = [c for c in keep if c not in ("doc_id", "source")]
     sized = docs.select("doc_id", "source", *others, word_count(text_or_empty()).alias("size"))
     sizes = docs.select("source", word_count(text_or_empty()).alias("size")).groupBy("source")
@@ -124,8 +135,7 @@ def mix_sources(
     copies = queued.select("*", turns).withColumn("pass_start", F.col("pass") * F.col("source_size") + F.col("start"))
     words = F.greatest(F.lit(0), F.least("size", served_words - F.col("pass_start"))).cast("long")
     finish = F.when(F.col("target") > 0, (F.col("pass_start") + F.col("size")) / F.col("target")).otherwise(F.lit(1.0))
-    served = copies.withColumn("words", words).where("pass = 0 or words > 0").withColumn("finish", finish)
-    return in_mix_order(served).drop("start", "pass_start")
+    return copies.withColumn("words", words).where("pass = 0 or words > 0").withColumn("finish", finish)
 
 
 def in_mix_order(passes: DataFrame) -> DataFrame:
@@ -160,10 +170,9 @@ def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The mix as documents: the rows of the input, once per pass that takes words.
 
     A pass that the budget cuts off has the first words of its text, joined by blanks; ``n_chars``, if
-    there, is counted anew. Columns that the mix would add are not kept apart from the input's own: they
-    are left out.
+    there, is counted anew. Rows of a DataFrame have no order, so their places in the mix are not worked out.
     """
-    mix = mix_sources(docs.withColumn("mixed_row", F.struct(*docs.columns)), keep=("mixed_row",))
+    mix = served_passes(docs.withColumn("mixed_row", F.struct(*docs.columns)), keep=("mixed_row",))
     cut = F.col("words") < F.col("size")
     own = F.col(f"mixed_row.{text}")
     rows = mix.where("words > 0").select(
