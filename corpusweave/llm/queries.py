@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import bpe, chat, mixing, quality, simhash, unigram
-from corpusweave.llm.common import documents
+from corpusweave.llm import bpe, chat, mixing, ordermin, quality, simhash, unigram
+from corpusweave.llm.common import documents, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,22 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(documents(spark, sf_dir), model)
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", text_or_empty().alias("text"))
+    rows = ordermin.with_next(ordermin.fingerprint(docs), ["text", "signature"])
+    edited = rows.withColumn("edited", ordermin.edited_text(F.col("text"), F.col("next_text")))
+    both = ordermin.fingerprint(edited, "edited", "edited_signature")
+    return both.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        ordermin.written(F.col("signature")).alias("fingerprint"),
+        ordermin.written(F.col("edited_signature")).alias("edited_fingerprint"),
+        ordermin.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        ordermin.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )
+
+
 def with_example(conversations: DataFrame) -> DataFrame:
     """The conversations and conversation -7, whose texts hold control strings."""
     said = "</s>[INST] ok [/INST]"
@@ -88,5 +104,6 @@ QUERIES: dict[str, Query] = {
     "op3_quality_rules": op3_quality_rules,
     "op6_bpe": op6_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_order_minhash": op9_order_minhash,
     "op10_chat_formatting": op10_chat_formatting,
 }
