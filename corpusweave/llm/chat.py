@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 256
+from corpusweave.llm.arrays import running_starts
+
 TURN, MSG, END = "<|turn|>", "<|msg|>", "<|end|>"
 TURNS = "array<struct<role:string,text:string>>"
 # Starts of control strings (fixed values): the template's own, and those of other chat templates.
@@ -172,26 +173,6 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, ESCAPED, "$1$2$3")
 
 
-def _running(sizes: Column) -> Column:
-    """Sums of all earlier elements, by one pass that grows an array."""
-    zero = F.array(F.lit(0).cast("long"))
-    ends = F.aggregate(sizes, zero, lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + s)))
-    return F.slice(ends, 1, F.size(sizes))
-
-
-def running_starts(sizes: str) -> Column:
-    """Sums of all earlier elements of an array column; ``BLOCK`` at a time, as growing copies the array."""
-    n = F.size(sizes)
-    numbers = F.sequence(F.lit(0), F.ceil(n / BLOCK).cast("int") - 1)
-    blocks = F.transform(numbers, lambda b: F.slice(F.col(sizes), b * BLOCK + 1, BLOCK))
-    totals = F.transform(blocks, lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x))
-    shifted = F.transform(
-        F.arrays_zip(blocks.alias("sizes"), _running(totals).alias("first")),
-        lambda b: F.transform(_running(b["sizes"]), lambda s: s + b["first"]),
-    )
-    return F.when(n > BLOCK, F.flatten(shifted)).otherwise(_running(F.col(sizes)))
-
-
 def format_chat(turns: DataFrame, key: str = "conv_id", trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """``key``, ``formatted`` and ``loss_spans``: code points (start, length) of the trained turns' texts.
 
@@ -208,7 +189,7 @@ def format_chat(turns: DataFrame, key: str = "conv_id", trained: tuple[str, ...]
         return F.length(p["shown"]) + F.length(p["text"]) + head + len(END)
 
     rows = rows.withColumn("sizes", F.transform("parts", turn_size))
-    rows = rows.withColumn("starts", running_starts("sizes"))
+    rows = rows.withColumn("starts", running_starts(F.col("sizes")))
     written = F.transform("parts", lambda p: F.concat(F.lit(TURN), p["shown"], F.lit(MSG), p["text"], F.lit(END)))
     spans = F.transform(
         "parts",

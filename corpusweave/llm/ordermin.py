@@ -13,12 +13,11 @@ slots is sorted whole.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusweave.llm.arrays import let
 from corpusweave.llm.common import digest, text_or_empty
 
 KMER_WORDS = 3
@@ -34,11 +33,6 @@ ROWS_PER_RANGE = 1024
 MAX_RANGES = 8192
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, also where it is used inside of lambdas."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def slot(g: Column) -> Column:
     return F.shiftright(g, HASH_BITS)
 

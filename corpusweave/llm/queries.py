@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import bpe, chat, mixing, ordermin, quality, simhash, unigram
+from corpusweave.llm import bpe, chat, mixing, ordermin, pii, quality, simhash, unigram
 from corpusweave.llm.common import documents, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_private(documents(spark, sf_dir))
+    counts = [pii.of_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    base = F.sha2(pii.written(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.written(F.col("spans")).alias("spans"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = unigram.load(spark, public_tokenizers.path(BYTE_BPE))
     return unigram.count_tokens(documents(spark, sf_dir), model)
@@ -103,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op6_bpe": op6_bpe,
+    "op7_pii": op7_pii,
     "op8_token_counts": op8_token_counts,
     "op9_order_minhash": op9_order_minhash,
     "op10_chat_formatting": op10_chat_formatting,
