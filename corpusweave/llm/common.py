@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.session import settled, shared_folder
 
-__all__ = ["WORD", "checkpointed", "crc_fold", "digest", "documents", "shipped", "strings", "text_or_empty"]
+__all__ = ["WORD", "checkpointed", "crc_fold", "digest", "documents", "shipped", "stored", "strings", "text_or_empty"]
 
 _SHIPPED: set[str] = set()
 
@@ -63,6 +63,13 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return settled(rows)
 
 
+def stored(rows: DataFrame, purpose: str) -> DataFrame:
+    """Like ``checkpointed``, as Parquet: for wide rows, which compress well."""
+    folder = new_folder(rows.sparkSession, purpose)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     return shared_folder(spark, f"{purpose}-{uuid.uuid4().hex[:8]}")
 

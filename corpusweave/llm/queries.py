@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import bpe, chat, mixing, ordermin, pii, quality, simhash, unigram
-from corpusweave.llm.common import documents, text_or_empty
+from corpusweave.llm import bpe, chat, maxent, mixing, ordermin, pii, quality, simhash, toxicity, unigram
+from corpusweave.llm.common import crc_fold, documents, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate_quality(documents(spark, sf_dir)).drop("cleaned")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(toxicity.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    scored = toxicity.score_toxicity(docs, model)
+    held_out = (crc_fold(F.col("doc_id"), toxicity.FOLDS) == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted", "n_windows")
+
+
+def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_texts(documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = bpe.load(spark, public_tokenizers.path(WORD_BPE))
     encoded = bpe.encode_bpe(documents(spark, sf_dir).select("doc_id", "text"), model).drop("text")
@@ -109,6 +121,8 @@ QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_toxicity": op4_toxicity,
+    "op5_maxent": op5_maxent,
     "op6_bpe": op6_bpe,
     "op7_pii": op7_pii,
     "op8_token_counts": op8_token_counts,

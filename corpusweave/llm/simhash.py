@@ -274,12 +274,13 @@ def one_per_group(docs: DataFrame, size: int = SHINGLE_WORDS, distance: int = MA
 
     Rows that agree in id and text are one document.
     """
-    own = digest(text_or_empty(text))
-    keyed = docs.select(F.col("doc_id").alias("doc_id"), F.col(text).alias(text), own.alias("own_digest"))
-    groups = near_duplicates(keyed, size, distance, text, keep=("doc_id", "own_digest"))
+    whole = docs.select(
+        F.struct(*docs.columns).alias("whole"), "doc_id", F.col(text).alias("text"), digest(text_or_empty(text)).alias("own_digest")
+    )
+    groups = near_duplicates(whole, size, distance, "text", keep=("doc_id", "own_digest"))
     id_is_null = F.col("doc_id").isNull().alias("is_null")
     first = groups.groupBy("root").agg(F.min(F.struct(id_is_null, "doc_id", "own_digest")).alias("kept"))
     chosen = first.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.own_digest").alias("kept_digest"))
     same = F.col("kept_id").eqNullSafe(F.col("doc_id")) & (F.col("kept_digest") == F.col("own_digest"))
-    rows = docs.withColumn("own_digest", own).join(chosen, same, "left_semi")
-    return rows.dropDuplicates(["doc_id", "own_digest"]).select(*docs.columns)
+    rows = whole.drop("text").join(chosen, same, "left_semi").dropDuplicates(["doc_id", "own_digest"])
+    return rows.select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns])
