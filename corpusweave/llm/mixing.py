@@ -28,7 +28,8 @@ from corpusweave.llm.common import WORD, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
-RUNS = 1024
+RUN_BITS = 10
+RUNS = 1 << RUN_BITS
 SEED = 42
 
 
@@ -71,8 +72,9 @@ def queue(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     Needs ``source`` and ``size`` besides ``doc_id``. The order is a hash of seed, id and size, then
     these themselves, so rows that tie are alike in all that counts.
     """
-    key = F.xxhash64(F.lit(seed), "doc_id", "size")
-    run = F.pmod(F.shiftrightunsigned(key, 40), F.lit(RUNS)).cast("int")
+    named = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    key = F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")  # 60 bits
+    run = F.shiftright(key, 60 - RUN_BITS).cast("int")
     keyed = docs.withColumn("queue_key", key).withColumn("run", run)
     runs = keyed.groupBy("source", "run").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
     earlier = W.partitionBy("source").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
