@@ -1,0 +1,42 @@
+"""Small tables with every odd case that the operators have to stand."""
+
+from __future__ import annotations
+
+import random
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+# Names that operators use for columns of their own.
+CLASHES = (
+    "score predicted n_windows fp root anchor component_id size start target place words pass finish weight "
+    "input_ids decoded signature base spans added text_key own_digest whole mixed_row block keys tokens turns"
+).split()
+
+
+def words(rng: random.Random, n: int, alphabet: str = "abcdefghij") -> str:
+    return " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(2, 6))) for _ in range(n))
+
+
+def odd_rows(seed: int = 1) -> list[tuple]:
+    rng = random.Random(seed)
+    texts = [words(rng, rng.randint(1, 90)) for _ in range(24)]
+    rows = [(i, t, "en", f"src{i % 4}", len(t)) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (3, texts[4], "en", "src1", None)]  # repeated rows, and one id with two texts
+    rows += [(100, None, None, None, None), (None, texts[0], None, None, 5), (None, None, None, None, None)]
+    rows += [(101, "", "en", "", 0), (102, " \t\r\n\x0b\x0c ", "en", "src0", 7), (103, "one", "de", "src0", 3)]
+    rows += [(104, words(rng, 30_000), "en", "src0", 0), (105, "x" * 50_000, "fr", "src0", 50_000)]
+    rows += [(106, "same " * 400, "en", "src2", 2000), (107, "Ünï cödé Σ'S 😀 \x1c\x85 é İ 12,5", "xx", "src3", 1)]
+    rows += [(-5, texts[1], "en", "src0", 0), (1 << 62, texts[2] + " more", "en", "src9", 0)]
+    return rows
+
+
+def odd_table(spark, clashes: bool = False, seed: int = 1):
+    table = spark.createDataFrame(odd_rows(seed), SCHEMA).repartition(3)
+    if clashes:
+        from pyspark.sql import functions as F
+
+        table = table.select("*", *[F.lit("clash").alias(c) for c in CLASHES])
+    return table
+
+
+def empty_table(spark):
+    return spark.createDataFrame([], SCHEMA)
