@@ -33,8 +33,8 @@ from corpusweave.llm.common import shipped
 from corpusweave.llm.trie import slices, walk
 
 MAX_VOCABULARY = 1_000_000
-SLICE_CHARS = 2_000_000
-KEPT_WORDS = 400_000
+SLICE_CHARS = 1_000_000
+KEPT_WORDS = 150_000
 
 
 def byte_alphabet() -> list[str]:
