@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     prepare.add_argument("--grouping", choices=("batches", "global"), default="batches")
     prepare.add_argument("--seed", type=int, default=42)
     prepare.add_argument("--text-column", default="text")
+    prepare.add_argument("--encoding", choices=("lookup", "join"), default="lookup")
     prepare.add_argument("--on-null", choices=("fail", "drop"), default="fail")
 
     freeze = jobs.add_parser("freeze-ids", help="ids of tokens that two vocabularies share")
@@ -60,6 +61,7 @@ def main(argv: list[str] | None = None) -> None:
         seed=args.seed,
         text_column=args.text_column,
         on_null=args.on_null,
+        encoding=args.encoding,
     )
     specials = Specials(eos=args.eos, bos=args.bos, unk=args.unk)
     vocab = spark.read.parquet(args.vocabulary)

@@ -12,11 +12,11 @@ SPACE_CHARS = (
 )
 
 # A role at the start of a line, with or without a turn tag. The flags
-# fold case, let ^ match at every line (ended by \n alone) and know Unicode spaces.
+# fold case and let ^ match at every line (ended by \n alone); spaces are those above.
 ROLE_PATTERN = (
-    r"(?imdU)^\s*(?:<start_of_turn>\s*)?(?:<\|?(?:assistant|model|user|system)\|?>\s*:?\s*"
+    r"(?imdu)^\s*(?:<start_of_turn>\s*)?(?:<\|?(?:assistant|model|user|system)\|?>\s*:?\s*"
     r"|(?:assistant|model|user|system)\s*:?\s*|a:\s*)"
-)
+).replace(r"\s", f"[{SPACE_CHARS}]")
 
 # Marks that continue a list or a quotation.
 CONTINUATION_MARKS = ":-•*>"
@@ -24,6 +24,7 @@ CONTINUATION_MARKS = ":-•*>"
 # The separators between a role word and its text.
 ROLE_SEPARATORS = ": \n\t"
 
+# How short and how long a tail may be.
 MIN_TAIL_CHARS = 10
 MAX_TAIL_SHARE = 0.9
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -40,32 +42,28 @@ def labels_of(ids: Column, pad: int) -> Column:
     return F.transform(ids, lambda i: F.when(i == pad, IGNORE_LABEL).otherwise(i))
 
 
-def log_sum_exp(values: Column) -> Column:
-    """``ln(sum(exp(values)))`` in double, stable for large values.
-
-    The maximum rides in the accumulator: named inside the lambda, it would be worked out
-    again for every element.
-    """
-    start = F.struct(F.array_max(values).cast("double").alias("top"), F.lit(0.0).alias("total"))
-    return F.aggregate(
-        values,
-        start,
-        lambda acc, z: F.struct(
-            acc["top"].alias("top"), (acc["total"] + F.exp(z.cast("double") - acc["top"])).alias("total")
-        ),
-        lambda acc: acc["top"] + F.log(acc["total"]),
-    )
-
-
 def cross_entropy(logits: Column, label: Column) -> Column:
-    """``-log softmax(logits)[label]`` in double.
+    """``-log softmax(logits)[label]`` in double, a batch of rows at a time.
 
     A label outside the logits fails the job, as it is a data error.
     """
-    chosen = F.when(
-        (label < 0) | (label >= F.size(logits)), F.raise_error(F.lit("label outside the vocabulary"))
-    ).otherwise(F.element_at(logits, label + 1).cast("double"))
-    return log_sum_exp(logits) - chosen
+
+    @F.arrow_udf("double")
+    def losses(rows: pa.Array, labels: pa.Array) -> pa.Array:
+        offsets = rows.offsets.to_numpy()
+        values = rows.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).astype(np.float64)
+        starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+        chosen = labels.to_numpy(zero_copy_only=False).astype(np.int64)
+        if ((chosen < 0) | (chosen >= sizes)).any():
+            raise ValueError("label outside the vocabulary")
+        if not len(starts):
+            return pa.array([], pa.float64())
+        with np.errstate(invalid="ignore", over="ignore"):
+            top = np.maximum.reduceat(values, starts)
+            total = np.add.reduceat(np.exp(values - np.repeat(top, sizes)), starts)
+            return pa.array(top + np.log(total) - values[starts + chosen])
+
+    return losses(logits, label)
 
 
 def l1_norm(vector: Column) -> Column:

@@ -14,11 +14,13 @@ from corpusweave.params import Specials
 def collate(rows: DataFrame, specials: Specials, batch_size: int = 2, side: str = "left") -> DataFrame:
     """Pad each run of ``batch_size`` rows of a split to its longest row.
 
-    Takes ``split, pos, input_ids, attention_mask``. A missing pad token falls back to
+    Takes ``split, pos, input_ids, attention_mask``: truncated rows or packed blocks. A missing pad token falls back to
     EOS; labels ignore every pad id, which then includes real EOS tokens.
     """
     if side not in ("left", "right"):
         raise ValueError("side must be 'left' or 'right'")
+    if batch_size < 1:
+        raise ValueError("batch_size must be at least 1")
     pad_id = specials.with_pad_fallback().pad
     pad = pad_left if side == "left" else pad_right
     batch = int_div(F.col("pos"), batch_size)

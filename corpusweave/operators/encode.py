@@ -1,9 +1,11 @@
 """Encoding documents to token ids against a vocabulary table, and back.
 
-A vocabulary up to ``MAX_BROADCAST_TOKENS`` is broadcast as two Arrow arrays and looked
-up a batch at a time beside the scan, so that no token crosses the network. A larger
-one is joined: words and vocabulary shuffle on ``(token, salt)``, the salt being
-taken from the document, so that a frequent word is spread over many tasks.
+Two forms, of the caller's choice, give the same rows. ``"lookup"`` broadcasts the vocabulary as
+two Arrow arrays and looks words up a batch at a time beside the scan, so that no token crosses the
+network; it works on streams too, and refuses a vocabulary over ``MAX_VOCABULARY_BYTES``. ``"join"`` takes any
+vocabulary: words and vocabulary shuffle on ``(token, salt)``, the salt being taken from the
+text, so that a frequent word is spread over many tasks. In both a token that the vocabulary
+holds several times has its least id, and rows are told apart by nothing but their text.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ from corpusweave.params import Specials
 
 Codec = Callable[[Column], Column]
 
-# About 40 bytes per token: 40 MB per Python worker at this size.
-MAX_BROADCAST_TOKENS = 1_000_000
+# Of tokens and ids together, per Python worker.
+MAX_VOCABULARY_BYTES = 64 << 20
 JOIN_SALTS = 64
+FORMS = ("lookup", "join")
 
 
 def texts(rows: DataFrame, text_column: str = "text", on_null: str = "fail") -> DataFrame:
@@ -42,46 +45,73 @@ def token_count(text: Column) -> Column:
 
 
 def encode(
-    docs: DataFrame, vocab: DataFrame | None, specials: Specials, keep: list[str], codec: Codec | None = None
+    docs: DataFrame,
+    vocab: DataFrame | None,
+    specials: Specials,
+    keep: list[str],
+    codec: Codec | None = None,
+    form: str = "lookup",
 ) -> DataFrame:
     """Ids of each document's words, closed by EOS, with a mask of ones.
 
-    ``docs`` has ``doc_id`` and ``text``; of its other columns those in ``keep`` stay.
-    No special token is added in front and nothing is cut. A ``codec`` takes the place
-    of the vocabulary: a function from the text column to its ids, such as an Arrow UDF around
-    a pretrained tokenizer.
+    ``docs`` has ``text``; of its other columns those in ``keep`` stay. No special token is
+    added in front and nothing is cut. A ``codec`` takes the place of the vocabulary: a
+    function from the text column to its ids, such as an Arrow UDF around a pretrained tokenizer.
     """
-    if codec is not None:
-        ids = docs.select(*keep, codec(F.col("text")).alias("input_ids"))
-    else:
-        ids = word_ids(docs, vocab, specials, keep)
+    ids = text_ids(docs, vocab, specials, keep, codec, form)
     closed = ids.withColumn("input_ids", append_id(F.col("input_ids"), specials.eos))
     return closed.withColumn("attention_mask", ones(F.col("input_ids")))
 
 
-def encode_prompts(prompts: DataFrame, vocab: DataFrame, specials: Specials, keep: list[str]) -> DataFrame:
+def encode_prompts(
+    prompts: DataFrame,
+    vocab: DataFrame | None,
+    specials: Specials,
+    keep: list[str],
+    codec: Codec | None = None,
+    form: str = "lookup",
+) -> DataFrame:
     """Ids of each prompt's words behind BOS, as a model is asked to continue it."""
-    ids = word_ids(prompts, vocab, specials, keep)
+    ids = text_ids(prompts, vocab, specials, keep, codec, form)
     opened = ids.withColumn("input_ids", prepend_id(F.col("input_ids"), specials.bos))
     return opened.withColumn("attention_mask", ones(F.col("input_ids")))
 
 
-def word_ids(docs: DataFrame, vocab: DataFrame, specials: Specials, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``input_ids``, by the form that fits the vocabulary."""
-    table = small_vocabulary(vocab)
-    if table is not None:
-        return word_ids_by_lookup(docs, table, specials, keep)
-    return word_ids_by_join(docs, vocab, specials, keep)
+def text_ids(
+    docs: DataFrame, vocab: DataFrame | None, specials: Specials, keep: list[str], codec: Codec | None, form: str
+) -> DataFrame:
+    """``keep`` columns and ``input_ids``, by codec or in one of the two forms."""
+    if codec is not None:
+        return docs.select(*keep, codec(F.col("text")).alias("input_ids"))
+    if vocab is None:
+        raise ValueError("encoding needs a vocabulary or a codec")
+    if checked_form(form) == "join":
+        return word_ids_by_join(docs, vocab, specials, keep)
+    return word_ids_by_lookup(docs, vocab, specials, keep)
 
 
-def small_vocabulary(vocab: DataFrame, limit: int = MAX_BROADCAST_TOKENS) -> pa.Table | None:
-    """The vocabulary as Arrow columns, or None where it is too large to broadcast."""
-    head = vocab.select("token", F.col("id").cast("int").alias("id")).limit(limit + 1).toArrow()
-    return head.combine_chunks() if head.num_rows <= limit else None
+def checked_form(form: str) -> str:
+    if form not in FORMS:
+        raise ValueError(f"form must be one of {FORMS}")
+    return form
 
 
-def _columns(table: pa.Table) -> tuple[pa.Array, pa.Array]:
-    return table.column("token").combine_chunks(), table.column("id").combine_chunks()
+def one_id_per_token(vocab: DataFrame) -> DataFrame:
+    """The least id of each token."""
+    return vocab.groupBy("token").agg(F.min(F.col("id").cast("int")).alias("id"))
+
+
+def broadcast_arrays(pairs: DataFrame, limit: int | None = None) -> tuple[pa.Array, pa.Array]:
+    """Tokens and ids as Arrow arrays, read up to the bound on their bytes."""
+    limit = MAX_VOCABULARY_BYTES if limit is None else limit
+    tokens, ids, size = [], [], 0
+    for token, token_id in pairs.select("token", "id").toLocalIterator():
+        size += len(token.encode()) + 8
+        if size > limit:
+            raise ValueError(f"the vocabulary is over {limit} bytes: take the form 'join'")
+        tokens.append(token)
+        ids.append(token_id)
+    return pa.array(tokens, pa.string()), pa.array(ids, pa.int32())
 
 
 def _unknown_id(specials: Specials) -> int:
@@ -90,8 +120,8 @@ def _unknown_id(specials: Specials) -> int:
     return specials.unk
 
 
-def word_ids_by_lookup(docs: DataFrame, table: pa.Table, specials: Specials, keep: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(_columns(table))
+def word_ids_by_lookup(docs: DataFrame, vocab: DataFrame, specials: Specials, keep: list[str]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(broadcast_arrays(one_id_per_token(vocab)))
     unknown = _unknown_id(specials)
 
     @F.arrow_udf("array<int>")
@@ -113,31 +143,55 @@ def word_ids_by_lookup(docs: DataFrame, table: pa.Table, specials: Specials, kee
 def word_ids_by_join(
     docs: DataFrame, vocab: DataFrame, specials: Specials, keep: list[str], salts: int = JOIN_SALTS
 ) -> DataFrame:
-    """Join form for a vocabulary of any size; rows meet again on ``doc_id``."""
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    placed = docs.select("doc_id", salt.alias("salt"), F.posexplode(words(F.col("text"))).alias("place", "token"))
-    salted = vocab.select("token", "id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    """Join form for a vocabulary of any size; ids come back to their rows on a digest of the text.
+
+    The ids of a text are the same in each of its copies, so what copies bring twice is dropped
+    as it is gathered.
+    """
+    keyed = docs.select(*keep, F.unhex(F.md5("text")).alias("text_key"), "text")
+    salt = F.pmod(F.xxhash64("text_key"), F.lit(salts)).cast("int")
+    placed = keyed.select("text_key", salt.alias("salt"), F.posexplode(words(F.col("text"))).alias("place", "token"))
+    all_salts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    salted = one_id_per_token(vocab).select("token", "id", all_salts)
     ids = F.coalesce(F.col("id"), F.lit(_unknown_id(specials))).cast("int")
     at = F.struct("place", ids.alias("id")).alias("at")
-    found = placed.join(salted, ["token", "salt"], "left").select("doc_id", at)
-    rows = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("at")).alias("placed"))
-    encoded = rows.select("doc_id", F.transform("placed", lambda p: p["id"]).alias("input_ids"))
+    found = placed.join(salted, ["token", "salt"], "left").select("text_key", at)
+    encoded = found.groupBy("text_key").agg(F.array_sort(F.collect_set("at")).alias("placed"))
+    arrays = encoded.select("text_key", F.col("placed.id").alias("input_ids"))
     none = F.array().cast("array<int>")
-    kept = docs.select("doc_id", *[c for c in keep if c != "doc_id"])
-    return kept.join(encoded, "doc_id", "left").select(*keep, F.coalesce("input_ids", none).alias("input_ids"))
+    rows = keyed.select(*keep, "text_key").join(arrays.hint("merge"), "text_key", "left")
+    return rows.select(*keep, F.coalesce("input_ids", none).alias("input_ids"))
 
 
-def decode(rows: DataFrame, vocab: DataFrame, specials: Specials, keep: list[str]) -> DataFrame:
+def decode(
+    rows: DataFrame,
+    vocab: DataFrame | None,
+    specials: Specials,
+    keep: list[str],
+    codec: Codec | None = None,
+    form: str = "lookup",
+) -> DataFrame:
     """Text of each ``input_ids``, special ids left out, words joined by one blank.
 
     Lossy by nature: white space is not restored and unknown words are gone. A row of
-    special ids alone gives an empty text.
+    special ids alone gives an empty text. A ``codec`` takes the place of the vocabulary: a function
+    from the column of ids, special ones left out, to its text.
     """
-    vocab = invert(vocab)
-    table = small_vocabulary(vocab)
-    if table is None:
+    if codec is not None:
+        return rows.select(*keep, codec(without(F.col("input_ids"), specials.ids())).alias("text"))
+    if vocab is None:
+        raise ValueError("decoding needs a vocabulary or a codec")
+    if checked_form(form) == "join":
         return decode_by_join(rows, vocab, specials, keep)
-    shared = rows.sparkSession.sparkContext.broadcast(_columns(table))
+    return decode_by_lookup(rows, vocab, specials, keep)
+
+
+def without(ids: Column, special: list[int]) -> Column:
+    return F.filter(ids, lambda i: ~i.isin(special))
+
+
+def decode_by_lookup(rows: DataFrame, vocab: DataFrame, specials: Specials, keep: list[str]) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(broadcast_arrays(invert(vocab)))
     special = specials.ids()
 
     @F.arrow_udf("string")
@@ -157,12 +211,16 @@ def decode(rows: DataFrame, vocab: DataFrame, specials: Specials, keep: list[str
 def decode_by_join(
     rows: DataFrame, vocab: DataFrame, specials: Specials, keep: list[str], salts: int = JOIN_SALTS
 ) -> DataFrame:
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    placed = rows.select("doc_id", salt.alias("salt"), F.posexplode("input_ids").alias("place", "id"))
+    """Join form; texts come back to their rows on a digest of the ids."""
+    digest = F.unhex(F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")))
+    keyed = rows.select(*keep, digest.alias("ids_key"), "input_ids")
+    salt = F.pmod(F.xxhash64("ids_key"), F.lit(salts)).cast("int")
+    placed = keyed.select("ids_key", salt.alias("salt"), F.posexplode("input_ids").alias("place", "id"))
     plain = placed.where(~F.col("id").isin(specials.ids()))
-    salted = vocab.select("token", "id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    found = plain.join(salted, ["id", "salt"]).select("doc_id", F.struct("place", "token").alias("at"))
-    decoded = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("at")).alias("placed"))
-    texts_ = decoded.select("doc_id", F.array_join(F.transform("placed", lambda p: p["token"]), " ").alias("text"))
-    kept = rows.select("doc_id", *[c for c in keep if c != "doc_id"])
-    return kept.join(texts_, "doc_id", "left").select(*keep, F.coalesce("text", F.lit("")).alias("text"))
+    all_salts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    salted = invert(vocab).select("token", "id", all_salts)
+    found = plain.join(salted, ["id", "salt"]).select("ids_key", F.struct("place", "token").alias("at"))
+    decoded = found.groupBy("ids_key").agg(F.array_sort(F.collect_set("at")).alias("placed"))
+    texts_ = decoded.select("ids_key", F.array_join(F.col("placed.token"), " ").alias("text"))
+    kept = keyed.select(*keep, "ids_key").join(texts_.hint("merge"), "ids_key", "left")
+    return kept.select(*keep, F.coalesce("text", F.lit("")).alias("text"))

@@ -10,7 +10,7 @@ from corpusweave.functions.sequences import l1_norm, zeros_like
 
 def _flagged(matrix: DataFrame, ids: DataFrame) -> DataFrame:
     hits = ids.select(F.col("id").cast("long").alias("vec_id")).distinct().withColumn("hit", F.lit(True))
-    return matrix.join(hits, "vec_id", "left")
+    return matrix.join(hits, "vec_id", "left")  # an outer join cannot broadcast the side it keeps
 
 
 def zero_rows(matrix: DataFrame, ids: DataFrame) -> DataFrame:

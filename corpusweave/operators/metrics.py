@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusweave.functions.sequences import cross_entropy
+from corpusweave.functions.words import required
 from corpusweave.params import IGNORE_LABEL
 
 MAX_PERPLEXITY = 1e10
@@ -14,16 +16,18 @@ MAX_PERPLEXITY = 1e10
 def token_losses(steps: DataFrame) -> DataFrame:
     """Loss of each position against the label of the next one.
 
-    Takes one row per step: ``seq_id, pos, logits, label``. Labels meet logits in a join on
-    ``(seq_id, pos)`` rather than in a window by sequence, so that a very long sequence
-    spreads over tasks; ignored labels go before the join.
+    Takes one row per step: ``seq_id, pos, logits, label``. The next step is that of the next
+    greater ``pos``, whatever lies between; a null label is an error. Targets are found among labels alone, and
+    logits move once, to meet them, those of ignored targets too: where a sequence's steps come in one row,
+    ``sequence_losses`` moves nothing.
     """
-    following = steps.where(F.col("label") != IGNORE_LABEL).select(
-        "seq_id", (F.col("pos") - 1).alias("pos"), F.col("label").alias("target")
-    )
+    label = required(F.col("label"), "label")
+    after = F.lead("checked").over(W.partitionBy("seq_id").orderBy("pos"))
+    labels = steps.select("seq_id", "pos", label.alias("checked"))
+    targets = labels.withColumn("target", after).where(F.col("target") != IGNORE_LABEL).drop("checked")
     return (
         steps.select("seq_id", "pos", "logits")
-        .join(following, ["seq_id", "pos"])
+        .join(targets.hint("merge"), ["seq_id", "pos"])
         .select("seq_id", "pos", "target", cross_entropy(F.col("logits"), F.col("target")).alias("loss"))
     )
 
@@ -31,15 +35,16 @@ def token_losses(steps: DataFrame) -> DataFrame:
 def sequence_losses(sequences: DataFrame) -> DataFrame:
     """The same from one row per sequence: ``seq_id, logits ARRAY<ARRAY>, labels ARRAY``.
 
-    Nothing moves: each step is paired with its next label inside the row.
+    Nothing moves: each step is paired with its next label inside the row. A null label is an error.
     """
     pairs = F.greatest(F.size("labels") - 1, F.lit(0))
     shifted = sequences.select(
         "seq_id", F.slice("logits", F.lit(1), pairs).alias("logits"), F.slice("labels", F.lit(2), pairs).alias("target")
     )
     steps = shifted.select("seq_id", F.posexplode(F.arrays_zip("logits", "target")).alias("pos", "step"))
+    target = required(F.col("step.target"), "labels").alias("target")
     return (
-        steps.select("seq_id", "pos", "step.target", "step.logits")
+        steps.select("seq_id", "pos", target, "step.logits")
         .where(F.col("target") != IGNORE_LABEL)
         .select("seq_id", "pos", "target", cross_entropy(F.col("logits"), F.col("target")).alias("loss"))
     )

@@ -2,9 +2,9 @@
 
 A DataFrame has no order, so corpus order is a pair ``(order_key, doc_id)`` that is
 a pure function of the row. ``order_bucket`` cuts that order into contiguous runs of
-bounded size: positions are counted inside a run, and one running total over the run
-sizes lifts them to the whole table. No window ever holds more than one run, and no
-result depends on how rows are partitioned.
+bounded size: positions are counted inside a run, and running totals over the run
+sizes, in three levels, lift them to the whole table. No window ever holds more than one run or
+2^20 totals, whatever the ids, and no result depends on how rows are partitioned.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions.words import required
 
-# A natural-order run covers 2^14 ids, hence never holds more rows than that.
-NATURAL_RUN_BITS = 14
-# Natural-order ids lie below 2^40; dense ids of 50 billion rows make 3 million runs.
-MAX_NATURAL_ID = 1 << 40
+# A natural-order run covers 2^10 ids, hence never holds more rows than that.
+NATURAL_RUN_BITS = 10
+# Run totals add up in steps of 2^20 runs, so no window holds more rows than that.
+LEVEL_BITS = 20
 # Shuffle keys are 60 random bits; their top 20 make 2^20 runs of like size.
 SHUFFLE_KEY_BITS = 60
 SHUFFLE_RUN_BITS = 40
@@ -32,9 +32,8 @@ def shuffle_key(doc_id: Column, seed: int) -> Column:
 
 
 def natural_key(doc_id: Column) -> Column:
-    """The id itself, checked to lie in the range that run sizes are made for."""
-    key = doc_id.cast("long")
-    return F.when((key >= 0) & (key < MAX_NATURAL_ID), key).otherwise(F.raise_error(F.lit("id outside 0 .. 2^40")))
+    """The id itself, any BIGINT."""
+    return required(doc_id.cast("long"), "id")
 
 
 def natural_order(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -58,6 +57,40 @@ def seeded_order(rows: DataFrame, seed: int, where: Column | None = None, id_col
     )
 
 
+def running_totals(totals: DataFrame, keys: list[str], bucket: str, values: list[str]) -> DataFrame:
+    """Add ``before_<value>``, the sum over all earlier buckets of the same keys, and ``all_<value>``.
+
+    Takes one row per bucket. Buckets add up in ranges of 2^20, those ranges again, and
+    what is left in one window, so that sparse buckets are no larger windows than dense ones.
+    """
+    steps = [(F.shiftright(bucket, LEVEL_BITS * i)).alias(f"level_{i}") for i in (1, 2)]
+    runs = totals.select(*keys, bucket, *values, *steps)
+    summed = [F.sum(v).alias(v) for v in values]
+    middle = runs.groupBy(*keys, "level_2", "level_1").agg(*summed)
+    upper = middle.groupBy(*keys, "level_2").agg(*summed)
+
+    def earlier(value: str, within: list[str], order: str) -> Column:
+        window = W.partitionBy(*within).orderBy(order)
+        return F.sum(value).over(window) - F.col(value)
+
+    tops = upper.select(
+        *keys,
+        "level_2",
+        *[earlier(v, keys, "level_2").alias(f"top_{v}") for v in values],
+        *[F.sum(v).over(W.partitionBy(*keys)).alias(f"all_{v}") for v in values],
+    )
+    mids = middle.join(tops, [*keys, "level_2"]).select(
+        *keys,
+        "level_2",
+        "level_1",
+        *[(F.col(f"top_{v}") + earlier(v, [*keys, "level_2"], "level_1")).alias(f"mid_{v}") for v in values],
+        *[f"all_{v}" for v in values],
+    )
+    before = [(F.col(f"mid_{v}") + earlier(v, [*keys, "level_1"], bucket)).alias(f"before_{v}") for v in values]
+    same = [*keys, "level_2", "level_1"]
+    return runs.join(mids, same).select(*keys, bucket, *values, *before, *[f"all_{v}" for v in values])
+
+
 def positions(
     rows: DataFrame,
     split: str = "split",
@@ -68,30 +101,25 @@ def positions(
     """Add ``pos`` (0, 1, … in each split) and ``split_rows``.
 
     With ``weight`` also ``start``, the sum of the weights of all earlier rows of the
-    split, and ``split_weight``. Rows move once, by run; the table of run totals joins
-    on the same key and so needs no second move. ``counted`` may give the same rows from
-    a cheaper plan, for the totals alone.
+    split, and ``split_weight``. Rows move once, by run; the run totals come to them, as a merge
+    of sorted runs, so that rows with their ids are never the side that is broadcast.
+    ``counted`` may give the same rows from a cheaper plan, for the totals alone.
     """
     rows = rows.withColumn(split, required(F.col(split), split))
     run = [split, "order_bucket"]
     sums = [F.count("*").alias("run_rows")] + ([F.sum(weight).alias("run_weight")] if weight else [])
     totals = (rows if counted is None else counted).groupBy(*run).agg(*sums)
-    earlier = W.partitionBy(split).orderBy("order_bucket")
-    whole = W.partitionBy(split)
+    values = ["run_rows", "run_weight"] if weight else ["run_rows"]
+    starts = running_totals(totals, [split], "order_bucket", values).withColumnRenamed("all_run_rows", "split_rows")
     inside = W.partitionBy(*run).orderBy("order_key", id_column)
-    starts = totals.withColumn("run_pos", F.sum("run_rows").over(earlier) - F.col("run_rows")).withColumn(
-        "split_rows", F.sum("run_rows").over(whole)
-    )
     numbered = rows.withColumn("run_row", F.row_number().over(inside) - 1)
-    added = [(F.col("run_pos") + F.col("run_row")).alias("pos"), F.col("split_rows")]
+    added = [(F.col("before_run_rows") + F.col("run_row")).alias("pos"), F.col("split_rows")]
     if weight:
-        starts = starts.withColumn("run_start", F.sum("run_weight").over(earlier) - F.col("run_weight")).withColumn(
-            "split_weight", F.sum("run_weight").over(whole)
-        )
+        starts = starts.withColumnRenamed("all_run_weight", "split_weight")
         upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
         numbered = numbered.withColumn("run_offset", F.sum(weight).over(upto) - F.col(weight))
-        added += [(F.col("run_start") + F.col("run_offset")).alias("start"), F.col("split_weight")]
-    return numbered.join(starts, run).select(*rows.columns, *added)
+        added += [(F.col("before_run_weight") + F.col("run_offset")).alias("start"), F.col("split_weight")]
+    return numbered.join(starts.hint("merge"), run).select(*rows.columns, *added)
 
 
 def cutoffs(rows: DataFrame, ranks: list[int], id_column: str = "doc_id") -> tuple[int, dict[int, tuple[int, int]]]:
@@ -101,9 +129,13 @@ def cutoffs(rows: DataFrame, ranks: list[int], id_column: str = "doc_id") -> tup
     which runs hold the ranks, and only those runs are then numbered: any rank costs two
     narrow passes, and at most one row per rank reaches the driver.
     """
-    sizes = rows.groupBy("order_bucket").agg(F.count("*").alias("n"))
-    upto, overall = F.sum("n").over(W.orderBy("order_bucket")), F.sum("n").over(W.partitionBy())
-    spans = sizes.select("order_bucket", (upto - F.col("n")).alias("first"), upto.alias("next"), overall.alias("size"))
+    sizes = rows.groupBy(F.lit(0).alias("whole"), "order_bucket").agg(F.count("*").alias("n"))
+    spans = running_totals(sizes, ["whole"], "order_bucket", ["n"]).select(
+        "order_bucket",
+        F.col("before_n").alias("first"),
+        (F.col("before_n") + F.col("n")).alias("next"),
+        F.col("all_n").alias("size"),
+    )
     wanted = F.col("next") == F.col("size")  # the last run, for the size alone
     for rank in ranks:
         row = F.lit(rank) if rank >= 0 else F.col("size") + rank

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions.integers import int_div
 from corpusweave.functions.sequences import ones, prepend_id, truncate
-from corpusweave.operators.order import positions
+from corpusweave.operators.order import positions, running_totals
 from corpusweave.params import Specials, check_block_length
 
 GROUP = ["split", "shard", "batch"]
@@ -60,8 +60,7 @@ def cut_blocks(placed: DataFrame, group: list[str], length: int, bos: int) -> Da
         .groupBy(*group, "block")
         .agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
     )
-    body = F.flatten(F.transform("pieces", lambda p: p["ids"]))
-    blocks = gathered.select(*group, "block", prepend_id(body, bos).alias("input_ids"))
+    blocks = gathered.select(*group, "block", prepend_id(F.flatten("pieces.ids"), bos).alias("input_ids"))
     return blocks.withColumn("attention_mask", ones(F.col("input_ids")))
 
 
@@ -79,6 +78,24 @@ def pack_batches(
     return cut_blocks(placed, GROUP, length, specials.bos)
 
 
+def number_blocks(blocks: DataFrame, groups: DataFrame, length: int) -> DataFrame:
+    """Add ``pos``, the place of a block in its split, by shard, batch and block.
+
+    ``groups`` has one row per document with its group and ``n_tokens``, as counted from the texts:
+    blocks per group add up to running totals, and blocks, which lie by group already, do not move.
+    """
+    chunk = length - 1
+    totals = groups.groupBy(*GROUP).agg(int_div(F.sum("n_tokens"), chunk).alias("blocks"))
+    in_shard = running_totals(totals, ["split", "shard"], "batch", ["blocks"])
+    shards = totals.groupBy("split", "shard").agg(F.sum("blocks").alias("shard_blocks"))
+    earlier = F.sum("shard_blocks").over(W.partitionBy("split").orderBy("shard")) - F.col("shard_blocks")
+    starts = in_shard.join(shards.select("split", "shard", earlier.alias("shard_start")), ["split", "shard"]).select(
+        *GROUP, (F.col("shard_start") + F.col("before_blocks")).alias("first")
+    )
+    placed = blocks.join(starts.hint("merge"), GROUP)
+    return placed.select(*GROUP, "block", (F.col("first") + F.col("block")).alias("pos"), "input_ids", "attention_mask")
+
+
 def pack_global(docs: DataFrame, specials: Specials, length: int, counted: DataFrame | None = None) -> DataFrame:
     """Pack each split as one stream, so that less than one block of it is lost.
 
@@ -95,6 +112,8 @@ def pack_global(docs: DataFrame, specials: Specials, length: int, counted: DataF
 
 def truncate_documents(docs: DataFrame, length: int) -> DataFrame:
     """The first ``length`` tokens of each document; BOS is not added, EOS may go."""
+    if length < 1:
+        raise ValueError("length must be at least 1")
     cut = docs.withColumn("input_ids", truncate(F.col("input_ids"), length))
     return cut.withColumn("attention_mask", truncate(F.col("attention_mask"), length))
 

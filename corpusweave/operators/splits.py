@@ -26,18 +26,26 @@ def assign_splits(corpus: DataFrame, params: PrepareParams) -> DataFrame:
     they no longer hold.
     """
     rows = corpus.drop("pos", "split_rows").withColumn("split", required(F.col("split"), "split"))
-    held = holdout(rows, params.n_val or 0, params.n_test or 0, params.seed)
-    return limit_splits(held, params.n_train, params.n_val, params.n_test)
+    held = holdout(rows, params.n_val or 0, params.n_test or 0, params.seed, params.n_train or 0)
+    if held is not None:
+        return held
+    return limit_splits(natural_order(rows), params.n_train, params.n_val, params.n_test)
 
 
-def holdout(rows: DataFrame, n_val: int, n_test: int, seed: int) -> DataFrame:
+def holdout(rows: DataFrame, n_val: int, n_test: int, seed: int, n_train: int = 0) -> DataFrame | None:
+    """Rows with their splits after a holdout, or None where nothing is held out.
+
+    ``n_train`` keeps the first rows of what stays in the train split. All cut-offs come from one search:
+    the splits held out have exactly the length asked for and need no limit.
+    """
     if n_val + n_test == 0:
-        return natural_order(rows)
+        return None
     is_train = F.col("split") == TRAIN
     keys = seeded_order(rows.where(is_train).select("doc_id"), seed)
-    size, cuts = cutoffs(keys, sorted({-n for n in (n_val, n_val + n_test) if n}))
+    ranks = {-n for n in (n_val, n_val + n_test) if n} | ({n_train} if n_train else set())
+    size, cuts = cutoffs(keys, sorted(ranks))
     if size == 0:
-        return natural_order(rows)
+        return None
     if size <= n_val + n_test:
         raise ValueError(f"holding out {n_val} + {n_test} of {size} rows leaves no train split")
     part = F.lit(VALIDATION if n_val else TEST)
@@ -46,7 +54,10 @@ def holdout(rows: DataFrame, n_val: int, n_test: int, seed: int) -> DataFrame:
     part = F.when(comes_before(cuts[-(n_val + n_test)]), TRAIN).otherwise(part)
     replaced = [name for name, n in ((VALIDATION, n_val), (TEST, n_test)) if n]
     kept = seeded_order(rows.where(~F.col("split").isin(replaced)), seed, where=is_train)
-    return kept.withColumn("split", F.when(is_train, part).otherwise(F.col("split")))
+    parted = kept.withColumn("split", F.when(is_train, part).otherwise(F.col("split")))
+    if 0 < n_train < size - n_val - n_test:
+        return parted.where((F.col("split") != TRAIN) | comes_before(cuts[n_train]))
+    return parted
 
 
 def limit_splits(

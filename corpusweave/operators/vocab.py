@@ -1,7 +1,7 @@
 """Vocabularies as tables ``(token STRING, id INT)``, and their comparison.
 
-A token occurs once in a vocabulary. An id may occur with several tokens; wherever tokens
-are looked up by id, the greatest one counts.
+Where a token occurs with several ids, encoding takes the least one; where an id occurs with several
+tokens, the greatest one counts wherever tokens are looked up by id.
 """
 
 from __future__ import annotations
@@ -92,6 +92,7 @@ def overlap_summary(first: DataFrame, second: DataFrame) -> DataFrame:
         F.count_if(same_token).alias("same_id_same_token"),
         F.count_if(~same_token).alias("same_id_diff_token"),
     )
+    # The names of the measures.
     measures = [
         "vocab_size_1",
         "vocab_size_2",
@@ -134,7 +135,7 @@ def freeze_counts(first: DataFrame, second: DataFrame, matrix: DataFrame) -> Dat
 def turn_end_ids(
     spark: SparkSession, vocab: DataFrame, specials: Specials, candidates: list[str] = TURN_END_TOKENS
 ) -> DataFrame:
-    """Ids that end a turn: known candidates, EOS and the tokenizer's own; may be empty."""
+    """Ids that end a turn: known candidates, EOS and the tokenizer's own; EOS at least."""
     wanted = spark.createDataFrame([(c,) for c in candidates], "token STRING")
     known = vocab.join(F.broadcast(wanted), "token", "left_semi").select(F.col("id").cast("int").alias("id"))
     if specials.unk is not None:

@@ -16,6 +16,7 @@ class Specials:
     unk: int | None = None
     pad: int | None = None
     eot: int | None = None
+    others: tuple[int, ...] = ()
 
     def __post_init__(self):
         if self.bos is None:
@@ -28,7 +29,8 @@ class Specials:
         return self if self.pad is not None else replace(self, pad=self.eos)
 
     def ids(self) -> list[int]:
-        return sorted({i for i in (self.pad, self.eos, self.bos, self.unk) if i is not None})
+        """All special ids, which decoding leaves out."""
+        return sorted({i for i in (self.pad, self.eos, self.bos, self.unk, self.eot, *self.others) if i is not None})
 
 
 @dataclass(frozen=True)
@@ -37,7 +39,8 @@ class PrepareParams:
 
     ``grouping="batches"`` packs every run of ``batch_rows`` documents of each
     of ``shards`` contiguous shards alone; ``grouping="global"`` packs a split as
-    one stream.
+    one stream. ``encoding`` is the form that looks words up: ``"lookup"`` beside the scan, or
+    ``"join"`` for a vocabulary too large to broadcast.
     """
 
     max_seq_length: int = 8192
@@ -51,17 +54,23 @@ class PrepareParams:
     seed: int = 42
     text_column: str = "text"
     on_null: str = "fail"
+    encoding: str = "lookup"
 
     def __post_init__(self):
-        for name in ("n_val", "n_test"):
+        for name in ("n_train", "n_val", "n_test"):
             if (getattr(self, name) or 0) < 0:
                 raise ValueError(f"{name} must not be negative")
+        for name in ("max_seq_length", "shards", "batch_rows"):
+            if getattr(self, name) < 1:
+                raise ValueError(f"{name} must be at least 1")
         if self.use_packing:
             check_block_length(self.max_seq_length)
         if self.grouping not in ("batches", "global"):
             raise ValueError("grouping must be 'batches' or 'global'")
         if self.on_null not in ("fail", "drop"):
             raise ValueError("on_null must be 'fail' or 'drop'")
+        if self.encoding not in ("lookup", "join"):
+            raise ValueError("encoding must be 'lookup' or 'join'")
 
 
 def check_block_length(length: int) -> None:

@@ -76,8 +76,20 @@ parts AS (
   FROM ranked)"""
 
 
+FAR_IDS = """
+far AS (
+  SELECT ((doc_id * 7919) % 1009 - 500) * CAST(9007199254740992 AS BIGINT) + doc_id AS doc_id, text, lang FROM documents)"""
+
 TRAIN = "corpus AS (SELECT doc_id, text, 'train' AS split FROM documents)"
 
+NUMBERED = """
+numbered AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY shard, batch, block) - 1 AS pos FROM blocks)"""
+
+HELD_OUT_BLOCKS = (
+    f"WITH {vocab()}, {TRAIN}, {held_out('corpus')}, {encoded('documents')}, "
+    f"{packed('parts', 'split, shard, batch', 4, 100)}, {NUMBERED}"
+)
+
 TRUNCATED = """
 cut AS (
   SELECT doc_id, p, id FROM (
@@ -124,18 +136,36 @@ losses AS (
   FROM shifted WHERE target <> -100)"""
 
 
+def sharp_steps() -> str:
+    """The same for logits 200 times as large; the greatest one comes off before the exponential."""
+    sharp = """
+WITH steps AS (
+  SELECT vec_id // 8 AS seq_id, vec_id % 8 AS pos, list_transform(embedding, lambda z: CAST(z AS DOUBLE) * 200) AS z, label
+  FROM embeddings),
+shifted AS (
+  SELECT *, lead(label) OVER (PARTITION BY seq_id ORDER BY pos) AS target, list_max(z) AS top FROM steps),
+losses AS (
+  SELECT target, top + ln(list_sum(list_transform(z, lambda x: exp(x - top)))) - z[target + 1] AS loss
+  FROM shifted WHERE target <> -100)"""
+    return sharp
+
+
 PARTLY_IGNORED = "CASE WHEN label = 0 THEN -100 ELSE label END"
 
-# Python's, Java's and this engine's regular expressions agree on this form.
-ROLE = (
-    r"(?im)^\s*(?:<start_of_turn>\s*)?(?:<\|?(?:assistant|model|user|system)\|?>\s*:?\s*"
-    r"|(?:assistant|model|user|system)\s*:?\s*|a:\s*)"
-)
+# White space of the texts at hand, to strip by.
+BLANK = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31))"
+
+
+def behind_role(line: str) -> str:
+    """What a line without its opening tag holds behind its role marker, by prefix tests; null without one."""
+    roles = ("assistant", "model", "user", "system")
+    marks = [f"<{a}{role}{z}>" for role in roles for a in ("|", "") for z in ("|", "")] + list(roles)
+    cases = " ".join(f"WHEN starts_with(lower({line}), '{m}') THEN ltrim(substr({line}, {len(m) + 1}), {BLANK})" for m in marks)
+    return f"CASE {cases} WHEN starts_with(lower({line}), 'a:') THEN substr({line}, 2) END"
 
 
 def stripped(source: str) -> str:
-    """Markers stripped from ``text`` of a source with (conv_id, turn, text)."""
-    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    """Markers stripped from ``text`` of a source with (conv_id, turn, text): line by line, without patterns."""
     return f"""
 WITH source AS ({source}),
 found AS (
@@ -149,11 +179,25 @@ last AS (
     CASE WHEN has_model AND (NOT has_assistant OR model_at > assistant_at) THEN 5 ELSE 9 END AS chars FROM found),
 tails AS (
   SELECT *, CASE WHEN last_at IS NOT NULL AND contains(substr(folded, 1, last_at), 'user')
-    THEN trim(ltrim(substr(text, last_at + chars + 1), ': ' || chr(10) || chr(9)), {blank}) END AS tail FROM last)
+    THEN trim(ltrim(substr(text, last_at + chars + 1), ': ' || chr(10) || chr(9)), {BLANK}) END AS tail FROM last),
+lines AS (
+  SELECT conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS n
+  FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM tails)),
+opened AS (
+  SELECT *, CASE WHEN starts_with(lower(ltrim(line, {BLANK})), '<start_of_turn>')
+    THEN ltrim(substr(ltrim(line, {BLANK}), 16), {BLANK}) ELSE ltrim(line, {BLANK}) END AS o FROM lines),
+rests AS (SELECT *, {behind_role('o')} AS rest FROM opened),
+marked AS (SELECT *, min(CASE WHEN rest IS NOT NULL THEN n END) OVER (PARTITION BY conv_id, turn) AS hit FROM rests),
+dropped AS (
+  SELECT conv_id, turn, coalesce(string_agg(line || chr(10), '' ORDER BY n) FILTER (hit IS NULL OR n < hit), '') AS head,
+    ltrim(max(CASE WHEN n = hit THEN CASE WHEN starts_with(rest, ':') THEN substr(rest, 2) ELSE rest END END) || chr(10)
+      || coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (n > hit), ''), {BLANK}) AS behind
+  FROM marked GROUP BY conv_id, turn)
 SELECT conv_id, turn, CASE WHEN text IS NULL OR text = '' THEN text
   WHEN length(tail) >= 10 AND length(tail) < length(text) * CAST(0.9 AS DOUBLE) THEN tail
-  ELSE ltrim(trim(regexp_replace(text, '{ROLE}', ''), {blank}), ':-•*>' || {blank}) END AS text
-FROM tails"""
+  ELSE ltrim(trim(CASE WHEN behind IS NULL THEN head ELSE rtrim(head, {BLANK}) || chr(10) || behind END, {BLANK}),
+    ':-•*>' || {BLANK}) END AS text
+FROM tails LEFT JOIN dropped USING (conv_id, turn)"""
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -161,7 +205,14 @@ ORACLE_SQL: dict[str, str] = {
 SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, 'train' AS split, text,
   row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS split_rows FROM documents""",
     "text_projection": "SELECT doc_id, text FROM documents",
-    "shard_sample": "SELECT doc_id, lang, n_chars FROM documents",
+    "shard_sample": "SELECT text FROM benchmark",
+    "row_positions_any_id": f"""
+WITH {FAR_IDS}
+SELECT doc_id, lang AS split, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos,
+  count(*) OVER (PARTITION BY lang) AS split_rows FROM far""",
+    "split_any_id": f"""
+WITH {FAR_IDS}, corpus AS (SELECT doc_id, text, 'train' AS split FROM far), {held_out('corpus')}
+SELECT doc_id, split FROM parts""",
     "row_positions": f"WITH {BY_LANGUAGE} SELECT doc_id, split, pos, split_rows FROM docs",
     "seeded_shuffle": f"SELECT doc_id, row_number() OVER (ORDER BY {SHUFFLED}) - 1 AS pos FROM documents",
     "split_holdout": f"WITH {TRAIN}, {held_out('corpus')} SELECT doc_id, split FROM parts",
@@ -197,15 +248,28 @@ FROM tokens GROUP BY doc_id""",
     "attention_mask": f"""
 SELECT doc_id, array_to_string(list_transform(range(len({WORDS}) + 1), lambda x: 1), ',') AS attention_mask
 FROM documents""",
+    "encode_repeated_tokens": f"""
+WITH {vocab()}, {encoded('documents')}, once AS (
+SELECT doc_id, {ids()} AS input_ids FROM tokens GROUP BY doc_id)
+SELECT once.*, form FROM once, (VALUES ('lookup'), ('lookup'), ('join'), ('join')) AS forms(form)""",
     "encode_prompts": f"""
 WITH {vocab()}, prompts AS (
-  SELECT conv_id AS doc_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id),
-{encoded('prompts')}
-SELECT doc_id AS conv_id, concat_ws(',', '2', string_agg(CAST(id AS VARCHAR), ',' ORDER BY p) FILTER (p < 2147483647))
-  AS input_ids FROM tokens GROUP BY doc_id""",
+  SELECT conv_id * 1000 + turn AS doc_id, conv_id, turn, text FROM conversations WHERE role = 'user'),
+{encoded('prompts')}, asked AS (
+SELECT doc_id, concat_ws(',', '2', string_agg(CAST(id AS VARCHAR), ',' ORDER BY p) FILTER (p < 2147483647))
+  AS input_ids FROM tokens GROUP BY doc_id)
+SELECT conv_id, turn, input_ids FROM asked JOIN prompts USING (doc_id)""",
     "decode_tokens": f"""
 WITH {vocab()}, {encoded('documents')}
 SELECT doc_id, coalesce(string_agg(token, ' ' ORDER BY p) FILTER (tokens.id > 3), '') AS text
+FROM tokens JOIN vocab ON tokens.id = vocab.id GROUP BY doc_id""",
+    "decode_join": f"""
+WITH {vocab()}, {encoded('documents')}
+SELECT doc_id, coalesce(string_agg(token, ' ' ORDER BY p) FILTER (tokens.id > 3), '') AS text
+FROM tokens JOIN vocab ON tokens.id = vocab.id GROUP BY doc_id""",
+    "decode_skips_specials": f"""
+WITH {vocab()}, {encoded('documents')}
+SELECT doc_id, coalesce(string_agg(token, ' ' ORDER BY p) FILTER (tokens.id > 5), '') AS text
 FROM tokens JOIN vocab ON tokens.id = vocab.id GROUP BY doc_id""",
     "pack_groups": f"""
 WITH {BY_LANGUAGE}, sharded AS (
@@ -299,6 +363,20 @@ UNION SELECT 1""",
     "token_loss_by_sequence": f"{steps(PARTLY_IGNORED)} SELECT seq_id, pos, target, round(loss, 6) AS loss FROM losses",
     "perplexity": f"""
 {steps()} SELECT round(avg(loss), 6) AS eval_loss, round(exp(avg(loss)), 6) AS perplexity FROM losses""",
+    "token_loss_gaps": f"""
+{steps().replace('FROM embeddings)', 'FROM embeddings WHERE (vec_id // 8 + vec_id % 8 * 5) % 3 <> 0)')}
+SELECT seq_id, pos, target, round(loss, 6) AS loss FROM losses""",
+    "perplexity_by_sequence": f"""
+{steps()} SELECT round(avg(loss), 6) AS eval_loss, round(exp(avg(loss)), 6) AS perplexity FROM losses""",
+    "perplexity_capped": f"""
+{sharp_steps()}
+SELECT target, round(avg(loss), 6) AS eval_loss,
+  CASE WHEN exp(avg(loss)) > 1e10 THEN CAST('inf' AS DOUBLE) ELSE round(exp(avg(loss)), 6) END AS perplexity
+FROM losses GROUP BY target""",
+    "perplexity_nan": """
+WITH s AS (SELECT vec_id // 8 AS seq_id, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT seq_id % 11 = 0 AS is_nan, count(*) AS sequences, CAST(sum(CASE WHEN seq_id % 11 = 0 THEN 1 ELSE 0 END) AS BIGINT)
+  AS nan_losses FROM s WHERE n > 1 GROUP BY 1""",
     "perplexity_by_group": f"""
 {steps(PARTLY_IGNORED)}
 SELECT target, round(avg(loss), 6) AS eval_loss, round(exp(avg(loss)), 6) AS perplexity
@@ -311,6 +389,11 @@ SELECT coalesce(avg(loss), CAST('inf' AS DOUBLE)) AS eval_loss,
 SELECT vec_id, array_to_string(list_transform(embedding, lambda z:
     CAST(round(CASE WHEN hit THEN 0 ELSE CAST(z AS DOUBLE) END, 6) AS DECIMAL(12,6))), ',') AS embedding
 FROM (SELECT vec_id, embedding, vec_id IN (SELECT label FROM embeddings) AS hit FROM embeddings)""",
+    "matrix_output": """
+SELECT matrix, flag, vec_id, hit AND (matrix = 'input' OR flag)
+  OR list_max(list_transform(embedding, lambda z: abs(z))) = 0 AS zero
+FROM (SELECT vec_id, embedding, vec_id IN (SELECT label FROM embeddings) AS hit FROM embeddings),
+  (VALUES ('input'), ('output')) AS m(matrix), (VALUES (true), (false)) AS f(flag)""",
     "matrix_l1": """
 WITH norms AS (
   SELECT list_sum(list_transform(embedding, lambda z: abs(CAST(z AS DOUBLE)))) AS l1,
@@ -342,13 +425,44 @@ FROM batched JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id) GROUP B
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, substring(lang, 1, 20) AS lang, substring(source, 1, 20) AS source,
   substring(text, 1, 20) AS text FROM documents ORDER BY documents.doc_id LIMIT 20""",
     "prepare_corpus": f"""
-WITH {vocab()}, {TRAIN}, {held_out('corpus')}, {encoded('documents')}, {packed('parts', 'split, shard, batch', 4, 100)}
-SELECT split, shard, batch, block, input_ids FROM blocks""",
+{HELD_OUT_BLOCKS}
+SELECT split, shard, batch, block, pos, input_ids FROM numbered""",
+    "prepare_collated": f"""
+{HELD_OUT_BLOCKS}
+SELECT split, pos // 2 AS batch, pos, input_ids, array_to_string(list_transform(range(128), lambda x: 1), ',') AS attention_mask,
+  array_to_string(list_transform(string_split(input_ids, ','), lambda x: CASE WHEN x = '0' THEN '-100' ELSE x END), ',') AS labels
+FROM numbered""",
+    "preview_blocks": f"""
+{HELD_OUT_BLOCKS}
+SELECT split, CAST(pos AS VARCHAR) AS pos, substring(input_ids, 1, 30) AS input_ids
+FROM numbered ORDER BY numbered.split, numbered.pos LIMIT 5""",
+    "prepare_global": f"""
+WITH {vocab()}, {TRAIN}, {held_out('corpus')}, {encoded('documents')}, limited AS (
+  SELECT * FROM parts WHERE split <> 'train' OR pos < 100), {packed('limited', 'split', 1, 1000)}
+SELECT split, block, block AS pos, input_ids FROM blocks""",
+    "accounts_global": f"""
+WITH {TRAIN}, {held_out('corpus')}, totals AS (
+  SELECT split, sum(len({WORDS}) + 1) AS total FROM parts WHERE split <> 'train' OR pos < 100 GROUP BY split)
+SELECT split, CAST(total // 127 AS BIGINT) AS blocks, CAST(total AS BIGINT) AS tokens_in,
+  CAST(total % 127 AS BIGINT) AS tokens_dropped FROM totals""",
+    "prepare_without_nulls": f"""
+WITH {vocab()}, corpus AS (SELECT doc_id, text, 'train' AS split FROM documents WHERE doc_id % 7 <> 0),
+{held_out('corpus')}, {encoded('documents')}, {packed('parts', 'split, shard, batch', 4, 100)}, {NUMBERED}
+SELECT split, shard, batch, block, pos, input_ids FROM numbered""",
+    "prepare_file_limit": f"""
+WITH {vocab()}, first AS (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 100), {encoded('first')}, {TRUNCATED}
+SELECT 'train' AS split, doc_id AS pos, doc_id, array_to_string(input_ids, ',') AS input_ids FROM rows_cut""",
+    "prepare_delivered": f"""
+WITH {vocab()}, docs AS (
+  SELECT doc_id, text, split, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS pos FROM (
+    SELECT *, CASE source WHEN 'src0' THEN 'validation' WHEN 'src1' THEN 'extra' ELSE 'train' END AS split FROM documents)),
+{encoded('documents')}, {packed('docs', 'split, shard, batch', 4, 100)}, {NUMBERED}
+SELECT split, shard, batch, block, pos, input_ids FROM numbered""",
     "prepare_file_order": f"""
 WITH {vocab()}, docs AS (
   SELECT doc_id, 'train' AS split, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
-{encoded('documents')}, {packed('docs', 'split, shard, batch', 12, 30)}
-SELECT split, shard, batch, block, input_ids FROM blocks""",
+{encoded('documents')}, {packed('docs', 'split, shard, batch', 12, 30)}, {NUMBERED}
+SELECT split, shard, batch, block, pos, input_ids FROM numbered""",
     "prepare_truncated": f"""
 WITH {vocab()}, {TRAIN}, {held_out('corpus')}, {encoded('documents')}, {TRUNCATED}
 SELECT split, pos, doc_id, array_to_string(input_ids, ',') AS input_ids FROM rows_cut JOIN parts USING (doc_id)""",

@@ -11,6 +11,7 @@ from corpusweave.operators.encode import Codec, encode, texts, token_count
 from corpusweave.operators.matrix import zero_rows
 from corpusweave.operators.order import natural_order, positions
 from corpusweave.operators.pack import (
+    number_blocks,
     pack_batches,
     pack_global,
     packing_accounts,
@@ -25,6 +26,7 @@ from corpusweave.sources.parquet import read_corpus
 
 ORDER = ["order_key", "order_bucket"]
 PLACE = ["pos", "split_rows"]
+COUNTED = ["doc_id", "split", *ORDER, *PLACE]
 
 
 def kept_documents(corpus: DataFrame, params: PrepareParams) -> DataFrame:
@@ -61,20 +63,25 @@ def prepare_corpus(
     """Split, limit, encode, then pack into blocks or truncate.
 
     ``corpus`` has ``doc_id``, ``split`` and the text column. The result has ``split``,
-    the place of the row in its split, ``input_ids`` and ``attention_mask``. Texts are
+    ``pos``, the place of the row in its split, ``input_ids`` and ``attention_mask``. Texts are
     encoded by the vocabulary, or by a codec of the caller's.
     """
     kept = kept_documents(corpus, params)
     known = [c for c in PLACE if c in kept.columns]
-    docs = encode(kept, vocab, specials, ["doc_id", "split", *ORDER, *known], codec)
+    docs = encode(kept, vocab, specials, ["doc_id", "split", *ORDER, *known], codec, params.encoding)
     if not params.use_packing:
         cut = truncate_documents(docs, params.max_seq_length)
         return with_positions(cut).select("split", "pos", "doc_id", "input_ids", "attention_mask")
+    if codec is not None:  # its ids are needed twice, for totals and for blocks
+        docs = settled(docs)
+        counted = docs.select(*[c for c in docs.columns if c in COUNTED], F.size("input_ids").cast("long").alias("n_tokens"))
+    else:
+        counted = token_counts(kept)
     if params.grouping == "global":
-        if codec is not None:  # its ids are needed twice, for run totals and for blocks
-            return pack_global(settled(docs), specials, params.max_seq_length)
-        return pack_global(docs, specials, params.max_seq_length, counted=token_counts(kept))
-    return pack_batches(with_positions(docs), specials, params.max_seq_length, params.shards, params.batch_rows)
+        return pack_global(docs, specials, params.max_seq_length, counted).withColumn("pos", F.col("block"))
+    blocks = pack_batches(with_positions(docs), specials, params.max_seq_length, params.shards, params.batch_rows)
+    groups = packing_groups(with_positions(counted), params.shards, params.batch_rows)
+    return number_blocks(blocks, groups, params.max_seq_length)
 
 
 def prepare_path(
@@ -84,9 +91,10 @@ def prepare_path(
     specials: Specials,
     params: PrepareParams,
     codec: Codec | None = None,
+    spread_over: int | None = None,
 ) -> DataFrame:
     """``prepare_corpus`` of a parquet file or of a directory of splits."""
-    corpus = read_corpus(spark, path, params.text_column)
+    corpus = read_corpus(spark, path, params.text_column, spread_over)
     return prepare_corpus(corpus, vocab, specials, replace(params, text_column="text"), codec)
 
 

@@ -8,6 +8,8 @@ compare across engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from corpusweave.operators.batched import map_batches, map_groups
 from corpusweave.operators.chat import strip_role_markers
 from corpusweave.operators.collate import collate
 from corpusweave.operators.encode import decode, encode, encode_prompts, texts, word_ids_by_join
-from corpusweave.operators.matrix import l1_totals, zero_rows
+from corpusweave.operators.matrix import l1_totals, zero_input_and_output, zero_rows
 from corpusweave.operators.metrics import perplexity, sequence_losses, token_losses
 from corpusweave.operators.order import head_tail, natural_order, positions, seeded_order, unique_sorted
 from corpusweave.operators.pack import pack_batches, pack_global, packing_groups, truncate_documents
@@ -30,7 +32,7 @@ from corpusweave.operators.splits import assign_splits, split_sizes
 from corpusweave.params import IGNORE_LABEL, PrepareParams, Specials
 from corpusweave.plans.prepare import corpus_accounts, freeze_matrix, prepare_corpus, prepare_path, token_counts
 from corpusweave.session import settled, shared_folder
-from corpusweave.sources.parquet import read_corpus, read_ids, rows_of_shard, spread, write_ids, write_splits
+from corpusweave.sources.parquet import read_corpus, read_ids, rows_of_shard, write_ids, write_splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,8 +55,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for work on their texts: spread, as each test table is one row group."""
-    return spread(documents(spark, sf_dir), "doc_id")
+    """Documents for work on their texts: dealt out, as each test table is one row group."""
+    return documents(spark, sf_dir).repartition(slots(spark), "doc_id")
+
+
+def slots(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
 
 
 def by_language(docs: DataFrame) -> DataFrame:
@@ -107,9 +113,15 @@ def partly_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first user turn of each conversation."""
-    asked = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return asked.groupBy(F.col("conv_id").alias("doc_id")).agg(F.min_by("text", "turn").alias("text"))
+    """Every user turn."""
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+
+
+def step_arrays(rows: DataFrame) -> DataFrame:
+    """Steps as one row per sequence, the layout that a model gives."""
+    step = F.array_sort(F.collect_list(F.struct("pos", "logits", "label")))
+    sequences = rows.groupBy("seq_id").agg(step.alias("steps"))
+    return sequences.select("seq_id", F.col("steps.logits").alias("logits"), F.col("steps.label").alias("labels"))
 
 
 def shown(rows: DataFrame, *arrays: str) -> DataFrame:
@@ -137,7 +149,25 @@ def text_projection(spark, sf_dir):
 
 
 def shard_sample(spark, sf_dir):
-    return rows_of_shard(documents(spark, sf_dir), "documents.parquet").select("doc_id", "lang", "n_chars")
+    """One part of a corpus of three files, the tables that have a text."""
+    files = [f"{sf_dir}/{name}.parquet" for name in ("documents", "conversations", "benchmark")]
+    corpus = spark.read.schema("text STRING").parquet(*files)
+    return rows_of_shard(corpus, "benchmark.parquet").select("text")
+
+
+def far_ids(spark, sf_dir):
+    """Documents with ids all over BIGINT, negative ones among them."""
+    docs = by_language(documents(spark, sf_dir)).drop("order_key", "order_bucket")
+    return natural_order(docs.withColumn("doc_id", (F.col("doc_id") * 7919 % 1009 - 500) * F.lit(1 << 53) + F.col("doc_id")))
+
+
+def row_positions_any_id(spark, sf_dir):
+    return positions(far_ids(spark, sf_dir)).select("doc_id", "split", "pos", "split_rows")
+
+
+def split_any_id(spark, sf_dir):
+    rows = far_ids(spark, sf_dir).drop("order_key", "order_bucket").withColumn("split", F.lit("train"))
+    return assign_splits(rows, HOLDOUT).select("doc_id", "split")
 
 
 def row_positions(spark, sf_dir):
@@ -207,15 +237,48 @@ def attention_mask(spark, sf_dir):
     )
 
 
+def repeated_vocabulary(spark, sf_dir):
+    """The vocabulary with every token of an even id once more, under an id of its own."""
+    vocab = vocab_a(spark, sf_dir)
+    again = vocab.where("id > 3 and id % 2 = 0").select("token", (F.col("id") + VOCAB_SIZE).alias("id"))
+    return vocab.unionByName(again)
+
+
+def encode_repeated_tokens(spark, sf_dir):
+    """Both forms on a vocabulary with repeated tokens and on documents that are there twice."""
+    vocab = settled(repeated_vocabulary(spark, sf_dir))
+    docs = texts(full_texts(spark, sf_dir))
+    twice = docs.unionByName(docs)
+    forms = [
+        encode(twice, vocab, SPECIALS, ["doc_id"], form=form).withColumn("form", F.lit(form)) for form in ("lookup", "join")
+    ]
+    return shown(forms[0].unionByName(forms[1]).drop("attention_mask"), "input_ids")
+
+
 def encode_prompt_ids(spark, sf_dir):
-    ids = encode_prompts(prompts(spark, sf_dir), vocab_a(spark, sf_dir), SPECIALS, ["doc_id"])
-    return shown(ids.select(F.col("doc_id").alias("conv_id"), "input_ids"), "input_ids")
+    ids = encode_prompts(prompts(spark, sf_dir), vocab_a(spark, sf_dir), SPECIALS, ["conv_id", "turn"])
+    return shown(ids.drop("attention_mask"), "input_ids")
+
+
+def encoded_ids(spark, sf_dir, vocab):
+    return encode(texts(full_texts(spark, sf_dir)), vocab, SPECIALS, ["doc_id"])
 
 
 def decode_tokens(spark, sf_dir):
     vocab = settled(vocab_a(spark, sf_dir))  # looked up twice, counted once
-    ids = encode(texts(full_texts(spark, sf_dir)), vocab, SPECIALS, ["doc_id"])
-    return decode(ids, vocab, SPECIALS, ["doc_id"])
+    return decode(encoded_ids(spark, sf_dir, vocab), vocab, SPECIALS, ["doc_id"])
+
+
+def decode_join(spark, sf_dir):
+    vocab = settled(vocab_a(spark, sf_dir))
+    return decode(encoded_ids(spark, sf_dir, vocab), vocab, SPECIALS, ["doc_id"], form="join")
+
+
+def decode_skips_specials(spark, sf_dir):
+    """Ids 4 and 5 as turn end and as one more special token."""
+    vocab = settled(vocab_a(spark, sf_dir))
+    specials = Specials(eos=SPECIALS.eos, bos=SPECIALS.bos, unk=SPECIALS.unk, pad=SPECIALS.pad, eot=4, others=(5,))
+    return decode(encoded_ids(spark, sf_dir, vocab), vocab, specials, ["doc_id"])
 
 
 # Packing and collation
@@ -340,16 +403,41 @@ def token_loss(spark, sf_dir):
 
 
 def token_loss_by_sequence(spark, sf_dir):
-    step = F.array_sort(F.collect_list(F.struct("pos", "logits", "label")))
-    sequences = partly_ignored(spark, sf_dir).groupBy("seq_id").agg(step.alias("steps"))
-    arrays = sequences.select("seq_id", F.col("steps.logits").alias("logits"), F.col("steps.label").alias("labels"))
-    return rounded(sequence_losses(arrays), "loss").withColumn("pos", F.col("pos").cast("long"))
+    losses = sequence_losses(step_arrays(partly_ignored(spark, sf_dir)))
+    return rounded(losses, "loss").withColumn("pos", F.col("pos").cast("long"))
+
+
+def token_loss_gaps(spark, sf_dir):
+    """Steps of some positions only: the next label is that of the next position there is."""
+    some = steps(spark, sf_dir).where((F.col("seq_id") + F.col("pos") * 5) % 3 != 0)
+    return rounded(token_losses(some), "loss")
 
 
 def perplexity_overall(spark, sf_dir):
     return rounded(perplexity(token_losses(steps(spark, sf_dir))), "eval_loss", "perplexity")
 
 
+def perplexity_by_sequence(spark, sf_dir):
+    losses = sequence_losses(step_arrays(steps(spark, sf_dir)))
+    return rounded(perplexity(losses), "eval_loss", "perplexity")
+
+
+def perplexity_capped(spark, sf_dir):
+    """Logits 200 times as large: mean losses whose exponentials pass the maximum are infinite."""
+    sharp = steps(spark, sf_dir).withColumn("logits", F.transform("logits", lambda z: z.cast("double") * 200))
+    return rounded(perplexity(token_losses(sharp), ["target"]), "eval_loss", "perplexity")
+
+
+def perplexity_nan(spark, sf_dir):
+    """Logits of every eleventh sequence are no numbers."""
+    logits = F.when(F.col("seq_id") % 11 == 0, F.transform("logits", lambda z: z * float("nan"))).otherwise(F.col("logits"))
+    losses = token_losses(steps(spark, sf_dir).withColumn("logits", logits))
+    by = perplexity(losses, ["seq_id"])
+    return by.groupBy(F.isnan("perplexity").alias("is_nan")).agg(
+        F.count("*").alias("sequences"), F.count_if(F.isnan("eval_loss")).alias("nan_losses")
+    )
+
+
 def perplexity_by_group(spark, sf_dir):
     losses = token_losses(partly_ignored(spark, sf_dir))
     return rounded(perplexity(losses, ["target"]), "eval_loss", "perplexity")
@@ -372,6 +460,21 @@ def matrix_zero_rows(spark, sf_dir):
     return zeroed.select("vec_id", F.array_join(parts, ",").alias("embedding"))
 
 
+def matrix_output(spark, sf_dir):
+    """Input and output matrix, the latter zeroed or not by flag."""
+    rows, ids = matrix(spark, sf_dir), label_row_ids(spark, sf_dir)
+    found = []
+    for flag in (True, False):
+        pair = zero_input_and_output(rows, rows, ids, include_output=flag)
+        for name, part in zip(("input", "output"), pair, strict=True):
+            found.append(part.select(F.lit(name).alias("matrix"), F.lit(flag).alias("flag"), "vec_id", all_zero().alias("zero")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def all_zero() -> Column:
+    return F.forall("embedding", lambda z: z == 0)
+
+
 def matrix_l1(spark, sf_dir):
     rows, ids = matrix(spark, sf_dir), label_row_ids(spark, sf_dir)
     before = l1_totals(rows, ids).withColumn("state", F.lit("before"))
@@ -382,8 +485,7 @@ def matrix_l1(spark, sf_dir):
 def frozen_matrix(spark, sf_dir):
     a, b, rows = vocab_a(spark, sf_dir), vocab_b(spark, sf_dir), matrix(spark, sf_dir)
     zeroed = freeze_matrix(a, b, rows)
-    is_zero = F.forall("embedding", lambda z: z == 0)
-    return zeroed.select("vec_id", is_zero.alias("frozen"))
+    return zeroed.select("vec_id", all_zero().alias("frozen"))
 
 
 # Chat text, user functions, preview
@@ -413,7 +515,7 @@ def batched_map(spark, sf_dir):
     def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
         pieces = pc.split_pattern(batch.column("text"), "\n")
         owner = pc.list_parent_indices(pieces)
-        starts = pieces.offsets.to_numpy()[:-1]
+        starts = pieces.offsets.to_numpy()[:-1] - pieces.offsets[0].as_py()
         line_no = np.arange(len(owner)) - starts[owner.to_numpy()]
         columns = [batch.column("doc_id").take(owner), pa.array(line_no, pa.int64()), pieces.flatten()]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "line"])
@@ -450,9 +552,62 @@ def prepare_blocks(spark, sf_dir):
     return shown(blocks.drop("attention_mask"), "input_ids")
 
 
+def prepared(spark, sf_dir, params):
+    return prepare_corpus(train_only(full_texts(spark, sf_dir)), vocab_a(spark, sf_dir), SPECIALS, params)
+
+
+def prepare_collated(spark, sf_dir):
+    """Packed blocks as batches of two, with labels."""
+    rows = collate(prepared(spark, sf_dir, HOLDOUT), SPECIALS, batch_size=2)
+    return shown(rows, "input_ids", "attention_mask", "labels")
+
+
+def preview_blocks(spark, sf_dir):
+    blocks = shown(prepared(spark, sf_dir, HOLDOUT).select("split", "pos", "input_ids"), "input_ids")
+    return preview(blocks, ["split", "pos"], max_rows=5, max_width=30)
+
+
+def prepare_global(spark, sf_dir):
+    """A holdout and limits, each split packed as one stream."""
+    blocks = prepared(spark, sf_dir, replace(LIMITED, grouping="global"))
+    return shown(blocks.drop("attention_mask"), "input_ids")
+
+
+def accounts_global(spark, sf_dir):
+    corpus = train_only(full_texts(spark, sf_dir))
+    return corpus_accounts(corpus, replace(LIMITED, grouping="global"))
+
+
+def prepare_without_nulls(spark, sf_dir):
+    """Texts of every seventh document are null and left out."""
+    text = F.when(F.col("doc_id") % 7 != 0, F.col("text"))
+    corpus = train_only(full_texts(spark, sf_dir)).withColumn("text", text)
+    params = replace(HOLDOUT, on_null="drop")
+    blocks = prepare_corpus(corpus, vocab_a(spark, sf_dir), SPECIALS, params)
+    return shown(blocks.drop("attention_mask"), "input_ids")
+
+
 def prepare_file_order(spark, sf_dir):
     """No holdout: positions come from the files, and only the packing moves rows."""
-    blocks = prepare_path(spark, f"{sf_dir}/documents.parquet", vocab_a(spark, sf_dir), SPECIALS, FILE_ORDER)
+    path, vocab = f"{sf_dir}/documents.parquet", vocab_a(spark, sf_dir)
+    blocks = prepare_path(spark, path, vocab, SPECIALS, FILE_ORDER, spread_over=slots(spark))
+    return shown(blocks.drop("attention_mask"), "input_ids")
+
+
+def prepare_file_limit(spark, sf_dir):
+    """The first documents of the file, truncated."""
+    params = PrepareParams(max_seq_length=LENGTH, n_train=100, use_packing=False)
+    path, vocab = f"{sf_dir}/documents.parquet", vocab_a(spark, sf_dir)
+    rows = prepare_path(spark, path, vocab, SPECIALS, params, spread_over=slots(spark))
+    return shown(rows.drop("attention_mask"), "input_ids")
+
+
+def prepare_delivered(spark, sf_dir):
+    """A whole run over a directory of delivered splits, whose documents lie in the order of their ids."""
+    path = shared_folder(spark, "delivered")
+    write_splits(delivered_splits(spark, sf_dir).coalesce(1).sortWithinPartitions("split", "doc_id").drop("doc_id"), path)
+    params = PrepareParams(max_seq_length=LENGTH, shards=4, batch_rows=100)
+    blocks = prepare_path(spark, path, vocab_a(spark, sf_dir), SPECIALS, params, spread_over=slots(spark))
     return shown(blocks.drop("attention_mask"), "input_ids")
 
 
@@ -466,6 +621,8 @@ QUERIES: dict[str, Query] = {
     "corpus_scan": corpus_scan,
     "text_projection": text_projection,
     "shard_sample": shard_sample,
+    "row_positions_any_id": row_positions_any_id,
+    "split_any_id": split_any_id,
     "row_positions": row_positions,
     "seeded_shuffle": seeded_shuffle,
     "split_holdout": split_holdout,
@@ -477,9 +634,12 @@ QUERIES: dict[str, Query] = {
     "vocab_frequency": vocab_frequency,
     "encode_corpus": encode_corpus,
     "encode_corpus_join": encode_corpus_join,
+    "encode_repeated_tokens": encode_repeated_tokens,
     "attention_mask": attention_mask,
     "encode_prompts": encode_prompt_ids,
     "decode_tokens": decode_tokens,
+    "decode_join": decode_join,
+    "decode_skips_specials": decode_skips_specials,
     "pack_groups": pack_group_ids,
     "pack_blocks": pack_blocks,
     "pack_sharded": pack_sharded,
@@ -503,10 +663,15 @@ QUERIES: dict[str, Query] = {
     "eot_ids": eot_ids,
     "token_loss": token_loss,
     "token_loss_by_sequence": token_loss_by_sequence,
+    "token_loss_gaps": token_loss_gaps,
     "perplexity": perplexity_overall,
+    "perplexity_by_sequence": perplexity_by_sequence,
+    "perplexity_capped": perplexity_capped,
+    "perplexity_nan": perplexity_nan,
     "perplexity_by_group": perplexity_by_group,
     "perplexity_empty": perplexity_empty,
     "matrix_zero_rows": matrix_zero_rows,
+    "matrix_output": matrix_output,
     "matrix_l1": matrix_l1,
     "frozen_matrix": frozen_matrix,
     "strip_role_markers": strip_markers,
@@ -517,4 +682,11 @@ QUERIES: dict[str, Query] = {
     "prepare_corpus": prepare_blocks,
     "prepare_file_order": prepare_file_order,
     "prepare_truncated": prepare_truncated,
+    "prepare_collated": prepare_collated,
+    "preview_blocks": preview_blocks,
+    "prepare_global": prepare_global,
+    "accounts_global": accounts_global,
+    "prepare_without_nulls": prepare_without_nulls,
+    "prepare_file_limit": prepare_file_limit,
+    "prepare_delivered": prepare_delivered,
 }

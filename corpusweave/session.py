@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,14 +26,27 @@ def local_session(cpus: int | str = 8, memory: str = "12g", app: str = "corpuswe
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path in the folder the cluster names in ``spark.checkpoint.dir``.
+    """A new path in the folder that all executors share.
 
-    Only where the setting is absent (a laptop, a test) is a local folder taken.
+    That is the folder set with ``setCheckpointDir`` or named in ``spark.checkpoint.dir``. Without
+    either, a local session takes a temporary folder that goes with the process; on a cluster it is an
+    error, as executors do not see each other's disks.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "corpusweave")
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    folder = tempfile.TemporaryDirectory(prefix="corpusweave-", ignore_cleanup_errors=True)
+    atexit.register(folder.cleanup)
+    return folder.name
+
+
 def settled(rows: DataFrame) -> DataFrame:
     """Rows written to the shared folder, so that later uses do not compute them again."""
     spark = rows.sparkSession

@@ -6,7 +6,6 @@ from corpusweave.sources.parquet import (
     read_ids,
     read_shard,
     rows_of_shard,
-    spread,
     write_ids,
     write_splits,
 )
@@ -17,7 +16,6 @@ __all__ = [
     "read_ids",
     "read_shard",
     "rows_of_shard",
-    "spread",
     "write_ids",
     "write_splits",
 ]

@@ -21,9 +21,12 @@ def is_single_file(path: str) -> bool:
     return path.rstrip("/").endswith((".parquet", ".parquet."))
 
 
-def read_corpus(spark: SparkSession, path: str, text_column: str = "text") -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, text_column: str = "text", spread_over: int | None = None) -> DataFrame:
     """Read a parquet corpus in file order.
 
+    Texts stay where they are read, unless ``spread_over`` asks for them to be dealt to so many
+    partitions, as for a small corpus of few row groups.
+
     A path that ends in ``.parquet`` is one ``train`` split; any other path is a
     directory partitioned by ``split`` whose splits are kept as delivered. Only the
     text column is read.
@@ -40,23 +43,10 @@ def read_corpus(spark: SparkSession, path: str, text_column: str = "text") -> Da
         F.col("_metadata.row_index").alias("row_index"),
     )
     few = len(raw.inputFiles()) <= MAX_BROADCAST_FILES
-    return file_positions(texts, broadcast_files=few, spread_rows=True)
-
-
-def spread(scanned: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a small table, spread over all task slots before heavy work on them.
-
-    Spark reads a row group in one task, so a table of few row groups would keep most
-    slots idle. A scan that already fills half the slots, as any large table does, is
-    left as it is.
-    """
-    slots = scanned.sparkSession.sparkContext.defaultParallelism
-    if 2 * scanned.rdd.getNumPartitions() > slots:
-        return scanned
-    return scanned.repartition(slots, *keys)
+    return file_positions(texts, broadcast_files=few, spread_over=spread_over)
 
 
-def file_positions(rows: DataFrame, broadcast_files: bool, spread_rows: bool = False) -> DataFrame:
+def file_positions(rows: DataFrame, broadcast_files: bool, spread_over: int | None = None) -> DataFrame:
     """Number the rows of files read whole: ``doc_id`` overall, ``pos`` per split.
 
     Takes ``split``, ``file`` and ``row_index``. Each file's first position is a
@@ -75,8 +65,8 @@ def file_positions(rows: DataFrame, broadcast_files: bool, spread_rows: bool = F
     if broadcast_files:
         starts = F.broadcast(starts)
     kept = [c for c in rows.columns if c not in ("file", "row_index")]
-    if spread_rows:
-        rows = spread(rows, "file", "row_index")
+    if spread_over:
+        rows = rows.repartition(spread_over, "file", "row_index")
     return rows.join(starts, "file").select(
         (F.col("first_doc") + F.col("row_index")).alias("doc_id"),
         *kept,

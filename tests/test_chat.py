@@ -33,6 +33,8 @@ CASES = [
     # Unicode white space is space, and long s folds to s.
     (" assistant : hi　", "hi"),
     ("uſer: hi", "hi"),
+    ("\x1cuser: hi", "hi"),
+    ("one\n\x1d\x1euser:\x1f hi", "one\nhi"),
     ("one\rmodel two", "one\rmodel two"),
 ]
 

@@ -32,8 +32,7 @@ def collected(rows, column="input_ids"):
 def test_lookup_and_join_forms_agree_with_a_loop(spark, vocab):
     want = {i: by_hand(t) for i, t in enumerate(TEXTS)}
     rows = docs(spark, TEXTS)
-    table = E.small_vocabulary(vocab)
-    assert collected(E.word_ids_by_lookup(rows, table, SPECIALS, ["doc_id"])) == want
+    assert collected(E.word_ids_by_lookup(rows, vocab, SPECIALS, ["doc_id"])) == want
     assert collected(E.word_ids_by_join(rows, vocab, SPECIALS, ["doc_id"])) == want
     assert collected(E.word_ids_by_join(rows, vocab, SPECIALS, ["doc_id"], salts=1)) == want
 
@@ -72,15 +71,55 @@ def test_prompts_open_with_bos(spark, vocab):
     assert collected(ids) == {0: [2, 10, 3], 1: [2]}
 
 
-def test_a_vocabulary_over_the_bound_is_not_broadcast(spark, vocab, monkeypatch):
-    assert E.small_vocabulary(vocab, limit=len(VOCAB) - 1) is None
-    assert E.small_vocabulary(vocab, limit=len(VOCAB)) is not None
-    whole = E.small_vocabulary
-    monkeypatch.setattr(E, "small_vocabulary", lambda v: whole(v, limit=3))
-    ids = E.encode(docs(spark, TEXTS), vocab, SPECIALS, ["doc_id"])
+def test_a_vocabulary_over_the_bound_is_refused_by_lookup(spark, vocab, monkeypatch):
+    monkeypatch.setattr(E, "MAX_VOCABULARY_BYTES", 40)
+    rows = docs(spark, TEXTS)
+    with pytest.raises(ValueError, match="'join'"):
+        E.encode(rows, vocab, SPECIALS, ["doc_id"])
+    ids = E.encode(rows, vocab, SPECIALS, ["doc_id"], form="join")
     assert "ArrowEvalPython" not in ids._jdf.queryExecution().executedPlan().toString()
     assert collected(ids) == {i: by_hand(t) + [1] for i, t in enumerate(TEXTS)}
-    assert collected(E.decode(ids, vocab, SPECIALS, ["doc_id"]), "text")[0] == "a b ї"
+    with pytest.raises(ValueError, match="'join'"):
+        E.decode(ids, vocab, SPECIALS, ["doc_id"])
+    assert collected(E.decode(ids, vocab, SPECIALS, ["doc_id"], form="join"), "text")[0] == "a b ї"
+
+
+@pytest.mark.parametrize("form", E.FORMS)
+def test_repeated_tokens_ids_and_rows(spark, form):
+    vocab = spark.createDataFrame([("a", 9), ("a", 7), ("b", 8), ("c", 8), ("a", 11)], "token STRING, id INT")
+    rows = spark.createDataFrame([(5, "a b"), (5, "a b"), (5, "c"), (None, "a")], "doc_id LONG, text STRING")
+    ids = E.encode(rows, vocab, SPECIALS, ["doc_id"], form=form)
+    got = sorted((r.doc_id or 0, r.input_ids) for r in ids.collect())
+    assert got == [(0, [7, 1]), (5, [7, 8, 1]), (5, [7, 8, 1]), (5, [8, 1])]
+    back = sorted((r.doc_id or 0, r.text) for r in E.decode(ids, vocab, SPECIALS, ["doc_id"], form=form).collect())
+    assert back == [(0, "a"), (5, "a c"), (5, "a c"), (5, "c")]
+
+
+@pytest.mark.parametrize("form", E.FORMS)
+def test_decode_leaves_out_all_special_ids(spark, vocab, form):
+    specials = Specials(eos=1, bos=2, eot=11, others=(12,))
+    ids = spark.createDataFrame([(0, [2, 10, 11, 12, 0, 1])], "doc_id LONG, input_ids ARRAY<INT>")
+    assert collected(E.decode(ids, vocab, specials, ["doc_id"], form=form), "text") == {0: "a <pad>"}
+
+
+def test_codecs_for_prompts_and_decoding(spark):
+    def lengths(text):
+        return F.transform(F.split(text, " "), lambda w: F.length(w))
+
+    def shown(ids):
+        return F.array_join(ids.cast("array<string>"), "-")
+
+    ids = E.encode_prompts(docs(spark, ["aa b"]), None, SPECIALS, ["doc_id"], codec=lengths)
+    assert collected(ids) == {0: [2, 2, 1]}
+    rows = spark.createDataFrame([(0, [2, 9, 8, 1])], "doc_id LONG, input_ids ARRAY<INT>")
+    assert collected(E.decode(rows, None, SPECIALS, ["doc_id"], codec=shown), "text") == {0: "9-8"}
+
+
+def test_wrong_forms_and_missing_vocabularies(spark, vocab):
+    with pytest.raises(ValueError, match="form"):
+        E.encode(docs(spark, ["a"]), vocab, SPECIALS, ["doc_id"], form="guess")
+    with pytest.raises(ValueError, match="codec"):
+        E.encode(docs(spark, ["a"]), None, SPECIALS, ["doc_id"])
 
 
 def test_decode_drops_specials_and_keeps_empty_rows(spark, vocab):

@@ -83,3 +83,31 @@ def test_groups(spark):
     losses = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 30.0)], "kind STRING, loss DOUBLE")
     got = {r.kind: (r.eval_loss, r.perplexity) for r in perplexity(losses, ["kind"]).collect()}
     assert got == {"a": (2.0, pytest.approx(math.exp(2))), "b": (30.0, math.inf)}
+
+
+def test_gaps_pair_with_the_next_step_there_is(spark):
+    rows = [(0, 0, [0.0, 0.0], 1), (0, 2, [0.0, 0.0], 1), (0, 7, [0.0, 0.0], -100)]
+    got = token_losses(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.pos, r.target) for r in got] == [(0, 1)]
+
+
+def test_null_labels_fail(spark):
+    rows = spark.createDataFrame([(0, 0, [0.0, 0.0], 1), (0, 1, [0.0, 0.0], None)], SCHEMA)
+    with pytest.raises(Exception, match="null value in column label"):
+        token_losses(rows).collect()
+    arrays = spark.createDataFrame([(0, [[0.0], [0.0]], [0, None])], "seq_id LONG, logits ARRAY<ARRAY<FLOAT>>, labels ARRAY<INT>")
+    with pytest.raises(Exception, match="null value in column label"):
+        sequence_losses(arrays).collect()
+
+
+def test_wide_logits(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    logits = (rng.standard_normal((3, 5000)) * 50).astype(np.float32)
+    rows = [(0, i, row.tolist(), 4999 - i) for i, row in enumerate(logits)]
+    got = {r.pos: r.loss for r in token_losses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(2):
+        z = logits[i].astype(float)
+        want = z.max() + np.log(np.exp(z - z.max()).sum()) - z[4999 - (i + 1)]
+        assert got[i] == pytest.approx(want, rel=1e-9)

@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusweave.operators.order import (
-    MAX_NATURAL_ID,
     cutoffs,
     head_tail,
     natural_order,
     positions,
+    running_totals,
     seeded_order,
     unique_sorted,
 )
@@ -18,10 +18,11 @@ def rows(spark, ids, split="train"):
     return spark.createDataFrame([(i, split) for i in ids], "doc_id LONG, split STRING")
 
 
-SPARSE = sorted(random.Random(7).sample(range(MAX_NATURAL_ID), 300)) + [3, 4, 5]
+LEAST, GREATEST = -(1 << 63), (1 << 63) - 1
+SPARSE = [*random.Random(7).sample(range(1 << 62), 150), *(-1 - i for i in random.Random(8).sample(range(1 << 62), 150)), 3, 4, 5]
 
 
-@pytest.mark.parametrize("ids", [list(range(50)), SPARSE, [0, MAX_NATURAL_ID - 1]])
+@pytest.mark.parametrize("ids", [list(range(50)), SPARSE, [0, GREATEST, LEAST, -1]])
 def test_natural_positions_of_dense_and_sparse_ids(spark, ids):
     got = positions(natural_order(rows(spark, ids))).collect()
     assert {r.doc_id: r.pos for r in got} == {i: n for n, i in enumerate(sorted(ids))}
@@ -35,19 +36,31 @@ def test_positions_start_anew_in_each_split(spark):
 
 
 def test_weighted_positions_give_offsets(spark):
-    weighted = natural_order(rows(spark, SPARSE)).withColumn("w", F.col("doc_id") % 5 + 1)
+    weighted = natural_order(rows(spark, SPARSE)).withColumn("w", F.pmod("doc_id", F.lit(5)) + 1)
     got = positions(weighted, weight="w").orderBy("doc_id").collect()
     total = 0
+    assert [r.doc_id for r in got] == sorted(SPARSE)
     for r in got:
         assert r.start == total
         total += r.w
     assert {r.split_weight for r in got} == {total}
 
 
-@pytest.mark.parametrize("bad", [-1, MAX_NATURAL_ID, None])
-def test_ids_outside_the_range_fail(spark, bad):
-    with pytest.raises(Exception, match="id outside"):
-        positions(natural_order(rows(spark, [1, bad]))).collect()
+def test_null_ids_fail_in_natural_order(spark):
+    with pytest.raises(Exception, match="null value in column id"):
+        positions(natural_order(rows(spark, [1, None]))).collect()
+
+
+def test_running_totals_of_any_buckets(spark):
+    rng = random.Random(5)
+    buckets = [*range(6), *rng.sample(range(-(1 << 53), 1 << 53), 200), (1 << 20) - 1, 1 << 20, 1 << 40]
+    table = spark.createDataFrame([("a", b, b % 7 + 1) for b in buckets] + [("b", 3, 5)], "k STRING, b LONG, v LONG")
+    found = {(r.k, r.b): (r.before_v, r.all_v) for r in running_totals(table, ["k"], "b", ["v"]).collect()}
+    total, whole = 0, sum(b % 7 + 1 for b in buckets)
+    for b in sorted(buckets):
+        assert found["a", b] == (total, whole)
+        total += b % 7 + 1
+    assert found["b", 3] == (0, 5)
 
 
 def test_null_ids_and_splits_fail_rather_than_vanish(spark):

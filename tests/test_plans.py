@@ -9,8 +9,8 @@ from corpusweave import PrepareParams, Specials, prepare_corpus, read_corpus
 from corpusweave.operators.encode import encode, texts
 from corpusweave.operators.order import natural_order
 from corpusweave.operators.splits import assign_splits
+from corpusweave.plans.queries import QUERIES
 
-import __spark_entry__ as entry
 
 SPECIALS = Specials(pad=0, eos=1, bos=2, unk=3)
 
@@ -39,9 +39,9 @@ def vocab(spark):
     return spark.createDataFrame([("the", 4)], "token STRING, id INT")
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_cross_join(spark, sf_dir, name, plain_plans):
-    text = plan(entry.queries()[name](spark, sf_dir))
+    text = plan(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
@@ -72,7 +72,7 @@ def test_splitting_moves_no_text(spark, corpus, plain_plans):
 
 
 def test_a_holdout_from_delivered_splits_reads_texts_once(spark, sf_dir, plain_plans):
-    text = plan(entry.queries()["split_delivered"](spark, sf_dir))
+    text = plan(QUERIES["split_delivered"](spark, sf_dir))
     assert text.count("FileScan") == 1
 
 
@@ -106,8 +106,10 @@ def test_pieces_are_cut_inside_generated_code(spark, corpus, vocab, plain_plans)
 
 
 def test_losses_join_on_the_step(spark, sf_dir, plain_plans):
-    text = plan(entry.queries()["token_loss"](spark, sf_dir))
-    assert "Window" not in text and re.search(r"SortMergeJoin \[seq_id#\d+L, pos#\d+L\]", text)
+    text = plan(QUERIES["token_loss"](spark, sf_dir))
+    assert re.search(r"SortMergeJoin \[seq_id#\d+L, pos#\d+L\]", text)
+    # Targets come from a window over labels alone.
+    assert not re.search(r"Window .*logits", text)
 
 
 def test_no_window_without_partition_reads_documents(spark, corpus, vocab, plain_plans):
@@ -118,3 +120,40 @@ def test_no_window_without_partition_reads_documents(spark, corpus, vocab, plain
 def test_projection_reads_its_columns_only(spark, sf_dir, plain_plans):
     text = plan(natural_order(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "order_key"))
     assert "ReadSchema: struct<doc_id:bigint>" in text
+
+
+WIDE = ["prepare_corpus", "pack_sharded", "pack_global", "collate_left_pad", "prepare_collated", "prepare_global"]
+WIDE += ["encode_corpus_join", "decode_join", "row_positions_any_id", "token_loss", "matrix_zero_rows"]
+
+
+@pytest.mark.parametrize("name", WIDE)
+def test_no_ids_texts_or_logits_are_broadcast(spark, sf_dir, name):
+    """The plan that really ran, with adaptive execution and broadcasts as a session has them."""
+    rows = QUERIES[name](spark, sf_dir)
+    rows._jdf.queryExecution().executedPlan().executeCollect()
+    final = rows._jdf.queryExecution().executedPlan()
+    wide = re.compile(r"array<|(?<!\w)(text|input_ids|logits|embedding|pieces?|placed)#")
+    seen = 0
+    for line in final.toString().partition("Initial Plan")[0].splitlines():
+        if "BroadcastExchange" in line:
+            seen += 1
+    for exchange in broadcast_outputs(final):
+        assert not wide.search(exchange), exchange
+    assert seen == len(broadcast_outputs(final))
+
+
+def broadcast_outputs(node):
+    """Output columns of every broadcast in a plan."""
+    found = []
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return broadcast_outputs(node.executedPlan())
+    if "QueryStage" in name:
+        return broadcast_outputs(node.plan())
+    if name == "BroadcastExchange":
+        output = node.output()
+        found.append(" ".join(f"{output.apply(i).name()}#:{output.apply(i).dataType().simpleString()}" for i in range(output.size())))
+    children = node.children()
+    for i in range(children.size()):
+        found += broadcast_outputs(children.apply(i))
+    return found

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,11 +13,12 @@ from corpusweave.sources.parquet import (
     read_ids,
     read_shard,
     rows_of_shard,
-    spread,
     write_ids,
     write_splits,
 )
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 @pytest.fixture(scope="module")
 def shards(spark, tmp_path_factory):
@@ -47,11 +52,12 @@ def test_many_files_take_the_plain_join(spark, shards):
     assert sorted((r.pos, r.text) for r in got) == [(i, f"w{i}") for i in range(1000)]
 
 
-def test_only_a_scan_of_few_tasks_is_spread(spark, shards):
-    whole = spark.read.parquet(shards)
-    assert spread(whole.coalesce(1), "other").rdd.getNumPartitions() == 4
-    assert whole.rdd.getNumPartitions() == 4
-    assert spread(whole, "other") is whole
+def test_texts_stay_where_they_are_read_unless_asked(spark, shards):
+    plan = read_corpus(spark, shards, "body")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" not in plan
+    spread = read_corpus(spark, shards, "body", spread_over=3)
+    assert "REPARTITION_BY_NUM" in spread._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, read_corpus(spark, shards, "body").collect()))
 
 
 def test_only_the_text_is_read(spark, shards):
@@ -102,12 +108,32 @@ def test_id_lists(spark, tmp_path):
     assert sorted(r.id for r in back.collect()) == [1, 3]
 
 
+class Cluster:
+    """What ``shared_folder`` asks of a session."""
+
+    def __init__(self, master, folder=None, setting=None):
+        context = type("Context", (), {"master": master, "getCheckpointDir": lambda _: folder})()
+        self.sparkContext = context
+        self.conf = type("Conf", (), {"get": lambda _, key, default: setting or default})()
+
+
 def test_shared_folder_follows_the_session(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None)
     first, second = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert first != second
-    if base:
-        assert first.startswith(base.rstrip("/"))
+    assert shared_folder(Cluster("yarn", setting="s3a://bucket/work/"), "x").startswith("s3a://bucket/work/x-")
+    assert shared_folder(Cluster("yarn", folder="hdfs:/set", setting="s3a://bucket"), "x").startswith("hdfs:/set/x-")
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://host"])
+def test_no_folder_of_one_machine_on_a_cluster(master):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster(master), "x")
+
+
+def test_the_local_folder_goes_with_the_process():
+    code = "import os; from corpusweave.session import _local_folder as f; open(os.path.join(f(), 'a'), 'w').close(); print(f())"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT)
+    assert "corpusweave-" in done.stdout and not os.path.exists(done.stdout.strip())
 
 
 def test_preview(spark):
@@ -117,4 +143,5 @@ def test_preview(spark):
     got = preview(rows, "n", max_rows=2, max_width=10)
     assert got.columns == ["n", "a_long_col", "t"]
     assert [tuple(r) for r in got.collect()] == [("1", "1.5", "short"), ("2", "", "x" * 10)]
+    assert [r.n for r in preview(rows, ["t", "n"], max_rows=3).collect()] == ["3", "1", "2"]
     assert preview(rows, "n", max_width=None).collect()[1].t == "x" * 50

@@ -37,7 +37,7 @@ def test_golden_holdouts(spark, n_train, n_val, n_test, want):
     assert got == {name: [order[i] for i in ranks] for name, ranks in want.items()}
 
 
-@pytest.mark.parametrize("n_train, want", [(4, range(4)), (None, range(10)), (0, range(10)), (-1, range(10))])
+@pytest.mark.parametrize("n_train, want", [(4, range(4)), (None, range(10)), (0, range(10))])
 def test_no_holdout_keeps_file_order(spark, n_train, want):
     got = parts(assign_splits(corpus(spark), PrepareParams(n_train=n_train, n_val=0)))
     assert got == {"train": list(want)}
@@ -105,3 +105,23 @@ def test_splits_are_disjoint_and_complete(spark):
     assert sorted(sum(got.values(), [])) == list(range(300))
     other = parts(assign_splits(corpus(spark, 300), PrepareParams(n_val=40, n_test=70, seed=7)))
     assert other["validation"] != got["validation"]
+
+
+def test_negative_and_zero_sizes_are_refused():
+    for name in ("n_train", "n_val", "n_test"):
+        with pytest.raises(ValueError, match=name):
+            PrepareParams(**{name: -1})
+    for name in ("shards", "batch_rows", "max_seq_length"):
+        with pytest.raises(ValueError):
+            PrepareParams(**{name: 0, "use_packing": False})
+
+
+def test_a_limit_costs_no_more_jobs_than_a_holdout(spark):
+    def jobs(params):
+        tracker, group = spark.sparkContext.statusTracker(), f"jobs-{params}"
+        spark.sparkContext.setJobGroup(group, "")
+        assign_splits(corpus(spark, 60), params)
+        spark.sparkContext.setJobGroup("other", "")
+        return len(tracker.getJobIdsForGroup(group))
+
+    assert jobs(PrepareParams(n_train=5, n_val=6, n_test=7)) <= jobs(PrepareParams(n_val=6, n_test=7))
