@@ -185,10 +185,12 @@ def with_next(rows: DataFrame, carried: list[str], key: str = "doc_id") -> DataF
     serves = F.when(F.col("of_range") == len(bounds) - 1, lowest).otherwise(F.col("of_range") + 1)
     served = firsts.select(serves.alias("served_range"), "first")
     order = W.partitionBy("of_range").orderBy(*ties)
-    followed = rows.withColumn("of_range", number).withColumn("after", F.lead(own).over(order))
+    # Plain columns, one by one: a struct of them would move beside them.
+    leads = [F.lead(c).over(order).alias(n) for c, n in zip(carried, nexts, strict=True)]
+    is_inside = F.lead(F.lit(True)).over(order).alias("is_inside")
+    followed = rows.withColumn("of_range", number).select("*", *leads, is_inside)
     joined = followed.join(served, F.col("of_range") == F.col("served_range"), "left")
-    after = F.coalesce("after", "first")
-    return joined.select(*rows.columns, *[after[n].alias(n) for n in nexts])
+    return joined.select(*rows.columns, *[F.when(F.col("is_inside"), F.col(n)).otherwise(F.col("first")[n]).alias(n) for n in nexts])
 
 
 def edited_text(text: Column, after: Column) -> Column:
