@@ -49,7 +49,7 @@ def main():
     from corpusweave.session import local_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(entry.queries())
+    names = sys.argv[2:] or list(entry.oracle_sql())
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     bad = 0
