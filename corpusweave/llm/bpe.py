@@ -19,7 +19,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.llm.common import shipped
-from corpusweave.llm.trie import slices, walk
+from corpusweave.llm.trie import numbered, slices, walk
 
 MAX_VOCABULARY = 1_000_000
 SLICE_CHARS = 1_000_000
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 
 
 def byte_alphabet() -> list[str]:
@@ -238,13 +238,12 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts and the offsets of each text in them."""
-        words = [self.pieces(t) for t in texts]
+        words, places, counts = numbered(map(self.pieces, texts))
         known = self._known
         known.make_room()
-        self.encode_words(set(chain.from_iterable(words)).difference(known.places))
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        places = np.fromiter(map(known.places.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
-        flat, ends = known.gather(places)
+        self.encode_words(set(words).difference(known.places))
+        of_words = np.fromiter(map(known.places.__getitem__, words), np.int64, len(words))
+        flat, ends = known.gather(of_words[places])
         return flat, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
 
 

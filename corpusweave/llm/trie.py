@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from typing import TypeVar
 
+import numpy as np
+
 State = TypeVar("State")
 
 
@@ -43,6 +45,25 @@ def walk(
         before = word
 
 
+class Numbering(dict):
+    """Numbers of words, by the order of their first use."""
+
+    def __missing__(self, word):
+        number = self[word] = len(self)
+        return number
+
+
+def numbered(texts: Iterable[Iterable[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of texts, all their words as places among them, and the words of each text.
+
+    The words of one text at a time are held as strings.
+    """
+    places = Numbering()
+    flat = [np.fromiter(map(places.__getitem__, words), np.int32) for words in texts]
+    sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+    return list(places), np.concatenate([np.zeros(0, np.int32), *flat]), sizes
+
+
 def slices(lengths: list[int], budget: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of items whose lengths add up to about ``budget``, at least one item each."""
     first, total = 0, 0

@@ -16,10 +16,11 @@ Plan: one scan, no shuffle; a task holds a slice of texts and a bounded memory o
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusweave.llm.bpe import ALPHABET, KEPT_WORDS, MAX_VOCABULARY, SLICE_CHARS, symbols
 from corpusweave.llm.common import shipped
-from corpusweave.llm.trie import slices, walk
+from corpusweave.llm.trie import numbered, slices, walk
 
 # The pattern that byte-level vocabularies split text by (fixed value).
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -108,13 +109,14 @@ class Unigram:
 
     def count(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """Pre-tokens, tokens and log10 probability of each text."""
-        cut = [self.pretokens(t) for t in texts]
-        self.count_pretokens(set(chain.from_iterable(cut)))
-        known, rows = self._known, []
-        for words in cut:
-            found = [known[w] for w in words]
-            rows.append((len(words), -sum(n for _, n in found), sum(s for s, _ in found) / np.log(10)))
-        return rows
+        words, places, counts = numbered(map(self.pretokens, texts))
+        self.count_pretokens(set(words))
+        known = [self._known[w] for w in words]
+        scores = np.array([s for s, _ in known], np.float64)[places]
+        tokens = np.array([-n for _, n in known], np.int64)[places]
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        parts = [slice(*pair) for pair in pairwise(bounds)]
+        return [(len(tokens[p]), int(tokens[p].sum()), float(scores[p].sum()) / math.log(10)) for p in parts]
 
 
 def load(spark: SparkSession, path: str) -> Broadcast:
