@@ -115,7 +115,8 @@ def table_turns(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     if found == ROWS_FINGERPRINT:
         part = F.struct("turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
         together = rows.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("parts"))
-        return together.select(key, F.transform("parts", lambda p: F.struct(p["role"], p["text"])).cast(TURNS).alias("turns"))
+        turns = F.transform("parts", lambda p: F.struct(p["role"], p["text"])).cast(TURNS)
+        return together.select(key, turns.alias("turns"))
     if found not in BY_FINGERPRINT:
         raise ValueError(f"no mapping for fields {sorted(field_paths(rows.drop(key).schema))}")
     return rows.select(key, F.expr(MAPPINGS[BY_FINGERPRINT[found]].turns).cast(TURNS).alias("turns"))
@@ -178,10 +179,11 @@ def format_chat(turns: DataFrame, key: str = "conv_id", trained: tuple[str, ...]
 
     A conversation without turns formats to an empty text.
     """
-    parts = F.transform(
-        "turns",
-        lambda t: F.struct(t["role"].alias("role"), escaped(t["role"]).alias("shown"), escaped(t["text"]).alias("text")),
-    )
+
+    def part(t: Column) -> Column:
+        return F.struct(t["role"].alias("role"), escaped(t["role"]).alias("shown"), escaped(t["text"]).alias("text"))
+
+    parts = F.transform("turns", part)
     rows = turns.select(key, parts.alias("parts"))
     head = len(TURN) + len(MSG)
 
@@ -199,11 +201,8 @@ def format_chat(turns: DataFrame, key: str = "conv_id", trained: tuple[str, ...]
             p["role"].isin(*trained).alias("is_trained"),
         ),
     )
-    return rows.select(
-        key,
-        F.array_join(written, "").alias("formatted"),
-        F.transform(F.filter(spans, lambda s: s["is_trained"]), lambda s: F.struct(s["start"], s["length"])).alias("loss_spans"),
-    )
+    masked = F.transform(F.filter(spans, lambda s: s["is_trained"]), lambda s: F.struct(s["start"], s["length"]))
+    return rows.select(key, F.array_join(written, "").alias("formatted"), masked.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -217,9 +216,12 @@ def read_back(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
             unescaped(F.substr(p, at + len(MSG))).alias("text"),
         )
 
-    under = F.transform(
-        "loss_spans", lambda s: unescaped(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))
-    )
+
+    def under_mask(s: Column) -> Column:
+        start, length = (s["start"] + 1).cast("int"), s["length"].cast("int")
+        return unescaped(F.substr(F.col("formatted"), start, length))
+
+    under = F.transform("loss_spans", under_mask)
     return formatted.select(
         key, F.transform(pieces, turn).alias("turns"), F.array_join(under, "").alias("loss_text"), "formatted"
     )

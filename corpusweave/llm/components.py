@@ -19,8 +19,8 @@ def _round(links: DataFrame) -> DataFrame:
         links.select(F.col("root").alias("u"), F.col("node").alias("v"))
     )
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"))
-    large = both.where("v > u").join(least, "u").where("v <> least").select(F.col("v").alias("node"), F.col("least").alias("root"))
-    large = large.distinct()
+    upward = both.where("v > u").join(least, "u").where("v <> least")
+    large = upward.select(F.col("v").alias("node"), F.col("least").alias("root")).distinct()
     lower = large.groupBy("node").agg(F.min("root").alias("least"))
     joined = large.join(lower, "node")
     ends = F.explode(F.array(F.col("node"), F.col("root"))).alias("node")

@@ -59,7 +59,8 @@ def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.int64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends = np.cumsum(sizes)
-    buckets = (joined[:-2] * 961 + joined[1:-1] * 31 + joined[2:]) * 2654435761 % (1 << 32) // ((1 << 32) // CHAR_BUCKETS)
+    codes = joined[:-2] * 961 + joined[1:-1] * 31 + joined[2:]
+    buckets = codes * 2654435761 % (1 << 32) // ((1 << 32) // CHAR_BUCKETS)
     inside = np.ones(len(joined), bool)
     inside[ends - 1] = inside[ends - 2] = False
     return buckets[inside[:-2]], np.concatenate([[0], np.cumsum(sizes - 2)])[:-1]
@@ -97,7 +98,9 @@ def places(first: np.ndarray, size: np.ndarray, words: np.ndarray) -> tuple[np.n
     return words[at], mask
 
 
-def forward(params: Params, projected: dict[str, np.ndarray], at: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
+def forward(
+    params: Params, projected: dict[str, np.ndarray], at: np.ndarray, mask: np.ndarray, keep: list | None = None
+) -> np.ndarray:
     """Logit of each window; with ``keep``, what the way back needs is appended to it.
 
     ``projected`` holds, per direction, the input part of the gates of each distinct word.
@@ -129,7 +132,9 @@ def forward(params: Params, projected: dict[str, np.ndarray], at: np.ndarray, ma
     return pooled @ params["out_w"] + params["out_b"][0]
 
 
-def backward(params: Params, vectors: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: list, of_logit: np.ndarray) -> tuple[Params, np.ndarray]:
+def backward(
+    params: Params, vectors: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: list, of_logit: np.ndarray
+) -> tuple[Params, np.ndarray]:
     """Gradients of all parameters but the tables, and of the input vectors of the distinct words."""
     h = HIDDEN
     states, looked, weights, pooled = keep.pop()

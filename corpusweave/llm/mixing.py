@@ -72,7 +72,8 @@ def queue(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     Needs ``source`` and ``size`` besides ``doc_id``. The order is a hash of seed, id and size, then
     these themselves, so rows that tie are alike in all that counts.
     """
-    named = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    own_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    named = F.concat_ws(":", F.lit(seed), own_id, F.col("size").cast("string"))
     key = F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")  # 60 bits
     run = F.shiftright(key, 60 - RUN_BITS).cast("int")
     keyed = docs.withColumn("queue_key", key).withColumn("run", run)
@@ -152,9 +153,8 @@ def in_mix_order(passes: DataFrame) -> DataFrame:
     dealt = passes.withColumn("slice", spread.cast("int"))
     totals = dealt.groupBy("slice").agg(F.sum("words").alias("slice_words"))
     earlier = W.partitionBy().orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select(
-        F.col("slice").alias("slice_number"), F.coalesce(F.sum("slice_words").over(earlier), F.lit(0)).alias("slice_start")
-    )
+    before = F.coalesce(F.sum("slice_words").over(earlier), F.lit(0))
+    starts = totals.select(F.col("slice").alias("slice_number"), before.alias("slice_start"))
     inside = W.partitionBy("slice").orderBy("finish", F.col("source").asc_nulls_last(), "pass", "place")
     within = F.coalesce(F.sum("words").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = dealt.withColumn("within", within).join(starts, F.col("slice") == F.col("slice_number"))

@@ -59,7 +59,8 @@ def numbered(hashes: Column) -> Column:
 
         first = F.filter(s, lambda x, i: (i == 0) | ~again(x, i))
         later = F.filter(s, lambda x, i: (i > 0) & again(x, i))
-        return F.concat(F.transform(first, lambda x: F.struct(x["h"].alias("g"), x["pos"].alias("pos"))), later_numbers(later))
+        firsts = F.transform(first, lambda x: F.struct(x["h"].alias("g"), x["pos"].alias("pos")))
+        return F.concat(firsts, later_numbers(later))
 
     def later_numbers(later: Column) -> Column:
         def by_group(d: Column) -> Column:
@@ -190,7 +191,8 @@ def with_next(rows: DataFrame, carried: list[str], key: str = "doc_id") -> DataF
     is_inside = F.lead(F.lit(True)).over(order).alias("is_inside")
     followed = rows.withColumn("of_range", number).select("*", *leads, is_inside)
     joined = followed.join(served, F.col("of_range") == F.col("served_range"), "left")
-    return joined.select(*rows.columns, *[F.when(F.col("is_inside"), F.col(n)).otherwise(F.col("first")[n]).alias(n) for n in nexts])
+    found = [F.when(F.col("is_inside"), F.col(n)).otherwise(F.col("first")[n]).alias(n) for n in nexts]
+    return joined.select(*rows.columns, *found)
 
 
 def edited_text(text: Column, after: Column) -> Column:

@@ -67,7 +67,9 @@ def fingerprint(text: str, size: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, size: int = SHINGLE_WORDS, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
     """Columns in ``keep`` and ``fp``, the fingerprint as a signed long; a null text counts as empty."""
 
     @F.arrow_udf("long")
@@ -185,7 +187,8 @@ def in_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     # Who is at home visits too, and so is in a row and in a column of the blocks.
     visits = F.transform(others, lambda b: F.struct(b.alias("row"), own.alias("column"), F.lit(False).alias("hosts")))
     hosts = F.transform(others, lambda b: F.struct(own.alias("row"), b.alias("column"), F.lit(True).alias("hosts")))
-    places = F.when(F.col("at_home") & (F.col("blocks") > 1), F.concat(visits, hosts)).when(F.col("at_home"), hosts).otherwise(visits)
+    is_split = F.col("blocks") > 1
+    places = F.when(~F.col("at_home"), visits).when(is_split, F.concat(visits, hosts)).otherwise(hosts)
     return dealt.select("anchor", "fp", F.inline(places))
 
 
@@ -247,7 +250,11 @@ def link_fingerprints(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
+    docs: DataFrame,
+    size: int = SHINGLE_WORDS,
+    distance: int = MAX_DISTANCE,
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
     """One row per row of ``docs``: ``keep``, ``fp``, ``component_id``, the least id of its group, and
     ``root``, the group's least fingerprint.
@@ -259,7 +266,8 @@ def near_duplicates(
     rows = checkpointed(fingerprints(docs, size, text, tuple(dict.fromkeys(("doc_id", *keep)))))
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     stars = connected_components(link_fingerprints(distinct.select("fp"), distance))
-    rooted = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = rooted.select("fp", "root").join(least, "root")
     return rows.join(members, "fp").select(*keep, "fp", "root", "component_id")
@@ -269,13 +277,18 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_per_group(docs: DataFrame, size: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE, text: str = "text") -> DataFrame:
+def one_per_group(
+    docs: DataFrame, size: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE, text: str = "text"
+) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the document of the least id.
 
     Rows that agree in id and text are one document.
     """
     whole = docs.select(
-        F.struct(*docs.columns).alias("whole"), "doc_id", F.col(text).alias("text"), digest(text_or_empty(text)).alias("own_digest")
+        F.struct(*docs.columns).alias("whole"),
+        "doc_id",
+        F.col(text).alias("text"),
+        digest(text_or_empty(text)).alias("own_digest"),
     )
     groups = near_duplicates(whole, size, distance, "text", keep=("doc_id", "own_digest"))
     id_is_null = F.col("doc_id").isNull().alias("is_null")

@@ -55,7 +55,8 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> list[tuple
 
     Rows without a label or an id are left out; of several labels of one id the greatest holds.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
+    known = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train = known.where(crc_fold(F.col("doc_id"), folds) != 0)
     chosen = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TEXTS)
     texts = docs.select("doc_id", F.substr(text_or_empty(), F.lit(1), F.lit(SAMPLE_CHARS)).alias("text"))
@@ -99,7 +100,9 @@ def fit(rows: list[tuple[str, int]], seed: int = SEED) -> dict:
     return model | {"fitted": True}
 
 
-def train(params: gru.Params, known: dict[bytes, int], texts: list[list[bytes]], toxic: np.ndarray, rng: np.random.Generator) -> None:
+def train(
+    params: gru.Params, known: dict[bytes, int], texts: list[list[bytes]], toxic: np.ndarray, rng: np.random.Generator
+) -> None:
     """Adjusts the parameters in ``ROUNDS`` rounds of about ``STEPS / ROUNDS`` steps, one pass at least."""
     distinct = sorted({w for ws in texts for w in ws})
     number = {w: i for i, w in enumerate(distinct)}
@@ -120,7 +123,8 @@ def train(params: gru.Params, known: dict[bytes, int], texts: list[list[bytes]],
     passes = max(1, -(-STEPS * BATCH // (ROUNDS * len(texts))))
     for _ in range(ROUNDS):
         projected = gru.project(params, gru.embed(params, distinct, ids))
-        logits = np.concatenate([_logits(params, projected, flat, first[i : i + WINDOWS_AT_ONCE], size[i : i + WINDOWS_AT_ONCE]) for i in range(0, len(first), WINDOWS_AT_ONCE)])
+        parts = [slice(i, i + WINDOWS_AT_ONCE) for i in range(0, len(first), WINDOWS_AT_ONCE)]
+        logits = np.concatenate([_logits(params, projected, flat, first[p], size[p]) for p in parts])
         by_logit = np.lexsort((logits, text))
         last = np.append(np.flatnonzero(np.diff(text[by_logit])), len(text) - 1)
         best = np.concatenate([rng.permutation(by_logit[last]) for _ in range(passes)])
@@ -141,7 +145,8 @@ def train(params: gru.Params, known: dict[bytes, int], texts: list[list[bytes]],
             grads["chars"] = np.zeros_like(params["chars"])
             of_chars = of_vectors[:, gru.WORD_DIM :] / per_word[used][:, None]
             spans = [slice(starts[j], starts[j] + per_word[j]) for j in used]
-            np.add.at(grads["chars"], np.concatenate([buckets[s] for s in spans]), np.repeat(of_chars, per_word[used], axis=0))
+            trigrams = np.concatenate([buckets[s] for s in spans])
+            np.add.at(grads["chars"], trigrams, np.repeat(of_chars, per_word[used], axis=0))
             step += 1
             _adam(params, grads, moments, step)
 
@@ -162,7 +167,9 @@ def _adam(params: gru.Params, grads: gru.Params, moments: dict[str, list[np.ndar
         params[name] -= (rate * mean / (np.sqrt(square) + 1e-8)).astype(np.float32)
 
 
-def _logits(params: gru.Params, projected: dict[str, np.ndarray], flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _logits(
+    params: gru.Params, projected: dict[str, np.ndarray], flat: np.ndarray, first: np.ndarray, size: np.ndarray
+) -> np.ndarray:
     at, mask = gru.places(first, size, flat)
     return gru.forward(params, projected, at, mask)
 
@@ -171,7 +178,8 @@ class Scorer:
     """A fitted model with the projected vectors of words it has met, up to ``KEPT_WORDS``."""
 
     def __init__(self, model: dict):
-        self.known, self.params, self.share, self.fitted = model["known"], model["params"], model["share"], model["fitted"]
+        self.known, self.params = model["known"], model["params"]
+        self.share, self.fitted = model["share"], model["fitted"]
         self.start_anew()
 
     def start_anew(self) -> None:
@@ -225,7 +233,8 @@ def score_toxicity(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_i
             for first, end in slices(lengths, SLICE_CHARS):
                 part = batch.slice(first, end - first)
                 score, n = scorer.scores([t or "" for t in part.column(place).to_pylist()])
-                added = [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(n, pa.int64())]
+                predicted = pa.array((score >= 0.5).astype(np.int32))
+                added = [pa.array(score, pa.float64()), predicted, pa.array(n, pa.int64())]
                 own = part.columns[: len(kept)]
                 yield pa.RecordBatch.from_arrays([*own, *added], [*kept, "score", "predicted", "n_windows"])
 

@@ -139,7 +139,8 @@ def count_tokens(docs: DataFrame, model: Broadcast, key: str = "doc_id", text: s
                 rows = unigram.count([t or "" for t in part.column(1).to_pylist()])
                 pretokens, tokens, logs = zip(*rows, strict=True)
                 columns = [pa.array(pretokens, pa.int64()), pa.array(tokens, pa.int64()), pa.array(logs, pa.float64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], [key, "n_pretokens", "n_tokens", "log10_prob"])
+                names = [key, "n_pretokens", "n_tokens", "log10_prob"]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
 
     rows = docs.select(key, text)
     kind = rows.schema[key].dataType.simpleString()
