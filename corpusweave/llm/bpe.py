@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm.common import shipped
+from corpusweave.llm.common import released, shipped
 from corpusweave.llm.trie import numbered, slices, walk
 
 MAX_VOCABULARY = 1_000_000
@@ -307,7 +307,7 @@ def encode_bpe(docs: DataFrame, model: Broadcast, text: str = "text", ids: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, lists.cast(pa.list_(pa.int32()))], [*kept, ids])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, `{ids}` array<int>")
+    return rows.mapInArrow(lambda batches: released(run(batches)), f"{fields}, `{ids}` array<int>")
 
 
 def decode_bpe(rows: DataFrame, model: Broadcast, ids: str = "input_ids", text: str = "decoded") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.session import settled, shared_folder
 
-__all__ = ["WORD", "checkpointed", "crc_fold", "digest", "documents", "shipped", "stored", "strings", "text_or_empty"]
+__all__ = ["WORD", "checkpointed", "crc_fold", "digest", "documents", "new_folder", "released", "shipped", "stored", "strings", "text_or_empty"]
 
 _SHIPPED: set[str] = set()
 
@@ -58,6 +61,18 @@ def shipped(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at their end, memory that a Python worker keeps for reuse goes back to the machine.
+
+    Workers stay alive between tasks of one kind, beside those of the next.
+    """
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library knows it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def checkpointed(rows: DataFrame) -> DataFrame:
     """Rows in the folder of ``spark.checkpoint.dir``, so that no later use computes them again."""
     return settled(rows)

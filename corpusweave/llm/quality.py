@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from corpusweave.llm.common import shipped, strings
+from corpusweave.llm.common import released, shipped, strings
 from corpusweave.llm.trie import slices
 
 MIN_WORDS = 50
@@ -153,4 +153,4 @@ def rate_quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     shipped(docs.sparkSession)
     rows = docs.select(key, text)
     kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} {t}" for n, _, t in FIELDS))
+    return rows.mapInArrow(lambda batches: released(run(batches)), f"`{key}` {kind}, " + ", ".join(f"{n} {t}" for n, _, t in FIELDS))

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.llm.common import checkpointed, digest, shipped, text_or_empty
+from corpusweave.llm.common import checkpointed, digest, released, shipped, text_or_empty
 from corpusweave.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -171,7 +171,7 @@ def replicas(fps: DataFrame, occupied: Broadcast, distance: int = MAX_DISTANCE)
                     columns = [anchors, np.repeat(fps_here, masks.shape[1]), at_home.ravel()]
                     yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in columns], ["anchor", "fp", "at_home"])
 
-    return fps.mapInArrow(run, "anchor long, fp long, at_home boolean")
+    return fps.mapInArrow(lambda batches: released(run(batches)), "anchor long, fp long, at_home boolean")
 
 
 def in_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -229,7 +229,7 @@ def anchor_links(rows: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     sorted_rows = rows.repartition(*key).sortWithinPartitions(*key)
-    return sorted_rows.select(*key, "fp", "hosts").mapInArrow(run, "a long, b long")
+    return sorted_rows.select(*key, "fp", "hosts").mapInArrow(lambda batches: released(run(batches)), "a long, b long")
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray] | None]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm import gru
-from corpusweave.llm.common import crc_fold, shipped, text_or_empty
+from corpusweave.llm.common import crc_fold, released, shipped, text_or_empty
 from corpusweave.llm.trie import slices
 
 FOLDS = 5
@@ -45,8 +45,8 @@ DECAY = 0.002
 BATCH = 64
 RATE = 0.01
 SEED = 7
-SLICE_CHARS = 400_000
-KEPT_WORDS = 200_000
+SLICE_CHARS = 200_000
+KEPT_WORDS = 60_000
 WINDOWS_AT_ONCE = 2048
 
 
@@ -239,4 +239,4 @@ def score_toxicity(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_i
                 yield pa.RecordBatch.from_arrays([*own, *added], [*kept, "score", "predicted", "n_windows"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(kept)])
-    return rows.mapInArrow(run, f"{fields}score double, predicted int, n_windows long")
+    return rows.mapInArrow(lambda batches: released(run(batches)), f"{fields}score double, predicted int, n_windows long")

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusweave.llm.bpe import ALPHABET, KEPT_WORDS, MAX_VOCABULARY, SLICE_CHARS, symbols
-from corpusweave.llm.common import shipped
+from corpusweave.llm.common import released, shipped
 from corpusweave.llm.trie import numbered, slices, walk
 
 # The pattern that byte-level vocabularies split text by (fixed value).
@@ -144,4 +144,4 @@ def count_tokens(docs: DataFrame, model: Broadcast, key: str = "doc_id", text: s
 
     rows = docs.select(key, text)
     kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_pretokens long, n_tokens long, log10_prob double")
+    return rows.mapInArrow(lambda batches: released(run(batches)), f"`{key}` {kind}, n_pretokens long, n_tokens long, log10_prob double")
