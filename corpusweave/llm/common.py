@@ -17,7 +17,20 @@ from pyspark.sql import functions as F
 
 from corpusweave.session import settled, shared_folder
 
-__all__ = ["WORD", "checkpointed", "crc_fold", "digest", "documents", "new_folder", "released", "shipped", "stored", "strings", "text_or_empty"]
+__all__ = [
+    "WORD",
+    "checkpointed",
+    "crc_fold",
+    "digest",
+    "documents",
+    "give_back",
+    "new_folder",
+    "released",
+    "shipped",
+    "stored",
+    "strings",
+    "text_or_empty",
+]
 
 _SHIPPED: set[str] = set()
 
@@ -61,16 +74,21 @@ def shipped(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Returns memory that this process keeps for reuse to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library knows how
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same batches; at their end, memory that a Python worker keeps for reuse goes back to the machine.
+    """The same batches, after which a Python worker gives its memory back.
 
     Workers stay alive between tasks of one kind, beside those of the next.
     """
     yield from batches
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # where the C library knows it
-        ctypes.CDLL(None).malloc_trim(0)
+    give_back()
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:

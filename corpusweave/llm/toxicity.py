@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm import gru
-from corpusweave.llm.common import crc_fold, released, shipped, text_or_empty
+from corpusweave.llm.common import crc_fold, give_back, released, shipped, text_or_empty
 from corpusweave.llm.trie import slices
 
 FOLDS = 5
@@ -97,6 +97,8 @@ def fit(rows: list[tuple[str, int]], seed: int = SEED) -> dict:
         params["words"][1:, 0] = [x for _, x in known]
     params["out_b"][0] = np.log(share / (1 - share))
     train(params, model["known"], texts, toxic, np.random.default_rng(seed))
+    del texts, seen, seen_toxic
+    give_back()  # the driver goes on with other work
     return model | {"fitted": True}
 
 
