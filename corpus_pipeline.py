@@ -46,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the text they decode to."""
     model = bpe.load(spark, public_tokenizers.path("word_bpe_49k.json"))
-    return bpe.decode_bpe(bpe.encode_bpe(docs, model), model)
+    return bpe.encode_bpe(docs, model, decoded="decoded")
 
 
 STAGES: list[tuple[str, Stage]] = [

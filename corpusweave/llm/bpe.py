@@ -33,8 +33,8 @@ from corpusweave.llm.common import released, shipped
 from corpusweave.llm.trie import numbered, slices, walk
 
 MAX_VOCABULARY = 1_000_000
-SLICE_CHARS = 1_000_000
-KEPT_WORDS = 300_000
+SLICE_CHARS = 500_000
+KEPT_WORDS = 120_000
 
 
 def byte_alphabet() -> list[str]:
@@ -246,6 +246,20 @@ class WordBpe:
         flat, ends = known.gather(of_words[places])
         return flat, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
 
+    @cached_property
+    def _token_texts(self) -> pa.Array:
+        return pa.array(self.tokens, pa.string())
+
+    def decode(self, lists: pa.Array) -> pa.Array:
+        """Texts of lists of ids: tokens as written, joined by a blank; ids of no token leave nothing."""
+        tokens, flat = self._token_texts, lists.flatten()
+        inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens)))
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        kept = np.concatenate([[0], np.cumsum(inside.to_numpy(zero_copy_only=False), dtype=np.int64)])
+        words = tokens.take(flat.filter(inside))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(kept[offsets], pa.int32()), words), " ")
+
 
 class KnownWords:
     """Ids of words met before, in one array, and the place of each word in it.
@@ -285,13 +299,17 @@ def load(spark: SparkSession, path: str) -> Broadcast:
     return shipped(spark).sparkContext.broadcast(WordBpe.from_file(path))
 
 
-def encode_bpe(docs: DataFrame, model: Broadcast, text: str = "text", ids: str = "input_ids") -> DataFrame:
-    """Adds ``input_ids``, the token ids of each whole text.
+def encode_bpe(
+    docs: DataFrame, model: Broadcast, text: str = "text", ids: str = "input_ids", decoded: str | None = None
+) -> DataFrame:
+    """Adds ``input_ids``, the token ids of each whole text, and if named the text they decode to.
 
     A null or empty text has none; special strings inside a text become their ids. Rows stay as they
-    are, repeated ones too; a column of the name ``ids`` is replaced, other columns are kept.
+    are, repeated ones too; columns of the added names are replaced, other columns are kept. With ``decoded``
+    both ways are gone in the same worker, as by ``decode_bpe`` afterwards.
     """
-    rows = docs.drop(ids) if ids != text else docs
+    added = [ids] if decoded is None else [ids, decoded]
+    rows = docs.drop(*[c for c in added if c != text])
     kept = rows.columns
     place = kept.index(text)
 
@@ -303,11 +321,14 @@ def encode_bpe(docs: DataFrame, model: Broadcast, text: str = "text", ids: str =
             for first, end in slices(lengths, SLICE_CHARS):
                 part = batch.slice(first, end - first)
                 flat, offsets = bpe.encode([t or "" for t in part.column(place).to_pylist()])
-                lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists.cast(pa.list_(pa.int32()))], [*kept, ids])
+                columns = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
+                if decoded is not None:
+                    columns.append(bpe.decode(columns[0]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*kept, *added])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(lambda batches: released(run(batches)), f"{fields}, `{ids}` array<int>")
+    texts = "" if decoded is None else f", `{decoded}` string"
+    return rows.mapInArrow(lambda batches: released(run(batches)), f"{fields}, `{ids}` array<int>{texts}")
 
 
 def decode_bpe(rows: DataFrame, model: Broadcast, ids: str = "input_ids", text: str = "decoded") -> DataFrame:
@@ -318,14 +339,6 @@ def decode_bpe(rows: DataFrame, model: Broadcast, ids: str = "input_ids", text:
 
     @F.arrow_udf("string")
     def decoded(column: pa.Array) -> pa.Array:
-        tokens = pa.array(model.value.tokens, pa.string())
-        flat = column.flatten()
-        inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens)))
-        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        kept = np.concatenate([[0], np.cumsum(inside.to_numpy(zero_copy_only=False), dtype=np.int64)])
-        words = tokens.take(flat.filter(inside))
-        lists = pa.ListArray.from_arrays(pa.array(kept[offsets], pa.int32()), words)
-        return pc.binary_join(lists, " ")
+        return model.value.decode(column)
 
     return rows.withColumn(text, decoded(F.col(ids)))

@@ -48,9 +48,8 @@ def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = bpe.load(spark, public_tokenizers.path(WORD_BPE))
-    encoded = bpe.encode_bpe(documents(spark, sf_dir).select("doc_id", "text"), model).drop("text")
-    decoded = bpe.decode_bpe(encoded, model)
-    return decoded.select(
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return bpe.encode_bpe(docs, model, decoded="decoded").select(
         "doc_id",
         F.size("input_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("input_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -31,6 +31,11 @@ def test_rows_equal_the_library(spark, reference):
         ids = reference.encode(row["text"] or "", add_special_tokens=False).ids
         assert row["input_ids"] == ids
         assert row["decoded"] == reference.decode(ids, skip_special_tokens=False)
+    both = encode_bpe(docs, model, decoded="decoded")
+    assert sorted(both.columns) == sorted([*docs.columns])
+    assert sorted((str(r["doc_id"]), r["input_ids"], r["decoded"]) for r in both.collect()) == sorted(
+        (str(r["doc_id"]), r["input_ids"], r["decoded"]) for r in rows
+    )
     assert encode_bpe(empty_table(spark), model).collect() == []
 
 
