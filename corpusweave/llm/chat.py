@@ -3,8 +3,8 @@
 Training conversations come as rows of turns, message arrays, or prompt and answer columns. The names
 of a layout's nested fields identify it: their paths, sorted and hashed, are its fingerprint,
 and the fingerprint selects a declarative mapping, an expression that gives the canonical
-turns ``array<struct<role, text>>``. Tables carry their fingerprint in their schema; JSON records are
-fingerprinted one by one, so one column may mix layouts.
+turns ``array<struct<role, text>>``. Tables carry their fingerprint in their schema; JSON records are held
+against the paths of the layouts one by one, so one column may mix layouts.
 
 Template: ``<|turn|>ROLE<|msg|>TEXT<|end|>`` per turn. Inside roles and texts every control string,
 those of other well-known templates included, is broken by a backslash after its first
@@ -125,17 +125,20 @@ def table_turns(rows: DataFrame, key: str = "conv_id") -> DataFrame:
 def json_paths(record: Column) -> Column:
     """Sorted distinct field paths of a JSON object, two levels deep: enough for every known layout.
 
-    Arrays give the paths of their first element.
+    Arrays give the paths of all their elements that are objects.
     """
     keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
 
+    def element_keys(path: str) -> Column:
+        elements = F.from_json(F.get_json_object(record, path), "array<string>")
+        found = F.filter(F.transform(elements, lambda e: F.json_object_keys(e)), lambda k: k.isNotNull())
+        return F.array_distinct(F.flatten(found))
+
     def below(name: Column) -> Column:
-        element = F.get_json_object(record, "$.messages[0]")
-        other = F.get_json_object(record, "$.conversations[0]")
-        inner = F.when(name == "messages", F.json_object_keys(element)).when(
-            name == "conversations", F.json_object_keys(other)
+        inner = F.when(name == "messages", element_keys("$.messages")).when(
+            name == "conversations", element_keys("$.conversations")
         )
-        return F.when(inner.isNull(), F.array(name)).otherwise(
+        return F.when(F.coalesce(F.size(inner), F.lit(0)) <= 0, F.array(name)).otherwise(
             F.transform(inner, lambda k: F.concat(name, F.lit("[]."), k))
         )
 
@@ -145,17 +148,23 @@ def json_paths(record: Column) -> Column:
 def json_turns(rows: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
     """``key``, ``layout`` and canonical ``turns`` of JSON records of mixed layouts.
 
-    A record that is null, no object or of no known layout has the layout null and no turns.
+    A record has the layout with the most paths among those whose paths it holds all, the first of ``MAPPINGS``
+    if several have as many; its other fields are ignored. One that is null, no object or of no known layout has the
+    layout null and no turns.
     """
-    found = F.xxhash64(F.array_join(json_paths(F.col(record)), "\n"))
-    turns, layout = F.lit(None).cast(TURNS), F.lit(None).cast("string")
-    marked = rows.select(key, F.col(record).alias("record"), found.alias("fingerprint"))
-    for number, name in BY_FINGERPRINT.items():
-        mapping = MAPPINGS[name]
-        marked = marked.withColumn(name, F.when(F.col("fingerprint") == number, F.from_json("record", mapping.fields)))
+    needs = {name: sorted(set(field_paths(m.fields))) for name, m in MAPPINGS.items()}
+    paths = F.col("paths")
+    fits = [
+        F.when(F.size(F.array_except(F.array(*map(F.lit, needs[name])), paths)) == 0, F.lit(name))
+        for name in sorted(needs, key=lambda name: -len(needs[name]))
+    ]
+    turns, layout = F.lit(None).cast(TURNS), F.col("layout")
+    marked = rows.select(key, F.col(record).alias("record"), json_paths(F.col(record)).alias("paths"))
+    marked = marked.withColumn("layout", F.coalesce(*fits))
+    for name, mapping in MAPPINGS.items():
+        marked = marked.withColumn(name, F.when(layout == name, F.from_json("record", mapping.fields)))
         own = F.expr(_inside(mapping.turns, mapping.fields.names, name)).cast(TURNS)
-        turns = F.when(F.col("fingerprint") == number, own).otherwise(turns)
-        layout = F.when(F.col("fingerprint") == number, F.lit(name)).otherwise(layout)
+        turns = F.when(layout == name, own).otherwise(turns)
     return marked.select(key, layout.alias("layout"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
 
 

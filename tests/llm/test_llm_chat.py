@@ -72,6 +72,23 @@ def test_mixed_json_layouts(spark):
         assert found[i]["layout"] is None and found[i]["turns"] == []
 
 
+def test_json_records_with_extra_and_missing_fields(spark):
+    asked, answered = {"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}
+    records = [
+        {"messages": [asked | {"name": "n"}, answered]},
+        {"messages": [{"role": "user"}, answered]},
+        {"messages": [asked, answered | {"tool": {"x": 1}}], "id": 7},
+        {"id": 7, "prompt": "q", "completion": "a"},
+        {"instruction": "q", "input": "", "output": "a", "source": "s"},
+    ]
+    rows = [(i, json.dumps(r)) for i, r in enumerate(records)]
+    found = {r["conv_id"]: r for r in json_turns(spark.createDataFrame(rows, "conv_id long, record string")).collect()}
+    assert [found[i]["layout"] for i in range(5)] == ["messages"] * 3 + ["prompt_completion", "instruction_input"]
+    for i in (0, 2, 3, 4):
+        assert [tuple(t) for t in found[i]["turns"]] == [("user", "q"), ("assistant", "a")]
+    assert [tuple(t) for t in found[1]["turns"]] == [("user", ""), ("assistant", "a")]
+
+
 @pytest.mark.parametrize("name", list(RECORDS))
 def test_tables_by_schema(spark, name):
     table = spark.createDataFrame([(7, json.dumps(RECORDS[name]))], "conv_id long, record string").select(
