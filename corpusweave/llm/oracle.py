@@ -56,9 +56,11 @@ WITH d AS (
   FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)
 ), repeated AS (
   SELECT r, count(DISTINCT i + j) AS n FROM windows, range(0, 3) AS g(j) WHERE n > 1 GROUP BY r
-), lines AS (
-  SELECT r, line, lower(line) AS low, regexp_extract_all(line, '{W}') AS words
+), lines AS MATERIALIZED (
+  SELECT row_number() OVER () AS l, r, line, lower(line) AS low, regexp_extract_all(line, '{W}') AS words
   FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM w)
+), frequent AS (
+  SELECT l, max(n) AS most FROM (SELECT l, count(*) AS n FROM (SELECT l, unnest(words) AS word FROM lines) GROUP BY l, word) GROUP BY l
 ), rated AS (
   SELECT r, line, words, len(words) AS n,
          regexp_matches(low, 'all rights reserved|terms of (use|service)|privacy policy|cookie policy'
@@ -70,8 +72,8 @@ WITH d AS (
          len(list_filter(words, lambda x: regexp_matches(x, '[!?]$'))) AS shouted,
          len(list_filter(words, lambda x: regexp_matches(x, '[.!?]$'))) AS closed,
          regexp_matches(words[-1], '[.!?"'':;)”…。]$') AS ends,
-         list_max(list_transform(list_distinct(words), lambda x: len(list_filter(words, lambda y: y = x)))) AS most
-  FROM lines WHERE len(words) > 0
+         most
+  FROM lines JOIN frequent USING (l) WHERE len(words) > 0
 ), failed AS (
   SELECT r, list_sum(list_transform(words, lambda x: strlen(x))) AS size,
          stock OR n >= 4 AND (separators > 0.2 * n OR symbols > 0.3 * n OR shouted > 0.3 * n
@@ -119,8 +121,42 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(trained) AS loss_c
 FROM g
 """
 
+
+
+def _round(before: str, after: str) -> str:
+    """One round: the nearest of the centroids ``before`` for every vector, then the centroids ``after``."""
+    return f"""
+near_{after} AS MATERIALIZED (
+  SELECT r, vec_id, x, k, list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d
+  FROM kept, {before} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1
+), mean_{after} AS (
+  SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+  FROM (SELECT k, i, sum(x[i])::HUGEINT AS s, count(*) AS n FROM near_{after}, range(1, 65) AS g(i) GROUP BY k, i) GROUP BY k
+), {after} AS MATERIALIZED (
+  SELECT b.k, coalesce(m.c::BIGINT[], b.c) AS c FROM {before} b LEFT JOIN mean_{after} m USING (k)
+), """
+
+
+_CENTROIDS = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS k, x AS c
+  FROM kept QUALIFY k < 16
+), {_round("c0", "c1")}{_round("c1", "c2")}{_round("c2", "c3")}last AS (
+  SELECT r, vec_id, k, c, list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d
+  FROM kept, c3 QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1
+)
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM last
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": _MIXING,
     "op3_quality_rules": _QUALITY,
     "op10_chat_formatting": _CHAT,
+    "op13_centroids": _CENTROIDS,
 }

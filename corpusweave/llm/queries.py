@@ -12,7 +12,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import bpe, chat, maxent, mixing, ordermin, pii, quality, simhash, toxicity, unigram
+from corpusweave.llm import (
+    bpe,
+    centroids,
+    chat,
+    maxent,
+    mixing,
+    ordermin,
+    pii,
+    quality,
+    simhash,
+    suffixes,
+    toxicity,
+    unigram,
+    whitening,
+)
 from corpusweave.llm.common import crc_fold, documents, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +130,42 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(embeddings(spark, sf_dir))
+    return rows.select(
+        "vec_id",
+        "n",
+        F.col("deviation").cast("long").alias("deviation"),
+        "identity_error",
+        F.inline(
+            F.transform(
+                F.arrays_zip("whitened", "explained"),
+                lambda both, i: F.struct((i + 1).alias("component"), both["whitened"].alias("whitened"), both["explained"].alias("explained")),
+            )
+        ),
+    ).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster_vectors(embeddings(spark, sf_dir))
+    written = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.withColumn("centroid_sha256", F.sha2(written, 256)).drop("centroid")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -127,4 +177,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_order_minhash": op9_order_minhash,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_whitening": op11_whitening,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_centroids": op13_centroids,
 }

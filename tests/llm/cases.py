@@ -40,3 +40,22 @@ def odd_table(spark, clashes: bool = False, seed: int = 1):
 
 def empty_table(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def odd_vectors(dimension: int = 64, n: int = 70, seed: int = 4) -> list[tuple]:
+    """Vectors with repeated rows, ties, a null id, and all that is to be left out."""
+    rng = random.Random(seed)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(dimension)], 0) for i in range(n)]
+    rows += [rows[2], rows[2], (2, rows[5][1], 1), (None, rows[7][1], None), (-9, [0.25] * dimension, 1)]
+    bad = [None, [], [1.0, 2.0], [1.0] * (dimension - 1) + [None], [1.0] * (dimension - 1) + [float("nan")]]
+    bad += [[float("-inf")] + [1.0] * (dimension - 1), [None] * dimension]
+    return rows + [(1000 + i, v, 0) for i, v in enumerate(bad)]
+
+
+def kept_vectors(dimension: int = 64) -> list[tuple]:
+    import math
+
+    return [r for r in odd_vectors(dimension) if r[1] and len(r[1]) == dimension and all(x is not None and math.isfinite(x) for x in r[1])]

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import pytest
-from cases import odd_rows, odd_table
+from cases import VECTORS, kept_vectors, odd_rows, odd_table, odd_vectors
 from check import compare
 
 import __spark_entry__ as entry
@@ -22,6 +22,7 @@ def odd_folder(spark, folder, rows=None):
     table = odd_table(spark) if rows is None else spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     table.coalesce(1).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, 1, i % 2) for i in range(24)] if rows is None else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(odd_vectors() if rows is None else [], VECTORS).write.parquet(f"{folder}/embeddings.parquet")
     conversations = [(1, 0, "user", "<|x"), (1, 1, "assistant", None), (1, 1, "assistant", None), (None, None, None, None)]
     spark.createDataFrame(conversations if rows is None else [], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return str(folder)
@@ -35,7 +36,7 @@ def test_query_equals_sql_on_odd_tables(spark, tmp_path, monkeypatch, name, rows
     folder = odd_folder(spark, tmp_path / "odd", rows)
     monkeypatch.setattr(check, "TABLES", [])
     sql = ORACLE_SQL[name]
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         sql = sql.replace(f"FROM {table}", f"FROM '{folder}/{table}.parquet/*.parquet'")
     got, want = compare(spark, QUERIES[name], sql, folder)
     assert got == want
@@ -44,13 +45,14 @@ def test_query_equals_sql_on_odd_tables(spark, tmp_path, monkeypatch, name, rows
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_every_query_gives_a_row_per_row(spark, tmp_path, name):
     folder = odd_folder(spark, tmp_path / "odd")
-    rows = 3 if name.startswith("op10") else len(odd_rows())
+    vectors = len(kept_vectors())
+    rows = {"op10": 3, "op11": 32 * vectors, "op13": vectors}.get(name.split("_")[0], len(odd_rows()))
     assert QUERIES[name](spark, folder).count() == rows
 
 
-def test_all_eleven_are_registered():
+def test_all_are_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):

@@ -1,0 +1,91 @@
+import numpy as np
+import pytest
+from cases import VECTORS, kept_vectors, odd_vectors
+from pyspark.sql import functions as F
+
+from corpusweave.llm.whitening import centre_of, bidiagonalise, vector_blocks, whiten
+
+
+def quantised(rows):
+    return np.floor(64 * np.array([r[1] for r in rows], np.float32).astype(np.float64)).astype(np.int64) + 1_000_000
+
+
+def checked(rows, x, k):
+    """Rows by their ids against the eigenvectors of the covariance."""
+    n, sums = len(x), x.sum(axis=0)
+    c = x - sums / n
+    values, vectors = np.linalg.eigh(c.T @ c / n)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    want = c @ vectors[:, :k] / np.sqrt(values[:k])
+    got = np.array([r["whitened"] for r in rows])
+    assert got.shape == want.shape
+    signs = np.sign((got * want).sum(axis=0))
+    assert np.abs(got * signs - want).max() < 1e-7
+    assert np.allclose(rows[0]["explained"], values[:k] / values.sum(), rtol=1e-9)
+    assert {r["n"] for r in rows} == {n} and rows[0]["identity_error"] < 1e-9
+    exact = [int(((n * v.astype(object) - sums.astype(object)) ** 2).sum()) for v in x]
+    assert [int(r["deviation"]) for r in rows] == exact
+
+
+def test_equals_the_eigenvectors_of_the_covariance(spark):
+    kept = sorted((r for r in kept_vectors()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    table = spark.createDataFrame(odd_vectors(), VECTORS).repartition(4)
+    clashing = table.select("*", *[F.lit("x").alias(c) for c in ("n", "keys", "entries", "whitened", "dimension")])
+    for given in (table, clashing):
+        rows = whiten(given).withColumn("first", F.element_at("whitened", 1)).collect()
+        x = {str(r[0]): [] for r in kept}
+        assert len(rows) == len(kept)
+        # Ids repeat: those rows are matched by their exact deviation.
+        xs = quantised(kept)
+        n, sums = len(xs), xs.sum(axis=0).astype(object)
+        order = sorted(range(n), key=lambda i: (str(kept[i][0]), int(((n * xs[i].astype(object) - sums) ** 2).sum())))
+        rows = sorted(rows, key=lambda r: (str(r["vec_id"]), int(r["deviation"])))
+        assert [r["vec_id"] for r in rows] == [kept[i][0] for i in order] and x
+        checked(rows, xs[order], 32)
+
+
+def test_equal_variances_and_dependent_dimensions(spark):
+    rng = np.random.default_rng(3)
+    signs = np.array([[a, b, c] for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)], float)
+    repeated = np.column_stack([signs, signs[:, 0], np.full(8, 5.0)])  # rank 3 of 5
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(repeated)], "vec_id long, embedding array<double>")
+    rows = whiten(table).orderBy("vec_id").collect()
+    got = np.array([r["whitened"] for r in rows])
+    assert got.shape == (8, 3) and np.allclose(got.T @ got / 8, np.eye(3), atol=1e-9)
+    assert np.allclose(rows[0]["explained"], [0.5, 0.25, 0.25])
+    wide = rng.standard_normal((40, 12)) * np.logspace(0, -2.5, 12)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide)], "vec_id long, embedding array<double>")
+    x = np.floor(64 * wide).astype(np.int64) + 1_000_000
+    varied = int(np.linalg.matrix_rank(x - x.mean(axis=0)))
+    checked(whiten(table).orderBy("vec_id").collect(), x, varied)
+
+
+def test_bidiagonal_form(spark):
+    table = spark.createDataFrame(odd_vectors(8, 30), VECTORS).where("size(embedding) = 8 and vec_id < 30")
+    blocks = vector_blocks(table)
+    centre = centre_of(blocks, 8)
+    form = bidiagonalise(blocks, 8, centre)
+    assert np.allclose(form.v.T @ form.v, np.eye(8), atol=1e-12)
+    assert np.allclose(form.b, np.triu(form.b) - np.triu(form.b, 2))
+    x = np.array([r["embedding"] for r in table.collect()], np.float32).astype(float)
+    x = np.floor(64 * x)
+    x = x - x.mean(axis=0)
+    assert np.allclose(form.b.T @ form.b, form.v.T @ x.T @ x @ form.v, rtol=1e-9, atol=1e-6)
+
+
+@pytest.mark.parametrize("vectors", [[], [(1, None)], [(1, [])], [(1, [None])]])
+def test_no_vectors_give_no_rows(spark, vectors):
+    assert whiten(spark.createDataFrame(vectors, "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_equal_rows_and_other_lengths(spark):
+    vectors = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0])]
+    rows = whiten(spark.createDataFrame(vectors, "vec_id long, embedding array<float>")).collect()
+    assert sorted(r["vec_id"] for r in rows) == [1, 2]
+    assert all(r["whitened"] == [] and r["explained"] == [] and r["deviation"] == 0 for r in rows)
+
+
+def test_too_large_entries_are_an_error(spark):
+    table = spark.createDataFrame([(1, [1e30]), (2, [0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        whiten(table).collect()
