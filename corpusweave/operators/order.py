@@ -3,7 +3,7 @@
 A DataFrame has no order, so corpus order is a pair ``(order_key, doc_id)`` that is
 a pure function of the row. ``order_bucket`` cuts that order into contiguous runs of
 bounded size: positions are counted inside a run, and running totals over the run
-sizes, in three levels, lift them to the whole table. No window ever holds more than one run or
+sizes lift them to the whole table. Run sizes are counted and stored once. No window ever holds more than one run or
 2^20 totals, whatever the ids, and no result depends on how rows are partitioned.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusweave.functions.words import required
+from corpusweave.session import settled
 
 # A natural-order run covers 2^10 ids, hence never holds more rows than that.
 NATURAL_RUN_BITS = 10
@@ -60,35 +61,41 @@ def seeded_order(rows: DataFrame, seed: int, where: Column | None = None, id_col
 def running_totals(totals: DataFrame, keys: list[str], bucket: str, values: list[str]) -> DataFrame:
     """Add ``before_<value>``, the sum over all earlier buckets of the same keys, and ``all_<value>``.
 
-    Takes one row per bucket. Buckets add up in ranges of 2^20, those ranges again, and
-    what is left in one window, so that sparse buckets are no larger windows than dense ones.
+    Takes one row per bucket, and stores them once. Where a key has more than 2^20 of them, they are summed upward into
+    stored ranges of 2^20 buckets, those again, until one window holds what is left; the sums then go down the
+    same tables. No level reads the source of the totals again.
     """
-    steps = [(F.shiftright(bucket, LEVEL_BITS * i)).alias(f"level_{i}") for i in (1, 2)]
-    runs = totals.select(*keys, bucket, *values, *steps)
-    summed = [F.sum(v).alias(v) for v in values]
-    middle = runs.groupBy(*keys, "level_2", "level_1").agg(*summed)
-    upper = middle.groupBy(*keys, "level_2").agg(*summed)
-
-    def earlier(value: str, within: list[str], order: str) -> Column:
-        window = W.partitionBy(*within).orderBy(order)
-        return F.sum(value).over(window) - F.col(value)
-
-    tops = upper.select(
-        *keys,
-        "level_2",
-        *[earlier(v, keys, "level_2").alias(f"top_{v}") for v in values],
-        *[F.sum(v).over(W.partitionBy(*keys)).alias(f"all_{v}") for v in values],
-    )
-    mids = middle.join(tops, [*keys, "level_2"]).select(
-        *keys,
-        "level_2",
-        "level_1",
-        *[(F.col(f"top_{v}") + earlier(v, [*keys, "level_2"], "level_1")).alias(f"mid_{v}") for v in values],
-        *[f"all_{v}" for v in values],
+    return _swept(settled(totals.select(*keys, bucket, *values)), keys, bucket, values)
+
+
+def _swept(stored: DataFrame, keys: list[str], bucket: str, values: list[str]) -> DataFrame:
+    most = stored.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+    def earlier(value: str, within: list[str]) -> Column:
+        return F.sum(value).over(W.partitionBy(*within).orderBy(bucket)) - F.col(value)
+
+    if most <= 1 << LEVEL_BITS:
+        before = [earlier(v, keys).alias(f"before_{v}") for v in values]
+        whole = [F.sum(v).over(W.partitionBy(*keys)).alias(f"all_{v}") for v in values]
+        return stored.select(*keys, bucket, *values, *before, *whole)
+    above = f"{bucket}_above"
+    ranged = stored.withColumn(above, F.shiftright(bucket, LEVEL_BITS))
+    summed = settled(ranged.groupBy(*keys, above).agg(*[F.sum(v).alias(v) for v in values]))
+    higher = _swept(summed, keys, above, values).select(
+        *keys, above, *[F.col(f"before_{v}").alias(f"higher_{v}") for v in values], *[f"all_{v}" for v in values]
     )
-    before = [(F.col(f"mid_{v}") + earlier(v, [*keys, "level_1"], bucket)).alias(f"before_{v}") for v in values]
-    same = [*keys, "level_2", "level_1"]
-    return runs.join(mids, same).select(*keys, bucket, *values, *before, *[f"all_{v}" for v in values])
+    before = [(F.col(f"higher_{v}") + earlier(v, [*keys, above])).alias(f"before_{v}") for v in values]
+    return ranged.join(higher, [*keys, above]).select(*keys, bucket, *values, *before, *[f"all_{v}" for v in values])
+
+
+def run_starts(rows: DataFrame, split: str = "split", weight: str | None = None) -> DataFrame:
+    """Per run of each split, the rows and weights of all earlier runs and of the split.
+
+    The totals are counted once and stored, so that several uses share them.
+    """
+    sums = [F.count("*").alias("run_rows")] + ([F.sum(weight).alias("run_weight")] if weight else [])
+    totals = rows.withColumn(split, required(F.col(split), split)).groupBy(split, "order_bucket").agg(*sums)
+    return running_totals(totals, [split], "order_bucket", ["run_rows", "run_weight"] if weight else ["run_rows"])
 
 
 def positions(
@@ -96,21 +103,19 @@ def positions(
     split: str = "split",
     id_column: str = "doc_id",
     weight: str | None = None,
-    counted: DataFrame | None = None,
+    starts: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``pos`` (0, 1, … in each split) and ``split_rows``.
 
     With ``weight`` also ``start``, the sum of the weights of all earlier rows of the
     split, and ``split_weight``. Rows move once, by run; the run totals come to them, as a merge
     of sorted runs, so that rows with their ids are never the side that is broadcast.
-    ``counted`` may give the same rows from a cheaper plan, for the totals alone.
+    ``starts`` may give the ``run_starts`` of the same rows, from a cheaper plan or shared with other uses.
     """
     rows = rows.withColumn(split, required(F.col(split), split))
     run = [split, "order_bucket"]
-    sums = [F.count("*").alias("run_rows")] + ([F.sum(weight).alias("run_weight")] if weight else [])
-    totals = (rows if counted is None else counted).groupBy(*run).agg(*sums)
-    values = ["run_rows", "run_weight"] if weight else ["run_rows"]
-    starts = running_totals(totals, [split], "order_bucket", values).withColumnRenamed("all_run_rows", "split_rows")
+    starts = run_starts(rows, split, weight) if starts is None else starts
+    starts = starts.withColumnRenamed("all_run_rows", "split_rows")
     inside = W.partitionBy(*run).orderBy("order_key", id_column)
     numbered = rows.withColumn("run_row", F.row_number().over(inside) - 1)
     added = [(F.col("before_run_rows") + F.col("run_row")).alias("pos"), F.col("split_rows")]

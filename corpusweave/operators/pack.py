@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions.integers import int_div
 from corpusweave.functions.sequences import ones, prepend_id, truncate
-from corpusweave.operators.order import positions, running_totals
+from corpusweave.operators.order import positions, run_starts, running_totals
 from corpusweave.params import Specials, check_block_length
 
 GROUP = ["split", "shard", "batch"]
+# A group as one number: its shard, then its batch in the shard.
+BATCH_BITS = 40
 
 
 def packing_groups(rows: DataFrame, shards: int, batch_rows: int) -> DataFrame:
@@ -82,15 +84,16 @@ def number_blocks(blocks: DataFrame, groups: DataFrame, length: int) -> DataFram
     """Add ``pos``, the place of a block in its split, by shard, batch and block.
 
     ``groups`` has one row per document with its group and ``n_tokens``, as counted from the texts:
-    blocks per group add up to running totals, and blocks, which lie by group already, do not move.
+    blocks per group are counted and stored once and add up to running totals, and blocks, which lie by group already, do not move.
     """
-    chunk = length - 1
-    totals = groups.groupBy(*GROUP).agg(int_div(F.sum("n_tokens"), chunk).alias("blocks"))
-    in_shard = running_totals(totals, ["split", "shard"], "batch", ["blocks"])
-    shards = totals.groupBy("split", "shard").agg(F.sum("blocks").alias("shard_blocks"))
-    earlier = F.sum("shard_blocks").over(W.partitionBy("split").orderBy("shard")) - F.col("shard_blocks")
-    starts = in_shard.join(shards.select("split", "shard", earlier.alias("shard_start")), ["split", "shard"]).select(
-        *GROUP, (F.col("shard_start") + F.col("before_blocks")).alias("first")
+    order = (F.shiftleft("shard", BATCH_BITS) + F.col("batch")).alias("group")
+    totals = groups.groupBy(*GROUP).agg(int_div(F.sum("n_tokens"), length - 1).alias("blocks"))
+    summed = running_totals(totals.select("split", order, "blocks"), ["split"], "group", ["blocks"])
+    starts = summed.select(
+        "split",
+        F.shiftright("group", BATCH_BITS).alias("shard"),
+        F.col("group").bitwiseAND((1 << BATCH_BITS) - 1).alias("batch"),
+        F.col("before_blocks").alias("first"),
     )
     placed = blocks.join(starts.hint("merge"), GROUP)
     return placed.select(*GROUP, "block", (F.col("first") + F.col("block")).alias("pos"), "input_ids", "attention_mask")
@@ -106,7 +109,8 @@ def pack_global(docs: DataFrame, specials: Specials, length: int, counted: DataF
     check_block_length(length)
     size = F.size("input_ids").cast("long").alias("n_tokens")
     rows = docs.select("split", "doc_id", "order_key", "order_bucket", "input_ids", size)
-    placed = positions(rows, weight="n_tokens", counted=counted).withColumnRenamed("split_weight", "total")
+    starts = run_starts(rows if counted is None else counted, weight="n_tokens")
+    placed = positions(rows, weight="n_tokens", starts=starts).withColumnRenamed("split_weight", "total")
     return cut_blocks(placed, ["split"], length, specials.bos)
 
 

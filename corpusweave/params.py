@@ -40,7 +40,8 @@ class PrepareParams:
     ``grouping="batches"`` packs every run of ``batch_rows`` documents of each
     of ``shards`` contiguous shards alone; ``grouping="global"`` packs a split as
     one stream. ``encoding`` is the form that looks words up: ``"lookup"`` beside the scan, or
-    ``"join"`` for a vocabulary too large to broadcast.
+    ``"join"`` for a vocabulary too large to broadcast. ``shuffle`` is how a holdout orders the train split:
+    ``"sorted"`` by a keyed hash of the ids, or ``"permuted"`` by a keyed permutation of known positions.
     """
 
     max_seq_length: int = 8192
@@ -55,6 +56,7 @@ class PrepareParams:
     text_column: str = "text"
     on_null: str = "fail"
     encoding: str = "lookup"
+    shuffle: str = "sorted"
 
     def __post_init__(self):
         for name in ("n_train", "n_val", "n_test"):
@@ -71,6 +73,8 @@ class PrepareParams:
             raise ValueError("on_null must be 'fail' or 'drop'")
         if self.encoding not in ("lookup", "join"):
             raise ValueError("encoding must be 'lookup' or 'join'")
+        if self.shuffle not in ("sorted", "permuted"):
+            raise ValueError("shuffle must be 'sorted' or 'permuted'")
 
 
 def check_block_length(length: int) -> None:

@@ -76,6 +76,36 @@ parts AS (
   FROM ranked)"""
 
 
+def permuted(source: str) -> str:
+    """CTE ``walked`` of (doc_id, place, n): the train rows of a source, permuted by one round a step of a recursion."""
+    polynomial = "((({v} * k[1] + k[2]) % p * (({v} * k[1] + k[2]) % p) + k[3]) % p * k[4] + k[5]) % p"
+    return f"""
+round_keys AS (
+  SELECT r, list(('0x' || substr(md5('42:' || r || ':' || i), 1, 7))::BIGINT | 1 ORDER BY i) AS k
+  FROM range(6) AS rounds(r), range(5) AS numbers(i) GROUP BY r),
+digits AS (
+  SELECT doc_id, n, a, (n + a - 1) // a AS b, pos FROM (
+    SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n,
+      CAST(ceil(sqrt(count(*) OVER ())) AS BIGINT) AS a FROM {source} WHERE split = 'train')),
+walk AS (
+  SELECT doc_id, n, a, b, pos // b AS x, pos % b AS y, 0 AS r FROM digits
+  UNION ALL
+  SELECT doc_id, n, a, b, CASE WHEN r % 2 = 0 THEN (x + {polynomial.format(v='y')}) % a ELSE x END,
+    CASE WHEN r % 2 = 1 THEN (y + {polynomial.format(v='x')}) % b ELSE y END, r + 1
+  FROM (SELECT doc_id, n, a, b, x, y, CASE WHEN r = 6 THEN 0 ELSE r END AS r, 2147483647 AS p
+    FROM walk WHERE r < 6 OR x * b + y >= n) JOIN round_keys USING (r)),
+walked AS (SELECT doc_id, x * b + y AS place, n FROM walk WHERE r = 6 AND x * b + y < n)"""
+
+
+def permuted_parts(n_val: int = 30, n_test: int = 50) -> str:
+    """CTE ``parts`` of (doc_id, split, pos) after a holdout by permuted places."""
+    return f"""
+parts AS (
+  SELECT doc_id, CASE WHEN place >= n - {n_val} THEN 'validation' WHEN place >= n - {n_val + n_test} THEN 'test' ELSE 'train' END AS split,
+    place - CASE WHEN place >= n - {n_val} THEN n - {n_val} WHEN place >= n - {n_val + n_test} THEN n - {n_val + n_test} ELSE 0 END AS pos
+  FROM walked)"""
+
+
 FAR_IDS = """
 far AS (
   SELECT ((doc_id * 7919) % 1009 - 500) * CAST(9007199254740992 AS BIGINT) + doc_id AS doc_id, text, lang FROM documents)"""
@@ -225,6 +255,18 @@ WITH corpus AS (
   FROM documents), {held_out('corpus')}
 SELECT doc_id, split FROM parts
 UNION ALL SELECT doc_id, split FROM corpus WHERE split = 'extra'""",
+    "seeded_permutation": f"WITH RECURSIVE {TRAIN}, {permuted('corpus')} SELECT doc_id, place AS pos FROM walked",
+    "split_permuted": f"""
+WITH RECURSIVE {TRAIN}, {permuted('corpus')}, {permuted_parts()}
+SELECT doc_id, split, pos, count(*) OVER (PARTITION BY split) AS split_rows FROM parts
+WHERE split <> 'train' OR pos < 100""",
+    "split_permuted_delivered": f"""
+WITH RECURSIVE corpus AS (
+  SELECT doc_id, text, CASE source WHEN 'src0' THEN 'validation' WHEN 'src1' THEN 'extra' ELSE 'train' END AS split
+  FROM documents), {permuted('corpus')}, {permuted_parts()}, whole AS (
+  SELECT * FROM parts UNION ALL
+  SELECT doc_id, split, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM corpus WHERE split = 'extra')
+SELECT *, count(*) OVER (PARTITION BY split) AS split_rows FROM whole""",
     "split_file_order": "SELECT doc_id, 'train' AS split FROM documents ORDER BY doc_id LIMIT 100",
     "split_sizes": f"""
 WITH {TRAIN}, {held_out('corpus')}, sizes AS (
@@ -448,6 +490,10 @@ SELECT split, CAST(total // 127 AS BIGINT) AS blocks, CAST(total AS BIGINT) AS t
     "prepare_without_nulls": f"""
 WITH {vocab()}, corpus AS (SELECT doc_id, text, 'train' AS split FROM documents WHERE doc_id % 7 <> 0),
 {held_out('corpus')}, {encoded('documents')}, {packed('parts', 'split, shard, batch', 4, 100)}, {NUMBERED}
+SELECT split, shard, batch, block, pos, input_ids FROM numbered""",
+    "prepare_permuted": f"""
+WITH RECURSIVE {vocab()}, {TRAIN}, {permuted('corpus')}, {permuted_parts()}, {encoded('documents')},
+{packed('parts', 'split, shard, batch', 4, 100)}, {NUMBERED}
 SELECT split, shard, batch, block, pos, input_ids FROM numbered""",
     "prepare_file_limit": f"""
 WITH {vocab()}, first AS (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 100), {encoded('first')}, {TRUNCATED}

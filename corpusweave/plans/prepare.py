@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.operators.encode import Codec, encode, texts, token_count
 from corpusweave.operators.matrix import zero_rows
-from corpusweave.operators.order import natural_order, positions
+from corpusweave.operators.order import natural_order, positions, run_starts
 from corpusweave.operators.pack import (
     number_blocks,
     pack_batches,
@@ -18,6 +18,7 @@ from corpusweave.operators.pack import (
     packing_groups,
     truncate_documents,
 )
+from corpusweave.operators.permute import permute_splits
 from corpusweave.operators.splits import assign_splits, limit_positions
 from corpusweave.operators.vocab import freeze_ids
 from corpusweave.params import PrepareParams, Specials
@@ -38,6 +39,10 @@ def kept_documents(corpus: DataFrame, params: PrepareParams) -> DataFrame:
     """
     rows = texts(corpus, params.text_column, params.on_null)
     held_out = bool(params.n_val or params.n_test)
+    if params.shuffle == "permuted":
+        if params.on_null == "drop" or not set(PLACE) <= set(corpus.columns):
+            rows = positions(natural_order(rows.drop(*PLACE))).drop(*ORDER)
+        return natural_order(permute_splits(rows, params), "pos")
     if not held_out and params.on_null == "fail" and set(PLACE) <= set(corpus.columns):
         return natural_order(limit_positions(rows, params.n_train, params.n_val, params.n_test))
     return assign_splits(rows, params)
@@ -49,8 +54,8 @@ def token_counts(kept: DataFrame) -> DataFrame:
     return kept.select("doc_id", "split", *ORDER, *known, token_count(F.col("text")).cast("long").alias("n_tokens"))
 
 
-def with_positions(docs: DataFrame) -> DataFrame:
-    return docs if set(PLACE) <= set(docs.columns) else positions(docs)
+def with_positions(docs: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    return docs if set(PLACE) <= set(docs.columns) else positions(docs, starts=starts)
 
 
 def prepare_corpus(
@@ -79,8 +84,10 @@ def prepare_corpus(
         counted = token_counts(kept)
     if params.grouping == "global":
         return pack_global(docs, specials, params.max_seq_length, counted).withColumn("pos", F.col("block"))
-    blocks = pack_batches(with_positions(docs), specials, params.max_seq_length, params.shards, params.batch_rows)
-    groups = packing_groups(with_positions(counted), params.shards, params.batch_rows)
+    starts = None if set(PLACE) <= set(docs.columns) else run_starts(counted)  # for ids and for counts
+    placed = with_positions(docs, starts)
+    blocks = pack_batches(placed, specials, params.max_seq_length, params.shards, params.batch_rows)
+    groups = packing_groups(with_positions(counted, starts), params.shards, params.batch_rows)
     return number_blocks(blocks, groups, params.max_seq_length)
 
 

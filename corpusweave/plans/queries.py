@@ -27,6 +27,7 @@ from corpusweave.operators.matrix import l1_totals, zero_input_and_output, zero_
 from corpusweave.operators.metrics import perplexity, sequence_losses, token_losses
 from corpusweave.operators.order import head_tail, natural_order, positions, seeded_order, unique_sorted
 from corpusweave.operators.pack import pack_batches, pack_global, packing_groups, truncate_documents
+from corpusweave.operators.permute import permute_splits, permuted_position
 from corpusweave.operators.preview import preview
 from corpusweave.operators.splits import assign_splits, split_sizes
 from corpusweave.params import IGNORE_LABEL, PrepareParams, Specials
@@ -182,6 +183,21 @@ def split_holdout(spark, sf_dir):
     return assign_splits(train_only(documents(spark, sf_dir)), HOLDOUT).select("doc_id", "split")
 
 
+def seeded_permutation(spark, sf_dir):
+    corpus = read_corpus(spark, f"{sf_dir}/documents.parquet")
+    return corpus.select("doc_id", permuted_position(F.col("pos"), F.col("split_rows"), 42).alias("pos"))
+
+
+def split_permuted(spark, sf_dir):
+    corpus = read_corpus(spark, f"{sf_dir}/documents.parquet")
+    return permute_splits(corpus, LIMITED).select("doc_id", "split", "pos", "split_rows")
+
+
+def split_permuted_delivered(spark, sf_dir):
+    corpus = positions(natural_order(delivered_splits(spark, sf_dir)))
+    return permute_splits(corpus, HOLDOUT).select("doc_id", "split", "pos", "split_rows")
+
+
 def split_limit(spark, sf_dir):
     return assign_splits(train_only(documents(spark, sf_dir)), LIMITED).select("doc_id", "split")
 
@@ -594,6 +610,14 @@ def prepare_file_order(spark, sf_dir):
     return shown(blocks.drop("attention_mask"), "input_ids")
 
 
+def prepare_permuted(spark, sf_dir):
+    """A holdout by arithmetic on the positions that the files give."""
+    path, vocab = f"{sf_dir}/documents.parquet", vocab_a(spark, sf_dir)
+    params = replace(HOLDOUT, shuffle="permuted")
+    blocks = prepare_path(spark, path, vocab, SPECIALS, params, spread_over=slots(spark))
+    return shown(blocks.drop("attention_mask"), "input_ids")
+
+
 def prepare_file_limit(spark, sf_dir):
     """The first documents of the file, truncated."""
     params = PrepareParams(max_seq_length=LENGTH, n_train=100, use_packing=False)
@@ -626,6 +650,9 @@ QUERIES: dict[str, Query] = {
     "row_positions": row_positions,
     "seeded_shuffle": seeded_shuffle,
     "split_holdout": split_holdout,
+    "seeded_permutation": seeded_permutation,
+    "split_permuted": split_permuted,
+    "split_permuted_delivered": split_permuted_delivered,
     "split_limit": split_limit,
     "split_delivered": split_delivered,
     "split_file_order": split_file_order,
@@ -687,6 +714,7 @@ QUERIES: dict[str, Query] = {
     "prepare_global": prepare_global,
     "accounts_global": accounts_global,
     "prepare_without_nulls": prepare_without_nulls,
+    "prepare_permuted": prepare_permuted,
     "prepare_file_limit": prepare_file_limit,
     "prepare_delivered": prepare_delivered,
 }
