@@ -65,7 +65,9 @@ def running_totals(totals: DataFrame, keys: list[str], bucket: str, values: list
     stored ranges of 2^20 buckets, those again, until one window holds what is left; the sums then go down the
     same tables. No level reads the source of the totals again.
     """
-    return _swept(settled(totals.select(*keys, bucket, *values)), keys, bucket, values)
+    # Under new names of the same spelling, as rows that meet them may share the old ones.
+    own = totals.select(*[F.col(c).alias(c) for c in (*keys, bucket, *values)])
+    return _swept(settled(own), keys, bucket, values)
 
 
 def _swept(stored: DataFrame, keys: list[str], bucket: str, values: list[str]) -> DataFrame:
@@ -124,7 +126,8 @@ def positions(
         upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
         numbered = numbered.withColumn("run_offset", F.sum(weight).over(upto) - F.col(weight))
         added += [(F.col("before_run_weight") + F.col("run_offset")).alias("start"), F.col("split_weight")]
-    return numbered.join(starts.hint("merge"), run).select(*rows.columns, *added)
+    # Every run is there; an inner join would have Spark test the run's expression for null at the scan.
+    return numbered.join(starts.hint("merge"), run, "left").select(*rows.columns, *added)
 
 
 def cutoffs(rows: DataFrame, ranks: list[int], id_column: str = "doc_id") -> tuple[int, dict[int, tuple[int, int]]]:

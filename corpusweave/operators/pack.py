@@ -95,7 +95,8 @@ def number_blocks(blocks: DataFrame, groups: DataFrame, length: int) -> DataFram
         F.col("group").bitwiseAND((1 << BATCH_BITS) - 1).alias("batch"),
         F.col("before_blocks").alias("first"),
     )
-    placed = blocks.join(starts.hint("merge"), GROUP)
+    # Every group is there; an inner join would have Spark test the group's expression for null at the scan.
+    placed = blocks.join(starts.hint("merge"), GROUP, "left")
     return placed.select(*GROUP, "block", (F.col("first") + F.col("block")).alias("pos"), "input_ids", "attention_mask")
 
 

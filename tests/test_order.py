@@ -51,7 +51,9 @@ def test_null_ids_fail_in_natural_order(spark):
         positions(natural_order(rows(spark, [1, None]))).collect()
 
 
-def test_running_totals_of_any_buckets(spark):
+@pytest.mark.parametrize("level_bits", [20, 3, 12])
+def test_running_totals_of_any_buckets(spark, monkeypatch, level_bits):
+    monkeypatch.setattr("corpusweave.operators.order.LEVEL_BITS", level_bits)
     rng = random.Random(5)
     buckets = [*range(6), *rng.sample(range(-(1 << 53), 1 << 53), 200), (1 << 20) - 1, 1 << 20, 1 << 40]
     table = spark.createDataFrame([("a", b, b % 7 + 1) for b in buckets] + [("b", 3, 5)], "k STRING, b LONG, v LONG")

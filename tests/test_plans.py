@@ -94,6 +94,33 @@ def test_shuffled_blocks_move_ids_twice(spark, corpus, vocab, plain_plans):
     assert text.count("ArrowEvalPython") == 1
 
 
+def exchanges(text):
+    return len(re.findall(r"[ +:-]Exchange ", text))
+
+
+def text_scans(text):
+    return len(re.findall(r"FileScan parquet \[.*?\btext#", text))
+
+
+@pytest.mark.parametrize("shuffle", ["sorted", "permuted"])
+def test_a_whole_run_has_few_exchanges_and_scans(spark, corpus, vocab, plain_plans, shuffle):
+    params = PrepareParams(max_seq_length=64, n_val=5, n_test=5, shuffle=shuffle)
+    text = plan(prepare_corpus(corpus, vocab, SPECIALS, params))
+    assert exchanges(text) <= 10 and text_scans(text) == 1
+
+
+def test_file_order_has_fewer(spark, sf_dir, vocab, plain_plans):
+    path = f"{sf_dir}/documents.parquet"
+    text = plan(prepare_corpus(read_corpus(spark, path), vocab, SPECIALS, PrepareParams(max_seq_length=64)))
+    assert exchanges(text) <= 6 and text_scans(text) == 1
+
+
+def test_a_permuted_holdout_moves_ids_once(spark, sf_dir, vocab, plain_plans):
+    params = PrepareParams(max_seq_length=64, n_val=5, n_test=5, shuffle="permuted")
+    text = plan(prepare_corpus(read_corpus(spark, f"{sf_dir}/documents.parquet"), vocab, SPECIALS, params))
+    assert moves(text, "text") == 1
+
+
 def test_global_packing_encodes_once(spark, corpus, vocab, plain_plans):
     text = plan(prepare_corpus(corpus, vocab, SPECIALS, PrepareParams(max_seq_length=64, grouping="global")))
     assert text.count("ArrowEvalPython") == 1
