@@ -7,7 +7,7 @@ prefix that many words share is found once. Reading the last tokens backwards fr
 end gives all its tokens.
 
 Plan: one scan, no shuffle. A task holds the words of a slice of texts (``SLICE_CHARS``) and a
-bounded memory of encoded words (``KEPT_WORDS``). The vocabulary is a file of a public tokenizer,
+bounded memory of encoded words (``KEPT_WORDS``), of which those that several slices used stay when it is full. The vocabulary is a file of a public tokenizer,
 read on the driver and broadcast; its size does not depend on the data and is checked.
 """
 
@@ -34,7 +34,8 @@ from corpusweave.llm.trie import numbered, slices, walk
 
 MAX_VOCABULARY = 1_000_000
 SLICE_CHARS = 500_000
-KEPT_WORDS = 120_000
+KEPT_WORDS = 240_000
+KEPT_PAIRS = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -99,11 +100,11 @@ class WordBpe:
 
     @cached_property
     def _lengths(self) -> dict[str, list[int]]:
-        """By their last two symbols, how many symbols tokens have, most first."""
+        """By their last three symbols (of shorter ones: all), how many symbols tokens have, most first."""
         found: dict[str, set[int]] = {}
         for token in self.vocab:
             size = len(token) - len(self.suffix) * token.endswith(self.suffix)
-            tail = token[max(0, size - 2) :]
+            tail = token[max(0, size - 3) :]
             found.setdefault(tail, set()).add(size)
         return {tail: sorted(sizes, reverse=True) for tail, sizes in found.items()}
 
@@ -130,6 +131,10 @@ class WordBpe:
     def _known(self) -> KnownWords:
         return KnownWords(self.special)
 
+    @cached_property
+    def _apart(self) -> dict[tuple[str, str], bool]:
+        return {}
+
     @cached_property
     def _halves(self) -> dict[str, tuple[str, str]]:
         """The two tokens that the first merge giving a token puts together."""
@@ -182,14 +187,24 @@ class WordBpe:
 
     def last_token(self, word: str, length: int, states: list[str], suffix: str = "") -> str:
         """Last token of the encoding of ``word[:length]``, from the last tokens of shorter prefixes."""
-        vocab, lengths = self.vocab, self._lengths
+        vocab, lengths, apart = self.vocab, self._lengths, self._apart
         short = word[length - 1 : length] + suffix
-        for size in lengths.get(word[length - 2 : length] + suffix, ()) if length > 1 else ():
-            if size > 1 and size <= length:
+        sizes = lengths.get(word[length - 3 : length] + suffix, ()) if length > 2 else ()
+        for size in (*sizes, 2) if length > 1 else ():
+            if size <= length:
                 token = word[length - size : length] + suffix
                 if token in vocab:
                     before = states[length - size]
-                    if self.stay_apart(before, token) if before else self.reached(token):
+                    if before:
+                        pair = before, token
+                        found = apart.get(pair)
+                        if found is None:
+                            if len(apart) >= KEPT_PAIRS:
+                                apart.clear()
+                            found = apart[pair] = self.stay_apart(before, token)
+                    else:
+                        found = self.reached(token)
+                    if found:
                         return token
         if short in vocab:  # what no longer token ends
             return short
@@ -243,6 +258,7 @@ class WordBpe:
         known.make_room()
         self.encode_words(set(words).difference(known.places))
         of_words = np.fromiter(map(known.places.__getitem__, words), np.int64, len(words))
+        known.uses[of_words] += 1
         flat, ends = known.gather(of_words[places])
         return flat, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
 
@@ -264,26 +280,38 @@ class WordBpe:
 class KnownWords:
     """Ids of words met before, in one array, and the place of each word in it.
 
-    Special strings are always known. Past ``KEPT_WORDS`` the memory starts anew, which costs time only.
+    Special strings are always known. Past ``KEPT_WORDS`` the half stays, at most, that most slices of text used, and of
+    that only words of two slices and more; a word that goes costs time only.
     """
 
     def __init__(self, special: dict[str, int]):
         self.special = special
-        self.start_anew()
-
-    def start_anew(self) -> None:
-        self.places: dict[str, int] = {s: i for i, s in enumerate(self.special)}
-        self.flat = np.fromiter(self.special.values(), np.int32, len(self.special))
-        self.ends = np.arange(1, len(self.special) + 1)
+        self.places: dict[str, int] = {s: i for i, s in enumerate(special)}
+        self.flat = np.fromiter(special.values(), np.int32, len(special))
+        self.ends = np.arange(1, len(special) + 1)
+        self.uses = np.zeros(len(special), np.int64)
 
     def make_room(self) -> None:
-        if len(self.places) > KEPT_WORDS:
-            self.start_anew()
+        if len(self.places) <= KEPT_WORDS:
+            return
+        fixed = len(self.special)
+        often = fixed + np.flatnonzero(self.uses[fixed:] > 1)
+        if len(often) > KEPT_WORDS // 2:
+            often = np.sort(often[np.argsort(-self.uses[often], kind="stable")[: KEPT_WORDS // 2]])
+        kept = np.concatenate([np.arange(fixed), often])
+        stays = np.zeros(len(self.ends), bool)
+        stays[kept] = True
+        flags = stays.tolist()
+        words = [word for word, place in self.places.items() if flags[place]]  # in the order of their places
+        self.flat, self.ends = self.gather(kept)
+        self.places = {word: i for i, word in enumerate(words)}
+        self.uses = self.uses[kept] // 2  # what was frequent long ago fades
 
     def add(self, words: list[str], flat: list[int], sizes: list[int]) -> None:
         first = len(self.ends)
         self.places.update(zip(words, range(first, first + len(words)), strict=True))
         self.ends = np.concatenate([self.ends, len(self.flat) + np.cumsum(np.array(sizes, np.int64))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
         self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -29,13 +29,15 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusweave.llm.bpe import ALPHABET, KEPT_WORDS, MAX_VOCABULARY, SLICE_CHARS, symbols
+from corpusweave.llm.bpe import ALPHABET, MAX_VOCABULARY, symbols
 from corpusweave.llm.common import released, shipped
 from corpusweave.llm.trie import numbered, slices, walk
 
 # The pattern that byte-level vocabularies split text by (fixed value).
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ZIPF_SHIFT = 2.7
+SLICE_CHARS = 1_000_000
+KEPT_WORDS = 400_000
 
 State = tuple[float, int]
 
@@ -67,10 +69,10 @@ class Unigram:
 
     @cached_property
     def _lengths(self) -> dict[str, list[int]]:
-        """By their last two symbols, how many symbols tokens have, most first."""
+        """By their last three symbols (of shorter ones: all), how many symbols tokens have, most first."""
         found: dict[str, set[int]] = {}
         for token in self.scores:
-            found.setdefault(token[-2:], set()).add(len(token))
+            found.setdefault(token[-3:], set()).add(len(token))
         return {tail: sorted(sizes, reverse=True) for tail, sizes in found.items()}
 
     @cached_property
@@ -79,6 +81,12 @@ class Unigram:
 
     @cached_property
     def _known(self) -> dict[str, State]:
+        """States of pre-tokens met since the memory last turned."""
+        return {}
+
+    @cached_property
+    def _before(self) -> dict[str, State]:
+        """States of those met in the turn before."""
         return {}
 
     def pretokens(self, text: str) -> list[str]:
@@ -90,8 +98,9 @@ class Unigram:
         last = word[length - 1 : length]
         score, count = states[length - 1]
         best = (score + scores[last], count - 1)
-        for size in self._lengths.get(word[length - 2 : length], ()) if length > 1 else ():
-            if 1 < size <= length:
+        sizes = self._lengths.get(word[length - 3 : length], ()) if length > 2 else ()
+        for size in (*sizes, 2) if length > 1 else ():
+            if size <= length:
                 own = scores.get(word[length - size : length])
                 if own is not None:
                     score, count = states[length - size]
@@ -101,11 +110,24 @@ class Unigram:
         return best
 
     def count_pretokens(self, words: set[str]) -> None:
-        if len(self._known) > KEPT_WORDS:
-            self._known.clear()
-        by_symbols = {symbols(w): w for w in words if w not in self._known}
+        """Brings the states of the pre-tokens into ``_known``.
+
+        A memory of ``KEPT_WORDS`` in two halves: when ``_known`` is full it takes the place of ``_before``, from where what
+        is met again comes back. So frequent pre-tokens stay and rare ones go, which costs time only.
+        """
+        if len(self._known) > KEPT_WORDS // 2:
+            self._before, self._known = self._known, {}
+        known, before = self._known, self._before
+        by_symbols = {}
+        for word in words:
+            if word not in known:
+                state = before.get(word)
+                if state is None:
+                    by_symbols[symbols(word)] = word
+                else:
+                    known[word] = state
         for spelled, states in walk(by_symbols, (0.0, 0), self.forward):
-            self._known[by_symbols[spelled]] = states[len(spelled)]
+            known[by_symbols[spelled]] = states[len(spelled)]
 
     def count(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """Pre-tokens, tokens and log10 probability of each text."""
