@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.functions.exact import exact_sums
 from corpusweave.functions.sequences import l1_norm, zeros_like
 
 
@@ -40,3 +41,10 @@ def l1_totals(matrix: DataFrame, ids: DataFrame) -> DataFrame:
         F.coalesce(F.sum("l1"), F.lit(0.0)).alias("total_l1"),
         F.coalesce(F.sum(F.when(F.col("hit"), F.col("l1"))), F.lit(0.0)).alias("frozen_l1"),
     )
+
+
+def l1_exact(matrix: DataFrame, ids: DataFrame) -> DataFrame:
+    """The same from exact sums over rows: bit for bit equal however the matrix is partitioned."""
+    norms = _flagged(matrix, ids).select(l1_norm(F.col("embedding")).alias("l1"), "hit")
+    frozen = F.when(F.col("hit"), F.col("l1"))
+    return exact_sums(norms, [], total_l1=F.col("l1"), frozen_l1=frozen).select("total_l1", "frozen_l1")

@@ -12,12 +12,12 @@ row: nothing is sorted, counted or moved, and positions inside the new splits ar
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.functions.integers import int_div
+from corpusweave.functions.once import once
 from corpusweave.functions.words import required
 from corpusweave.operators.splits import TEST, TRAIN, VALIDATION, limit_positions
 from corpusweave.params import PrepareParams
@@ -43,19 +43,14 @@ def mixed(value: Column, keys: list[int]) -> Column:
     return ((first * first + k[2]) % PRIME * k[3] + k[4]) % PRIME
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _rounds(left: Column, right: Column, a: Column, b: Column, seed: int, number: int) -> Column:
     """The place ``left * b + right`` after the rounds from ``number`` on."""
     if number == ROUNDS:
         return left * b + right
     keys = round_keys(seed, number)
     if number % 2 == 0:
-        return _let((left + mixed(right, keys)) % a, lambda moved: _rounds(moved, right, a, b, seed, number + 1))
-    return _let((right + mixed(left, keys)) % b, lambda moved: _rounds(left, moved, a, b, seed, number + 1))
+        return once((left + mixed(right, keys)) % a, lambda moved: _rounds(moved, right, a, b, seed, number + 1))
+    return once((right + mixed(left, keys)) % b, lambda moved: _rounds(left, moved, a, b, seed, number + 1))
 
 
 def permuted_position(position: Column, rows: Column, seed: int) -> Column:
@@ -66,19 +61,19 @@ def permuted_position(position: Column, rows: Column, seed: int) -> Column:
     """
 
     def of_digits(a: Column, b: Column) -> Column:
-        def once(place: Column) -> Column:
+        def step(place: Column) -> Column:
             return _rounds(int_div(place, b), place % b, a, b, seed, 0)
 
         def walked(place: Column) -> Column:
             # A walk meets each number outside once at most, and there are a * b - rows of those.
             steps = F.sequence(F.lit(1).cast("long"), F.greatest(a * b - rows, F.lit(1).cast("long")))
-            walk = F.aggregate(steps, place, lambda at, _: F.when(at < rows, at).otherwise(once(at)))
+            walk = F.aggregate(steps, place, lambda at, _: F.when(at < rows, at).otherwise(step(at)))
             return F.when(place < rows, place).otherwise(walk)
 
-        return _let(once(position), walked)
+        return once(step(position), walked)
 
     root = F.greatest(F.ceil(F.sqrt(rows.cast("double"))).cast("long"), F.lit(1).cast("long"))
-    return _let(root, lambda a: _let(int_div(rows + a - 1, a), lambda b: of_digits(a, b)))
+    return once(root, lambda a: once(int_div(rows + a - 1, a), lambda b: of_digits(a, b)))
 
 
 def permute_splits(corpus: DataFrame, params: PrepareParams) -> DataFrame:

@@ -423,6 +423,18 @@ SELECT seq_id % 11 = 0 AS is_nan, count(*) AS sequences, CAST(sum(CASE WHEN seq_
 {steps(PARTLY_IGNORED)}
 SELECT target, round(avg(loss), 6) AS eval_loss, round(exp(avg(loss)), 6) AS perplexity
 FROM losses GROUP BY target""",
+    "perplexity_exact": f"""
+{steps(PARTLY_IGNORED)}, kept AS (
+  SELECT target, CAST(round(loss * 1e18) AS HUGEINT) AS loss FROM losses
+  UNION ALL SELECT -1, CAST(round(loss * 1e18) AS HUGEINT) FROM losses)
+SELECT target, round(sum(loss) / 1e18 / count(*), 6) AS eval_loss, round(exp(sum(loss) / 1e18 / count(*)), 6) AS perplexity
+FROM kept GROUP BY target""",
+    "l1_exact": """
+WITH parts AS (
+  SELECT list_sum(list_transform(embedding, lambda z: CAST(abs(CAST(z AS DOUBLE)) * 1152921504606846976 AS HUGEINT))) AS l1,
+    vec_id IN (SELECT label FROM embeddings) AS hit FROM embeddings)
+SELECT round(sum(l1) / 1152921504606846976.0, 6) AS total_l1,
+  round(coalesce(sum(l1) FILTER (hit), 0) / 1152921504606846976.0, 6) AS frozen_l1 FROM parts""",
     "perplexity_empty": f"""
 {steps().replace('vec_id // 8', 'vec_id').replace('vec_id % 8', '0')}
 SELECT coalesce(avg(loss), CAST('inf' AS DOUBLE)) AS eval_loss,
@@ -491,6 +503,14 @@ SELECT split, CAST(total // 127 AS BIGINT) AS blocks, CAST(total AS BIGINT) AS t
 WITH {vocab()}, corpus AS (SELECT doc_id, text, 'train' AS split FROM documents WHERE doc_id % 7 <> 0),
 {held_out('corpus')}, {encoded('documents')}, {packed('parts', 'split, shard, batch', 4, 100)}, {NUMBERED}
 SELECT split, shard, batch, block, pos, input_ids FROM numbered""",
+    "blocks_by_number": f"""
+{HELD_OUT_BLOCKS}, filed AS (SELECT split, pos, pos // 16 AS file, input_ids FROM numbered)
+SELECT split, pos, file, input_ids, min(pos) OVER f AS first, max(pos) OVER f AS last, count(*) OVER f AS blocks,
+  md5(string_agg(md5(input_ids), ',') OVER (PARTITION BY split, file ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS digest
+FROM filed WINDOW f AS (PARTITION BY split, file)""",
+    "blocks_of_range": f"""
+{HELD_OUT_BLOCKS} SELECT split, pos, input_ids FROM numbered WHERE split = 'train' AND pos BETWEEN 20 AND 70""",
     "prepare_permuted": f"""
 WITH RECURSIVE {vocab()}, {TRAIN}, {permuted('corpus')}, {permuted_parts()}, {encoded('documents')},
 {packed('parts', 'split, shard, batch', 4, 100)}, {NUMBERED}

@@ -23,8 +23,8 @@ from corpusweave.operators.batched import map_batches, map_groups
 from corpusweave.operators.chat import strip_role_markers
 from corpusweave.operators.collate import collate
 from corpusweave.operators.encode import decode, encode, encode_prompts, texts, word_ids_by_join
-from corpusweave.operators.matrix import l1_totals, zero_input_and_output, zero_rows
-from corpusweave.operators.metrics import perplexity, sequence_losses, token_losses
+from corpusweave.operators.matrix import l1_exact, l1_totals, zero_input_and_output, zero_rows
+from corpusweave.operators.metrics import perplexity, perplexity_exact, sequence_losses, token_losses
 from corpusweave.operators.order import head_tail, natural_order, positions, seeded_order, unique_sorted
 from corpusweave.operators.pack import pack_batches, pack_global, packing_groups, truncate_documents
 from corpusweave.operators.permute import permute_splits, permuted_position
@@ -33,6 +33,7 @@ from corpusweave.operators.splits import assign_splits, split_sizes
 from corpusweave.params import IGNORE_LABEL, PrepareParams, Specials
 from corpusweave.plans.prepare import corpus_accounts, freeze_matrix, prepare_corpus, prepare_path, token_counts
 from corpusweave.session import settled, shared_folder
+from corpusweave.sources.block_store import read_blocks, read_manifest, write_blocks
 from corpusweave.sources.parquet import read_corpus, read_ids, rows_of_shard, write_ids, write_splits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -433,6 +434,16 @@ def perplexity_overall(spark, sf_dir):
     return rounded(perplexity(token_losses(steps(spark, sf_dir))), "eval_loss", "perplexity")
 
 
+def perplexity_exact_by_group(spark, sf_dir):
+    losses = token_losses(partly_ignored(spark, sf_dir))
+    whole = perplexity_exact(losses).withColumn("target", F.lit(-1))
+    return rounded(perplexity_exact(losses, ["target"]).unionByName(whole), "eval_loss", "perplexity")
+
+
+def l1_exact_totals(spark, sf_dir):
+    return rounded(l1_exact(matrix(spark, sf_dir), label_row_ids(spark, sf_dir)), "total_l1", "frozen_l1")
+
+
 def perplexity_by_sequence(spark, sf_dir):
     losses = sequence_losses(step_arrays(steps(spark, sf_dir)))
     return rounded(perplexity(losses), "eval_loss", "perplexity")
@@ -589,6 +600,22 @@ def prepare_global(spark, sf_dir):
     return shown(blocks.drop("attention_mask"), "input_ids")
 
 
+def blocks_by_number(spark, sf_dir):
+    """Blocks written to a store of files in order, read back beside their file's row of the manifest."""
+    path = shared_folder(spark, "block-store")
+    write_blocks(prepared(spark, sf_dir, HOLDOUT).select("split", "pos", "input_ids"), path, per_file=16)
+    files = read_manifest(spark, path).drop("per_file")
+    rows = read_blocks(spark, path).join(files, ["split", "file"])
+    return shown(rows, "input_ids")
+
+
+def blocks_of_range(spark, sf_dir):
+    """The blocks of some numbers out of a store; files beside the range are not opened."""
+    path = shared_folder(spark, "block-store")
+    write_blocks(prepared(spark, sf_dir, HOLDOUT).select("split", "pos", "input_ids"), path, per_file=16)
+    return shown(read_blocks(spark, path, "train", 20, 70).drop("file"), "input_ids")
+
+
 def accounts_global(spark, sf_dir):
     corpus = train_only(full_texts(spark, sf_dir))
     return corpus_accounts(corpus, replace(LIMITED, grouping="global"))
@@ -693,6 +720,8 @@ QUERIES: dict[str, Query] = {
     "token_loss_gaps": token_loss_gaps,
     "perplexity": perplexity_overall,
     "perplexity_by_sequence": perplexity_by_sequence,
+    "perplexity_exact": perplexity_exact_by_group,
+    "l1_exact": l1_exact_totals,
     "perplexity_capped": perplexity_capped,
     "perplexity_nan": perplexity_nan,
     "perplexity_by_group": perplexity_by_group,
@@ -715,6 +744,8 @@ QUERIES: dict[str, Query] = {
     "accounts_global": accounts_global,
     "prepare_without_nulls": prepare_without_nulls,
     "prepare_permuted": prepare_permuted,
+    "blocks_by_number": blocks_by_number,
+    "blocks_of_range": blocks_of_range,
     "prepare_file_limit": prepare_file_limit,
     "prepare_delivered": prepare_delivered,
 }
