@@ -504,7 +504,7 @@ WITH {vocab()}, corpus AS (SELECT doc_id, text, 'train' AS split FROM documents
 {held_out('corpus')}, {encoded('documents')}, {packed('parts', 'split, shard, batch', 4, 100)}, {NUMBERED}
 SELECT split, shard, batch, block, pos, input_ids FROM numbered""",
     "blocks_by_number": f"""
-{HELD_OUT_BLOCKS}, filed AS (SELECT split, pos, pos // 16 AS file, input_ids FROM numbered)
+{HELD_OUT_BLOCKS}, filed AS (SELECT split, pos, pos // 64 AS file, input_ids FROM numbered)
 SELECT split, pos, file, input_ids, min(pos) OVER f AS first, max(pos) OVER f AS last, count(*) OVER f AS blocks,
   md5(string_agg(md5(input_ids), ',') OVER (PARTITION BY split, file ORDER BY pos
     ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS digest

@@ -603,7 +603,7 @@ def prepare_global(spark, sf_dir):
 def blocks_by_number(spark, sf_dir):
     """Blocks written to a store of files in order, read back beside their file's row of the manifest."""
     path = shared_folder(spark, "block-store")
-    write_blocks(prepared(spark, sf_dir, HOLDOUT).select("split", "pos", "input_ids"), path, per_file=16)
+    write_blocks(prepared(spark, sf_dir, HOLDOUT).select("split", "pos", "input_ids"), path, per_file=64)
     files = read_manifest(spark, path).drop("per_file")
     rows = read_blocks(spark, path).join(files, ["split", "file"])
     return shown(rows, "input_ids")
@@ -612,7 +612,7 @@ def blocks_by_number(spark, sf_dir):
 def blocks_of_range(spark, sf_dir):
     """The blocks of some numbers out of a store; files beside the range are not opened."""
     path = shared_folder(spark, "block-store")
-    write_blocks(prepared(spark, sf_dir, HOLDOUT).select("split", "pos", "input_ids"), path, per_file=16)
+    write_blocks(prepared(spark, sf_dir, HOLDOUT).select("split", "pos", "input_ids"), path, per_file=64)
     return shown(read_blocks(spark, path, "train", 20, 70).drop("file"), "input_ids")
 
 
