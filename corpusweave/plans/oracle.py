@@ -145,6 +145,66 @@ def labels(pad: int) -> str:
     return f"array_to_string(list_transform(input_ids, lambda x: CASE WHEN x = {pad} THEN -100 ELSE x END), ',')"
 
 
+def piece_vocab(size: int = 4096, longest: int = 3) -> str:
+    """CTE ``vocab`` of special tokens, a word's beginning, bytes and the most frequent parts of words."""
+    return f"""
+word_counts AS (
+  SELECT token, count(*) AS n, regexp_extract_all(token, '(?s).') AS letters
+  FROM (SELECT unnest({WORDS}) AS token FROM documents) GROUP BY token),
+word_parts AS (
+  SELECT token, n FROM word_counts
+  UNION ALL
+  SELECT CASE WHEN i = 1 THEN '' ELSE '##' END || array_to_string(letters[i:i + l - 1], '') AS part, n
+  FROM (SELECT *, unnest(range(1, len(letters) + 1)) AS i FROM word_counts), range(1, {longest + 1}) AS lengths(l)
+  WHERE i + l - 1 <= len(letters) AND (i > 1 OR l < len(letters))),
+fixed AS (
+  SELECT * FROM (VALUES ('<pad>', 0), ('<eos>', 1), ('<bos>', 2), ('<unk>', 3), ('<w>', 4)) AS f(token, id)
+  UNION ALL SELECT printf('<0x%02X>', b), CAST(b + 5 AS INTEGER) FROM range(256) AS bytes(b)),
+vocab AS (
+  SELECT token, CAST(r + 260 AS INTEGER) AS id FROM (
+    SELECT token, row_number() OVER (ORDER BY sum(n) DESC, token) AS r
+    FROM word_parts WHERE token NOT IN (SELECT token FROM fixed) GROUP BY token)
+  WHERE r <= {size} - 261
+  UNION ALL SELECT * FROM fixed)"""
+
+
+def cut_in_pieces(docs: str) -> str:
+    """CTE ``encoded`` of (doc_id, input_ids): each distinct word cut one piece per step of the recursion."""
+    blank = "[ \\t\\n\\x0b\\x0c\\r]"
+    return f"""
+pieces AS (
+  SELECT id, token LIKE '##_%' AS inside, CASE WHEN token LIKE '##_%' THEN substr(token, 3) ELSE token END AS body
+  FROM vocab WHERE id > 260),
+split_texts AS (
+  SELECT doc_id, regexp_split_to_array(text, '{blank}') AS ws,
+    list_concat([''], regexp_extract_all(text, '{blank}')) AS blanks FROM {docs}),
+units AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(blanks) AS before, unnest(list_concat(blanks[2:], [''])) AS after,
+    generate_subscripts(ws, 1) AS p FROM split_texts),
+cut AS (
+  SELECT DISTINCT word, 1::BIGINT AS place, 0 AS step, '' AS ids FROM units WHERE word <> ''
+  UNION ALL
+  SELECT word, CAST(place + coalesce(l, least(step, 1)) AS BIGINT), step + 1,
+    CASE WHEN id IS NOT NULL THEN id::VARCHAR WHEN step = 0 THEN '4'
+      ELSE array_to_string(list_transform(range(0, length(hex(substr(word, place, 1))) // 2),
+        lambda b: ('0x' || substr(hex(substr(word, place, 1)), 2 * b + 1, 2))::INTEGER + 5), ',') END
+  FROM (
+    SELECT word, place, step, arg_max(pieces.id, l) FILTER (pieces.id IS NOT NULL) AS id, max(l) FILTER (pieces.id IS NOT NULL) AS l
+    FROM (
+      SELECT word, place, step, unnest(range(1, least(length(word) - place + 1, (SELECT max(length(body)) FROM pieces)) + 1)) AS l
+      FROM cut WHERE place <= length(word)) AS tried
+    LEFT JOIN pieces ON body = substr(word, place, l) AND inside = (step > 0)
+    GROUP BY word, place, step)),
+word_ids AS (SELECT word, string_agg(ids, ',' ORDER BY step) AS ids FROM cut WHERE step > 0 GROUP BY word),
+unit_ids AS (
+  SELECT doc_id, p, concat_ws(',', CASE WHEN before NOT IN ('', ' ') THEN (ascii(before) + 5)::VARCHAR END,
+    CASE WHEN word <> '' THEN ids WHEN ' ' IN (before, after) THEN '4' END) AS ids
+  FROM units LEFT JOIN word_ids USING (word)),
+encoded AS (
+  SELECT doc_id, concat_ws(',', string_agg(ids, ',' ORDER BY p) FILTER (ids <> ''), '1') AS input_ids
+  FROM unit_ids GROUP BY doc_id)"""
+
+
 ENCODED_BY_LANGUAGE = f"WITH {vocab()}, {BY_LANGUAGE}, {encoded('documents')}"
 
 NOT_GERMAN = "lang <> 'de'"
@@ -313,6 +373,23 @@ FROM tokens JOIN vocab ON tokens.id = vocab.id GROUP BY doc_id""",
 WITH {vocab()}, {encoded('documents')}
 SELECT doc_id, coalesce(string_agg(token, ' ' ORDER BY p) FILTER (tokens.id > 5), '') AS text
 FROM tokens JOIN vocab ON tokens.id = vocab.id GROUP BY doc_id""",
+    "vocab_pieces": f"WITH {piece_vocab()} SELECT token, id FROM vocab",
+    "encode_pieces": f"""
+WITH RECURSIVE {piece_vocab()}, {cut_in_pieces('documents')}
+SELECT doc_id, input_ids FROM encoded""",
+    "encode_prompt_pieces": f"""
+WITH RECURSIVE {piece_vocab()}, prompts AS (
+  SELECT conv_id * 1000 + turn AS doc_id, conv_id, turn, text FROM conversations WHERE role = 'user'),
+{cut_in_pieces('prompts')}
+SELECT conv_id, turn, '2' || left(',' || input_ids, -2) AS input_ids FROM encoded JOIN prompts USING (doc_id)""",
+    "decode_pieces": "SELECT doc_id, text FROM documents",
+    "prepare_pieces": f"""
+WITH RECURSIVE {piece_vocab()}, {TRAIN}, {held_out('corpus')}, {cut_in_pieces('documents')},
+tokens AS (
+  SELECT doc_id, unnest(all_ids)::INTEGER AS id, generate_subscripts(all_ids, 1) AS p
+  FROM (SELECT doc_id, string_split(input_ids, ',') AS all_ids FROM encoded)),
+{packed('parts', 'split, shard, batch', 4, 100)}, {NUMBERED}
+SELECT split, shard, batch, block, pos, input_ids FROM numbered""",
     "pack_groups": f"""
 WITH {BY_LANGUAGE}, sharded AS (
   SELECT *, ntile(12) OVER (PARTITION BY split ORDER BY pos) - 1 AS shard FROM docs)

@@ -28,6 +28,7 @@ from corpusweave.operators.metrics import perplexity, perplexity_exact, sequence
 from corpusweave.operators.order import head_tail, natural_order, positions, seeded_order, unique_sorted
 from corpusweave.operators.pack import pack_batches, pack_global, packing_groups, truncate_documents
 from corpusweave.operators.permute import permute_splits, permuted_position
+from corpusweave.operators.pieces import piece_decoder, piece_encoder, piece_vocabulary
 from corpusweave.operators.preview import preview
 from corpusweave.operators.splits import assign_splits, split_sizes
 from corpusweave.params import IGNORE_LABEL, PrepareParams, Specials
@@ -298,6 +299,42 @@ def decode_skips_specials(spark, sf_dir):
     return decode(encoded_ids(spark, sf_dir, vocab), vocab, specials, ["doc_id"])
 
 
+def vocab_p(spark, sf_dir):
+    return piece_vocabulary(full_texts(spark, sf_dir), VOCAB_SIZE)
+
+
+def vocab_pieces(spark, sf_dir):
+    return vocab_p(spark, sf_dir)
+
+
+def piece_ids(spark, sf_dir, vocab):
+    docs = texts(full_texts(spark, sf_dir))
+    return encode(docs, None, SPECIALS, ["doc_id"], codec=piece_encoder(vocab, SPECIALS))
+
+
+def encode_pieces(spark, sf_dir):
+    return shown(piece_ids(spark, sf_dir, vocab_p(spark, sf_dir)).drop("attention_mask"), "input_ids")
+
+
+def encode_prompt_pieces(spark, sf_dir):
+    codec = piece_encoder(vocab_p(spark, sf_dir), SPECIALS)
+    ids = encode_prompts(prompts(spark, sf_dir), None, SPECIALS, ["conv_id", "turn"], codec=codec)
+    return shown(ids.drop("attention_mask"), "input_ids")
+
+
+def decode_pieces(spark, sf_dir):
+    """Every text, given back by its ids."""
+    vocab = settled(vocab_p(spark, sf_dir))
+    return decode(piece_ids(spark, sf_dir, vocab), None, SPECIALS, ["doc_id"], codec=piece_decoder(vocab))
+
+
+def prepare_pieces(spark, sf_dir):
+    """Holdout, pieces and packing."""
+    corpus = train_only(full_texts(spark, sf_dir))
+    codec = piece_encoder(vocab_p(spark, sf_dir), SPECIALS)
+    return shown(prepare_corpus(corpus, None, SPECIALS, HOLDOUT, codec).drop("attention_mask"), "input_ids")
+
+
 # Packing and collation
 
 
@@ -693,6 +730,11 @@ QUERIES: dict[str, Query] = {
     "encode_prompts": encode_prompt_ids,
     "decode_tokens": decode_tokens,
     "decode_join": decode_join,
+    "vocab_pieces": vocab_pieces,
+    "encode_pieces": encode_pieces,
+    "encode_prompt_pieces": encode_prompt_pieces,
+    "decode_pieces": decode_pieces,
+    "prepare_pieces": prepare_pieces,
     "decode_skips_specials": decode_skips_specials,
     "pack_groups": pack_group_ids,
     "pack_blocks": pack_blocks,
