@@ -11,11 +11,13 @@ from corpusweave.functions.sequences import labels_of, pad_left, pad_right
 from corpusweave.params import Specials
 
 
-def collate(rows: DataFrame, specials: Specials, batch_size: int = 2, side: str = "left") -> DataFrame:
+def collate(
+    rows: DataFrame, specials: Specials, batch_size: int = 2, side: str = "left", drop_last: bool = False
+) -> DataFrame:
     """Pad each run of ``batch_size`` rows of a split to its longest row.
 
     Takes ``split, pos, input_ids, attention_mask``: truncated rows or packed blocks. A missing pad token falls back to
-    EOS; labels ignore every pad id, which then includes real EOS tokens.
+    EOS; labels ignore every pad id, which then includes real EOS tokens. ``drop_last`` leaves out a batch that lacks rows.
     """
     if side not in ("left", "right"):
         raise ValueError("side must be 'left' or 'right'")
@@ -24,8 +26,11 @@ def collate(rows: DataFrame, specials: Specials, batch_size: int = 2, side: str
     pad_id = specials.with_pad_fallback().pad
     pad = pad_left if side == "left" else pad_right
     batch = int_div(F.col("pos"), batch_size)
-    width = F.max(F.size("input_ids")).over(W.partitionBy("split", "batch"))
+    together = W.partitionBy("split", "batch")
+    width = F.max(F.size("input_ids")).over(together)
     sized = rows.withColumn("batch", batch).withColumn("width", width)
+    if drop_last:
+        sized = sized.withColumn("members", F.count("*").over(together)).where(F.col("members") == batch_size)
     padded = sized.select(
         "split",
         "batch",

@@ -429,6 +429,10 @@ SELECT split, batch, pos, array_to_string(input_ids, ',') AS input_ids,
     "collate_labels": f"""
 {ENCODED_BY_LANGUAGE}, {TRUNCATED}, {collated(8, 0)}
 SELECT split, batch, pos, {labels(0)} AS labels FROM padded""",
+    "collate_drop_last": f"""
+{ENCODED_BY_LANGUAGE}, {TRUNCATED}, {collated(7, 0)}
+SELECT split, batch, pos, {labels(0)} AS labels FROM padded
+QUALIFY count(*) OVER (PARTITION BY split, batch) = 7""",
     "collate_pad_is_eos": f"""
 {ENCODED_BY_LANGUAGE}, {TRUNCATED}, {collated(2, 1)}
 SELECT split, batch, pos, array_to_string(input_ids, ',') AS input_ids, {labels(1)} AS labels FROM padded""",
@@ -467,6 +471,14 @@ UNION ALL SELECT * FROM (SELECT id, 'tail' AS part FROM shared ORDER BY id DESC
 {TWO_VOCABS}
 SELECT CAST(a.id AS BIGINT) AS id FROM a JOIN b ON a.id = b.id AND a.token = b.token
 WHERE a.id < (SELECT count(*) FROM embeddings)""",
+    "freeze_bitmap": f"""
+{TWO_VOCABS}, met AS (SELECT CAST(a.id AS BIGINT) AS id FROM a JOIN b ON a.id = b.id AND a.token = b.token
+  WHERE a.id IN (SELECT vec_id FROM embeddings))
+SELECT 'id' AS what, id AS value FROM met UNION ALL SELECT 'ids', count(*) FROM met""",
+    "bitmap_members": """
+WITH asked AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN -doc_id * 40009 ELSE doc_id END AS id FROM documents),
+members AS (SELECT -vec_id * 3 * 40009 AS id FROM embeddings UNION SELECT c_custkey FROM customer)
+SELECT doc_id, id, id IN (SELECT id FROM members) AS member FROM asked""",
     "freeze_counts": f"""
 {TWO_VOCABS}
 SELECT a.id < (SELECT count(*) FROM embeddings) AS valid, count(*) AS ids
@@ -479,6 +491,7 @@ SELECT id FROM chat WHERE id <> 3 AND token IN ('<|eot_id|>', '<|im_end|>', '<|e
   '<eot_id>', '<|eot|>', '<EOT>')
 UNION SELECT 1""",
     "token_loss": f"{steps()} SELECT seq_id, pos, target, round(loss, 6) AS loss FROM losses",
+    "token_loss_bucketed": f"{steps(PARTLY_IGNORED)} SELECT seq_id, pos, target, round(loss, 6) AS loss FROM losses",
     "token_loss_by_sequence": f"{steps(PARTLY_IGNORED)} SELECT seq_id, pos, target, round(loss, 6) AS loss FROM losses",
     "perplexity": f"""
 {steps()} SELECT round(avg(loss), 6) AS eval_loss, round(exp(avg(loss)), 6) AS perplexity FROM losses""",
@@ -520,6 +533,10 @@ SELECT coalesce(avg(loss), CAST('inf' AS DOUBLE)) AS eval_loss,
 SELECT vec_id, array_to_string(list_transform(embedding, lambda z:
     CAST(round(CASE WHEN hit THEN 0 ELSE CAST(z AS DOUBLE) END, 6) AS DECIMAL(12,6))), ',') AS embedding
 FROM (SELECT vec_id, embedding, vec_id IN (SELECT label FROM embeddings) AS hit FROM embeddings)""",
+    "matrix_zero_by_bitmap": """
+SELECT e.vec_id, array_to_string(list_transform(embedding, lambda z:
+    CAST(round(CASE WHEN frozen.vec_id IS NOT NULL THEN 0 ELSE CAST(z AS DOUBLE) END, 6) AS DECIMAL(12,6))), ',') AS embedding
+FROM embeddings e LEFT JOIN (SELECT DISTINCT label AS vec_id FROM embeddings) frozen ON e.vec_id = frozen.vec_id""",
     "matrix_output": """
 SELECT matrix, flag, vec_id, hit AND (matrix = 'input' OR flag)
   OR list_max(list_transform(embedding, lambda z: abs(z))) = 0 AS zero

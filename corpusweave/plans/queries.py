@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from corpusweave.functions.integers import int_div
 from corpusweave.operators import vocab as V
 from corpusweave.operators.batched import map_batches, map_groups
+from corpusweave.operators.bitmaps import both, either, id_bitmaps, id_count, ids_of, with_membership, zero_rows_by_bitmap
 from corpusweave.operators.chat import strip_role_markers
 from corpusweave.operators.collate import collate
 from corpusweave.operators.encode import decode, encode, encode_prompts, texts, word_ids_by_join
@@ -36,12 +37,14 @@ from corpusweave.plans.prepare import corpus_accounts, freeze_matrix, prepare_co
 from corpusweave.session import settled, shared_folder
 from corpusweave.sources.block_store import read_blocks, read_manifest, write_blocks
 from corpusweave.sources.parquet import read_corpus, read_ids, rows_of_shard, write_ids, write_splits
+from corpusweave.sources.step_store import store_steps, stored_token_losses
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 VOCAB_SIZE = 4096
 LENGTH = 128
 BATCH_ROWS = 300
+STEP_BUCKETS = 16
 SPECIALS = V.SPECIALS
 
 HOLDOUT = PrepareParams(max_seq_length=LENGTH, n_val=30, n_test=50, shards=4, batch_rows=100)
@@ -383,6 +386,11 @@ def collate_right_pad(spark, sf_dir):
     return shown(rows, "input_ids", "attention_mask", "labels")
 
 
+def collate_drop_last(spark, sf_dir):
+    rows = collate(truncated(spark, sf_dir), SPECIALS, batch_size=7, drop_last=True)
+    return shown(rows.select("split", "batch", "pos", "labels"), "labels")
+
+
 def collate_labels(spark, sf_dir):
     rows = collate(truncated(spark, sf_dir), SPECIALS, batch_size=8)
     return shown(rows.select("split", "batch", "pos", "labels"), "labels")
@@ -435,6 +443,23 @@ def freeze_id_list(spark, sf_dir):
     return read_ids(spark, path)
 
 
+def freeze_bitmap(spark, sf_dir):
+    """Shared ids that have a matrix row, as the meet of two sets, and their number."""
+    shared = id_bitmaps(V.shared_ids(vocab_a(spark, sf_dir), vocab_b(spark, sf_dir)))
+    met = settled(both(shared, id_bitmaps(matrix(spark, sf_dir), "vec_id")))
+    ids = ids_of(met).select(F.lit("id").alias("what"), F.col("id").alias("value"))
+    return ids.unionByName(id_count(met).select(F.lit("ids").alias("what"), F.col("ids").alias("value")))
+
+
+def bitmap_members(spark, sf_dir):
+    """Which documents' ids are a vector's or a customer's, far ids and negative ones among them."""
+    far = F.when(F.col("doc_id") % 3 == 0, -F.col("doc_id") * 40_009).otherwise(F.col("doc_id"))
+    asked = documents(spark, sf_dir).select("doc_id", far.alias("id"))
+    some = table(spark, sf_dir, "embeddings").select((-F.col("vec_id") * 3 * 40_009).alias("id"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return with_membership(asked, settled(either(id_bitmaps(some), id_bitmaps(customers))), "id")
+
+
 def freeze_counts(spark, sf_dir):
     return V.freeze_counts(vocab_a(spark, sf_dir), vocab_b(spark, sf_dir), matrix(spark, sf_dir))
 
@@ -456,6 +481,13 @@ def token_loss(spark, sf_dir):
     return rounded(token_losses(steps(spark, sf_dir)), "loss")
 
 
+def token_loss_bucketed(spark, sf_dir):
+    """Losses of steps that a table holds in buckets, some of them ignored."""
+    path = shared_folder(spark, "steps")
+    stored = store_steps(partly_ignored(spark, sf_dir), path.rpartition("/")[2].replace("-", "_"), STEP_BUCKETS, path)
+    return rounded(stored_token_losses(stored, STEP_BUCKETS), "loss")
+
+
 def token_loss_by_sequence(spark, sf_dir):
     losses = sequence_losses(step_arrays(partly_ignored(spark, sf_dir)))
     return rounded(losses, "loss").withColumn("pos", F.col("pos").cast("long"))
@@ -524,6 +556,12 @@ def matrix_zero_rows(spark, sf_dir):
     return zeroed.select("vec_id", F.array_join(parts, ",").alias("embedding"))
 
 
+def matrix_zero_by_bitmap(spark, sf_dir):
+    zeroed = zero_rows_by_bitmap(matrix(spark, sf_dir), settled(id_bitmaps(label_row_ids(spark, sf_dir))))
+    parts = F.transform("embedding", lambda z: F.round(z.cast("double"), 6).cast("decimal(12,6)").cast("string"))
+    return zeroed.select("vec_id", F.array_join(parts, ",").alias("embedding"))
+
+
 def matrix_output(spark, sf_dir):
     """Input and output matrix, the latter zeroed or not by flag."""
     rows, ids = matrix(spark, sf_dir), label_row_ids(spark, sf_dir)
@@ -745,6 +783,7 @@ QUERIES: dict[str, Query] = {
     "collate_left_pad": collate_left_pad,
     "collate_right_pad": collate_right_pad,
     "collate_labels": collate_labels,
+    "collate_drop_last": collate_drop_last,
     "collate_pad_is_eos": collate_pad_is_eos,
     "vocab_invert": vocab_invert,
     "vocab_shared_ids": vocab_shared_ids,
@@ -755,9 +794,12 @@ QUERIES: dict[str, Query] = {
     "vocab_head_tail": vocab_head_tail,
     "freeze_ids": freeze_id_list,
     "freeze_counts": freeze_counts,
+    "freeze_bitmap": freeze_bitmap,
+    "bitmap_members": bitmap_members,
     "unique_sorted_ids": label_ids_sorted,
     "eot_ids": eot_ids,
     "token_loss": token_loss,
+    "token_loss_bucketed": token_loss_bucketed,
     "token_loss_by_sequence": token_loss_by_sequence,
     "token_loss_gaps": token_loss_gaps,
     "perplexity": perplexity_overall,
@@ -769,6 +811,7 @@ QUERIES: dict[str, Query] = {
     "perplexity_by_group": perplexity_by_group,
     "perplexity_empty": perplexity_empty,
     "matrix_zero_rows": matrix_zero_rows,
+    "matrix_zero_by_bitmap": matrix_zero_by_bitmap,
     "matrix_output": matrix_output,
     "matrix_l1": matrix_l1,
     "frozen_matrix": frozen_matrix,

@@ -38,3 +38,12 @@ def test_width_is_per_batch(spark):
 def test_unknown_side(spark):
     with pytest.raises(ValueError, match="side"):
         collate(rows(spark, [[1]]), Specials(pad=0, eos=1, bos=2), side="up")
+
+
+def test_a_batch_that_lacks_rows_goes(spark):
+    found = spark.createDataFrame(
+        [("a", i, [1] * (i + 1), [1] * (i + 1)) for i in range(5)] + [("b", 0, [1], [1])], SCHEMA
+    )
+    kept = collate(found, Specials(eos=1, bos=2, pad=0), 2, drop_last=True).collect()
+    assert sorted((r.split, r.pos, len(r.input_ids)) for r in kept) == [("a", 0, 2), ("a", 1, 2), ("a", 2, 4), ("a", 3, 4)]
+    assert collate(found.where("split = 'b'"), Specials(eos=1, bos=2, pad=0), 2, drop_last=True).collect() == []
