@@ -397,6 +397,9 @@ SELECT doc_id, split, pos, shard,
   (row_number() OVER (PARTITION BY split, shard ORDER BY pos) - 1) // 30 AS batch FROM sharded""",
     "pack_blocks": f"""
 {ENCODED_BY_LANGUAGE}, {packed('docs', 'split, shard, batch', 1, 300)}
+SELECT split, batch, block, input_ids FROM blocks""",
+    "packed_by_udtf": f"""
+{ENCODED_BY_LANGUAGE}, {packed('docs', 'split, shard, batch', 1, 300)}
 SELECT split, batch, block, input_ids FROM blocks""",
     "pack_sharded": f"""
 {ENCODED_BY_LANGUAGE}, {packed('docs', 'split, shard, batch', 12, 30)}

@@ -32,6 +32,7 @@ from corpusweave.operators.permute import permute_splits, permuted_position
 from corpusweave.operators.pieces import piece_decoder, piece_encoder, piece_vocabulary
 from corpusweave.operators.preview import preview
 from corpusweave.operators.splits import assign_splits, split_sizes
+from corpusweave.operators.streamed import pack_streamed
 from corpusweave.params import IGNORE_LABEL, PrepareParams, Specials
 from corpusweave.plans.prepare import corpus_accounts, freeze_matrix, prepare_corpus, prepare_path, token_counts
 from corpusweave.session import settled, shared_folder
@@ -356,6 +357,13 @@ def pack_sharded(spark, sf_dir):
     return shown(blocks, "input_ids", "attention_mask")
 
 
+def packed_by_udtf(spark, sf_dir):
+    """The blocks of ``pack_blocks``, by a table function."""
+    placed = packing_groups(positions(encoded_by_language(spark, sf_dir)), 1, BATCH_ROWS)
+    blocks = pack_streamed(placed, LENGTH, SPECIALS.bos)
+    return shown(blocks.drop("shard", "attention_mask"), "input_ids")
+
+
 def pack_one_stream(spark, sf_dir):
     counted = token_counts(by_language(full_texts(spark, sf_dir)))
     blocks = pack_global(encoded_by_language(spark, sf_dir), SPECIALS, LENGTH, counted)
@@ -776,6 +784,7 @@ QUERIES: dict[str, Query] = {
     "decode_skips_specials": decode_skips_specials,
     "pack_groups": pack_group_ids,
     "pack_blocks": pack_blocks,
+    "packed_by_udtf": packed_by_udtf,
     "pack_sharded": pack_sharded,
     "pack_global": pack_one_stream,
     "pack_stats": pack_stats,
