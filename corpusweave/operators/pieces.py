@@ -38,6 +38,7 @@ BYTES = [f"<0x{byte:02X}>" for byte in range(256)]
 SPACE = 32
 BLANKS = np.array([9, 10, 11, 12, 13, SPACE], np.uint8)
 BEGIN, GO_ON = 0, 1  # the two roots of the trie
+SLICE_BYTES = 2 << 20  # of text that is cut at once; a longer text is a slice of its own
 FEW = 32  # so many words or fewer are walked one by one
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
@@ -217,6 +218,13 @@ def batch_ids(trie: PieceTrie, batch: pa.Array) -> pa.ListArray:
     if not len(batch):
         return pa.array([], pa.list_(pa.int32()))
     batch = batch.cast(pa.string())
+    ends = np.frombuffer(batch.buffers()[1], np.int32)[batch.offset + 1 : batch.offset + len(batch) + 1]
+    cuts = np.unique(np.searchsorted(ends, np.arange(ends[0], ends[-1], SLICE_BYTES, dtype=np.int64)))
+    cuts = [0, *cuts[cuts > 0].tolist(), len(batch)]
+    return pa.concat_arrays([slice_ids(trie, batch.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
+
+
+def slice_ids(trie: PieceTrie, batch: pa.Array) -> pa.ListArray:
     row_bounds = np.frombuffer(batch.buffers()[1], np.int32)[batch.offset : batch.offset + len(batch) + 1].astype(np.int64)
     body = batch.buffers()[2]
     data = np.frombuffer(body if body is not None else b"", np.uint8)[: row_bounds[-1]]
@@ -259,7 +267,9 @@ def piece_encoder(vocab: DataFrame, specials: Specials) -> Codec:
     @F.arrow_udf("array<int>")
     def pieces(batch: pa.Array) -> pa.Array:
         lists, arrays = shared.value
-        return batch_ids(PieceTrie(settled=Lists(*lists), **arrays), batch)
+        found = batch_ids(PieceTrie(settled=Lists(*lists), **arrays), batch)
+        pa.default_memory_pool().release_unused()
+        return found
 
     return pieces
 

@@ -92,6 +92,16 @@ def test_nulls_slices_and_wide_strings():
     assert both_ways(pa.array([], pa.string())) == ([], [])
 
 
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_small_slices(monkeypatch, size):
+    monkeypatch.setattr(P, "SLICE_BYTES", size)
+    rows = [None, *GIVEN, None, "", "a" * 100, "", None]
+    want = [None if t is None else by_hand(t) for t in rows]
+    for batch in (pa.array(rows), pa.array(["x y", *rows]).slice(1), pa.array([None, "", None], pa.string())):
+        assert both_ways(batch)[1] == batch.to_pylist()
+    assert both_ways(pa.array(rows))[0] == want
+
+
 def test_a_very_long_word():
     word = "abcdeab" * 40_000 + "₴"
     assert both_ways(pa.array([word])) == ([by_hand(word)], [word])
