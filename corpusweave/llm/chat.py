@@ -3,8 +3,9 @@
 Training conversations come as rows of turns, message arrays, or prompt and answer columns. The names
 of a layout's nested fields identify it: their paths, sorted and hashed, are its fingerprint,
 and the fingerprint selects a declarative mapping, an expression that gives the canonical
-turns ``array<struct<role, text>>``. Tables carry their fingerprint in their schema; JSON records are held
-against the paths of the layouts one by one, so one column may mix layouts.
+turns ``array<struct<role, text>>``. Only paths that some layout knows are hashed; of these a record may hold any, so
+``LAYOUTS`` lists the fingerprint of every set of them that holds a whole layout. Tables carry their paths in their
+schema, JSON records each their own, so one column may mix layouts.
 
 Template: ``<|turn|>ROLE<|msg|>TEXT<|end|>`` per turn. Inside roles and texts every control string,
 those of other well-known templates included, is broken by a backslash after its first
@@ -17,14 +18,16 @@ Plan: functions of Spark only. Rows of turns move once, by conversation; all els
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import combinations
 
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusweave.llm.arrays import running_starts
+from corpusweave.llm.arrays import let, running_starts
 
 TURN, MSG, END = "<|turn|>", "<|msg|>", "<|end|>"
 TURNS = "array<struct<role:string,text:string>>"
@@ -75,8 +78,14 @@ def _pair(asked: str, answered: str) -> str:
 # Roles by the names that other layouts use (fixed values).
 ROLE = "CASE {0} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE coalesce({0}, '') END"
 
-# Layouts of one record per conversation.
-MAPPINGS = {
+
+def _with_system(plain: Mapping) -> Mapping:
+    said = f"filter(array({_turn(repr('system'), 'system')}), t -> system IS NOT NULL)"
+    return Mapping(T.StructType([*_strings("system"), *plain.fields]), f"concat({said}, {plain.turns})")
+
+
+# Layouts of one record per conversation, each also with a system text beside it.
+_PLAIN = {
     "messages": Mapping(
         _list_of("messages", "role", "content"),
         f"transform(messages, m -> {_turn('coalesce(m.role, ' + repr('') + ')', 'm.content')})",
@@ -93,33 +102,55 @@ MAPPINGS = {
         _strings("instruction", "input", "output"),
         _pair("concat(instruction, if(coalesce(input, '') = '', '', concat('\\n\\n', input)))", "output"),
     ),
-    "system_instruction": Mapping(
-        _strings("system", "instruction", "output"),
-        f"concat(array({_turn(repr('system'), 'system')}), {_pair('instruction', 'output')})",
-    ),
 }
-BY_FINGERPRINT = {fingerprint(field_paths(m.fields)): name for name, m in MAPPINGS.items()}
+MAPPINGS = _PLAIN | {f"system_{name}": _with_system(mapping) for name, mapping in _PLAIN.items()}
+NEEDS = {name: sorted(set(field_paths(mapping.fields))) for name, mapping in MAPPINGS.items()}
 # Layout of one row per turn.
-ROWS_FINGERPRINT = fingerprint(["turn", "role", "text"])
+ROWS = ["role", "text", "turn"]
+# Families of layouts, by what they need and what else counts where that is there: the first that fits holds.
+_LISTS = ("messages", "conversations")
+_FLAT = sorted({path for name, needs in NEEDS.items() if not name.endswith(_LISTS) for path in needs})
+FAMILIES = [*((NEEDS[name], ["system"]) for name in _LISTS), ([], _FLAT)]
+
+
+def layout_of(paths: Iterable[str]) -> str | None:
+    """The layout with the most paths among those whose paths are all there, of several the first of ``MAPPINGS``."""
+    fits = [name for name, needs in NEEDS.items() if set(needs) <= set(paths)]
+    return max(fits, key=lambda name: len(NEEDS[name]), default=None)
+
+
+def layouts() -> dict[int, str]:
+    """Layout by fingerprint, of every set of known paths that has one: some 300 of them."""
+    found = {}
+    for needs, others in FAMILIES:
+        for size in range(len(others) + 1):
+            for more in combinations(others, size):
+                found[fingerprint([*needs, *more])] = layout_of([*needs, *more])
+    return {value: name for value, name in found.items() if name}
+
+
+LAYOUTS = layouts()
 
 
 def table_turns(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     """``key`` and canonical ``turns`` of a table in any of the known layouts.
 
-    Besides ``key`` the table's fields must be those of one layout; other fields raise an error
-    that lists them. Rows of turns are put together by ``key`` in the order of ``turn`` (nulls
+    Fields that no layout knows are ignored; a table whose fields hold no whole layout is an error that lists them.
+    Rows of turns (``turn``, ``role`` and ``text``) are put together by ``key`` in the order of ``turn`` (nulls
     first), ties by role and text; repeated rows are repeated turns; null keys are one
-    conversation. Null roles and texts are empty.
+    conversation. Null roles and texts are empty, a null system text is no turn.
     """
-    found = fingerprint(field_paths(rows.drop(key).schema))
-    if found == ROWS_FINGERPRINT:
+    paths = set(field_paths(rows.drop(key).schema))
+    if paths.issuperset(ROWS):
         part = F.struct("turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
         together = rows.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("parts"))
         turns = F.transform("parts", lambda p: F.struct(p["role"], p["text"])).cast(TURNS)
         return together.select(key, turns.alias("turns"))
-    if found not in BY_FINGERPRINT:
-        raise ValueError(f"no mapping for fields {sorted(field_paths(rows.drop(key).schema))}")
-    return rows.select(key, F.expr(MAPPINGS[BY_FINGERPRINT[found]].turns).cast(TURNS).alias("turns"))
+    known = next({*needs, *others} for needs, others in FAMILIES if paths.issuperset(needs))
+    layout = LAYOUTS.get(fingerprint(sorted(paths & known)))
+    if layout is None:
+        raise ValueError(f"no mapping for fields {sorted(paths)}")
+    return rows.select(key, F.expr(MAPPINGS[layout].turns).cast(TURNS).alias("turns"))
 
 
 def json_paths(record: Column) -> Column:
@@ -145,26 +176,73 @@ def json_paths(record: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(keys, below))))
 
 
+def layout_by_hash(paths: Column) -> Column:
+    """The layout that the fingerprint of a record's known paths selects, if any."""
+
+    def strings(values: list[str]) -> Column:
+        return F.array(*map(F.lit, values)).cast("array<string>")
+
+    counted = [
+        F.when(F.size(F.array_except(strings(needs), paths)) == 0, F.array_intersect(paths, strings([*needs, *others])))
+        for needs, others in FAMILIES
+    ]
+    found = F.xxhash64(F.array_join(F.array_sort(F.coalesce(*counted)), "\n"))
+    own = {name: [value for value, layout in LAYOUTS.items() if layout == name] for name in MAPPINGS}
+    return let(found, lambda value: F.coalesce(*[F.when(value.isin(own[name]), F.lit(name)) for name in MAPPINGS]))
+
+
+def _said(value: Column) -> Column:
+    """Text of a variant: a string or other scalar as it is; of a list, the texts of its parts by line."""
+
+    def part(p: Column) -> Column:
+        is_object = F.schema_of_variant(p).startswith("OBJECT")
+        return F.when(is_object, F.try_variant_get(p, "$.text", "string")).otherwise(F.try_variant_get(p, "$", "string"))
+
+    parts = F.filter(F.transform(F.try_variant_get(value, "$", "array<variant>"), part), lambda t: t.isNotNull())
+    is_list = F.schema_of_variant(value).startswith("ARRAY")
+    return F.when(is_list, F.array_join(parts, "\n")).otherwise(F.try_variant_get(value, "$", "string"))
+
+
+def parsed(record: Column, fields: T.StructType) -> Column:
+    """Struct of a JSON record's fields; in lists of messages every value may be a text or a list of parts."""
+    loose = [
+        T.StructField(f.name, T.ArrayType(T.StructType([T.StructField(m.name, T.VariantType()) for m in f.dataType.elementType])))
+        if isinstance(f.dataType, T.ArrayType)
+        else f
+        for f in fields
+    ]
+
+    def messages(values: Column, names: list[str]) -> Column:
+        return F.transform(values, lambda m: F.struct(*[_said(m[name]).alias(name) for name in names]))
+
+    def strict(whole: Column) -> Column:
+        return F.struct(
+            *[
+                (messages(whole[f.name], f.dataType.elementType.names) if isinstance(f.dataType, T.ArrayType) else whole[f.name]).alias(f.name)
+                for f in fields
+            ]
+        )
+
+    return let(F.from_json(record, T.StructType(loose)), strict)
+
+
 def json_turns(rows: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
     """``key``, ``layout`` and canonical ``turns`` of JSON records of mixed layouts.
 
-    A record has the layout with the most paths among those whose paths it holds all, the first of ``MAPPINGS``
-    if several have as many; its other fields are ignored. One that is null, no object or of no known layout has the
-    layout null and no turns.
+    The hash of a record's known paths selects its layout; its other fields are ignored. Where it holds several
+    layouts, lists of messages go before single fields, then more paths before fewer, then the first of ``MAPPINGS``. A system
+    text beside any layout is the first turn. The text of a message may be a list of parts: their texts are joined by line
+    breaks, parts without a text (images) left out. A record that is null, no object or of no known layout has the
+    layout null and no turns; repeated rows give repeated rows. Other columns are not read.
     """
-    needs = {name: sorted(set(field_paths(m.fields))) for name, m in MAPPINGS.items()}
-    paths = F.col("paths")
-    fits = [
-        F.when(F.size(F.array_except(F.array(*map(F.lit, needs[name])), paths)) == 0, F.lit(name))
-        for name in sorted(needs, key=lambda name: -len(needs[name]))
-    ]
     turns, layout = F.lit(None).cast(TURNS), F.col("layout")
     marked = rows.select(key, F.col(record).alias("record"), json_paths(F.col(record)).alias("paths"))
-    marked = marked.withColumn("layout", F.coalesce(*fits))
+    marked = marked.select(key, "record", layout_by_hash(F.col("paths")).alias("layout"))
+    own = {f"as_{name}": F.when(layout == name, parsed(F.col("record"), m.fields)) for name, m in MAPPINGS.items()}
+    marked = marked.withColumns(own)
     for name, mapping in MAPPINGS.items():
-        marked = marked.withColumn(name, F.when(layout == name, F.from_json("record", mapping.fields)))
-        own = F.expr(_inside(mapping.turns, mapping.fields.names, name)).cast(TURNS)
-        turns = F.when(layout == name, own).otherwise(turns)
+        mapped = F.expr(_inside(mapping.turns, mapping.fields.names, f"as_{name}")).cast(TURNS)
+        turns = F.when(layout == name, mapped).otherwise(turns)
     return marked.select(key, layout.alias("layout"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
 
 

@@ -122,7 +122,6 @@ FROM g
 """
 
 
-
 def _round(before: str, after: str) -> str:
     """One round: the nearest of the centroids ``before`` for every vector, then the centroids ``after``."""
     return f"""
@@ -154,9 +153,28 @@ SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY
 FROM last
 """
 
+_LAYOUTS = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, ((coalesce(conv_id, 0) % 12) + 12) % 12 AS k
+  FROM conversations
+), g AS (
+  SELECT conv_id, k, count(*) AS n_turns, string_agg(role, ',' ORDER BY turn NULLS FIRST, role, text) AS roles,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said
+  FROM c GROUP BY conv_id, k
+), f AS (
+  SELECT *, k < 5 AND roles IN ('user,assistant', 'system,user,assistant') AS flat FROM g
+)
+SELECT conv_id, CASE WHEN roles LIKE 'system,%' AND (flat OR k % 2 = 0) THEN 'system_' ELSE '' END
+         || CASE WHEN flat THEN ['prompt_completion', 'prompt_response', 'question_answer', 'instruction', 'instruction_input'][k + 1]
+                 WHEN k % 3 = 0 THEN 'conversations' ELSE 'messages' END AS layout,
+       n_turns, sha256(said) AS turns_sha256
+FROM f
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": _MIXING,
     "op3_quality_rules": _QUALITY,
     "op10_chat_formatting": _CHAT,
     "op13_centroids": _CENTROIDS,
+    "chat_json_layouts": _LAYOUTS,
 }

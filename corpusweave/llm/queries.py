@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.llm import (
@@ -130,6 +130,49 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def as_records(turns: DataFrame) -> DataFrame:
+    """Conversations as JSON records of all layouts, dealt by id, with fields that no layout knows."""
+    roles = F.array_join(F.transform("turns", lambda t: t["role"]), ",")
+    k = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(12))
+    has_system = F.element_at("turns", 1)["role"] == "system"
+    pair = roles.isin("user,assistant", "system,user,assistant")
+    lifted = has_system & (F.size("turns") > 1) & (pair & (k < 5) | (k % 2 == 0))
+    rows = turns.select("conv_id", "turns", k.alias("k"), lifted.alias("lifted"), (pair & (k < 5)).alias("flat"))
+    rows = rows.withColumn("system", F.when(F.col("lifted"), F.element_at("turns", 1)["text"]))
+    rows = rows.withColumn("said", F.when(F.col("lifted"), F.slice("turns", 2, F.size("turns"))).otherwise(F.col("turns")))
+    asked, answered = F.get("said", F.lit(0))["text"], F.get("said", F.lit(1))["text"]
+    given = F.when(F.col("k") == 4, F.lit(""))
+    flat = [("prompt", "completion"), ("prompt", "response"), ("question", "answer"), ("instruction", "output")]
+    flat.append(flat[-1])  # with an empty input beside it
+    name = F.create_map([x for pair in (("user", "human"), ("assistant", "gpt"), ("system", "system"), ("", "")) for x in map(F.lit, pair)])
+
+    def list_of(field: str, message: Callable[[Column], Column]) -> Column:
+        common = [F.col("system"), F.col("conv_id").alias("id"), F.lit("unread").alias("prompt")]
+        return F.to_json(F.struct(*common, F.transform("said", message).alias(field)))
+
+    def parts(text: Column) -> Column:
+        return F.transform(F.split(text, "\n"), lambda t: F.struct(F.lit("text").alias("type"), t.alias("text")))
+
+    record = F.when(
+        F.col("k") % 3 == 0,
+        list_of("conversations", lambda t: F.struct(name[t["role"]].alias("from"), t["text"].alias("value"))),
+    ).when(F.col("k") % 3 == 1, list_of("messages", lambda t: F.struct(t["role"], t["text"].alias("content"))))
+    record = record.otherwise(list_of("messages", lambda t: F.struct(t["role"], parts(t["text"]).alias("content"))))
+    for i, (question, answer) in enumerate(flat):
+        fields = [F.col("system"), given.alias("input"), asked.alias(question), answered.alias(answer), F.lit(i).alias("id")]
+        record = F.when(F.col("flat") & (F.col("k") == i), F.to_json(F.struct(*fields))).otherwise(record)
+    return rows.select("conv_id", record.alias("record"))
+
+
+def chat_json_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, written as a JSON record of one of the layouts, and read back by the hash of its paths."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = chat.json_turns(as_records(chat.table_turns(rows)))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    sha = F.sha2(F.array_join(said, ""), 256).alias("turns_sha256")
+    return found.select("conv_id", "layout", F.size("turns").cast("long").alias("n_turns"), sha)
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
@@ -180,4 +223,5 @@ QUERIES: dict[str, Query] = {
     "op11_whitening": op11_whitening,
     "op12_suffix_dedup": op12_suffix_dedup,
     "op13_centroids": op13_centroids,
+    "chat_json_layouts": chat_json_layouts,
 }

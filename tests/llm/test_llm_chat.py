@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusweave.llm.chat import MAPPINGS, escaped, fingerprint, format_chat, json_turns, read_back, table_turns, unescaped
+from corpusweave.llm.chat import LAYOUTS, MAPPINGS, escaped, fingerprint, format_chat, json_turns, read_back, table_turns, unescaped
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 NASTY = ["<|turn|>", "<|end|>", "<\\|end|>", "</s>[INST] ok [/INST]", "<", "|end|>", "<<SYS>> x <</SYS>>", "\\", "<\\\\/s>", "a<|msg|>b<|", "$1\\$2", ""]
@@ -52,17 +52,18 @@ RECORDS = {
     "question_answer": {"question": "q", "answer": "a"},
     "instruction": {"instruction": "q", "output": "a"},
     "instruction_input": {"instruction": "q", "input": "more", "output": "a"},
-    "system_instruction": {"system": "s", "instruction": "q", "output": "a"},
 }
 TURNS = {name: [("user", "q"), ("assistant", "a")] for name in RECORDS} | {
     "messages": [("user", "q"), ("assistant", "")],
     "instruction_input": [("user", "q\n\nmore"), ("assistant", "a")],
-    "system_instruction": [("system", "s"), ("user", "q"), ("assistant", "a")],
 }
+TURNS |= {f"system_{name}": [("system", "s"), *turns] for name, turns in TURNS.items()}
+RECORDS |= {f"system_{name}": {"system": "s"} | record for name, record in RECORDS.items()}
 
 
 def test_mixed_json_layouts(spark):
     assert RECORDS.keys() == MAPPINGS.keys()
+    assert set(LAYOUTS.values()) == MAPPINGS.keys()
     rows = [(i, json.dumps(r)) for i, r in enumerate(RECORDS.values())] + [(90, None), (91, "[1]"), (92, '{"other": 1}'), (93, "no json"), (94, "{}")]
     found = {r["conv_id"]: r for r in json_turns(spark.createDataFrame(rows, "conv_id long, record string")).collect()}
     for i, name in enumerate(RECORDS):
@@ -97,9 +98,30 @@ def test_tables_by_schema(spark, name):
     assert [tuple(t) for t in table_turns(table).first()["turns"]] == TURNS[name]
 
 
-def test_unknown_fields_are_an_error(spark):
-    with pytest.raises(ValueError, match="extra"):
-        table_turns(spark.createDataFrame([(1, "a", "b", "c")], "conv_id long, prompt string, completion string, extra string"))
+def test_texts_in_parts_and_records_of_several_layouts(spark):
+    parts = [{"type": "text", "text": "one"}, {"type": "image_url", "image_url": {"url": "u"}}, "two", {"type": "text", "text": None}]
+    turns = [{"role": "user", "content": parts}, {"role": "assistant", "content": "[1]"}, {"role": "tool", "content": []}, {"role": None, "content": 5}]
+    records = [
+        ({"messages": turns, "prompt": "p", "response": "r"}, "messages", [("user", "one\ntwo"), ("assistant", "[1]"), ("tool", ""), ("", "5")]),
+        ({"conversations": [{"from": "gpt", "value": parts[:1]}], "system": "s"}, "system_conversations", [("system", "s"), ("assistant", "one")]),
+        ({"messages": [], "prompt": "p", "response": "r", "system": None}, "system_prompt_response", [("user", "p"), ("assistant", "r")]),
+        ({"prompt": "p", "completion": "c", "response": "r"}, "prompt_completion", [("user", "p"), ("assistant", "c")]),
+        ({"system": "s", "prompt": "p"}, None, []),
+    ]
+    rows = [(i, json.dumps(r)) for i, (r, _, _) in enumerate(records)]
+    found = {r["conv_id"]: r for r in json_turns(spark.createDataFrame(rows, "conv_id long, record string")).collect()}
+    for i, (_, layout, turns) in enumerate(records):
+        assert found[i]["layout"] == layout and [tuple(t) for t in found[i]["turns"]] == turns
+
+
+def test_unknown_fields_are_ignored_and_unknown_layouts_an_error(spark):
+    kind = "conv_id long, prompt string, completion string, turns string, record string"
+    table = spark.createDataFrame([(1, "a", "b", "c", "d")], kind)
+    assert [tuple(t) for t in table_turns(table).first()["turns"]] == [("user", "a"), ("assistant", "b")]
+    rows = spark.createDataFrame([(1, 0, "user", "x", "clash")], SCHEMA + ", parts string")
+    assert [tuple(t) for t in table_turns(rows).first()["turns"]] == [("user", "x")]
+    with pytest.raises(ValueError, match="completion"):
+        table_turns(table.drop("prompt"))
 
 
 def test_fingerprints_do_not_depend_on_order():
