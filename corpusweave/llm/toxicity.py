@@ -5,8 +5,8 @@ labels of whole texts: of each text the window with the highest logit is trained
 and windows are chosen anew in each round.
 
 The network is fitted on the driver, on a bounded sample of labelled rows: the ``SAMPLE_TEXTS`` rows that
-come first in a hash order of their ids, of each up to ``SAMPLE_CHARS`` code points and ``SAMPLE_WINDOWS``
-windows. The first component of a word's vector is how far its share of toxic texts stands out from
+come first in a hash order of their ids, each with its whole text and all its windows; rows of over ``SAMPLE_CHARS`` code
+points are not learned from, which bounds the sample as a whole. The first component of a word's vector is how far its share of toxic texts stands out from
 chance; words that do, in at least ``MIN_TEXTS`` texts, and the ``FREQUENT_WORDS`` most frequent ones are
 known to the network, all others by their characters only. Labels are taken to be partly wrong: the
 loss is the generalised cross-entropy ``(1 - p ** TRUST) / TRUST``, under which a text that stays at odds with
@@ -34,7 +34,6 @@ from corpusweave.llm.trie import slices
 FOLDS = 5
 SAMPLE_TEXTS = 3000
 SAMPLE_CHARS = 20_000
-SAMPLE_WINDOWS = 24
 MIN_TEXTS = 3
 FREQUENT_WORDS = 500
 MAX_WORDS = 20_000
@@ -51,15 +50,16 @@ WINDOWS_AT_ONCE = 2048
 
 
 def sample(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> list[tuple[str, int]]:
-    """Texts and labels to learn from: a bounded number of rows outside of fold 0, the first in hash order.
+    """Whole texts and labels to learn from: a bounded number of rows outside of fold 0, the first in hash order.
 
-    Rows without a label or an id are left out; of several labels of one id the greatest holds.
+    Rows without a label or an id and texts of over ``SAMPLE_CHARS`` code points are left out; of several labels of one
+    id the greatest holds.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     known = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train = known.where(crc_fold(F.col("doc_id"), folds) != 0)
     chosen = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TEXTS)
-    texts = docs.select("doc_id", F.substr(text_or_empty(), F.lit(1), F.lit(SAMPLE_CHARS)).alias("text"))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).where(F.length("text") <= SAMPLE_CHARS)
     rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     return [(r["text"], r["toxic"]) for r in rows.limit(2 * SAMPLE_TEXTS).collect()]
 
@@ -114,10 +114,6 @@ def train(
     if not len(flat):
         return
     first, size, text = gru.windows(lengths)
-    order = np.lexsort((rng.random(len(text)), text))
-    rank = np.arange(len(text)) - np.searchsorted(text[order], text[order])
-    chosen = np.sort(order[rank < SAMPLE_WINDOWS])
-    first, size, text = first[chosen], size[chosen], text[chosen]
     buckets, starts = gru.trigrams(distinct)
     per_word = np.diff(np.append(starts, len(buckets)))
     moments: dict[str, list[np.ndarray]] = {}

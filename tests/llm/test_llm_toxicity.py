@@ -75,6 +75,36 @@ def test_a_toxic_passage_in_a_long_text_counts(model):
     assert n == 249
 
 
+def plain_score(model, text):
+    """The most toxic window's score by loops over windows, words and directions."""
+    params, ws, h = model["params"], gru.words_of(text), gru.HIDDEN
+    logits = []
+    for first in range(0, max(1, len(ws) - gru.WINDOW + gru.STRIDE), gru.STRIDE):
+        window = ws[first : first + gru.WINDOW]
+        vectors = [gru.embed(params, [w], np.array([model["known"].get(w, 0)]))[0] for w in window]
+        states = {}
+        for side, order in (("f", range(len(window))), ("b", reversed(range(len(window))))):
+            state = np.zeros(h)
+            for t in order:
+                gates, own = vectors[t] @ params[f"in_{side}"] + params[f"bias_{side}"], state @ params[f"rec_{side}"]
+                z, r = gru.sigmoid(gates[:h] + own[:h]), gru.sigmoid(gates[h : 2 * h] + own[h : 2 * h])
+                new = np.tanh(gates[2 * h :] + r * own[2 * h :])
+                state = states[side, t] = z * state + (1 - z) * new
+        both = [np.concatenate([states["f", t], states["b", t]]) for t in range(len(window))]
+        looked = np.array([np.tanh(s @ params["att_w"] + params["att_b"]) @ params["att_v"] for s in both])
+        weights = np.exp(looked - looked.max())
+        pooled = sum(w * s for w, s in zip(weights / weights.sum(), both, strict=True))
+        logits.append(pooled @ params["out_w"] + params["out_b"][0])
+    return gru.sigmoid(max(logits))
+
+
+def test_scores_equal_a_plain_loop(model):
+    rng = random.Random(8)
+    texts = [t for t, _ in labelled(20, seed=9)] + [words(rng, n) + " quog" for n in (0, 30, 31, 32, 47, 48, 300)]
+    found, _ = Scorer(model).scores(texts)
+    assert np.allclose(found, [plain_score(model, t) for t in texts], atol=1e-4)
+
+
 def test_windows_cover_every_word():
     for n in range(0, 120):
         first, size, text = gru.windows(np.array([7, n, 2]))
@@ -114,6 +144,13 @@ def test_sample_is_bounded_and_leaves_fold_0_out(spark, monkeypatch):
     assert sample(empty_table(spark), labels) == []
 
 
+def test_texts_are_learned_from_whole_or_not_at_all(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 10)
+    docs = spark.createDataFrame([(i, "x" * i, "en", "s", 0) for i in range(1, 30)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 30)], "doc_id long, quality int, toxic int")
+    assert sorted(len(t) for t, _ in sample(docs, labels)) == [i for i in range(1, 11) if zlib.crc32(str(i).encode()) % 5]
+
+
 def test_models_without_labels_or_words_know_the_share():
     for rows in ([], [("a b c", 1)], [("a", 0), ("b", 0)]):
         found = fit(rows)
