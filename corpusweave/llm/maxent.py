@@ -4,21 +4,26 @@ Tokens are words in lower-case ASCII letters, then one end per text. The model p
 tokens (the end, the most frequent words of the training texts, and one stand-in for all others) from the two
 before it, in two steps: the class of the token, then the token inside its class, each by a softmax over
 sums of weights. Features of a step are the previous token, the one before it (a skip), and both
-together; their weights lie in tables of fixed size, found by hash where there are more features than rows. A
-word outside of the known ones scores as the stand-in times its own smoothed share of such words.
+together; their weights lie in tables of fixed size, found by hash where there are more features than rows.
+All other words, of any number, lie in ``KNOWN`` groups by a hash. Where the model predicts the stand-in, a second model
+of the same form predicts the word's group from the token before, by its id and, if it is no known one, its group; inside the group
+the word has its own smoothed share, from its exact count. So every word has a probability that depends on what is
+before it, and in each context those of all words, with one unseen word for each group, add up to 1.
 
 Training is by distributed gradient updates: the gradient of all training tokens is worked out in
-parallel over the table of distinct three-token sequences and their counts, added up by piece of the weights,
+parallel over the table of distinct three-token sequences and their counts (of the token before and the group, at most
+``KNOWN * 2 * KNOWN`` of them, for the second model), added up by piece of the weights,
 and each weight moves by its gradient over what was observed of it, for ``ROUNDS`` rounds.
 
 Plan: the scan puts texts into blocks of some ``BLOCK_CHARS`` characters, each with its distinct words; one row per
 block and distinct word moves to be counted and to fetch the count, so a frequent word is one row per
-block however often it occurs. Counts and sequences cover all training texts and grow with them; the model
-(3.4 MB) and the known words do not.
+block however often it occurs. Counts and sequences cover all training texts and grow with them; the models
+(3.4 MB each) and the known words do not.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +45,7 @@ CLASS_BITS = 5
 IN_CLASS = 1 << CLASS_BITS
 CLASSES = KNOWN // IN_CLASS
 END, OTHER = 0, 1
+OF_GROUPS = 1 << 3 * ID_BITS
 PAIR_ROWS = 8192
 TOKEN_ROWS = 16384
 ROUNDS = 6
@@ -66,13 +72,19 @@ def tokens_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return list(places), np.concatenate([np.zeros(0, np.int32), *flat]), sizes
 
 
+def groups_of(words: list[str]) -> np.ndarray:
+    """The group of each word, of which only those outside of the known ones make use."""
+    codes = (zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words)
+    return (np.fromiter(codes, np.int64, len(words)) & (KNOWN - 1)).astype(np.int16)
+
+
 def text_blocks(docs: DataFrame, folds: int = FOLDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of whole texts as ``block, keys, held_out, sizes, tokens, words, in_training``.
+    """Rows of whole texts as ``block, keys, held_out, sizes, tokens, words, in_training, groups``.
 
-    ``in_training`` counts each distinct word over the block's training texts.
+    ``groups`` has the group of each distinct word, ``in_training`` counts each distinct word over the block's training texts.
     """
     rows = docs.select(F.col(key), crc_fold(F.col(key), folds).alias("fold"), text_or_empty(text).alias("text"))
-    names = ["block", "keys", "held_out", "sizes", "tokens", "words", "in_training"]
+    names = ["block", "keys", "held_out", "sizes", "tokens", "words", "in_training", "groups"]
 
     def one(array: pa.Array) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array)
@@ -86,20 +98,22 @@ def text_blocks(docs: DataFrame, folds: int = FOLDS, key: str = "doc_id", text:
                 held_out = part.column(1).to_numpy() == 0
                 words, tokens, sizes = tokens_of(part.column(2).to_pylist())
                 counts = np.bincount(tokens[~np.repeat(held_out, sizes)], minlength=len(words))
+                words = [w.decode("utf-8", "surrogatepass") for w in words]
                 columns = [
                     part.column(0),
                     pa.array(held_out),
                     pa.array(sizes, pa.int32()),
                     pa.array(tokens),
-                    pa.array([w.decode("utf-8", "surrogatepass") for w in words], pa.string()),
+                    pa.array(words, pa.string()),
                     pa.array(counts, pa.int64()),
+                    pa.array(groups_of(words)),
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array([number]), *map(one, columns)], names)
                 number += 1
 
     kind = rows.schema[key].dataType.simpleString()
     texts = f"keys array<{kind}>, held_out array<boolean>, sizes array<int>, tokens array<int>"
-    return rows.mapInArrow(lambda batches: released(run(batches)), f"block long, {texts}, words array<string>, in_training array<long>")
+    return rows.mapInArrow(lambda batches: released(run(batches)), f"block long, {texts}, words array<string>, in_training array<long>, groups array<short>")
 
 
 def token_counts(blocks: DataFrame) -> DataFrame:
@@ -110,31 +124,26 @@ def token_counts(blocks: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Ids and counts of the known tokens, and the totals of all."""
+    """Ids and counts of the known tokens, the totals of all, and occurrences and distinct words of each group of the others."""
 
     known: dict[str, int]
     counts: np.ndarray
     n: int
     v: int
-
-    @property
-    def n_other(self) -> int:
-        return int(self.counts[OTHER])
-
-    @property
-    def v_other(self) -> int:
-        return self.v - sum(1 for w in self.known.values() if self.counts[w] > 0)
+    group_n: np.ndarray
+    group_v: np.ndarray
 
     def base(self, count: np.ndarray) -> np.ndarray:
         """log10 of the smoothed share of tokens with these counts."""
         return np.log10((count + SMOOTHING) / (self.n + SMOOTHING * (self.v + 1)))
 
-    def among_others(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + SMOOTHING) / (self.n_other + SMOOTHING * (self.v_other + 1)))
+    def in_group(self, count: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """log10 of the smoothed share of words with these counts among those of their groups."""
+        return np.log10((count + SMOOTHING) / (self.group_n[group] + SMOOTHING * (self.group_v[group] + 1)))
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The most frequent words, ties in the order of their code points; a fixed number of rows."""
+    """The most frequent words, ties in the order of their code points, and the groups of all others; a fixed number of rows."""
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = counts.where("word = ''").first()
     rows = counts.where("word <> ''").orderBy(F.desc("count"), "word").limit(KNOWN - 2).collect()
@@ -142,7 +151,16 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     own[END] = ends["count"] if ends else 0
     own[2 : 2 + len(rows)] = [r["count"] for r in rows]
     own[OTHER] = total["n"] - own.sum()
-    return Vocabulary({"": END} | {r["word"]: i + 2 for i, r in enumerate(rows)}, own, total["n"], total["v"])
+    group = F.crc32(F.col("word").cast("binary")).bitwiseAND(KNOWN - 1).cast("int").alias("group")
+    in_groups = counts.where("word <> ''").groupBy(group).agg(F.sum("count").alias("n"), F.count("*").alias("v"))
+    group_n, group_v = np.zeros(KNOWN, np.int64), np.zeros(KNOWN, np.int64)
+    for r in in_groups.collect():
+        group_n[r["group"]], group_v[r["group"]] = r["n"], r["v"]
+    of_known = groups_of([r["word"] for r in rows])
+    np.subtract.at(group_n, of_known, own[2 : 2 + len(rows)])
+    np.subtract.at(group_v, of_known, 1)
+    known = {"": END} | {r["word"]: i + 2 for i, r in enumerate(rows)}
+    return Vocabulary(known, own, total["n"], total["v"], group_n, group_v)
 
 
 def known_ids(known: dict[str, int], words: list[str]) -> np.ndarray:
@@ -158,21 +176,34 @@ def sequences(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (two << 2 * ID_BITS) | (one << ID_BITS) | ids
 
 
+def group_sequences(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The group of each token with the token before it, by its id and, where that is no known one, its group."""
+    begins = np.cumsum(sizes) - sizes
+    one, its_group = np.roll(ids, 1), np.roll(groups.astype(np.int64), 1)
+    one[begins] = END
+    return (np.where(one == OTHER, its_group, 0) << 2 * ID_BITS) | (one << ID_BITS) | groups
+
+
 def sequence_counts(blocks: DataFrame, shared: Broadcast) -> DataFrame:
-    """``sequence`` and ``n`` over the training texts."""
+    """``sequence`` and ``n`` over the training texts; those of groups lie above ``OF_GROUPS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value[0]
         for batch in batches:
             for row in range(batch.num_rows):
-                held_out, sizes, tokens, words = (batch.column(i)[row].values for i in range(4))
-                sizes = sizes.to_numpy().astype(np.int64)
-                found = sequences(known_ids(known, words.to_pylist())[tokens.to_numpy()], sizes)
+                held_out, sizes, tokens, words, groups = (batch.column(i)[row].values for i in range(5))
+                sizes, tokens = sizes.to_numpy().astype(np.int64), tokens.to_numpy()
+                ids = known_ids(known, words.to_pylist())[tokens]
                 training = ~np.repeat(held_out.to_numpy(zero_copy_only=False), sizes)
-                values, n = np.unique(found[training], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["sequence", "n"])
-
-    each = blocks.select("held_out", "sizes", "tokens", "words").mapInArrow(lambda batches: released(run(batches)), "sequence long, n long")
+                for above in (0, OF_GROUPS):
+                    if above:
+                        found = above + group_sequences(ids, groups.to_numpy()[tokens], sizes)[training & (ids == OTHER)]
+                    else:
+                        found = sequences(ids, sizes)[training]
+                    values, n = np.unique(found, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["sequence", "n"])
+
+    each = blocks.select("held_out", "sizes", "tokens", "words", "groups").mapInArrow(lambda batches: released(run(batches)), "sequence long, n long")
     return each.groupBy("sequence").agg(F.sum("n").alias("n"))
 
 
@@ -328,20 +359,25 @@ def score_texts(
     counts = stored(token_counts(blocks), "counts")
     vocab = vocabulary(counts)
     table = stored(sequence_counts(blocks, spark.sparkContext.broadcast((vocab.known,))), "sequences")
-    weights = train(table, vocab.counts, rounds)
-    shared = spark.sparkContext.broadcast((vocab.known, vocab.counts, vocab.n, vocab.v, weights))
+    weights = train(table.where(F.col("sequence") < OF_GROUPS), vocab.counts, rounds)
+    of_groups = table.where(F.col("sequence") >= OF_GROUPS).withColumn("sequence", F.col("sequence") - OF_GROUPS)
+    group_weights = train(of_groups, vocab.group_n, rounds)
+    totals = (vocab.counts, vocab.n, vocab.v, vocab.group_n, vocab.group_v)
+    shared = spark.sparkContext.broadcast((totals, weights, group_weights))
     found = word_facts(blocks, counts, vocab.known)
-    texts = blocks.select("block", "keys", "held_out", "sizes", "tokens", F.size("words").alias("n_words"))
+    texts = blocks.select("block", "keys", "held_out", "sizes", "tokens", "groups")
     joined = texts.join(found.hint("shuffle_hash"), "block", "left")
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, model = Vocabulary(*shared.value[:4]), Model(shared.value[1], shared.value[4])
+        vocab, (weights, group_weights) = Vocabulary({}, *shared.value[0]), shared.value[1:]
+        model, group_model = Model(vocab.counts, weights), Model(vocab.group_n, group_weights)
         for batch in batches:
             for row in range(batch.num_rows):
                 keys, held_out, sizes, tokens = (batch.column(i)[row].values for i in range(1, 5))
-                count = np.zeros(batch.column(5)[row].as_py(), np.int64)
+                groups = batch.column(5)[row].values.to_numpy()
+                count = np.zeros(len(groups), np.int64)
                 ids = np.full(len(count), OTHER)
                 if batch.column(6)[row].is_valid:
                     place, n_word, known_id = batch.column(6)[row].values.flatten()
@@ -349,7 +385,10 @@ def score_texts(
                 ids[0] = END
                 sizes, tokens = sizes.to_numpy().astype(np.int64), tokens.to_numpy()
                 distinct, at = np.unique(sequences(ids[tokens], sizes), return_inverse=True)
-                logs = model.log10(distinct)[at] + np.where(ids == OTHER, vocab.among_others(count), 0)[tokens]
+                logs = model.log10(distinct)[at]
+                other = ids[tokens] == OTHER
+                distinct, at = np.unique(group_sequences(ids[tokens], groups[tokens], sizes)[other], return_inverse=True)
+                logs[other] += group_model.log10(distinct)[at] + vocab.in_group(count, groups)[tokens[other]]
                 begins = np.cumsum(sizes) - sizes
                 columns = [
                     keys,

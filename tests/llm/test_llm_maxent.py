@@ -108,3 +108,48 @@ def test_tokens():
     words, places, sizes = tokens_of(["A b", "", "\x1cb É"])
     assert sizes.tolist() == [3, 1, 3]
     assert [words[i] for i in places] == [b"a", b"b", b"", b"", b"\x1cb", "É".encode(), b""]
+
+
+def rare_words(spark, monkeypatch):
+    """Scores where only the end and two words are known one by one, of texts whose rare words come in fixed pairs."""
+    rng = random.Random(6)
+    pairs = [(f"left{i}", f"right{i}") for i in range(20)]
+    texts = [" ".join(w for _ in range(20) for w in ("and", *rng.choice(pairs), "or")) for _ in range(200)]
+    texts += ["and left3 right3 or " * 9, "and left3 right8 or " * 9, "and right8 left3 or " * 9]
+    monkeypatch.setattr(maxent, "vocabulary", lambda counts, own=maxent.vocabulary: few_known(own, counts))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    return {r["doc_id"]: r for r in score_texts(docs.repartition(3)).collect()}
+
+
+def few_known(own, counts):
+    """The vocabulary with all but two words moved to the groups."""
+    found = own(counts)
+    rest = {w: i for w, i in found.known.items() if i >= 4}
+    for word, i in rest.items():
+        group = maxent.groups_of([word])[0]
+        found.group_n[group] += found.counts[i]
+        found.group_v[group] += 1
+        found.counts[maxent.OTHER] += found.counts[i]
+        found.counts[i] = 0
+        del found.known[word]
+    return found
+
+
+def test_words_outside_of_the_known_ones_depend_on_what_is_before_them(spark, monkeypatch):
+    found = rare_words(spark, monkeypatch)
+    met, strange, turned = (found[i] for i in (200, 201, 202))
+    assert met["score"] > strange["score"] + 5 > turned["score"] + 10
+    assert met["score"] > met["base_score"] and strange["base_score"] == pytest.approx(turned["base_score"])
+
+
+def test_words_of_all_groups_add_up(spark):
+    rng = random.Random(7)
+    rows = [(f"w{i}", rng.randint(1, 40)) for i in range(3 * KNOWN)] + [("", 50)]
+    vocab = maxent.vocabulary(spark.createDataFrame(rows, "word string, count long"))
+    rest = [(w, n) for w, n in rows if w not in vocab.known]
+    assert len(rest) == 2 * KNOWN + 2 and vocab.group_n.sum() == sum(n for _, n in rest) == vocab.counts[maxent.OTHER]
+    groups, counts = maxent.groups_of([w for w, _ in rest]), np.array([n for _, n in rest])
+    shares = np.bincount(groups, 10 ** vocab.in_group(counts, groups), KNOWN)
+    unseen = 10 ** vocab.in_group(np.zeros(KNOWN), np.arange(KNOWN))
+    assert np.allclose(shares + unseen, 1)
+    assert np.bincount(groups, minlength=KNOWN).tolist() == vocab.group_v.tolist()
