@@ -12,8 +12,9 @@ of an address, the network of an IP address, the issuer of a card, the area of a
 
 One text is no evidence: a term tells only if at least ``MIN_TEXTS`` texts hold it beside the entity, and if so many would not
 meet by chance, ``n(c, t) * PMI >= log2(n)``. Below ``MIN_SUPPORT`` texts ``n(c, t) / n(t)`` is smoothed to
-``(n(c, t) + 1) / (n(t) + 2)``: such a term may be generalised, never removed. A term must stand out: where over ``MAX_ALIKE``
-terms tell of an entity through the very same texts, these share a passage, and none of the terms is named by it.
+``(n(c, t) + 1) / (n(t) + 2)``: such a term may be generalised, never removed. Callers may ask that a term stand
+out: where over ``max_alike`` terms tell of an entity through the very same texts, these share a passage, and none of the
+terms is named by it. Without a limit, as in the query and the pipeline, all terms that disclose count, such as those of a signature.
 A generalised term gives way to its class: a number, a code, a name or a word.
 
 Plan: patterns run beside the scan. Texts with base spans move once, one per distinct text; for the
@@ -164,8 +165,13 @@ def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy("text_key").agg(F.first("text").alias("text"))
 
 
-def disclosures(protected: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """``text_key``, ``term`` and ``kind``: the terms of each protected text that disclose an entity of it."""
+def disclosures(
+    protected: DataFrame, docs: DataFrame, text: str = "text", max_alike: int | None = MAX_ALIKE
+) -> DataFrame:
+    """``text_key``, ``term`` and ``kind``: the terms of each protected text that disclose an entity of it.
+
+    Without ``max_alike`` these are all of them, else those that no more than so many tell through the same texts.
+    """
     named = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value")))
     origins = F.transform(
         "base", lambda s: F.struct(s["kind"].alias("kind"), origin(s["kind"], s["value"]).alias("value"))
@@ -206,11 +212,12 @@ def disclosures(protected: DataFrame, docs: DataFrame, text: str = "text") -> Da
     # A hair's breadth below, as both logarithms are rounded.
     kind = F.when(share >= REMOVE - 1e-9, KINDS.index("remove")).when(share >= GENERALISE, KINDS.index("generalise"))
     telling = per_pair.where(beyond_chance).select("entities", "term", "texts", kind.alias("kind")).where("kind is not null")
-    # At most the terms of one text are alike, as all of them are in the same ones.
-    alike = F.count("*").over(W.partitionBy("entities", "texts"))
-    telling = telling.withColumn("n_alike", alike).where(F.col("n_alike") <= MAX_ALIKE).drop("texts", "n_alike")
+    if max_alike is not None:
+        # At most the terms of one text are alike, as all of them are in the same ones.
+        alike = F.count("*").over(W.partitionBy("entities", "texts"))
+        telling = telling.withColumn("n_alike", alike).where(F.col("n_alike") <= max_alike).drop("n_alike")
     together = together.drop("n_term")
-    return together.join(telling, ["entities", "term"]).groupBy("text_key", "term").agg(F.max("kind").alias("kind"))
+    return together.join(telling.drop("texts"), ["entities", "term"]).groupBy("text_key", "term").agg(F.max("kind").alias("kind"))
 
 
 def term_spans(protected: DataFrame, disclosed: DataFrame) -> DataFrame:
@@ -227,7 +234,9 @@ def term_spans(protected: DataFrame, disclosed: DataFrame) -> DataFrame:
     return bases.join(per_text, "text_key").select("text_key", F.filter("told", free).alias("added"))
 
 
-def find_private(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def find_private(
+    docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), max_alike: int | None = MAX_ALIKE
+) -> DataFrame:
     """``keep``, ``base`` and ``spans``: base spans, and all spans with those of disclosing terms.
 
     One row per row; a null text counts as empty and has none; repeated rows get equal spans. Where no
@@ -237,7 +246,7 @@ def find_private(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     kept = tuple(c for c in keep if c not in ("text_key", "base", "added", "spans"))
     protected = checkpointed(protected_texts(docs, text))
     # Few rows, and stored, so that a hot text's share of the join can be split at run time.
-    more = checkpointed(term_spans(protected, disclosures(protected, docs, text)))
+    more = checkpointed(term_spans(protected, disclosures(protected, docs, text, max_alike)))
     rows = found_in(docs, text, kept)
     # Texts without base spans meet nothing: copies of one are dealt out by their rows, under keys no digest has.
     spread = F.xxhash64(*kept, "text_key").cast("string").cast("binary") if kept else F.col("text_key")
@@ -299,10 +308,10 @@ def masked(text: Column, spans: Column, with_masks: tuple[str, ...] = MASKS) ->
     return F.when(F.size(spans) > 0, F.aggregate(spans, zero, add, whole)).otherwise(text)
 
 
-def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
+def sanitised(docs: DataFrame, text: str = "text", max_alike: int | None = MAX_ALIKE) -> DataFrame:
     """``docs`` with base spans masked and disclosing terms generalised or removed; ``n_chars``, if there, anew."""
     whole = docs.select(F.struct(*docs.columns).alias("whole"), F.col(text).alias("own_text"))
-    rows = find_private(whole, "own_text", ("whole",))
+    rows = find_private(whole, "own_text", ("whole",), max_alike)
     own = F.col(f"whole.`{text}`")
     clean = F.when(own.isNotNull(), masked(own.cast("string"), F.col("spans")))
     columns = {c: F.col(f"whole.`{c}`") for c in docs.columns} | {text: clean}

@@ -6,6 +6,7 @@ import pytest
 from cases import SCHEMA, empty_table, odd_rows, odd_table, words
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusweave.llm.pii import BASE_KINDS, KINDS, MASKS, base_spans, find_private, masked, of_kind, sanitised, term_class, written
 from corpusweave.llm.queries import op7_pii
 
@@ -218,3 +219,19 @@ def test_odd_rows_stay(spark, clashes):
 def test_plan_is_native(spark, sf_dir):
     plan = op7_pii(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_all_terms_of_a_shared_passage_without_a_limit(spark, tmp_path):
+    rng = random.Random(8)
+    signature = [f"signed{i}" for i in range(12)]
+    naming = [f"{words(rng, 5)} {' '.join(signature)} z@corp.example" for _ in range(4)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(naming + [words(rng, 30) for _ in range(200)])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = told_in(find_private(docs, max_alike=None).collect())
+    assert all(found[i] >= {(t, "remove") for t in signature} for i in range(4))
+    assert not any(found[i] for i in range(4, 204))
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.sanitise(spark, docs, "").collect()}
+    assert not any("signed" in clean[i] for i in range(4))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spans = {r["doc_id"]: r["spans"] for r in op7_pii(spark, str(tmp_path)).collect()}
+    assert all(spans[i].count("remove") >= 12 for i in range(4))
