@@ -739,7 +739,9 @@ def prepare_file_limit(spark, sf_dir):
 def prepare_delivered(spark, sf_dir):
     """A whole run over a directory of delivered splits, whose documents lie in the order of their ids."""
     path = shared_folder(spark, "delivered")
-    write_splits(delivered_splits(spark, sf_dir).coalesce(1).sortWithinPartitions("split", "doc_id").drop("doc_id"), path)
+    # Files are numbered by range of ids, so that their order is that of the ids.
+    ordered = delivered_splits(spark, sf_dir).repartitionByRange(slots(spark), "doc_id").sortWithinPartitions("split", "doc_id")
+    write_splits(ordered.drop("doc_id"), path)
     params = PrepareParams(max_seq_length=LENGTH, shards=4, batch_rows=100)
     blocks = prepare_path(spark, path, vocab_a(spark, sf_dir), SPECIALS, params, spread_over=slots(spark))
     return shown(blocks.drop("attention_mask"), "input_ids")

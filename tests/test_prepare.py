@@ -14,6 +14,7 @@ from corpusweave import (
     split_views,
 )
 from corpusweave.operators.vocab import frequency_vocabulary
+from corpusweave.plans import queries as Q
 from corpusweave.session import settled
 
 SPECIALS = Specials(pad=0, eos=1, bos=2, unk=3)
@@ -124,3 +125,16 @@ def test_bad_parameters():
         with pytest.raises(ValueError):
             PrepareParams(**bad)
     PrepareParams(max_seq_length=1, use_packing=False)
+
+
+def test_delivered_splits_are_written_by_many_tasks_in_the_order_of_their_ids(spark, tmp_path, monkeypatch):
+    rows = [(i * 7919 % 1000, f"t{i * 7919 % 1000}", "en", f"src{i % 4}") for i in range(1000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    table.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(Q, "shared_folder", lambda _, purpose: f"{tmp_path}/{purpose}")
+    assert Q.prepare_delivered(spark, str(tmp_path)).count() > 0
+    for split, n in (("train", 500), ("validation", 250), ("extra", 250)):
+        assert len(list((tmp_path / "delivered" / f"split={split}").glob("part-*.parquet"))) > 1
+        found = read_corpus(spark, f"{tmp_path}/delivered").where(F.col("split") == split).orderBy("pos").collect()
+        ids = [int(r["text"][1:]) for r in found]
+        assert ids == sorted(ids) and len(ids) == n
