@@ -3,18 +3,20 @@
 Two forms, of the caller's choice, give the same rows. ``"lookup"`` broadcasts the vocabulary as
 two Arrow arrays and looks words up a batch at a time beside the scan, so that no token crosses the
 network; it works on streams too, and refuses a vocabulary over ``MAX_VOCABULARY_BYTES``. ``"join"`` takes any
-vocabulary: words and vocabulary shuffle on ``(token, salt)``, the salt being taken from the
-text, so that a frequent word is spread over many tasks. In both a token that the vocabulary
+vocabulary: the distinct words of blocks of texts and the vocabulary shuffle on ``(token, salt)``, the salt being taken from the
+block, so that a frequent word is spread over many tasks. In both a token that the vocabulary
 holds several times has its least id, and rows are told apart by nothing but their text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +24,17 @@ from corpusweave.functions.sequences import append_id, ones, prepend_id
 from corpusweave.functions.words import required, words
 from corpusweave.operators.vocab import invert
 from corpusweave.params import Specials
+from corpusweave.session import settled
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
 Codec = Callable[[Column], Column]
 
 # Of tokens and ids together, per Python worker.
 MAX_VOCABULARY_BYTES = 64 << 20
 JOIN_SALTS = 64
+BLOCK_BYTES = 4 << 20  # of text whose distinct words are joined once
+SLICE_BYTES = 2 << 20  # of texts or ids that are looked up at once; a longer row is a slice of its own
 FORMS = ("lookup", "join")
 
 
@@ -120,6 +127,33 @@ def _unknown_id(specials: Specials) -> int:
     return specials.unk
 
 
+def slice_bounds(batch: pa.Array, size: int) -> list[tuple[int, int]]:
+    """Ranges of rows of about ``size`` bytes of text or ids each."""
+    lengths = pc.binary_length(batch) if pa.types.is_string(batch.type) else pc.multiply(pc.list_value_length(batch), 4)
+    ends = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.unique(np.searchsorted(ends, np.arange(size, int(ends[-1]) if len(ends) else 0, size)))
+    cuts = [0, *cuts[(cuts > 0) & (cuts < len(batch))].tolist(), len(batch)]
+    return list(zip(cuts, cuts[1:]))
+
+
+def in_slices(batch: pa.Array, function: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """``function`` of a batch of texts or id lists, a slice at a time, as it holds several times their size."""
+    found = pa.concat_arrays([function(batch.slice(a, b - a)) for a, b in slice_bounds(batch, SLICE_BYTES)])
+    pa.default_memory_pool().release_unused()
+    return found
+
+
+def word_places(batch: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, and the bounds of each text among them."""
+    for blank in "\t\n\r":
+        batch = pc.replace_substring(batch, blank, " ")
+    pieces = pc.split_pattern(batch, " ")
+    flat = pieces.flatten()
+    is_word = pc.not_equal(flat, "")
+    words_before = np.concatenate([[0], np.cumsum(is_word.to_numpy(zero_copy_only=False))])
+    return flat.filter(is_word), words_before[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
+
+
 def word_ids_by_lookup(docs: DataFrame, vocab: DataFrame, specials: Specials, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(broadcast_arrays(one_id_per_token(vocab)))
     unknown = _unknown_id(specials)
@@ -127,40 +161,79 @@ def word_ids_by_lookup(docs: DataFrame, vocab: DataFrame, specials: Specials, ke
     @F.arrow_udf("array<int>")
     def lookup(batch: pa.Array) -> pa.Array:
         tokens, ids = shared.value
-        for blank in "\t\n\r":
-            batch = pc.replace_substring(batch, blank, " ")
-        pieces = pc.split_pattern(batch, " ")
-        flat = pieces.flatten()
-        is_word = pc.not_equal(flat, "")
-        words_before = np.concatenate([[0], np.cumsum(is_word.to_numpy(zero_copy_only=False))])
-        bounds = words_before[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
-        found = ids.take(pc.index_in(flat.filter(is_word), value_set=tokens))
-        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found.fill_null(unknown))
+
+        def ids_of(part: pa.Array) -> pa.Array:
+            flat, bounds = word_places(part)
+            found = ids.take(pc.index_in(flat, value_set=tokens))
+            return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found.fill_null(unknown))
+
+        return in_slices(batch, ids_of)
 
     return docs.select(*keep, lookup("text").alias("input_ids"))
 
 
+def word_blocks(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows of whole texts as ``block, starts, places, tokens`` and a list of each column to keep.
+
+    ``tokens`` has the distinct words of a block, ``places`` each word of its texts as a place among them.
+    """
+    kinds = [docs.schema[c].dataType.simpleString() for c in keep]
+    names = ["block", *[f"kept{i}" for i in range(len(keep))], "starts", "places", "tokens"]
+
+    def one(array: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for a, b in slice_bounds(batch.column(0), BLOCK_BYTES):
+                part = batch.slice(a, b - a)
+                flat, bounds = word_places(pc.fill_null(part.column(0), ""))
+                known = flat.dictionary_encode()
+                columns = [*part.columns[1:], pa.array(bounds, pa.int32()), known.indices, known.dictionary]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *map(one, columns)], names)
+                number += 1
+                pa.default_memory_pool().release_unused()
+
+    rows = docs.select("text", *[F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)])
+    kept = "".join(f"kept{i} array<{kind}>, " for i, kind in enumerate(kinds))
+    return rows.mapInArrow(run, f"block long, {kept}starts array<int>, places array<int>, tokens array<string>")
+
+
 def word_ids_by_join(
     docs: DataFrame, vocab: DataFrame, specials: Specials, keep: list[str], salts: int = JOIN_SALTS
 ) -> DataFrame:
-    """Join form for a vocabulary of any size; ids come back to their rows on a digest of the text.
+    """Join form for a vocabulary of any size.
 
-    The ids of a text are the same in each of its copies, so what copies bring twice is dropped
-    as it is gathered.
+    Texts are put in stored blocks of some ``BLOCK_BYTES``, each with its distinct words: one row per block and distinct
+    word meets the vocabulary, and its id comes back to the block, so a word moves once however often it occurs there.
     """
-    keyed = docs.select(*keep, F.unhex(F.md5("text")).alias("text_key"), "text")
-    salt = F.pmod(F.xxhash64("text_key"), F.lit(salts)).cast("int")
-    placed = keyed.select("text_key", salt.alias("salt"), F.posexplode(words(F.col("text"))).alias("place", "token"))
+    blocks = settled(word_blocks(docs, keep))
+    salt = F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")
+    placed = blocks.select("block", salt.alias("salt"), F.posexplode("tokens").alias("place", "token"))
     all_salts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     salted = one_id_per_token(vocab).select("token", "id", all_salts)
-    ids = F.coalesce(F.col("id"), F.lit(_unknown_id(specials))).cast("int")
-    at = F.struct("place", ids.alias("id")).alias("at")
-    found = placed.join(salted, ["token", "salt"], "left").select("text_key", at)
-    encoded = found.groupBy("text_key").agg(F.array_sort(F.collect_set("at")).alias("placed"))
-    arrays = encoded.select("text_key", F.col("placed.id").alias("input_ids"))
-    none = F.array().cast("array<int>")
-    rows = keyed.select(*keep, "text_key").join(arrays.hint("merge"), "text_key", "left")
-    return rows.select(*keep, F.coalesce("input_ids", none).alias("input_ids"))
+    met = placed.join(salted.hint("merge"), ["token", "salt"]).select("block", F.struct("place", "id").alias("at"))
+    found = met.groupBy("block").agg(F.collect_list("at").alias("found"))
+    kept = [f"kept{i}" for i in range(len(keep))]
+    texts_ = blocks.select("block", *kept, "starts", "places", F.size("tokens").alias("n_tokens"))
+    joined = texts_.join(found.hint("merge"), "block", "left").select(*kept, "starts", "places", "n_tokens", "found")
+    unknown, n_kept = _unknown_id(specials), len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                *own, starts, places = (batch.column(i)[row].values for i in range(n_kept + 2))
+                ids = np.full(batch.column(n_kept + 2)[row].as_py(), unknown, np.int32)
+                if batch.column(n_kept + 3)[row].is_valid:
+                    place, known = batch.column(n_kept + 3)[row].values.flatten()
+                    ids[place.to_numpy()] = known.to_numpy()
+                lists = pa.ListArray.from_arrays(starts, pa.array(ids[places.to_numpy()]))
+                yield pa.RecordBatch.from_arrays([*own, lists], [*kept, "input_ids"])
+
+    kinds = "".join(f"kept{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
+    rows = joined.mapInArrow(run, f"{kinds}input_ids array<int>")
+    return rows.select(*[F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)], "input_ids")
 
 
 def decode(
@@ -197,13 +270,17 @@ def decode_by_lookup(rows: DataFrame, vocab: DataFrame, specials: Specials, keep
     @F.arrow_udf("string")
     def lookup(batch: pa.Array) -> pa.Array:
         tokens, ids = shared.value
-        flat = batch.flatten()
-        place = pc.index_in(flat, value_set=ids)
-        kept = pc.and_(pc.is_valid(place), pc.invert(pc.is_in(flat, value_set=pa.array(special, pa.int32()))))
-        kept_before = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])
-        bounds = kept_before[batch.offsets.to_numpy() - batch.offsets[0].as_py()]
-        found = tokens.take(place.filter(kept))
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found), " ")
+
+        def text_of(part: pa.Array) -> pa.Array:
+            flat = part.flatten()
+            place = pc.index_in(flat, value_set=ids)
+            kept = pc.and_(pc.is_valid(place), pc.invert(pc.is_in(flat, value_set=pa.array(special, pa.int32()))))
+            kept_before = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])
+            bounds = kept_before[part.offsets.to_numpy() - part.offsets[0].as_py()]
+            found = tokens.take(place.filter(kept))
+            return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found), " ")
+
+        return in_slices(batch, text_of)
 
     return rows.select(*keep, lookup("input_ids").alias("text"))
 

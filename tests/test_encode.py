@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -149,3 +151,42 @@ def test_required_specials():
         Specials(eos=1, bos=None)
     with pytest.raises(ValueError, match="EOS"):
         Specials(eos=None, bos=2)
+
+
+def test_batches_are_looked_up_in_slices(spark, vocab, monkeypatch):
+    seen = []
+
+    def lengths(part):
+        seen.append(part.nbytes)
+        return E.pc.binary_length(part)
+
+    batch = E.pa.array(TEXTS * 400)
+    monkeypatch.setattr(E, "SLICE_BYTES", 30_000)
+    assert E.in_slices(batch, lengths).to_pylist() == [len(t.encode()) for t in TEXTS * 400]
+    assert len(seen) > 100 and max(seen) < 60_000
+    ids = E.pa.array([[1, 2], None, [], [3]] * 50_000, E.pa.list_(E.pa.int32()))
+    seen.clear()
+    assert E.in_slices(ids, lambda part: seen.append(len(part)) or part).equals(ids) and max(seen) < 30_000
+    assert E.in_slices(batch[:0], lengths).to_pylist() == []
+    monkeypatch.setattr(E, "SLICE_BYTES", 1)
+    rows = docs(spark, TEXTS)
+    encoded = E.encode(rows, vocab, SPECIALS, ["doc_id"])
+    assert collected(encoded) == {i: by_hand(t) + [1] for i, t in enumerate(TEXTS)}
+    known = dict((i, t) for t, i in VOCAB)
+    want = {i: " ".join(known[n] for n in by_hand(t) if n > 3) for i, t in enumerate(TEXTS)}
+    assert collected(E.decode(encoded, vocab, SPECIALS, ["doc_id"]), "text") == want
+
+
+@pytest.mark.parametrize("block_bytes", [1, 4 << 20])
+def test_join_moves_a_word_once_per_block(spark, vocab, monkeypatch, block_bytes):
+    monkeypatch.setattr(E, "BLOCK_BYTES", block_bytes)
+    rows = docs(spark, TEXTS + ["a b " * 400] * 20 + [None]).coalesce(1).withColumn("n", F.lit("k"))
+    blocks = E.word_blocks(rows, ["doc_id", "n"])
+    moved = blocks.select("block", F.explode("tokens")).count()
+    assert moved == blocks.select("block", F.explode("tokens")).distinct().count()
+    distinct = [{w for w in re.split("[ \t\n\r]", t) if w} for t in TEXTS + ["a b " * 400] * 20]
+    assert moved == (len(set().union(*distinct)) if block_bytes > 1 else sum(map(len, distinct)))  # of over 19,000 words
+    got = E.word_ids_by_join(rows, vocab, SPECIALS, ["doc_id", "n"])
+    assert got.columns == ["doc_id", "n", "input_ids"]
+    assert collected(got) == {i: by_hand(t or "") for i, t in enumerate(TEXTS + ["a b " * 400] * 20 + [None])}
+    assert E.word_ids_by_join(rows.where("false"), vocab, SPECIALS, ["doc_id"]).collect() == []
