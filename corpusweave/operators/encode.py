@@ -136,11 +136,20 @@ def slice_bounds(batch: pa.Array, size: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
+def by_slices(batches: Iterator[pa.Array], function: Callable[[pa.Array], pa.Array]) -> Iterator[pa.Array]:
+    """``function`` of batches of texts or id lists, a slice at a time, as it holds several times their size.
+
+    What a slice gives goes out before the next one is taken, so a worker holds no batch's results.
+    """
+    for batch in batches:
+        for a, b in slice_bounds(batch, SLICE_BYTES):
+            yield function(batch.slice(a, b - a))
+        pa.default_memory_pool().release_unused()
+
+
 def in_slices(batch: pa.Array, function: Callable[[pa.Array], pa.Array]) -> pa.Array:
-    """``function`` of a batch of texts or id lists, a slice at a time, as it holds several times their size."""
-    found = pa.concat_arrays([function(batch.slice(a, b - a)) for a, b in slice_bounds(batch, SLICE_BYTES)])
-    pa.default_memory_pool().release_unused()
-    return found
+    """The same of one batch, as one array."""
+    return pa.concat_arrays(list(by_slices(iter([batch]), function)))
 
 
 def word_places(batch: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -159,7 +168,7 @@ def word_ids_by_lookup(docs: DataFrame, vocab: DataFrame, specials: Specials, ke
     unknown = _unknown_id(specials)
 
     @F.arrow_udf("array<int>")
-    def lookup(batch: pa.Array) -> pa.Array:
+    def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens, ids = shared.value
 
         def ids_of(part: pa.Array) -> pa.Array:
@@ -167,7 +176,7 @@ def word_ids_by_lookup(docs: DataFrame, vocab: DataFrame, specials: Specials, ke
             found = ids.take(pc.index_in(flat, value_set=tokens))
             return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found.fill_null(unknown))
 
-        return in_slices(batch, ids_of)
+        return by_slices(batches, ids_of)
 
     return docs.select(*keep, lookup("text").alias("input_ids"))
 
@@ -268,7 +277,7 @@ def decode_by_lookup(rows: DataFrame, vocab: DataFrame, specials: Specials, keep
     special = specials.ids()
 
     @F.arrow_udf("string")
-    def lookup(batch: pa.Array) -> pa.Array:
+    def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens, ids = shared.value
 
         def text_of(part: pa.Array) -> pa.Array:
@@ -280,7 +289,7 @@ def decode_by_lookup(rows: DataFrame, vocab: DataFrame, specials: Specials, keep
             found = tokens.take(place.filter(kept))
             return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found), " ")
 
-        return in_slices(batch, text_of)
+        return by_slices(batches, text_of)
 
     return rows.select(*keep, lookup("input_ids").alias("text"))
 

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from corpusweave.operators import encode as E
 from corpusweave.params import Specials
@@ -190,3 +191,17 @@ def test_join_moves_a_word_once_per_block(spark, vocab, monkeypatch, block_bytes
     assert got.columns == ["doc_id", "n", "input_ids"]
     assert collected(got) == {i: by_hand(t or "") for i, t in enumerate(TEXTS + ["a b " * 400] * 20 + [None])}
     assert E.word_ids_by_join(rows.where("false"), vocab, SPECIALS, ["doc_id"]).collect() == []
+
+
+def test_what_a_slice_gives_goes_out_before_the_next(spark, vocab, monkeypatch):
+    monkeypatch.setattr(E, "SLICE_BYTES", 30_000)
+    ids = E.pa.array([[1, 2, 3]] * 50_000, E.pa.list_(E.pa.int32()))
+    before, held, rows = E.pa.total_allocated_bytes(), [], 0
+    for found in E.by_slices(iter([ids, ids[:0], ids]), lambda part: E.pc.cast(part.flatten(), E.pa.int64())):
+        rows += len(found)
+        held.append(E.pa.total_allocated_bytes() - before)
+    assert rows == 300_000 and len(held) > 30 and max(held) < 200_000  # of 2,400,000 bytes in all
+    encoded = E.encode(docs(spark, TEXTS), vocab, SPECIALS, ["doc_id"])
+    for looked_up in (encoded, E.decode(encoded, vocab, SPECIALS, ["doc_id"])):
+        steps = re.findall(r"ArrowEvalPython \[lookup.*, (\d+)\n", looked_up._jdf.queryExecution().toString())
+        assert steps and set(steps) == {str(PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF)}
