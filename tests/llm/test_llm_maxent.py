@@ -153,3 +153,10 @@ def test_words_of_all_groups_add_up(spark):
     unseen = 10 ** vocab.in_group(np.zeros(KNOWN), np.arange(KNOWN))
     assert np.allclose(shares + unseen, 1)
     assert np.bincount(groups, minlength=KNOWN).tolist() == vocab.group_v.tolist()
+
+
+def test_stored_blocks_stay_in_their_buckets_and_go_to_python_one_by_one(spark):
+    plan = score_texts(odd_table(spark), rounds=1)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Scan parquet")]
+    assert "FlatMapGroupsInArrow" in above and "MapInArrow " not in above.replace("FlatMapGroupsInArrow ", "")
+    assert "Exchange" not in above
