@@ -11,6 +11,7 @@ holds several times has its least id, and rows are told apart by nothing but the
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from corpusweave.functions.sequences import append_id, ones, prepend_id
 from corpusweave.functions.words import required, words
 from corpusweave.operators.vocab import invert
 from corpusweave.params import Specials
-from corpusweave.session import settled
+from corpusweave.session import bucketed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
@@ -33,6 +34,7 @@ Codec = Callable[[Column], Column]
 # Of tokens and ids together, per Python worker.
 MAX_VOCABULARY_BYTES = 64 << 20
 JOIN_SALTS = 64
+FILTER_BITS = 24  # the filter of a vocabulary's tokens has 2^24 bits, 2 MB
 BLOCK_BYTES = 4 << 20  # of text whose distinct words are joined once
 SLICE_BYTES = 2 << 20  # of texts or ids that are looked up at once; a longer row is a slice of its own
 FORMS = ("lookup", "join")
@@ -181,11 +183,31 @@ def word_ids_by_lookup(docs: DataFrame, vocab: DataFrame, specials: Specials, ke
     return docs.select(*keep, lookup("text").alias("input_ids"))
 
 
-def word_blocks(docs: DataFrame, keep: list[str]) -> DataFrame:
+def token_filter(vocab: DataFrame) -> np.ndarray:
+    """Bits at the hashes of all tokens; it has one size whatever the vocabulary, and a larger one only keeps less out."""
+    hashes = vocab.select(F.crc32(F.col("token").cast("binary")).bitwiseAND((1 << FILTER_BITS) - 1).alias("hash"))
+    bits = F.bitmap_construct_agg(F.col("hash") % (1 << 15)).alias("bits")
+    found = np.zeros((1 << FILTER_BITS - 15, 1 << 12), np.uint8)
+    for part, of_part in hashes.where("hash IS NOT NULL").groupBy(F.shiftright("hash", 15)).agg(bits).toLocalIterator():
+        found[part] = np.frombuffer(of_part, np.uint8)
+    return found.ravel()
+
+
+def may_be_token(words_: pa.Array, bits: np.ndarray) -> np.ndarray:
+    """False for words that are surely no tokens."""
+    codes = (zlib.crc32(w) for w in words_.cast(pa.binary()).to_pylist())
+    hashes = np.fromiter(codes, np.int64, len(words_)) & ((1 << FILTER_BITS) - 1)
+    return (bits[hashes >> 3] >> (hashes & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def word_blocks(docs: DataFrame, keep: list[str], vocab: DataFrame | None = None) -> DataFrame:
     """Rows of whole texts as ``block, starts, places, tokens`` and a list of each column to keep.
 
-    ``tokens`` has the distinct words of a block, ``places`` each word of its texts as a place among them.
+    ``tokens`` has the distinct words of a block, or those of them that may be in the vocabulary, ``places`` each word of its
+    texts as a place among them, and the place behind them for words that surely are not.
     """
+    bits = np.full(1 << FILTER_BITS - 3, 255, np.uint8) if vocab is None else token_filter(vocab)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     names = ["block", *[f"kept{i}" for i in range(len(keep))], "starts", "places", "tokens"]
 
@@ -199,7 +221,9 @@ def word_blocks(docs: DataFrame, keep: list[str]) -> DataFrame:
                 part = batch.slice(a, b - a)
                 flat, bounds = word_places(pc.fill_null(part.column(0), ""))
                 known = flat.dictionary_encode()
-                columns = [*part.columns[1:], pa.array(bounds, pa.int32()), known.indices, known.dictionary]
+                maybe = may_be_token(known.dictionary, shared.value)
+                place = np.where(maybe, np.cumsum(maybe) - 1, maybe.sum()).astype(np.int32)[known.indices.to_numpy()]
+                columns = [*part.columns[1:], pa.array(bounds, pa.int32()), pa.array(place), known.dictionary.filter(maybe)]
                 yield pa.RecordBatch.from_arrays([pa.array([number]), *map(one, columns)], names)
                 number += 1
                 pa.default_memory_pool().release_unused()
@@ -214,10 +238,11 @@ def word_ids_by_join(
 ) -> DataFrame:
     """Join form for a vocabulary of any size.
 
-    Texts are put in stored blocks of some ``BLOCK_BYTES``, each with its distinct words: one row per block and distinct
-    word meets the vocabulary, and its id comes back to the block, so a word moves once however often it occurs there.
+    Texts are put in blocks of some ``BLOCK_BYTES``, which are stored in buckets and never move, each with its distinct words: one
+    row per block and distinct word that passes the filter of the vocabulary meets it, and its id comes back to the block, so a word
+    moves once however often it occurs there.
     """
-    blocks = settled(word_blocks(docs, keep))
+    blocks, _ = bucketed(word_blocks(docs, keep, vocab), "block")
     salt = F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")
     placed = blocks.select("block", salt.alias("salt"), F.posexplode("tokens").alias("place", "token"))
     all_salts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
@@ -226,14 +251,14 @@ def word_ids_by_join(
     found = met.groupBy("block").agg(F.collect_list("at").alias("found"))
     kept = [f"kept{i}" for i in range(len(keep))]
     texts_ = blocks.select("block", *kept, "starts", "places", F.size("tokens").alias("n_tokens"))
-    joined = texts_.join(found.hint("merge"), "block", "left").select(*kept, "starts", "places", "n_tokens", "found")
+    joined = texts_.join(found.hint("shuffle_hash"), "block", "left").select(*kept, "starts", "places", "n_tokens", "found")
     unknown, n_kept = _unknown_id(specials), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 *own, starts, places = (batch.column(i)[row].values for i in range(n_kept + 2))
-                ids = np.full(batch.column(n_kept + 2)[row].as_py(), unknown, np.int32)
+                ids = np.full(batch.column(n_kept + 2)[row].as_py() + 1, unknown, np.int32)
                 if batch.column(n_kept + 3)[row].is_valid:
                     place, known = batch.column(n_kept + 3)[row].values.flatten()
                     ids[place.to_numpy()] = known.to_numpy()

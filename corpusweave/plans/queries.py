@@ -66,6 +66,12 @@ def full_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).repartition(slots(spark), "doc_id")
 
 
+def spread_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, but a table of as many files stays where it is read."""
+    docs = documents(spark, sf_dir)
+    return docs if len(docs.inputFiles()) >= slots(spark) else full_texts(spark, sf_dir)
+
+
 def slots(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
@@ -269,7 +275,7 @@ def repeated_vocabulary(spark, sf_dir):
 def encode_repeated_tokens(spark, sf_dir):
     """Both forms on a vocabulary with repeated tokens and on documents that are there twice."""
     vocab = settled(repeated_vocabulary(spark, sf_dir))
-    docs = texts(full_texts(spark, sf_dir))
+    docs = texts(spread_texts(spark, sf_dir))
     twice = docs.unionByName(docs)
     forms = [
         encode(twice, vocab, SPECIALS, ["doc_id"], form=form).withColumn("form", F.lit(form)) for form in ("lookup", "join")

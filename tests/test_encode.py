@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from corpusweave.operators import encode as E
+from corpusweave.plans import queries as Q
 from corpusweave.params import Specials
 
 SPECIALS = Specials(pad=0, eos=1, bos=2, unk=3)
@@ -193,6 +194,33 @@ def test_join_moves_a_word_once_per_block(spark, vocab, monkeypatch, block_bytes
     assert E.word_ids_by_join(rows.where("false"), vocab, SPECIALS, ["doc_id"]).collect() == []
 
 
+def test_words_outside_of_the_vocabulary_do_not_move(spark, vocab):
+    rows = docs(spark, TEXTS + [f"a word{i} b" for i in range(3000)])
+    blocks = E.word_blocks(rows, ["doc_id"], vocab)
+    assert blocks.agg(F.sum(F.size("tokens"))).first()[0] < 100  # of over 3,000
+    got = E.word_ids_by_join(rows, vocab, SPECIALS, ["doc_id"])
+    assert collected(got) == {i: by_hand(t) for i, t in enumerate(TEXTS + [f"a word{i} b" for i in range(3000)])}
+    nulls = vocab.unionByName(spark.createDataFrame([(None, 77)], vocab.schema))
+    assert collected(E.word_ids_by_join(rows, nulls, SPECIALS, ["doc_id"])) == collected(got)
+
+
+def test_stored_texts_stay_in_their_buckets(spark, vocab):
+    plan = E.word_ids_by_join(docs(spark, TEXTS), vocab, SPECIALS, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "places#" in plan and not [line for line in plan.splitlines() if "Exchange" in line and "places#" in line]
+    above = plan[: plan.index("Scan parquet")].rpartition("ShuffledHashJoin")[2]
+    assert "Exchange" not in above
+
+
+@pytest.mark.parametrize("files", [1, 40])
+def test_texts_in_many_files_are_not_dealt_out(spark, tmp_path, monkeypatch, files):
+    monkeypatch.setattr(Q, "slots", lambda spark: 8)
+    rows = spark.range(400).selectExpr("id AS doc_id", "repeat(id, 9) AS text", "'a' AS lang", "'b' AS source", "1L AS n_chars")
+    rows.repartition(files).write.parquet(f"{tmp_path}/documents.parquet")
+    read = Q.spread_texts(spark, str(tmp_path))
+    assert ("Exchange" in read._jdf.queryExecution().executedPlan().toString()) == (files == 1)
+    assert sorted(r["doc_id"] for r in read.collect()) == list(range(400))
+
+
 def test_what_a_slice_gives_goes_out_before_the_next(spark, vocab, monkeypatch):
     monkeypatch.setattr(E, "SLICE_BYTES", 30_000)
     ids = E.pa.array([[1, 2, 3]] * 50_000, E.pa.list_(E.pa.int32()))
