op7_pii: texts without copies stay where they are read while terms are counted

Symptom: op7_pii shuffles 2.27 times its input, 1158 MB written and as much read on 0.51 GB.
Evidence: every text moved to be made distinct before its terms are counted (559 MB), and every place of every word of texts with personal data moved to find the few disclosing ones (162 MB, 7.4 million rows).
Fix: digests are counted first; a bitmap of those that occur again (64 bits each, 16 MB at most at any data size, broadcast) tells beside the scan which texts may have copies, and only these move. Places of terms are sought only in texts that hold a disclosing one, and entities of a single text, which tell nothing, are no longer paired with terms. Reading alone and copied texts takes one more scan of the documents.
Effect: at 0.6 GB of input CPU 590 -> 575 s, shuffle 1.18 -> 0.46 GB, spill 0.00 -> 0.00 GB, read 2.41 -> 3.01 GB, longest task 14 -> 13 s, most memory of a task 162 -> 162 MB; at 6 GB of input CPU 3629 -> 3455 s, shuffle 12.37 -> 4.51 GB, spill 0.00 -> 0.00 GB, read 24.11 -> 30.13 GB, longest task 37 -> 25 s, most memory of a task 237 -> 256 MB; with hot keys, at 0.6 GB of input CPU 339 -> 359 s, shuffle 0.42 -> 0.19 GB, spill 0.00 -> 0.00 GB, read 0.71 -> 0.88 GB, longest task 8 -> 8 s, most memory of a task 144 -> 144 MB.

@@ -17,10 +17,12 @@ out: where over ``max_alike`` terms tell of an entity through the very same text
 terms is named by it. Without a limit, as in the query and the pipeline, all terms that disclose count, such as those of a signature.
 A generalised term gives way to its class: a number, a code, a name or a word.
 
-Plan: patterns run beside the scan. Texts with base spans move once, one per distinct text; for the
-counts of terms each distinct text of a task moves once, to meet its copies. Entities that are in the same texts
-are counted as one group, so a text of many entities does not pair each of them with each of its terms. Terms too
-common to reach ``GENERALISE`` beside any entity (a bound from the counts, so none is lost) leave before they are paired.
+Plan: patterns run beside the scan. Texts with base spans move once, one per distinct text, and those that hold a
+disclosing term once more. For the counts of terms only texts that may have copies move, to meet these: digests are counted first, and
+a bitmap of those that occur again, of 16 MB at most, tells beside the scan. Entities that are in the same texts
+are counted as one group, so a text of many entities does not pair each of them with each of its terms; groups of fewer than
+``MIN_TEXTS`` texts are paired with none. Terms too common to reach ``GENERALISE`` beside any entity (a bound from the counts, so none
+is lost) leave before they are paired.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.llm.arrays import let, running_starts
 from corpusweave.llm.common import checkpointed, digest, text_or_empty
+from corpusweave.operators.bitmaps import id_bitmaps, with_membership
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "generalise", "remove")
@@ -44,6 +47,10 @@ MAX_ALIKE = 8
 GENERALISE = 0.9
 REMOVE = 1.0
 TERM = "[\\p{L}\\p{M}\\p{N}]+"
+# Bits for each text that has copies in the bitmap of these, as powers of two, and of the largest bitmap: 16 MB. With more such
+# texts than it has room for, more texts that have no copies move beside them.
+COPY_BITS = 6
+MAX_COPY_BITS = 27
 
 # The given patterns, written so that a run of characters is tried once from its start: possessive
 # where what follows cannot be part of the run, and not from the middle of one, except where the match before ended.
@@ -159,10 +166,27 @@ def protected_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     return with_spans.groupBy("text_key").agg(F.first("text").alias("text"), F.first("base").alias("base"))
 
 
-def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``text_key`` and ``text`` of each distinct text; null counts as empty."""
+def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``text_key`` and ``rows``, their number, of each distinct text; null counts as empty."""
+    return docs.select(digest(text_or_empty(text)).alias("text_key")).groupBy("text_key").agg(F.count("*").alias("rows"))
+
+
+def distinct_texts(docs: DataFrame, counts: DataFrame, text: str = "text") -> DataFrame:
+    """``text`` of each distinct text; null counts as empty.
+
+    ``counts`` are the ``text_counts``, stored. A text whose digest is not in the bitmap of copied ones is alone and stays where it is read.
+    """
+    copied = counts.where("rows > 1").select("text_key")
+    bits = min(MAX_COPY_BITS, copied.count().bit_length() + COPY_BITS)
+
+    def mark(key: Column) -> Column:
+        return F.xxhash64(key).bitwiseAND((1 << bits) - 1)
+
+    marks = checkpointed(id_bitmaps(copied.select(mark(F.col("text_key")).alias("id"))))
     rows = docs.select(text_or_empty(text).alias("text")).withColumn("text_key", digest(F.col("text")))
-    return rows.groupBy("text_key").agg(F.first("text").alias("text"))
+    marked = with_membership(rows.withColumn("mark", mark(F.col("text_key"))), marks, "mark", "copied")
+    met = marked.where("copied").groupBy("text_key").agg(F.first("text").alias("text"))
+    return marked.where("not copied").select("text").unionByName(met.select("text"))
 
 
 def disclosures(
@@ -181,9 +205,10 @@ def disclosures(
     hashes = [F.bit_xor(F.xxhash64("text_key")).alias("one"), F.bit_xor(F.xxhash64("text_key", F.lit(1))).alias("two")]
     per_entity = of_texts.groupBy("entity").agg(F.count("*").alias("n_entity"), *hashes)
     group = F.struct("n_entity", "one", "two").alias("entities")
-    groups = of_texts.join(per_entity, "entity").select("text_key", group).distinct()
+    groups = of_texts.join(per_entity.where(F.col("n_entity") >= MIN_TEXTS), "entity").select("text_key", group).distinct()
     groups = checkpointed(groups)
-    n = docs.select(digest(text_or_empty(text)).alias("text_key")).distinct().count()
+    counts = checkpointed(text_counts(docs, text))
+    n = counts.count()
     most = groups.agg(F.max("entities.n_entity")).first()[0] or 0
 
     def bound(n_entity: Column) -> Column:
@@ -191,7 +216,7 @@ def disclosures(
         return (n_entity + 1) * F.pow(F.lit(float(max(n, 1))) / n_entity, 1 - GENERALISE) + 1
 
     per_term = (
-        distinct_texts(docs, text)
+        distinct_texts(docs, counts, text)
         .select(F.explode(terms(F.col("text"))).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("n_term"))
@@ -222,7 +247,8 @@ def disclosures(
 
 def term_spans(protected: DataFrame, disclosed: DataFrame) -> DataFrame:
     """``text_key`` and ``added``, the spans of disclosing terms outside of base spans."""
-    places = protected.select("text_key", F.inline(matches(F.col("text"), TERM)))
+    holding = protected.join(disclosed.select("text_key").distinct(), "text_key", "left_semi")
+    places = holding.select("text_key", F.inline(matches(F.col("text"), TERM)))
     told = places.select("text_key", "start", "end", F.lower("value").alias("term")).join(disclosed, ["text_key", "term"])
     span = F.struct("start", "kind", "end", F.col("term").alias("value"))
     per_text = told.groupBy("text_key").agg(F.array_sort(F.collect_list(span)).cast(SPANS).alias("told"))
@@ -246,7 +272,8 @@ def find_private(
     kept = tuple(c for c in keep if c not in ("text_key", "base", "added", "spans"))
     protected = checkpointed(protected_texts(docs, text))
     # Few rows, and stored, so that a hot text's share of the join can be split at run time.
-    more = checkpointed(term_spans(protected, disclosures(protected, docs, text, max_alike)))
+    disclosed = checkpointed(disclosures(protected, docs, text, max_alike))
+    more = checkpointed(term_spans(protected, disclosed))
     rows = found_in(docs, text, kept)
     # Texts without base spans meet nothing: copies of one are dealt out by their rows, under keys no digest has.
     spread = F.xxhash64(*kept, "text_key").cast("string").cast("binary") if kept else F.col("text_key")

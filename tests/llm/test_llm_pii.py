@@ -7,6 +7,7 @@ from cases import SCHEMA, empty_table, odd_rows, odd_table, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from corpusweave.llm import pii
 from corpusweave.llm.pii import BASE_KINDS, KINDS, MASKS, base_spans, find_private, masked, of_kind, sanitised, term_class, written
 from corpusweave.llm.queries import op7_pii
 
@@ -235,3 +236,55 @@ def test_all_terms_of_a_shared_passage_without_a_limit(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spans = {r["doc_id"]: r["spans"] for r in op7_pii(spark, str(tmp_path)).collect()}
     assert all(spans[i].count("remove") >= 12 for i in range(4))
+
+
+@pytest.mark.parametrize("most_bits", [1, pii.MAX_COPY_BITS])
+def test_distinct_texts_of_odd_rows(spark, monkeypatch, most_bits):
+    """Also with a bitmap so small that it takes texts without copies for copied ones."""
+    monkeypatch.setattr(pii, "MAX_COPY_BITS", most_bits)
+    rng = random.Random(11)
+    rows = odd_rows() + [(200 + i, words(rng, 9), "en", "s", 0) for i in range(60)] + [(300, "hot text", "en", "s", 0)] * 25
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    counts = pii.checkpointed(pii.text_counts(docs))
+    wanted = {t or "" for _, t, *_ in rows}
+    assert counts.count() == len(wanted) and counts.agg(F.sum("rows")).first()[0] == len(rows)
+    assert sorted(r["text"] for r in pii.distinct_texts(docs, counts).collect()) == sorted(wanted)
+    none = empty_table(spark)
+    assert pii.distinct_texts(none, pii.checkpointed(pii.text_counts(none))).collect() == []
+
+
+def moved_rows(plan):
+    """Rows that the shuffles of a plan that ran have written."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return moved_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return moved_rows(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    children = plan.children()
+    return own + sum(moved_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_texts_without_copies_do_not_move(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, words(rng, 12), "en", "s", 0) for i in range(500)]
+    spark.createDataFrame([*rows, rows[0], rows[1]], SCHEMA).repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    found = pii.distinct_texts(docs, pii.checkpointed(pii.text_counts(docs)))
+    plan = found._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    assert found.count() == 500 and 2 <= moved_rows(plan) <= 50
+
+
+def test_places_of_terms_are_sought_in_texts_that_hold_one(spark):
+    base = [(0, 0, 3, "x")]
+    rows = [(bytes([i]), f"x@y {' '.join(f'w{i}n{k}' for k in range(40))} told", base) for i in range(100)]
+    protected = spark.createDataFrame(rows, f"text_key binary, text string, base {pii.SPANS}")
+    disclosed = spark.createDataFrame([(bytes([7]), "told", 5), (bytes([8]), "w8n0", 4)], "text_key binary, term string, kind int")
+    found = pii.term_spans(protected, pii.checkpointed(disclosed))
+    plan = found._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    spans = {r["text_key"][0]: [tuple(s) for s in r["added"]] for r in found.collect()}
+    text = rows[7][1]
+    assert spans == {7: [(len(text) - 4, 5, len(text), "told")], 8: [(4, 4, 8, "w8n0")]}
+    assert moved_rows(plan) < 500  # all places of all texts are over 4,000
