@@ -113,3 +113,26 @@ def test_first_words(spark):
 def test_no_window_or_exchange_holds_a_whole_source(spark):
     plan = mix_sources(odd_table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_words_of_a_text_are_counted_once(spark, tmp_path):
+    odd_table(spark).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+
+    def counts(rows):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        return plan.count("regexp_extract_all"), plan.count("FileScan")
+
+    assert counts(mix_sources(docs)) == (0, 0)  # stored before
+    assert counts(mixed_documents(docs)) == (1, 1)
+
+
+def test_null_and_repeated_rows_queue_each_for_themselves(spark):
+    rows = [(7, "a b", "en", None, 0)] * 3 + [(None, "a b", "en", None, 0)] * 2 + [(None, None, None, "s", None), (8, " c ", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = taken_by_document(mix_sources(docs)).select("doc_id", "size", "source_size", "taken").collect()
+    assert Counter(r[:3] for r in map(tuple, found)) == Counter([(7, 2, 10)] * 3 + [(None, 2, 10)] * 2 + [(None, 0, 1), (8, 1, 1)])
+    mixed = mixed_documents(docs)
+    taken = Counter((r["doc_id"], r["source"]) for r in mixed.collect())
+    assert set(taken) <= {(7, None), (None, None), (8, "s")}
+    assert sum(len((r["text"] or "").split()) for r in mixed.collect()) == sum(r["taken"] for r in found)
