@@ -15,24 +15,36 @@ from corpusweave.params import PrepareParams
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
+# Rows of the train split, and the order key and id at each rank that cuts it.
+Cuts = tuple[int, dict[int, tuple[int, int]]]
 
-def assign_splits(corpus: DataFrame, params: PrepareParams) -> DataFrame:
+
+def assign_splits(corpus: DataFrame, params: PrepareParams, cuts: Cuts | None = None) -> DataFrame:
     """Hold out, then limit; adds ``order_key`` and ``order_bucket``.
 
     Without a holdout the corpus keeps its own order. With one, ``train`` takes the
     seeded order: its last ``n_val`` rows are the validation split, the ``n_test``
     rows before them the test split, and an older split of such a name is replaced.
     Splits of other names stay. Any ``pos`` and ``split_rows`` of the input go, as
-    they no longer hold.
+    they no longer hold. ``cuts`` may give the ``holdout_cuts`` of the same documents.
     """
     rows = corpus.drop("pos", "split_rows").withColumn("split", required(F.col("split"), "split"))
-    held = holdout(rows, params.n_val or 0, params.n_test or 0, params.seed, params.n_train or 0)
+    held = holdout(rows, params.n_val or 0, params.n_test or 0, params.seed, params.n_train or 0, cuts)
     if held is not None:
         return held
     return limit_splits(natural_order(rows), params.n_train, params.n_val, params.n_test)
 
 
-def holdout(rows: DataFrame, n_val: int, n_test: int, seed: int, n_train: int = 0) -> DataFrame | None:
+def holdout_cuts(rows: DataFrame, n_val: int, n_test: int, seed: int, n_train: int = 0) -> Cuts:
+    """The cut-offs of a holdout, found in one search; reads ``doc_id`` and ``split``."""
+    keys = seeded_order(rows.where(F.col("split") == TRAIN).select("doc_id"), seed)
+    ranks = {-n for n in (n_val, n_val + n_test) if n} | ({n_train} if n_train else set())
+    return cutoffs(keys, sorted(ranks))
+
+
+def holdout(
+    rows: DataFrame, n_val: int, n_test: int, seed: int, n_train: int = 0, cuts: Cuts | None = None
+) -> DataFrame | None:
     """Rows with their splits after a holdout, or None where nothing is held out.
 
     ``n_train`` keeps the first rows of what stays in the train split. All cut-offs come from one search:
@@ -41,9 +53,7 @@ def holdout(rows: DataFrame, n_val: int, n_test: int, seed: int, n_train: int =
     if n_val + n_test == 0:
         return None
     is_train = F.col("split") == TRAIN
-    keys = seeded_order(rows.where(is_train).select("doc_id"), seed)
-    ranks = {-n for n in (n_val, n_val + n_test) if n} | ({n_train} if n_train else set())
-    size, cuts = cutoffs(keys, sorted(ranks))
+    size, cuts = holdout_cuts(rows, n_val, n_test, seed, n_train) if cuts is None else cuts
     if size == 0:
         return None
     if size <= n_val + n_test:

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusweave.functions.words import required
 from corpusweave.operators.encode import Codec, encode, texts, token_count
 from corpusweave.operators.matrix import zero_rows
 from corpusweave.operators.order import natural_order, positions, run_starts
@@ -19,7 +20,7 @@ from corpusweave.operators.pack import (
     truncate_documents,
 )
 from corpusweave.operators.permute import permute_splits
-from corpusweave.operators.splits import assign_splits, limit_positions
+from corpusweave.operators.splits import Cuts, assign_splits, holdout_cuts, limit_positions
 from corpusweave.operators.vocab import freeze_ids
 from corpusweave.params import PrepareParams, Specials
 from corpusweave.session import settled
@@ -30,7 +31,7 @@ PLACE = ["pos", "split_rows"]
 COUNTED = ["doc_id", "split", *ORDER, *PLACE]
 
 
-def kept_documents(corpus: DataFrame, params: PrepareParams) -> DataFrame:
+def kept_documents(corpus: DataFrame, params: PrepareParams, cuts: Cuts | None = None) -> DataFrame:
     """The documents that a run keeps, each with its split and order.
 
     Splitting and limiting come before encoding, so that only kept texts are encoded.
@@ -38,20 +39,46 @@ def kept_documents(corpus: DataFrame, params: PrepareParams) -> DataFrame:
     out; ``pos`` is then known without any shuffle.
     """
     rows = texts(corpus, params.text_column, params.on_null)
-    held_out = bool(params.n_val or params.n_test)
     if params.shuffle == "permuted":
         if params.on_null == "drop" or not set(PLACE) <= set(corpus.columns):
             rows = positions(natural_order(rows.drop(*PLACE))).drop(*ORDER)
         return natural_order(permute_splits(rows, params), "pos")
-    if not held_out and params.on_null == "fail" and set(PLACE) <= set(corpus.columns):
+    if places_known(corpus, params):
         return natural_order(limit_positions(rows, params.n_train, params.n_val, params.n_test))
-    return assign_splits(rows, params)
+    return assign_splits(rows, params, cuts)
+
+
+def places_known(corpus: DataFrame, params: PrepareParams) -> bool:
+    """Whether kept documents have their places without counting runs: by the files, or by a permutation of these."""
+    held_out = bool(params.n_val or params.n_test)
+    return params.shuffle == "permuted" or (not held_out and params.on_null == "fail" and set(PLACE) <= set(corpus.columns))
+
+
+def kept_and_counted(corpus: DataFrame, params: PrepareParams) -> tuple[DataFrame, DataFrame]:
+    """``kept_documents``, and their ``token_counts`` stored, as run totals and packing groups both come from these.
+
+    Without a limit all texts are counted, and the cut-offs of a holdout are found in the stored rows too; with one, only the texts
+    that it keeps are counted.
+    """
+    if params.n_train:
+        kept = kept_documents(corpus, params)
+        return kept, settled(token_counts(kept))
+    text = F.col(params.text_column).cast("string")
+    rows = corpus.where(text.isNotNull()) if params.on_null == "drop" else corpus
+    split = required(F.col("split"), "split").alias("split")
+    sizes = settled(token_counts(rows.select("doc_id", split, text.alias("text"))))
+    n_val, n_test = params.n_val or 0, params.n_test or 0
+    cuts = holdout_cuts(sizes, n_val, n_test, params.seed) if n_val + n_test else None
+    # A null text is an error in a document that is kept, not in one of a split that a holdout replaces.
+    counted = assign_splits(sizes, params, cuts).withColumn("n_tokens", required(F.col("n_tokens"), params.text_column))
+    return kept_documents(corpus, params, cuts), counted
 
 
 def token_counts(kept: DataFrame) -> DataFrame:
-    """Sizes of the documents, counted from their texts alone."""
-    known = [c for c in PLACE if c in kept.columns]
-    return kept.select("doc_id", "split", *ORDER, *known, token_count(F.col("text")).cast("long").alias("n_tokens"))
+    """Sizes of the documents, counted from their texts alone; null where the text is."""
+    known = [c for c in (*ORDER, *PLACE) if c in kept.columns]
+    n_tokens = F.when(F.col("text").isNotNull(), token_count(F.col("text"))).cast("long")
+    return kept.select("doc_id", "split", *known, n_tokens.alias("n_tokens"))
 
 
 def with_positions(docs: DataFrame, starts: DataFrame | None = None) -> DataFrame:
@@ -71,7 +98,10 @@ def prepare_corpus(
     ``pos``, the place of the row in its split, ``input_ids`` and ``attention_mask``. Texts are
     encoded by the vocabulary, or by a codec of the caller's.
     """
-    kept = kept_documents(corpus, params)
+    if params.use_packing and params.grouping == "batches" and codec is None and not places_known(corpus, params):
+        kept, counted = kept_and_counted(corpus, params)
+    else:
+        kept, counted = kept_documents(corpus, params), None
     known = [c for c in PLACE if c in kept.columns]
     docs = encode(kept, vocab, specials, ["doc_id", "split", *ORDER, *known], codec, params.encoding)
     if not params.use_packing:
@@ -80,7 +110,7 @@ def prepare_corpus(
     if codec is not None:  # its ids are needed twice, for totals and for blocks
         docs = settled(docs)
         counted = docs.select(*[c for c in docs.columns if c in COUNTED], F.size("input_ids").cast("long").alias("n_tokens"))
-    else:
+    elif counted is None:
         counted = token_counts(kept)
     if params.grouping == "global":
         return pack_global(docs, specials, params.max_seq_length, counted).withColumn("pos", F.col("block"))

@@ -138,3 +138,38 @@ def test_delivered_splits_are_written_by_many_tasks_in_the_order_of_their_ids(sp
         found = read_corpus(spark, f"{tmp_path}/delivered").where(F.col("split") == split).orderBy("pos").collect()
         ids = [int(r["text"][1:]) for r in found]
         assert ids == sorted(ids) and len(ids) == n
+
+
+def test_ids_are_read_once_for_counts_and_once_for_blocks(spark, corpus, vocab):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        read.add(1)
+        return i
+
+    watched = corpus.withColumn("doc_id", F.udf(seen, "long").asNondeterministic()("doc_id"))
+    params = PrepareParams(max_seq_length=64, n_val=20, n_test=30, shards=3, batch_rows=25)
+    keys = ["split", "shard", "batch", "block"]
+    got = prepare_corpus(watched, vocab, SPECIALS, params).orderBy(*keys).collect()
+    assert read.value == 2 * corpus.count()
+    # With a limit that keeps all rows, cut-offs come from the corpus as before, and the blocks are the same.
+    whole = PrepareParams(**{**params.__dict__, "n_train": 10**6})
+    assert got == prepare_corpus(corpus, vocab, SPECIALS, whole).orderBy(*keys).collect() and got
+
+
+def test_null_texts_and_splits_of_counted_documents(spark, vocab):
+    rows = [(i, f"a b{i} c", "train") for i in range(20)] + [(100, None, "validation"), (101, "d e f", "other")]
+    table = spark.createDataFrame([*rows, rows[3]], "doc_id LONG, body STRING, split STRING")
+    params = PrepareParams(max_seq_length=3, n_val=4, shards=2, batch_rows=5, text_column="body")
+    found = prepare_corpus(table, vocab, SPECIALS, params)  # the null text is in the split that is replaced
+    assert {r.split for r in found.collect()} == {"train", "validation", "other"}
+    for bad, name in (((102, None, "train"), "body"), ((102, "a", None), "split"), ((None, "a", "train"), "id")):
+        more = table.unionByName(spark.createDataFrame([bad], table.schema))
+        with pytest.raises(Exception, match=f"null value in column {name}"):
+            prepare_corpus(more, vocab, SPECIALS, params).collect()
+    more = table.unionByName(spark.createDataFrame([(102, None, "train")], table.schema))
+    dropped = prepare_corpus(more, vocab, SPECIALS, PrepareParams(**{**params.__dict__, "on_null": "drop"}))
+    keys = ["split", "shard", "batch", "block"]
+    assert dropped.orderBy(*keys).collect() == found.orderBy(*keys).collect()
+    empty = prepare_corpus(table.where("false"), vocab, SPECIALS, params)
+    assert empty.collect() == []
